@@ -137,3 +137,50 @@ SQL["latest_per_path"] = W(["catalog"], f"""
 SELECT pdf_path, id, summary_length, page_count, {TS} AS created_at FROM (
   SELECT *, row_number() OVER (PARTITION BY pdf_path ORDER BY created_at DESC, id DESC) AS rn FROM norm)
 WHERE rn = 1""", [NORM])
+
+
+_SENT_END = r"'([.!?。！？])[ \t\n\r\f]+'"
+_WORD_SPLIT = r"'[^\p{L}\p{N}]+'"
+_BACKREF = r"'\1'"
+
+_EXTRACTIVE = """
+WITH s AS (
+  SELECT doc_id, pos, substr(raw, 1, @CUT@) AS sent FROM (
+    SELECT doc_id, unnest(arr) AS raw, (generate_subscripts(arr, 1) - 1)::BIGINT AS pos FROM (
+      SELECT doc_id, list_filter(string_split_regex(
+          regexp_replace(text, @SENT_END@, @BACKREF@ || chr(10), 'g'), chr(10) || '+'), lambda x: x <> '') AS arr
+      FROM documents))),
+w AS (
+  SELECT doc_id, pos, unnest(list_filter(string_split_regex(lower(sent), @WORD_SPLIT@), lambda x: x <> '')) AS word
+  FROM s),
+tf AS (SELECT doc_id, word, count(*) AS tf FROM w GROUP BY doc_id, word),
+sc AS (SELECT w.doc_id, w.pos, sum(tf.tf) // count(*) AS score FROM w JOIN tf USING (doc_id, word)
+       GROUP BY w.doc_id, w.pos),
+r AS (
+  SELECT s.doc_id, s.pos, s.sent,
+    sum(length(s.sent) + @OV@) OVER (PARTITION BY s.doc_id ORDER BY coalesce(sc.score, 0) DESC, s.pos
+                                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+  FROM s LEFT JOIN sc USING (doc_id, pos)),
+k AS (SELECT * FROM r WHERE cum <= @LIMIT@),
+agg AS (
+  SELECT d.doc_id, coalesce(string_agg(@LINE@, chr(10) ORDER BY k.pos), '') AS summary,
+    count(k.sent)::BIGINT AS n_sentences
+  FROM documents d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id)
+SELECT doc_id, '@LENGTH@' AS length, summary, n_sentences, length(summary)::BIGINT AS summary_chars FROM agg"""
+
+
+def extractive(length: str) -> str:
+    budget = {"short": 500, "standard": 2000, "detailed": 5000}[length]
+    ov = 3 if length == "short" else 1
+    line = "'- ' || k.sent" if length == "short" else "k.sent"
+    subst = {"@CUT@": str(budget - ov + 1), "@SENT_END@": _SENT_END, "@BACKREF@": _BACKREF,
+             "@WORD_SPLIT@": _WORD_SPLIT, "@OV@": str(ov), "@LIMIT@": str(budget + 1),
+             "@LINE@": line, "@LENGTH@": length}
+    sql = _EXTRACTIVE
+    for k, v in subst.items():
+        sql = sql.replace(k, v)
+    return sql
+
+
+for _l in ("short", "standard", "detailed"):
+    SQL[f"extractive_{_l}"] = extractive(_l)

@@ -169,6 +169,16 @@ def q_latest_per_path(spark, sf):
     return s.select("pdf_path", "id", "summary_length", "page_count", _ts())
 
 
+# ------------------------------------------------------------------ extractive summariser (flagship)
+
+def _extractive(length):
+    def q(spark, sf):
+        from .operators.extractive import extractive_summary
+        return extractive_summary(_docs(spark, sf), length)
+    q.__name__ = f"q_extractive_{length}"
+    return q
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "catalog_scan": q_catalog_scan,
     "migrate_schema": q_migrate_schema,
@@ -191,4 +201,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "resolve_and_delete": q_resolve_and_delete,
     "delete_requests": q_delete_requests,
     "latest_per_path": q_latest_per_path,
+    "extractive_short": _extractive("short"),
+    "extractive_standard": _extractive("standard"),
+    "extractive_detailed": _extractive("detailed"),
 }
