@@ -26,8 +26,20 @@ SENTENCE_END = r"([.!?。！？])[ \t\n\r\f]+"
 WORD_SPLIT = r"[^\p{L}\p{N}]+"
 
 
-def _overhead(length: str) -> int:
-    return len(BULLET) + 1 if length == "short" else 1
+def _params(length: str | None, length_col: str | None) -> tuple[Column, Column, Column, Column]:
+    """(length, budget, overhead, bullet) as columns: literals for a fixed length, else per row."""
+    if length_col is None:
+        if length not in BUDGETS:
+            raise ValueError(f"unknown length {length!r}")
+        short = length == "short"
+        return (F.lit(length), F.lit(BUDGETS[length]), F.lit(len(BULLET) + 1 if short else 1),
+                F.lit(BULLET if short else ""))
+    ln = F.col(length_col)
+    budget = F.when(ln == "short", BUDGETS["short"]).when(ln == "standard", BUDGETS["standard"]) \
+        .when(ln == "detailed", BUDGETS["detailed"])
+    short = ln == "short"
+    return (ln, budget, F.when(short, len(BULLET) + 1).otherwise(1),
+            F.when(short, BULLET).otherwise(""))
 
 
 def sentences(text: Column) -> Column:
@@ -41,57 +53,75 @@ def words(sentence: Column) -> Column:
     return F.filter(F.split(F.lower(sentence), WORD_SPLIT), lambda w: w != F.lit(""))
 
 
-def sentence_scores(docs: DataFrame, length: str, id_col: str = "doc_id", text_col: str = "text",
-                    partitions: int | None = None) -> DataFrame:
-    """(id, pos, sent, score) per sentence; ``sent`` is cut so that it alone fits the budget.
+def sentence_scores(docs: DataFrame, length: str | None = "short", id_col: str = "doc_id",
+                    text_col: str = "text", partitions: int | None = None,
+                    length_col: str | None = None, carry: list[str] | None = None) -> DataFrame:
+    """(id, length, budget, ov, bullet, pos, sent, score, _carry) per sentence.
 
-    One scan, one exchange, no join: each word row carries the sentence text
-    only when it is the sentence's first word (or the sentence has none), so
-    the per-sentence aggregate gets the text back without re-reading it.
+    ``sent`` is cut so that it alone fits the budget.  One scan, one exchange,
+    no join: each word row carries the sentence text only when it is the
+    sentence's first word (or the sentence has none), so the per-sentence
+    aggregate gets the text back without re-reading it.  The ``carry``
+    columns of the document ride along the same way, on its first sentence.
     """
-    budget, ov = BUDGETS[length], _overhead(length)
+    ln, budget, ov, bullet = _params(length, length_col)
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = docs.select(id_col, text_col).repartition(n, id_col)
-    sents = (d.select(id_col, F.posexplode_outer(sentences(F.col(text_col))).alias("pos", "raw"))
-             .select(id_col, F.col("pos").cast("bigint").alias("pos"),
-                     F.substring("raw", 1, budget - ov + 1).alias("sent")))
-    w = (sents.select(id_col, "pos", "sent", F.posexplode_outer(words(F.col("sent"))).alias("wpos", "word"))
-         .select(id_col, "pos", "word",
-                 F.when(F.coalesce(F.col("wpos"), F.lit(0)) == 0, F.col("sent")).alias("sent_text")))
+    carry_col = F.struct(*carry) if carry else F.lit(None).cast("struct<_:int>")
+    d = (docs.select(id_col, text_col, ln.alias("_length"), budget.alias("_budget"), ov.alias("_ov"),
+                     bullet.alias("_bullet"), carry_col.alias("_carry"))
+         .repartition(n, id_col))
+    keys = [id_col, "_length", "_budget", "_ov", "_bullet"]
+    first = F.coalesce(F.col("pos"), F.lit(0)) == 0
+    sents = (d.select(*keys, "_carry", F.posexplode_outer(sentences(F.col(text_col))).alias("pos", "raw"))
+             .select(*keys, F.col("pos").cast("bigint").alias("pos"),
+                     F.substring(F.col("raw"), F.lit(1), F.col("_budget") - F.col("_ov") + 1).alias("sent"),
+                     F.when(first, F.col("_carry")).alias("_carry")))
+    first_word = F.coalesce(F.col("wpos"), F.lit(0)) == 0
+    w = (sents.select(*keys, "pos", "sent", "_carry",
+                      F.posexplode_outer(words(F.col("sent"))).alias("wpos", "word"))
+         .select(*keys, "pos", "word",
+                 F.when(first_word, F.col("sent")).alias("sent_text"),
+                 F.when(first_word, F.col("_carry")).alias("_carry")))
     tf = w.withColumn("tf", F.count("word").over(Window.partitionBy(id_col, "word")))
-    per_sent = (tf.groupBy(id_col, "pos")
+    per_sent = (tf.groupBy(*keys, "pos")
                 .agg(F.sum("tf").alias("_sum"), F.count("word").alias("_nw"),
-                     F.collect_list("sent_text").alias("_text")))
+                     F.collect_list("sent_text").alias("_text"), F.collect_list("_carry").alias("_c")))
     return per_sent.select(
-        id_col, "pos", F.element_at("_text", 1).alias("sent"),
-        F.when(F.col("_nw") > 0, F.expr("_sum div _nw")).otherwise(F.lit(0)).cast("bigint").alias("score"))
-
-
-def extractive_summary(docs: DataFrame, length: str = "short", id_col: str = "doc_id",
-                       text_col: str = "text", partitions: int | None = None) -> DataFrame:
-    """One row per document: (id, length, summary, n_sentences, summary_chars).
-
-    Sentences are ranked by (score desc, position); the kept set is the
-    longest prefix of that ranking whose cost (characters plus bullet and
-    newline) stays within budget + 1, so the text is at most ``budget``
-    characters; the top sentence always fits.  Documents without sentences get
-    an empty summary.
+        *keys, "pos", F.try_element_at("_text", F.lit(1)).alias("sent"),
+        F.when(F.col("_nw") > 0, F.expr("_sum div _nw")).otherwise(F.lit(0)).cast("bigint").alias("score"),
+        F.try_element_at("_c", F.lit(1)).alias("_carry"))
+
+
+def extractive_summary(docs: DataFrame, length: str | None = "short", id_col: str = "doc_id",
+                       text_col: str = "text", partitions: int | None = None,
+                       length_col: str | None = None, carry: list[str] | None = None) -> DataFrame:
+    """One row per document: (id, length, summary, n_sentences, summary_chars, *carry).
+
+    ``length`` applies to every document, or ``length_col`` names a per-row
+    length (short / standard / detailed).  Sentences are ranked by (score
+    desc, position); the kept set is the longest prefix of that ranking whose
+    cost (characters plus bullet and newline) stays within budget + 1, so the
+    text is at most ``budget`` characters; the top sentence always fits.
+    Documents without sentences get an empty summary.  ``carry`` names
+    document columns to return alongside (no second scan, no join).
     """
-    if length not in BUDGETS:
-        raise ValueError(f"unknown length {length!r}")
-    budget, ov = BUDGETS[length], _overhead(length)
-    s = sentence_scores(docs, length, id_col, text_col, partitions)
+    s = sentence_scores(docs, length, id_col, text_col, partitions, length_col, carry)
     rank = Window.partitionBy(id_col).orderBy(F.col("score").desc(), F.col("pos")) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cost = F.coalesce(F.length("sent") + F.lit(ov), F.lit(0))
-    ranked = s.withColumn("cum", F.sum(cost).over(rank))
-    kept = ranked.where(F.col("cum") <= budget + 1)
-    line = F.concat(F.lit(BULLET), F.col("sent")) if length == "short" else F.col("sent")
-    item = F.when(F.col("sent").isNotNull(), F.struct(F.col("pos"), line.alias("line")))
+    cost = F.coalesce(F.length("sent") + F.col("_ov"), F.lit(0))
+    ranked = s.withColumn("_in", F.sum(cost).over(rank) <= F.col("_budget") + 1)
+    kept = ranked.where(F.col("_in") | F.col("_carry").isNotNull())
+    take = F.col("_in") & F.col("sent").isNotNull()
+    line = F.concat(F.col("_bullet"), F.col("sent"))
+    item = F.when(take, F.struct(F.col("pos"), line.alias("line")))
     summary = F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["line"]), "\n")
-    return (kept.groupBy(id_col)
-            .agg(summary.alias("summary"), F.count("sent").alias("n_sentences"))
-            .select(id_col, F.lit(length).alias("length"), "summary",
-                    F.col("n_sentences").cast("bigint").alias("n_sentences"),
-                    F.length("summary").cast("bigint").alias("summary_chars")))
-
+    out = (kept.groupBy(id_col, "_length")
+           .agg(summary.alias("summary"), F.count(F.when(take, F.lit(1))).alias("n_sentences"),
+                F.collect_list("_carry").alias("_c"))
+           .select(id_col, F.col("_length").alias("length"), "summary",
+                   F.col("n_sentences").cast("bigint").alias("n_sentences"),
+                   F.length("summary").cast("bigint").alias("summary_chars"),
+                   F.try_element_at("_c", F.lit(1)).alias("_carry")))
+    if carry:
+        return out.select("*", *[F.col("_carry")[c].alias(c) for c in carry]).drop("_carry")
+    return out.drop("_carry")

@@ -169,7 +169,7 @@ agg AS (
 SELECT doc_id, '@LENGTH@' AS length, summary, n_sentences, length(summary)::BIGINT AS summary_chars FROM agg"""
 
 
-def extractive(length: str) -> str:
+def extractive(length: str, src: str = "documents") -> str:
     budget = {"short": 500, "standard": 2000, "detailed": 5000}[length]
     ov = 3 if length == "short" else 1
     line = "'- ' || k.sent" if length == "short" else "k.sent"
@@ -179,8 +179,145 @@ def extractive(length: str) -> str:
     sql = _EXTRACTIVE
     for k, v in subst.items():
         sql = sql.replace(k, v)
-    return sql
+    return sql.replace("FROM documents", f"FROM {src}")
 
 
 for _l in ("short", "standard", "detailed"):
     SQL[f"extractive_{_l}"] = extractive(_l)
+
+
+# ------------------------------------------------------------------ sources and pipeline stages
+
+LEN_BY_DOC = "CASE doc_id % 3 WHEN 0 THEN 'short' WHEN 1 THEN 'standard' ELSE 'detailed' END"
+PATH_NAME = "string_split(regexp_replace(path, '/+$', ''), '/')[-1]"
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _prefix(text: str, length: str) -> str:
+    return f"'[digest length=' || {length} || '] ' || substr({text}, 1, 30) || '...'"
+
+
+SQL["file_identity"] = W(["files"], f"""
+SELECT doc_id, path AS pdf_path, sha256(text) AS pdf_hash, {PATH_NAME} AS file_name, length FROM files""")
+
+SQL["build_rows"] = W(["summaries_raw"], """
+SELECT pdf_path, pdf_hash, coalesce(page_count, 0)::BIGINT AS page_count, summary, length, model,
+  tokens_in, tokens_out, latency_ms, '2026-06-01 12:00:00' AS created_at FROM summaries_raw""")
+
+SQL["extract_text"] = W(["files"], """
+SELECT doc_id, path AS pdf_path, text, len(string_split(text, chr(12)))::BIGINT AS page_count,
+  NULL::VARCHAR AS stage FROM files""")
+
+SQL["prefix_summary"] = f"""
+SELECT doc_id, {_prefix('text', LEN_BY_DOC)} AS summary, 100::BIGINT AS tokens_in, 50::BIGINT AS tokens_out,
+  1::BIGINT AS latency_ms, 'prefix-model' AS model FROM documents"""
+
+SQL["summarize_single"] = f"""
+SELECT doc_id, {_prefix('text', LEN_BY_DOC)} AS summary, 100::BIGINT AS tokens_in, 50::BIGINT AS tokens_out,
+  1::BIGINT AS latency_ms, 'prefix-model' AS model, NULL::VARCHAR AS stage FROM documents"""
+
+SQL["split_chunks"] = """
+SELECT doc_id, i::BIGINT AS chunk_no, substr(text, i * 800 + 1, 800) AS chunk FROM (
+  SELECT doc_id, text, unnest(range(0, (length(text) + 799) // 800)) AS i FROM documents WHERE length(text) > 0)"""
+
+SQL["chunk_budget"] = W(["summaries_raw", "models"], """
+SELECT s.doc_id, s.model,
+  (CASE WHEN m.max_input_tokens > 0 THEN (m.max_input_tokens * 8) // 10 ELSE 32000 END)::BIGINT AS budget_tokens
+FROM summaries_raw s LEFT JOIN models m ON s.model = m.model""")
+
+
+def _render_sql() -> str:
+    from .fixtures import EXTRA_INSTRUCTIONS, TEMPLATE_OVERRIDES
+    from .operators.stages import DEFAULT_TEMPLATES, EXTRA_LABEL
+
+    rows = []
+    for ln, override in TEMPLATE_OVERRIDES:
+        t = override or DEFAULT_TEMPLATES[ln]
+        t = t + "\n\n" + EXTRA_LABEL + EXTRA_INSTRUCTIONS
+        rows.append(f"({_lit(ln)}, {_lit(t)})")
+    return f"""
+WITH t(length, template) AS (VALUES {', '.join(rows)}),
+d AS (SELECT doc_id, text, {LEN_BY_DOC} AS length FROM documents)
+SELECT d.doc_id, d.length,
+  CASE WHEN contains(t.template, '{{text}}') THEN replace(t.template, '{{text}}', d.text)
+       ELSE t.template || chr(10) || chr(10) || d.text END AS prompt
+FROM d LEFT JOIN t ON d.length = t.length"""
+
+
+SQL["render_prompts"] = _render_sql()
+
+SQL["limit_items"] = W(["files"], "SELECT doc_id, path FROM files ORDER BY path, doc_id LIMIT 1")
+
+SQL["skip_seen"] = W(["files", "catalog"], """
+SELECT doc_id, pdf_path, pdf_hash FROM (
+  SELECT doc_id, path AS pdf_path, sha256(text) AS pdf_hash,
+    row_number() OVER (PARTITION BY sha256(text) ORDER BY path, doc_id) AS rn FROM files)
+WHERE rn = 1 AND pdf_hash NOT IN (SELECT pdf_hash FROM catalog)""")
+
+_FAIL = """fails AS (
+  SELECT doc_id, pdf_path,
+    CASE WHEN nbytes % 13 = 0 THEN 'extract' ELSE 'summarize' END AS stage,
+    CASE WHEN nbytes % 13 = 0 THEN 'ValueError' ELSE 'RuntimeError' END AS error_class,
+    CASE WHEN nbytes % 13 = 0 THEN 'cannot extract ' || nbytes || ' bytes'
+         ELSE 'model refused a text of ' || nchars || ' characters' END AS message
+  FROM (SELECT doc_id, path AS pdf_path, strlen(text) AS nbytes, length(text) AS nchars FROM files)
+  WHERE nbytes % 13 = 0 OR nchars % 19 = 0)"""
+
+SQL["split_failures"] = W(["files"], "SELECT doc_id, pdf_path, stage, error_class, message FROM fails", [_FAIL])
+
+_CLASS = """classified AS (
+  SELECT doc_id, stage, error_class,
+    CASE WHEN error_class IN ('ConfigError', 'ConfigurationError') THEN 'config'
+         WHEN error_class = 'SummarizationError' THEN 'summarize'
+         WHEN error_class = 'ExtractionError' THEN 'extract'
+         WHEN error_class = 'SinkError' THEN 'sink'
+         WHEN error_class = 'PdfsumError' THEN 'package'
+         WHEN stage = 'extract' THEN 'extract' WHEN stage = 'summarize' THEN 'summarize'
+         WHEN stage = 'source' THEN 'source' ELSE 'other' END AS category,
+    (CASE WHEN error_class IN ('ConfigError', 'ConfigurationError') THEN 2 ELSE 1 END)::BIGINT AS severity
+  FROM fails)"""
+
+SQL["classify_failures"] = W(["files"], "SELECT * FROM classified", [_FAIL, _CLASS])
+
+SQL["run_report"] = W(["files"], """
+SELECT stage, category, count(*)::BIGINT AS n_failures, max(severity)::BIGINT AS max_severity
+FROM classified GROUP BY stage, category""", [_FAIL, _CLASS])
+
+SQL["summarize_corpus"] = W(["files"], f"""
+SELECT path AS pdf_path, sha256(text) AS pdf_hash, len(string_split(text, chr(12)))::BIGINT AS page_count,
+  {_prefix('text', LEN_BY_DOC)} AS summary, {LEN_BY_DOC} AS length, 'prefix-model' AS model,
+  100::BIGINT AS tokens_in, 50::BIGINT AS tokens_out, 1::BIGINT AS latency_ms,
+  '2026-06-01 12:00:00' AS created_at FROM files""")
+
+
+def _corpus_extractive() -> str:
+    parts = []
+    for i, ln in enumerate(("short", "standard", "detailed")):
+        src = f"(SELECT * FROM documents WHERE doc_id % 3 = {i})"
+        parts.append(f"SELECT * FROM ({extractive(ln, src)})")
+    ex = "\nUNION ALL\n".join(parts)
+    return W(["files"], """
+SELECT f.path AS pdf_path, sha256(f.text) AS pdf_hash, len(string_split(f.text, chr(12)))::BIGINT AS page_count,
+  e.summary, e.length, 'extractive' AS model, NULL::BIGINT AS tokens_in,
+  ceil(length(e.summary) / 4)::BIGINT AS tokens_out, NULL::BIGINT AS latency_ms,
+  '2026-06-01 12:00:00' AS created_at
+FROM files f JOIN ex e USING (doc_id)""", [f"ex AS ({ex})"])
+
+
+SQL["summarize_corpus_extractive"] = _corpus_extractive()
+
+SQL["summarize_chunk_level"] = f"""
+WITH d AS (SELECT doc_id, text, {LEN_BY_DOC} AS length FROM documents)
+SELECT doc_id, 0::BIGINT AS next_level, {_prefix('text', 'length')} AS text, 100::BIGINT AS tokens_in
+FROM d WHERE length(text) <= 800
+UNION ALL
+SELECT doc_id, 1::BIGINT AS next_level,
+  string_agg({_prefix('chunk', 'length')}, chr(10) || chr(10) ORDER BY i) AS text,
+  (100 * count(*))::BIGINT AS tokens_in
+FROM (SELECT doc_id, length, i, substr(text, i * 800 + 1, 800) AS chunk
+      FROM (SELECT doc_id, length, text, unnest(range(0, (length(text) + 799) // 800)) AS i
+            FROM d WHERE length(text) > 800))
+GROUP BY doc_id"""

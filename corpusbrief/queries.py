@@ -179,6 +179,154 @@ def _extractive(length):
     return q
 
 
+# ------------------------------------------------------------------ sources and pipeline stages
+
+def _length_by_doc() -> F.Column:
+    return (F.when(F.col("doc_id") % 3 == 0, "short").when(F.col("doc_id") % 3 == 1, "standard")
+            .otherwise("detailed"))
+
+
+def _identified(docs):
+    from .sources.files import file_identity
+    return file_identity(X.files(docs))
+
+
+def q_file_identity(spark, sf):
+    f = _identified(_docs(spark, sf))
+    return f.select("doc_id", "pdf_path", "pdf_hash", "file_name", "length")
+
+
+def q_build_rows(spark, sf):
+    from .sources.files import build_rows
+    dig = X.summaries_raw(_docs(spark, sf))
+    rows = build_rows(dig, "length", X.RUN_TS, with_id=False)
+    return rows.select(*[c for c in rows.columns if c != "created_at"], _ts())
+
+
+def q_extract_text(spark, sf):
+    from .operators.stages import extract
+    out = extract(_identified(_docs(spark, sf)))
+    return out.select("doc_id", "pdf_path", "text", "page_count", "stage")
+
+
+def q_prefix_summary(spark, sf):
+    from .operators.stages import prefix_summary
+    docs = _docs(spark, sf)
+    d = docs.select("doc_id", prefix_summary("text", _length_by_doc(), "prefix-model").alias("d"))
+    return d.select("doc_id", "d.*")
+
+
+def q_summarize_single(spark, sf):
+    from .operators.stages import PrefixSummarizer, extract, summarize
+    docs = extract(_identified(_docs(spark, sf))).withColumn("length", _length_by_doc())
+    out = summarize(docs.select("doc_id", "text", "length", "stage", "error_class", "message"),
+                    PrefixSummarizer, key="doc_id")
+    return out.select("doc_id", "summary", "tokens_in", "tokens_out", "latency_ms", "model", "stage")
+
+
+def q_split_chunks(spark, sf):
+    from .operators.stages import split_chunks
+    docs = _docs(spark, sf)
+    c = split_chunks(docs.select("doc_id", "text"), X.FIXTURE_BUDGET_TOKENS * X.CHARS_PER_TOKEN)
+    return c.select("doc_id", "chunk_no", "chunk")
+
+
+def q_chunk_budget(spark, sf):
+    from .operators.stages import chunk_budget
+    docs = X.summaries_raw(_docs(spark, sf)).select("doc_id", "model")
+    return chunk_budget(docs, X.models(spark)).select("doc_id", "model", "budget_tokens")
+
+
+def q_render_prompts(spark, sf):
+    from .operators.stages import render_prompts, resolve_templates
+    docs = _docs(spark, sf).select("doc_id", "text", _length_by_doc().alias("length"))
+    t = resolve_templates(X.template_overrides(spark))
+    return render_prompts(docs, t, X.EXTRA_INSTRUCTIONS).select("doc_id", "length", "prompt")
+
+
+def q_limit_items(spark, sf):
+    from .operators.stages import limit_items
+    return limit_items(X.files(_docs(spark, sf)), 1, ["path", "doc_id"]).select("doc_id", "path")
+
+
+def q_skip_seen(spark, sf):
+    from .operators.stages import skip_seen
+    docs = _docs(spark, sf)
+    out = skip_seen(_identified(docs), _catalog(docs), ["pdf_path", "doc_id"])
+    return out.select("doc_id", "pdf_path", "pdf_hash")
+
+
+def _failing_run(spark, sf):
+    from .operators.stages import FailingExtractor, FailingSummarizer, extract, summarize
+    from .plans.strategies import materialize
+    docs = _docs(spark, sf)
+    ex = extract(_identified(docs), FailingExtractor(), key="doc_id").withColumn("length", _length_by_doc())
+    out = summarize(ex.select("doc_id", "pdf_path", "text", "length", "stage", "error_class", "message"),
+                    FailingSummarizer)
+    return materialize(out, "failing-run")
+
+
+def q_split_failures(spark, sf):
+    from .operators.stages import split_failures
+    _, bad = split_failures(_failing_run(spark, sf))
+    return bad.select("doc_id", "pdf_path", "stage", "error_class", "message")
+
+
+def q_classify_failures(spark, sf):
+    from .operators.stages import classify_failures, split_failures
+    _, bad = split_failures(_failing_run(spark, sf))
+    return classify_failures(bad).select("doc_id", "stage", "error_class", "category", "severity")
+
+
+def q_run_report(spark, sf):
+    from .operators.stages import classify_failures, run_report, split_failures
+    _, bad = split_failures(_failing_run(spark, sf))
+    return run_report(classify_failures(bad))
+
+
+def q_summarize_corpus(spark, sf):
+    from .operators.stages import PrefixSummarizer
+    from .plans.corpus_run import run_corpus
+    docs = _docs(spark, sf)
+    files = X.files(docs).withColumn("req_length", _length_by_doc())
+    rows, _ = run_corpus(files, length_col="req_length", summarizer=PrefixSummarizer, chunked=False,
+                         run_ts=X.RUN_TS, with_id=False)
+    return rows.select(*[c for c in rows.columns if c != "created_at"], _ts())
+
+
+def q_summarize_corpus_extractive(spark, sf):
+    from .plans.corpus_run import run_corpus
+    docs = _docs(spark, sf)
+    files = X.files(docs).withColumn("req_length", _length_by_doc())
+    rows, _ = run_corpus(files, length_col="req_length", summarizer="extractive", run_ts=X.RUN_TS,
+                         with_id=False)
+    return rows.select(*[c for c in rows.columns if c != "created_at"], _ts())
+
+
+def q_summarize_chunk_level(spark, sf):
+    from .operators.stages import PrefixSummarizer
+    from .plans.chunked import summarize_level
+    docs = _docs(spark, sf)
+    state = docs.select("doc_id", "text", _length_by_doc().alias("length"),
+                        F.lit(X.FIXTURE_BUDGET_TOKENS).cast("bigint").alias("budget_tokens"),
+                        F.lit(0).alias("level"),
+                        *[F.lit(0).cast("bigint").alias("acc_" + c) for c in ("tokens_in", "tokens_out", "latency_ms")])
+    final, nxt = summarize_level(state, PrefixSummarizer, X.CHARS_PER_TOKEN)
+    a = final.select("doc_id", F.lit(0).cast("bigint").alias("next_level"), F.col("summary").alias("text"),
+                     "tokens_in")
+    b = nxt.select("doc_id", F.lit(1).cast("bigint").alias("next_level"), "text",
+                   F.col("acc_tokens_in").alias("tokens_in"))
+    return a.unionByName(b)
+
+
+def q_summarize_chunked(spark, sf):
+    from .operators.stages import PrefixSummarizer
+    from .plans.chunked import summarize_chunked
+    docs = _docs(spark, sf).select("doc_id", "text", _length_by_doc().alias("length"))
+    out = summarize_chunked(docs, PrefixSummarizer, X.FIXTURE_BUDGET_TOKENS, X.CHARS_PER_TOKEN)
+    return out.select("doc_id", "summary", "tokens_in", "tokens_out", "latency_ms", "levels", "stage")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "catalog_scan": q_catalog_scan,
     "migrate_schema": q_migrate_schema,
@@ -204,4 +352,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "extractive_short": _extractive("short"),
     "extractive_standard": _extractive("standard"),
     "extractive_detailed": _extractive("detailed"),
+    "file_identity": q_file_identity,
+    "build_rows": q_build_rows,
+    "extract_text": q_extract_text,
+    "prefix_summary": q_prefix_summary,
+    "summarize_single": q_summarize_single,
+    "split_chunks": q_split_chunks,
+    "chunk_budget": q_chunk_budget,
+    "render_prompts": q_render_prompts,
+    "limit_items": q_limit_items,
+    "skip_seen": q_skip_seen,
+    "split_failures": q_split_failures,
+    "classify_failures": q_classify_failures,
+    "run_report": q_run_report,
+    "summarize_corpus": q_summarize_corpus,
+    "summarize_corpus_extractive": q_summarize_corpus_extractive,
+    "summarize_chunk_level": q_summarize_chunk_level,
+    "summarize_chunked": q_summarize_chunked,
 }
