@@ -52,12 +52,14 @@ def normalise(catalog: DataFrame) -> DataFrame:
         "created_at", "tokens_in", "tokens_out", "latency_ms")
 
 
-NEWEST_FIRST = [F.col("created_at").desc_nulls_last(), F.col("id").desc()]
+def newest_first() -> list:
+    """Catalog order: newest first, ties broken by the larger id."""
+    return [F.col("created_at").desc_nulls_last(), F.col("id").desc()]
 
 
 def list_summaries(catalog: DataFrame, limit: int | None = None) -> DataFrame:
     """All rows newest first (ties broken by id); ``limit`` keeps the newest n."""
-    out = normalise(catalog).orderBy(*NEWEST_FIRST)
+    out = normalise(catalog).orderBy(*newest_first())
     return out.limit(limit) if limit else out
 
 
@@ -81,24 +83,30 @@ def _prefix_lengths(prefixes: DataFrame, col: str) -> list[int]:
     return sorted(r["n"] for r in rows)
 
 
-def resolve_prefixes(catalog: DataFrame, prefixes: DataFrame, col: str = "prefix") -> DataFrame:
+def resolve_prefixes(catalog: DataFrame, prefixes: DataFrame, col: str = "prefix",
+                     max_broadcast: int = 1_000_000) -> DataFrame:
     """Prefix → (match count, the id when exactly one, status none/one/many).
 
     Literal, case-sensitive prefix match.  Each catalog id is expanded into its
     prefixes of the requested lengths only (at most 37), which turns the
-    ``LIKE 'p%'`` into an equi-join; the expansion is semi-joined to the
-    requested prefixes and counted with partial aggregation, so a prefix
-    matching most of the catalog (``''``) is a hot key only for a map-side
-    count, never for a join.
+    ``LIKE 'p%'`` into an equi-join.  When the distinct requested prefixes are
+    few (counted, at most ``max_broadcast``) they are broadcast and
+    semi-joined map-side before a partially aggregated count; otherwise the
+    expansion is aggregated first and then joined.  Either way a prefix that
+    matches most of the catalog (``''``) is only a map-side count, never a
+    hot join key.
     """
+    from ..plans.strategies import row_count_at_most
+
     lengths = _prefix_lengths(prefixes, col)
     wanted = prefixes.select(F.col(col).alias("_p")).distinct()
     if lengths:
         exploded = catalog.select(
             "id", F.explode(F.array(*[F.substring("id", 1, n) if n else F.lit("")
                                       for n in lengths])).alias("_p"))
-        matched = (exploded.join(wanted, "_p", "left_semi")
-                   .groupBy("_p")
+        if row_count_at_most(wanted, max_broadcast):
+            exploded = exploded.join(F.broadcast(wanted), "_p", "left_semi")
+        matched = (exploded.groupBy("_p")
                    .agg(F.count(F.lit(1)).alias("match_count"), F.min("id").alias("_min_id")))
     else:
         matched = wanted.select("_p", F.lit(0).cast("bigint").alias("match_count"),

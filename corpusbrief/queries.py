@@ -60,13 +60,13 @@ def q_normalise_rows(spark, sf):
 
 
 def q_list_summaries(spark, sf):
-    s = with_position(C.normalise(_catalog(_docs(spark, sf))), C.NEWEST_FIRST)
+    s = with_position(C.normalise(_catalog(_docs(spark, sf))), C.newest_first())
     return s.select("position", "id", "file_name", "page_count", "summary_length", _ts())
 
 
 def _list_view(spark, sf, full_id):
     cat = _catalog(_docs(spark, sf))
-    v = with_position(V.list_view(cat, full_id=full_id), C.NEWEST_FIRST)
+    v = with_position(V.list_view(cat, full_id=full_id), C.newest_first())
     return v.select("position", "display_id", "display_name", "page_count", "summary_length", "created")
 
 
