@@ -20,7 +20,7 @@ def path_exists(spark: SparkSession, p: str) -> bool:
 
 
 def ingest_files(spark: SparkSession, paths: str | list[str], glob: str | None = "*.pdf",
-                 recursive: bool = False, max_bytes: int | None = None
+                 recursive: bool = False, max_bytes: int | None = None, report_empty: bool = True
                  ) -> tuple[DataFrame, DataFrame]:
     """O1/O2: read files (single paths, directories or globs) with the binary file source.
 
@@ -28,7 +28,10 @@ def ingest_files(spark: SparkSession, paths: str | list[str], glob: str | None =
     an error for the job: it becomes a failure row with ``stage='source'``
     (the reference silently yields nothing).  Files above ``max_bytes`` are
     failures too, and their content is never read: the size filter is applied
-    on ``length`` before ``content`` is selected.
+    on ``length`` before ``content`` is selected.  The binary file source
+    yields no row for a 0-byte file; with ``report_empty`` such files are
+    found by anti-joining Spark's own file listing (``inputFiles``, already
+    held by the driver for planning) and become extraction failures.
     """
     if isinstance(paths, str):
         paths = [paths]
@@ -45,6 +48,14 @@ def ingest_files(spark: SparkSession, paths: str | list[str], glob: str | None =
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
     files = reader.load(existing)
+    if report_empty:
+        listed = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string") \
+            .select(S.strip_scheme("path").alias("pdf_path"))
+        read = files.select(S.strip_scheme("path").alias("pdf_path"))
+        empty = listed.join(read, "pdf_path", "left_anti").select(
+            "pdf_path", F.lit("extract").alias("stage"), F.lit("ExtractionError").alias("error_class"),
+            F.lit("empty file").alias("message"))
+        failures = failures.unionByName(empty)
     if max_bytes is not None:
         big = files.where(F.col("length") > max_bytes).select(
             S.strip_scheme("path").alias("pdf_path"), F.lit("source").alias("stage"),

@@ -2,8 +2,10 @@
 
 Layout under ``root``::
 
-    data/         catalog rows (STORE_SCHEMA; older generations may lack columns)
-    tombstones/   ids deleted, with the delete time
+    data/run=<id>/   catalog rows of one run or stream batch (STORE_SCHEMA; older
+                     generations may lack columns)
+    tombstones/      ids deleted, with the delete time
+    failures/run=<id>/  failure rows of a run
 
 Parquet files are immutable and a job must never overwrite the folder it
 reads, so a delete appends tombstones and every read applies them
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators.catalog import apply_tombstones, conform, delete_ids
 from ..plans.strategies import materialize
-from ..schemas import STORE_SCHEMA, TOMBSTONE_SCHEMA
+from ..schemas import STORE_COLUMNS, STORE_SCHEMA, TOMBSTONE_SCHEMA
 from .files import path_exists
 
 
@@ -33,15 +35,30 @@ def read_catalog(spark: SparkSession, root: str) -> DataFrame:
     if not path_exists(spark, _data(root)):
         return spark.createDataFrame([], STORE_SCHEMA)
     # explicit schema: files written before the usage columns existed read them as NULL
-    rows = conform(spark.read.schema(STORE_SCHEMA).parquet(_data(root)))
+    rows = conform(spark.read.schema(STORE_SCHEMA).parquet(_data(root))).select(*STORE_COLUMNS)
     if path_exists(spark, _tomb(root)):
         rows = apply_tombstones(rows, spark.read.schema(TOMBSTONE_SCHEMA).parquet(_tomb(root)))
     return rows
 
 
-def append(root: str, rows: DataFrame) -> None:
-    """O5 sink: append catalog rows (one job commit per batch)."""
-    conform(rows).write.mode("append").parquet(_data(root))
+def run_dir(root: str, run_id: str, kind: str = "data") -> str:
+    return f"{root.rstrip('/')}/{kind}/run={run_id}"
+
+
+def append(root: str, rows: DataFrame, run_id: str | None = None,
+           failures: DataFrame | None = None) -> str:
+    """O5 sink: write one run's rows (and failures) as a new ``run=`` folder; returns the run id.
+
+    Re-writing the same ``run_id`` replaces that run only, so a replayed
+    stream batch is idempotent.  The job commit makes each run all-or-nothing.
+    """
+    import uuid
+
+    run_id = run_id or uuid.uuid4().hex
+    conform(rows).select(*STORE_COLUMNS).write.mode("overwrite").parquet(run_dir(root, run_id))
+    if failures is not None:
+        failures.write.mode("overwrite").parquet(run_dir(root, run_id, "failures"))
+    return run_id
 
 
 def delete(spark: SparkSession, root: str, ids: DataFrame, id_col: str = "id") -> DataFrame:
@@ -62,4 +79,5 @@ def compact(spark: SparkSession, root: str, new_root: str) -> None:
     """Write the live rows of ``root`` to ``new_root`` (never in place), clustered by hash."""
     if new_root.rstrip("/") == root.rstrip("/"):
         raise ValueError("compact must write to a new root")
-    read_catalog(spark, root).orderBy("pdf_hash", "id").write.mode("errorifexists").parquet(_data(new_root))
+    (read_catalog(spark, root).orderBy("pdf_hash", "id")
+     .write.mode("errorifexists").parquet(run_dir(new_root, "compacted")))
