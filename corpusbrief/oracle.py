@@ -321,3 +321,22 @@ FROM (SELECT doc_id, length, i, substr(text, i * 800 + 1, 800) AS chunk
       FROM (SELECT doc_id, length, text, unnest(range(0, (length(text) + 799) // 800)) AS i
             FROM d WHERE length(text) > 800))
 GROUP BY doc_id"""
+
+
+# full recursion of O25 with the prefix summariser (budget 200 tokens x 4 chars, at most 8 levels)
+SQL["summarize_chunked"] = f"""
+WITH RECURSIVE st(doc_id, length, text, level, calls) AS (
+  SELECT doc_id, {LEN_BY_DOC}, text, 0, 0 FROM documents
+  UNION ALL
+  SELECT doc_id, length, string_agg({_prefix('chunk', 'length')}, chr(10) || chr(10) ORDER BY i),
+    max(level) + 1, max(calls) + count(*)
+  FROM (SELECT doc_id, length, level, calls, i, substr(text, i * 800 + 1, 800) AS chunk
+        FROM (SELECT doc_id, length, level, calls, text, unnest(range(0, (length(text) + 799) // 800)) AS i
+              FROM st WHERE length(text) > 800 AND level < 8))
+  GROUP BY doc_id, length)
+SELECT doc_id, {_prefix('text', 'length')} AS summary, (100 * (calls + 1))::BIGINT AS tokens_in,
+  (50 * (calls + 1))::BIGINT AS tokens_out, (calls + 1)::BIGINT AS latency_ms, level::BIGINT AS levels,
+  NULL::VARCHAR AS stage
+FROM st WHERE length(text) <= 800
+UNION ALL
+SELECT doc_id, NULL, NULL, NULL, NULL, level::BIGINT, 'summarize' FROM st WHERE level = 8 AND length(text) > 800"""
