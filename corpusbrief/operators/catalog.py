@@ -136,27 +136,29 @@ def validate_requests(requests: DataFrame, id_col: str = "id_text", length_col:
 def lookup(catalog: DataFrame, requests: DataFrame, id_col: str = "id_text") -> DataFrame:
     """Dispatch by id kind → status ok / not_found / ambiguous / invalid, plus the row.
 
-    Full ids join on the id; 8-hex ids join on the 8-char prefix, which is
-    pre-aggregated on the catalog side (count, min id) before the join.
+    8-hex ids are resolved against the catalog's 8-char prefixes, pre-aggregated
+    (count, min id) before the join; full ids are their own candidate.  One
+    more join fetches the row of the candidate, and for full ids its presence
+    decides ok / not_found.
     """
     req = requests.withColumn("id_kind", S.id_kind(id_col))
-    full = catalog.select(F.col("id").alias("_full"))
     short = (catalog.groupBy(S.short_id("id").alias("_p8"))
              .agg(F.count(F.lit(1)).alias("_n8"), F.min("id").alias("_id8")))
-    j = (req.join(full, (F.col("id_kind") == "full") & (req[id_col] == full["_full"]), "left")
-         .join(short, (F.col("id_kind") == "short") & (req[id_col] == short["_p8"]), "left"))
+    j = req.join(short, (F.col("id_kind") == "short") & (req[id_col] == short["_p8"]), "left")
+    cand = (F.when(F.col("id_kind") == "full", F.col(id_col))
+            .when((F.col("id_kind") == "short") & (F.col("_n8") == 1), F.col("_id8")))
+    j = j.withColumn("_cand", cand)
+    rows = normalise(catalog).withColumnRenamed("id", "_rid")
+    out = j.join(rows, j["_cand"] == rows["_rid"], "left")
     status = (F.when(F.col("id_kind") == "invalid", "invalid")
               .when(F.col("id_kind") == "full",
-                    F.when(F.col("_full").isNotNull(), "ok").otherwise("not_found"))
+                    F.when(F.col("_rid").isNotNull(), "ok").otherwise("not_found"))
               .when(F.col("_n8").isNull(), "not_found")
               .when(F.col("_n8") > 1, "ambiguous")
               .otherwise("ok"))
-    resolved = (F.when(F.col("id_kind") == "full", F.col("_full"))
-                .when((F.col("id_kind") == "short") & (F.col("_n8") == 1), F.col("_id8")))
-    j = j.withColumn("status", status).withColumn("resolved_id", resolved) \
-         .drop("_full", "_p8", "_n8", "_id8")
-    rows = normalise(catalog).withColumnRenamed("id", "_rid")
-    return j.join(rows, j["resolved_id"] == rows["_rid"], "left").drop("_rid")
+    return (out.withColumn("status", status)
+            .withColumn("resolved_id", F.col("_rid"))
+            .drop("_p8", "_n8", "_id8", "_cand", "_rid"))
 
 
 def delete_ids(catalog: DataFrame, ids: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
