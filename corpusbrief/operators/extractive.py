@@ -71,15 +71,23 @@ def sentence_scores(docs: DataFrame, length: str | None = "short", id_col: str =
                      bullet.alias("_bullet"), carry_col.alias("_carry"))
          .repartition(n, id_col))
     keys = [id_col, "_length", "_budget", "_ov", "_bullet"]
+    # Empty pieces are dropped by row filters after the explode (code-generated),
+    # not by a lambda ``filter`` on the array (interpreted).  Position 0 is always
+    # kept (as NULL when empty) so a document without sentences keeps one row;
+    # gaps in ``pos`` do not change the order.
+    raw = F.split(F.regexp_replace(F.col(text_col), SENTENCE_END, "$1\n"), "\n+")
     first = F.coalesce(F.col("pos"), F.lit(0)) == 0
-    sents = (d.select(*keys, "_carry", F.posexplode_outer(sentences(F.col(text_col))).alias("pos", "raw"))
+    sents = (d.select(*keys, "_carry", F.posexplode_outer(raw).alias("pos", "raw"))
+             .where((F.col("raw") != "") | first)
              .select(*keys, F.col("pos").cast("bigint").alias("pos"),
-                     F.substring(F.col("raw"), F.lit(1), F.col("_budget") - F.col("_ov") + 1).alias("sent"),
+                     F.nullif(F.substring(F.col("raw"), F.lit(1), F.col("_budget") - F.col("_ov") + 1),
+                              F.lit("")).alias("sent"),
                      F.when(first, F.col("_carry")).alias("_carry")))
     first_word = F.coalesce(F.col("wpos"), F.lit(0)) == 0
     w = (sents.select(*keys, "pos", "sent", "_carry",
-                      F.posexplode_outer(words(F.col("sent"))).alias("wpos", "word"))
-         .select(*keys, "pos", "word",
+                      F.posexplode_outer(F.split(F.lower(F.col("sent")), WORD_SPLIT)).alias("wpos", "word"))
+         .where((F.col("word") != "") | first_word)
+         .select(*keys, "pos", F.nullif(F.col("word"), F.lit("")).alias("word"),
                  F.when(first_word, F.col("sent")).alias("sent_text"),
                  F.when(first_word, F.col("_carry")).alias("_carry")))
     tf = w.withColumn("tf", F.count("word").over(Window.partitionBy(id_col, "word")))

@@ -16,13 +16,15 @@ from . import fixtures as X
 from .operators import catalog as C
 from .operators import views as V
 from .plans.strategies import with_position
-from .session import ensure_checkpoint_dir
+from .session import JOIN_CONF, ensure_checkpoint_dir
 
 TS_TEXT = "yyyy-MM-dd HH:mm:ss"
 
 
 def _prep(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    for k, v in JOIN_CONF.items():
+        spark.conf.set(k, v)
     ensure_checkpoint_dir(spark)
 
 

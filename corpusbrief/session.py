@@ -13,7 +13,10 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # runtime broadcast only for join sides measured below this size
+    # no broadcast from plan-time size estimates (they can be far off for
+    # exploded or filtered inputs); AQE broadcasts a join side only after its
+    # shuffle stage has run and measured below this size
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
@@ -44,6 +47,12 @@ def get_session(master: str | None = None, app_name: str = "corpusbrief",
     return spark
 
 
+JOIN_CONF = {k: DEFAULT_CONF[k] for k in ("spark.sql.autoBroadcastJoinThreshold",
+                                          "spark.sql.adaptive.autoBroadcastJoinThreshold",
+                                          "spark.sql.adaptive.enabled",
+                                          "spark.sql.adaptive.skewJoin.enabled")}
+
+
 def _is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
