@@ -76,6 +76,27 @@ def get_many(catalog: DataFrame, ids: DataFrame, id_col: str = "id_text") -> Dat
             .drop("_cid"))
 
 
+def get_one(catalog: DataFrame, summary_id: str) -> DataFrame:
+    """O11, single id: 0 or 1 rows; the equality filter is pushed into the Parquet scan."""
+    return normalise(catalog.where(F.col("id") == F.lit(summary_id)))
+
+
+def get_by_prefix(catalog: DataFrame, prefix: str) -> DataFrame:
+    """O12, single prefix: one row with ``match_count``, ``status`` and the row when exactly one.
+
+    ``startswith`` is pushed into the scan; the count is a global aggregate
+    with partial aggregation, so a prefix matching most of the catalog stays
+    distributed.
+    """
+    m = normalise(catalog.where(F.col("id").startswith(prefix)))
+    agg = m.agg(F.count(F.lit(1)).alias("match_count"),
+                F.min_by(F.struct(*m.columns), F.col("id")).alias("_r"))
+    n = F.col("match_count")
+    return agg.select(F.lit(prefix).alias("prefix"), n.cast("bigint").alias("match_count"),
+                      F.when(n == 0, "none").when(n == 1, "one").otherwise("many").alias("status"),
+                      *[F.when(n == 1, F.col("_r")[c]).alias(c) for c in m.columns])
+
+
 def _prefix_lengths(prefixes: DataFrame, col: str) -> list[int]:
     # at most 37 distinct values (0..36 characters): a proven bound
     rows = (prefixes.select(F.length(F.col(col)).alias("n")).where("n <= 36")

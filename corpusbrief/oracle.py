@@ -340,3 +340,12 @@ SELECT doc_id, {_prefix('text', 'length')} AS summary, (100 * (calls + 1))::BIGI
 FROM st WHERE length(text) <= 800
 UNION ALL
 SELECT doc_id, NULL, NULL, NULL, NULL, level::BIGINT, 'summarize' FROM st WHERE level = 8 AND length(text) > 800"""
+
+SQL["latest_for_paths"] = W(["files", "catalog"], f"""
+SELECT p.req_path, l.id IS NOT NULL AS found, l.id, l.summary_length,
+  strftime(l.created_at, '%Y-%m-%d %H:%M:%S') AS created_at
+FROM (SELECT DISTINCT path AS req_path FROM files WHERE doc_id % 4 = 0
+      UNION SELECT path || '.missing' FROM files WHERE doc_id % 9 = 0) p
+LEFT JOIN (SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY pdf_path ORDER BY created_at DESC, id DESC) AS rn FROM norm)
+  WHERE rn = 1) l ON p.req_path = l.pdf_path""", [NORM])

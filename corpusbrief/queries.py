@@ -171,6 +171,17 @@ def q_latest_per_path(spark, sf):
     return s.select("pdf_path", "id", "summary_length", "page_count", _ts())
 
 
+def q_latest_for_paths(spark, sf):
+    docs = _docs(spark, sf)
+    f = X.files(docs)
+    paths = (f.where(F.col("doc_id") % 4 == 0).select(F.col("path").alias("req_path"))
+             .unionByName(f.where(F.col("doc_id") % 9 == 0)
+                          .select(F.concat(F.col("path"), F.lit(".missing")).alias("req_path")))
+             .distinct())
+    s = C.latest_per_path(_catalog(docs), paths, "req_path")
+    return s.select("req_path", "found", "id", "summary_length", _ts())
+
+
 # ------------------------------------------------------------------ extractive summariser (flagship)
 
 def _extractive(length):
@@ -351,6 +362,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "resolve_and_delete": q_resolve_and_delete,
     "delete_requests": q_delete_requests,
     "latest_per_path": q_latest_per_path,
+    "latest_for_paths": q_latest_for_paths,
     "extractive_short": _extractive("short"),
     "extractive_standard": _extractive("standard"),
     "extractive_detailed": _extractive("detailed"),

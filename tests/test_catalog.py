@@ -179,3 +179,19 @@ def test_with_position_is_global_rank(spark):
     df = spark.range(0, 1000, numPartitions=7).withColumn("k", (F.col("id") * 7919) % 1000)
     got = with_position(df, [F.col("k").desc()]).select("k", "position").collect()
     assert sorted((r.position, r.k) for r in got) == [(i + 1, 999 - i) for i in range(1000)]
+
+
+def test_single_value_forms_push_down(spark, scratch, cat):
+    import os
+    root = os.path.join(scratch, "cat")
+    cat.write.parquet(root)
+    df = spark.read.parquet(root)
+    one = C.get_one(df, FULL)
+    assert [r.id for r in one.collect()] == [FULL]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(id), EqualTo(id," in plan
+    got = {r.prefix: (r.match_count, r.status, r.id) for p in ["0123abcd", "ffff", "zz", ""]
+           for r in C.get_by_prefix(df, p).collect()}
+    assert got == {"0123abcd": (2, "many", None), "ffff": (1, "one", "ffff0000-1111-4222-a333-444455556666"),
+                   "zz": (0, "none", None), "": (4, "many", None)}
+    assert "StringStartsWith(id,ffff)" in C.get_by_prefix(df, "ffff")._jdf.queryExecution().executedPlan().toString()
