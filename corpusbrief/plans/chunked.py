@@ -107,4 +107,5 @@ def summarize_chunked(docs: DataFrame, factory: Callable, budget_tokens: int | s
         return fail.select("*", *[F.lit(None).cast(t).alias(c) for c, t in
                                   (("summary", "string"), ("tokens_in", "bigint"), ("tokens_out", "bigint"),
                                    ("latency_ms", "bigint"), ("model", "string"))])
-    return out.unionByName(fail, allowMissingColumns=True).withColumnRenamed("level", "levels")
+    return (out.unionByName(fail, allowMissingColumns=True)
+            .withColumn("level", F.col("level").cast("bigint")).withColumnRenamed("level", "levels"))
