@@ -110,7 +110,8 @@ def extract(files: DataFrame, extractor: Callable[[bytes, str], tuple[str, int |
 
 def summarize(docs: DataFrame, factory: Callable[[], Callable[..., Digest]],
               text_col: str = "text", length_col: str | None = "length",
-              default_length: str = DEFAULT_LENGTH, key: str | None = None) -> DataFrame:
+              default_length: str = DEFAULT_LENGTH, key: str | list | None = None,
+              force_spread: bool = False) -> DataFrame:
     """One summariser call per row → digest columns; failures ``stage='summarize'``.
 
     ``factory()`` builds the summariser once per partition (clients need not
@@ -119,7 +120,7 @@ def summarize(docs: DataFrame, factory: Callable[[], Callable[..., Digest]],
     """
     docs = _with_error_cols(docs)
     if key:
-        docs = spread(docs, key)
+        docs = spread(docs, key, force=force_spread)
     digest_fields = [T.StructField("summary", T.StringType()), T.StructField("tokens_in", T.LongType()),
                      T.StructField("tokens_out", T.LongType()), T.StructField("latency_ms", T.LongType()),
                      T.StructField("model", T.StringType())]

@@ -50,7 +50,9 @@ def summarize_level(state: DataFrame, factory: Callable, chars_per_token: int =
     big = state.where(~fits)
     chunks = split_chunks(big, F.col("budget_tokens") * F.lit(chars_per_token), "text").drop("text")
     chunks = chunks.withColumnRenamed("chunk", "text")
-    digests = summarize(chunks, factory, text_col="text", length_col="length", key=id_col)
+    # chunk rows are spread by (document, chunk): one long document's calls run in many tasks
+    digests = summarize(chunks, factory, text_col="text", length_col="length", key=[id_col, "chunk_no"],
+                        force_spread=True)
     combined = combine_chunks(digests, id_col)
     carry = big.select(id_col, *key_cols, "length", "budget_tokens", "level",
                        F.length("text").alias("prev_chars"), *[("acc_" + c) for c in USAGE])

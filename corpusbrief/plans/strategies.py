@@ -61,13 +61,21 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def spread(df: DataFrame, key: str | Column, min_partitions: int | None = None) -> DataFrame:
-    """Hash-partition by ``key`` when the input has fewer partitions than the cluster has cores.
-
-    Needed before Python stages: a single-row-group Parquet file is one task.
+def spread(df: DataFrame, key: str | Column | list, min_partitions: int | None = None,
+           force: bool = False) -> DataFrame:
+    """Hash-partition by ``key`` (one or more columns) before a Python stage.
+
+    Without ``force`` only when the input has fewer partitions than the cluster
+    has cores (a single-row-group Parquet file is one task).  With ``force``
+    always, e.g. for chunk rows: spreading them by (document, chunk) keeps the
+    paid calls for one long document from queueing in one task.
     """
+    keys = key if isinstance(key, list) else [key]
     sc = df.sparkSession.sparkContext
-    want = min_partitions or sc.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want, key)
+    want = min_partitions or max(sc.defaultParallelism,
+                                 int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if force:
+        return df.repartition(want, *keys)
+    if df.rdd.getNumPartitions() < sc.defaultParallelism:
+        return df.repartition(want, *keys)
     return df
