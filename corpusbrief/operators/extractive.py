@@ -6,11 +6,20 @@ highest-scoring sentences that fit the length's character budget and emit
 them in document order.
 
 Plan shape: the documents are scanned once and hash-partitioned by id once.
-Every later step (sentence and word explode, word counts per document, score
-per sentence, ranking and the final collect) groups by keys that start with
-the document id, so Spark reuses that partitioning: no further exchange, no
-join, nothing broadcast.  A document is one row, so the largest unit of work
-is one document's sentences.
+For ordinary documents every later step (sentence and word explode, word
+counts per document, score per sentence, ranking and the final collect)
+groups by keys that start with the document id, so Spark reuses that
+partitioning: no further exchange, no join, nothing broadcast.
+
+A single very long document would then be one long task.  When the input has
+a size column, documents longer than ``big_doc_chars`` take a second path: word counts
+with partial aggregation, a join back to the words (AQE splits a hot
+(document, word) key), per-sentence scores shuffled by (document, sentence),
+and a per-document top-K by rank (Spark plans it as a partial limit before the
+shuffle) ahead of the running-sum cut, so no step holds all of one document's
+words or sentences in one task.  K is the most sentences a budget can hold
+(each costs at least 1 + overhead characters), plus one for the empty
+first-position placeholder.
 """
 from __future__ import annotations
 
@@ -53,29 +62,32 @@ def words(sentence: Column) -> Column:
     return F.filter(F.split(F.lower(sentence), WORD_SPLIT), lambda w: w != F.lit(""))
 
 
-def sentence_scores(docs: DataFrame, length: str | None = "short", id_col: str = "doc_id",
-                    text_col: str = "text", partitions: int | None = None,
-                    length_col: str | None = None, carry: list[str] | None = None) -> DataFrame:
-    """(id, length, budget, ov, bullet, pos, sent, score, _carry) per sentence.
-
-    ``sent`` is cut so that it alone fits the budget.  One scan, one exchange,
-    no join: each word row carries the sentence text only when it is the
-    sentence's first word (or the sentence has none), so the per-sentence
-    aggregate gets the text back without re-reading it.  The ``carry``
-    columns of the document ride along the same way, on its first sentence.
-    """
+def _prepared(docs: DataFrame, length: str | None, length_col: str | None, id_col: str, text_col: str,
+              carry: list[str] | None, partitions: int | None) -> DataFrame:
     ln, budget, ov, bullet = _params(length, length_col)
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     carry_col = F.struct(*carry) if carry else F.lit(None).cast("struct<_:int>")
-    d = (docs.select(id_col, text_col, ln.alias("_length"), budget.alias("_budget"), ov.alias("_ov"),
-                     bullet.alias("_bullet"), carry_col.alias("_carry"))
-         .repartition(n, id_col))
-    keys = [id_col, "_length", "_budget", "_ov", "_bullet"]
-    # Empty pieces are dropped by row filters after the explode (code-generated),
-    # not by a lambda ``filter`` on the array (interpreted).  Position 0 is always
-    # kept (as NULL when empty) so a document without sentences keeps one row;
-    # gaps in ``pos`` do not change the order.
-    raw = F.split(F.regexp_replace(F.col(text_col), SENTENCE_END, "$1\n"), "\n+")
+    return (docs.select(id_col, F.col(text_col).alias("_text"), ln.alias("_length"), budget.alias("_budget"),
+                        ov.alias("_ov"), bullet.alias("_bullet"), carry_col.alias("_carry"))
+            .repartition(n, id_col))
+
+
+def _keys(id_col: str) -> list[str]:
+    return [id_col, "_length", "_budget", "_ov", "_bullet"]
+
+
+def _word_rows(d: DataFrame, id_col: str) -> DataFrame:
+    """(keys, pos, word, sent_text, _carry): one row per word, plus one per empty sentence.
+
+    Empty pieces are dropped by row filters after the explode (code-generated),
+    not by a lambda ``filter`` on the array (interpreted).  Position 0 is always
+    kept (as NULL when empty) so a document without sentences keeps one row;
+    gaps in ``pos`` do not change the order.  The sentence text rides only on
+    the sentence's first word row and the document's ``_carry`` only on its
+    first sentence, so neither is copied per word.
+    """
+    keys = _keys(id_col)
+    raw = F.split(F.regexp_replace(F.col("_text"), SENTENCE_END, "$1\n"), "\n+")
     first = F.coalesce(F.col("pos"), F.lit(0)) == 0
     sents = (d.select(*keys, "_carry", F.posexplode_outer(raw).alias("pos", "raw"))
              .where((F.col("raw") != "") | first)
@@ -84,13 +96,17 @@ def sentence_scores(docs: DataFrame, length: str | None = "short", id_col: str =
                               F.lit("")).alias("sent"),
                      F.when(first, F.col("_carry")).alias("_carry")))
     first_word = F.coalesce(F.col("wpos"), F.lit(0)) == 0
-    w = (sents.select(*keys, "pos", "sent", "_carry",
-                      F.posexplode_outer(F.split(F.lower(F.col("sent")), WORD_SPLIT)).alias("wpos", "word"))
-         .where((F.col("word") != "") | first_word)
-         .select(*keys, "pos", F.nullif(F.col("word"), F.lit("")).alias("word"),
-                 F.when(first_word, F.col("sent")).alias("sent_text"),
-                 F.when(first_word, F.col("_carry")).alias("_carry")))
-    tf = w.withColumn("tf", F.count("word").over(Window.partitionBy(id_col, "word")))
+    return (sents.select(*keys, "pos", "sent", "_carry",
+                         F.posexplode_outer(F.split(F.lower(F.col("sent")), WORD_SPLIT)).alias("wpos", "word"))
+            .where((F.col("word") != "") | first_word)
+            .select(*keys, "pos", F.nullif(F.col("word"), F.lit("")).alias("word"),
+                    F.when(first_word, F.col("sent")).alias("sent_text"),
+                    F.when(first_word, F.col("_carry")).alias("_carry")))
+
+
+def _per_sentence(tf: DataFrame, id_col: str) -> DataFrame:
+    """(keys, pos, sent, score, _carry) from word rows carrying ``tf``."""
+    keys = _keys(id_col)
     per_sent = (tf.groupBy(*keys, "pos")
                 .agg(F.sum("tf").alias("_sum"), F.count("word").alias("_nw"),
                      F.collect_list("sent_text").alias("_text"), F.collect_list("_carry").alias("_c")))
@@ -100,9 +116,79 @@ def sentence_scores(docs: DataFrame, length: str | None = "short", id_col: str =
         F.try_element_at("_c", F.lit(1)).alias("_carry"))
 
 
+def _scores_local(d: DataFrame, id_col: str) -> DataFrame:
+    """Word counts by a window over (document, word): sorts inside the document's partition."""
+    w = _word_rows(d, id_col)
+    return _per_sentence(w.withColumn("tf", F.count("word").over(Window.partitionBy(id_col, "word"))), id_col)
+
+
+def _scores_spread(d: DataFrame, id_col: str) -> DataFrame:
+    """Word counts by a partially aggregated count joined back to the words (shuffled by word)."""
+    w = _word_rows(d, id_col)
+    counts = w.where(F.col("word").isNotNull()).groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("tf"))
+    return _per_sentence(w.join(counts, [id_col, "word"], "left"), id_col)
+
+
+def sentence_scores(docs: DataFrame, length: str | None = "short", id_col: str = "doc_id",
+                    text_col: str = "text", partitions: int | None = None,
+                    length_col: str | None = None, carry: list[str] | None = None) -> DataFrame:
+    """(id, length, budget, ov, bullet, pos, sent, score, _carry) per sentence (local path).
+
+    ``sent`` is cut so that it alone fits the budget.
+    """
+    return _scores_local(_prepared(docs, length, length_col, id_col, text_col, carry, partitions), id_col)
+
+
+def _cost() -> Column:
+    return F.coalesce(F.length("sent") + F.col("_ov"), F.lit(0))
+
+
+def _collect(kept: DataFrame, id_col: str) -> DataFrame:
+    take = F.col("_in") & F.col("sent").isNotNull()
+    line = F.concat(F.col("_bullet"), F.col("sent"))
+    item = F.when(take, F.struct(F.col("pos"), line.alias("line")))
+    summary = F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["line"]), "\n")
+    return (kept.groupBy(id_col, "_length")
+            .agg(summary.alias("summary"), F.count(F.when(take, F.lit(1))).alias("n_sentences"),
+                 F.collect_list("_carry").alias("_c"))
+            .select(id_col, F.col("_length").alias("length"), "summary",
+                    F.col("n_sentences").cast("bigint").alias("n_sentences"),
+                    F.length("summary").cast("bigint").alias("summary_chars"),
+                    F.try_element_at("_c", F.lit(1)).alias("_carry")))
+
+
+def _rank_local(s: DataFrame, id_col: str) -> DataFrame:
+    rank = Window.partitionBy(id_col).orderBy(F.col("score").desc(), F.col("pos")) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = s.withColumn("_in", F.sum(_cost()).over(rank) <= F.col("_budget") + 1)
+    return _collect(ranked.where(F.col("_in") | F.col("_carry").isNotNull()), id_col)
+
+
+def _rank_topk(s: DataFrame, id_col: str, k: int) -> DataFrame:
+    order = [F.col("score").desc(), F.col("pos")]
+    top = (s.withColumn("_rn", F.row_number().over(Window.partitionBy(id_col).orderBy(*order)))
+           .where(F.col("_rn") <= k))
+    run = Window.partitionBy(id_col).orderBy("_rn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = top.withColumn("_in", F.sum(_cost()).over(run) <= F.col("_budget") + 1)
+    return _collect(ranked.where(F.col("_in")), id_col)
+
+
+def _max_kept(length: str | None, length_col: str | None) -> int:
+    lengths = [length] if length_col is None else list(BUDGETS)
+    return max((BUDGETS[ln] + 1) // (_overhead(ln) + 1) for ln in lengths) + 1
+
+
+def _overhead(length: str) -> int:
+    return len(BULLET) + 1 if length == "short" else 1
+
+
+BIG_DOC_CHARS = 1_000_000
+
+
 def extractive_summary(docs: DataFrame, length: str | None = "short", id_col: str = "doc_id",
                        text_col: str = "text", partitions: int | None = None,
-                       length_col: str | None = None, carry: list[str] | None = None) -> DataFrame:
+                       length_col: str | None = None, carry: list[str] | None = None,
+                       size_col: str | None = None, big_doc_chars: int = BIG_DOC_CHARS) -> DataFrame:
     """One row per document: (id, length, summary, n_sentences, summary_chars, *carry).
 
     ``length`` applies to every document, or ``length_col`` names a per-row
@@ -111,25 +197,34 @@ def extractive_summary(docs: DataFrame, length: str | None = "short", id_col: st
     cost (characters plus bullet and newline) stays within budget + 1, so the
     text is at most ``budget`` characters; the top sentence always fits.
     Documents without sentences get an empty summary.  ``carry`` names
-    document columns to return alongside (no second scan, no join).
+    document columns to return alongside (no second scan).
+
+    ``size_col`` names a size column that needs no text to read (a character
+    count, or the byte length of a file).  Rows above ``big_doc_chars`` take
+    the spread path.  Each path scans with its own filter on that column: the
+    long-document scan skips every Parquet row group (or file) without a long
+    document through min/max statistics, so the text is read about once.
+    Whether any document is that long is checked first by a job that reads
+    only the size column (pushed-down filter, ``limit 1``); without one, or
+    without ``size_col``, every document takes the single-exchange path.
     """
-    s = sentence_scores(docs, length, id_col, text_col, partitions, length_col, carry)
-    rank = Window.partitionBy(id_col).orderBy(F.col("score").desc(), F.col("pos")) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cost = F.coalesce(F.length("sent") + F.col("_ov"), F.lit(0))
-    ranked = s.withColumn("_in", F.sum(cost).over(rank) <= F.col("_budget") + 1)
-    kept = ranked.where(F.col("_in") | F.col("_carry").isNotNull())
-    take = F.col("_in") & F.col("sent").isNotNull()
-    line = F.concat(F.col("_bullet"), F.col("sent"))
-    item = F.when(take, F.struct(F.col("pos"), line.alias("line")))
-    summary = F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["line"]), "\n")
-    out = (kept.groupBy(id_col, "_length")
-           .agg(summary.alias("summary"), F.count(F.when(take, F.lit(1))).alias("n_sentences"),
-                F.collect_list("_carry").alias("_c"))
-           .select(id_col, F.col("_length").alias("length"), "summary",
-                   F.col("n_sentences").cast("bigint").alias("n_sentences"),
-                   F.length("summary").cast("bigint").alias("summary_chars"),
-                   F.try_element_at("_c", F.lit(1)).alias("_carry")))
+    if size_col is not None:
+        big_rows = docs.where(F.col(size_col) > F.lit(big_doc_chars)).select(size_col).limit(1)
+        if big_rows.count() == 0:
+            size_col = None
+    if size_col is None:
+        out = _rank_local(_scores_local(_prepared(docs, length, length_col, id_col, text_col, carry,
+                                                  partitions), id_col), id_col)
+    else:
+        big = F.col(size_col) > F.lit(big_doc_chars)
+        small = _rank_local(_scores_local(_prepared(docs.where(~big | F.col(size_col).isNull()), length,
+                                                    length_col, id_col, text_col, carry, partitions),
+                                          id_col), id_col)
+        d_big = _prepared(docs.where(big), length, length_col, id_col, text_col, carry, partitions)
+        no_carry = d_big.withColumn("_carry", F.lit(None).cast(d_big.schema["_carry"].dataType))
+        spread = _rank_topk(_scores_spread(no_carry, id_col), id_col, _max_kept(length, length_col))
+        spread = spread.drop("_carry").join(d_big.select(id_col, "_carry"), id_col, "left")
+        out = small.unionByName(spread)
     if carry:
         return out.select("*", *[F.col("_carry")[c].alias(c) for c in carry]).drop("_carry")
     return out.drop("_carry")

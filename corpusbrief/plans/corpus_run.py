@@ -48,6 +48,9 @@ def run_corpus(files: DataFrame, length: str | None = None, length_col: str | No
         f = ST.limit_items(f, limit, ["pdf_path", id_col])
     if catalog is not None:
         f = ST.skip_seen(f, catalog, ["pdf_path", id_col])
+    # the file's byte length (metadata of the file source) routes long files in O28
+    f = f.withColumn("_bytes", F.col("length").cast("bigint") if "length" in files.columns
+                     else F.lit(None).cast("bigint"))
     ln = F.col(length_col) if length_col else F.lit(length or DEFAULT_LENGTH)
     f = f.withColumn("length", ln)
     docs = ST.extract(f, extractor, key=id_col)
@@ -58,7 +61,8 @@ def run_corpus(files: DataFrame, length: str | None = None, length_col: str | No
     if summarizer == "extractive":
         ok, bad = ST.split_failures(docs)
         known = ok.where(F.col("length").isin("short", "standard", "detailed"))
-        dig = extractive_summary(known, None, id_col=id_col, length_col="length",
+        # route long files by their byte length (file metadata: no content read for the test)
+        dig = extractive_summary(known, None, id_col=id_col, length_col="length", size_col="_bytes",
                                  carry=["pdf_path", "pdf_hash", "page_count"])
         dig = dig.select(*keep, "summary",
                          F.ceil(F.length(F.col("summary")) / chars_per_token).cast("bigint").alias("tokens_out"),

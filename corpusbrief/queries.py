@@ -187,7 +187,7 @@ def q_latest_for_paths(spark, sf):
 def _extractive(length):
     def q(spark, sf):
         from .operators.extractive import extractive_summary
-        return extractive_summary(_docs(spark, sf), length)
+        return extractive_summary(_docs(spark, sf), length, size_col="n_chars")
     q.__name__ = f"q_extractive_{length}"
     return q
 

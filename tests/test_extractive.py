@@ -76,3 +76,32 @@ def test_plan_has_one_exchange_and_no_join(spark):
     plan = extractive_summary(docs, "short")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
     assert "Join" not in plan
+
+
+@pytest.mark.parametrize("length", ["short", "standard", "detailed"])
+def test_spread_path_for_long_documents_matches(spark, length):
+    # a tiny threshold sends most documents down the spread path
+    df = spark.createDataFrame(EDGE, "doc_id long, text string").selectExpr("*", "length(text) as n")
+    got = {r.doc_id: (r.summary, r.n_sentences) for r in
+           extractive_summary(df, length, size_col="n", big_doc_chars=20, partitions=3).collect()}
+    assert set(got) == {i for i, _ in EDGE}
+    for i, t in EDGE:
+        want, n = brute(t, length)
+        assert got[i] == (want, n), (i, length)
+
+
+def test_spread_path_on_documents_with_carry(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    a = {r.doc_id: (r.summary, r.source) for r in
+         extractive_summary(docs, "standard", carry=["source"], size_col="n_chars", big_doc_chars=2000).collect()}
+    b = {r.doc_id: (r.summary, r.source) for r in
+         extractive_summary(docs, "standard", carry=["source"]).collect()}
+    assert a == b and len(a) == 200
+
+
+def test_spread_path_limits_per_document_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    q = extractive_summary(docs, "short", size_col="n_chars", big_doc_chars=1000)._jdf.queryExecution()
+    assert "WindowGroupLimit" in q.optimizedPlan().toString()
+    # the long-document scan filters on the size column inside the Parquet reader
+    assert "PushedFilters: [IsNotNull(n_chars), GreaterThan(n_chars,1000)]" in q.executedPlan().toString()
