@@ -361,7 +361,7 @@ CATEGORY_RULES = [
     (("SummarizationError",), "summarize", 1),
     (("ExtractionError",), "extract", 1),
     (("SinkError",), "sink", 1),
-    (("PdfsumError",), "package", 1),
+    (("PackageError",), "package", 1),
 ]
 
 

@@ -274,7 +274,7 @@ _CLASS = """classified AS (
          WHEN error_class = 'SummarizationError' THEN 'summarize'
          WHEN error_class = 'ExtractionError' THEN 'extract'
          WHEN error_class = 'SinkError' THEN 'sink'
-         WHEN error_class = 'PdfsumError' THEN 'package'
+         WHEN error_class = 'PackageError' THEN 'package'
          WHEN stage = 'extract' THEN 'extract' WHEN stage = 'summarize' THEN 'summarize'
          WHEN stage = 'source' THEN 'source' ELSE 'other' END AS category,
     (CASE WHEN error_class IN ('ConfigError', 'ConfigurationError') THEN 2 ELSE 1 END)::BIGINT AS severity
