@@ -19,6 +19,17 @@ def path_exists(spark: SparkSession, p: str) -> bool:
     return bool(fs.exists(hp))
 
 
+def _qualified(spark: SparkSession, p: str) -> tuple[str, bool]:
+    """(fully qualified path without a ``file:`` scheme, is a directory)."""
+    hp, fs = _fs_path(spark, p)
+    q = str(fs.makeQualified(hp).toString())
+    if q.startswith("file:"):
+        q = q[len("file:"):]
+        while q.startswith("//"):
+            q = q[1:]
+    return q.rstrip("/") or "/", bool(fs.getFileStatus(hp).isDirectory())
+
+
 def ingest_files(spark: SparkSession, paths: str | list[str], glob: str | None = "*.pdf",
                  recursive: bool = False, max_bytes: int | None = None, report_empty: bool = True
                  ) -> tuple[DataFrame, DataFrame]:
@@ -42,15 +53,27 @@ def ingest_files(spark: SparkSession, paths: str | list[str], glob: str | None =
     failures = spark.createDataFrame(fail_rows, FAILURE_SCHEMA)
     if not existing:
         return spark.createDataFrame([], FILE_SCHEMA), failures
-    reader = spark.read.format("binaryFile")
+    # Spark lists folders recursively in any case and would infer partitions
+    # from ``k=v`` folder names; recursiveFileLookup turns the inference off.
+    # Non-recursive reads keep files whose parent is a requested folder.
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    if recursive:
-        reader = reader.option("recursiveFileLookup", "true")
     files = reader.load(existing)
+    keep = None
+    if not recursive and not has_glob:  # a glob already names the files it wants
+        plain = [_qualified(spark, p) for p in existing]
+        dirs = [q for q, is_dir in plain if is_dir]
+        singles = [q for q, is_dir in plain if not is_dir]
+
+        def keep(c):
+            return F.regexp_replace(c, "/[^/]*$", "").isin(*dirs) | c.isin(*singles)
+        files = files.where(keep(S.strip_scheme("path")))
     if report_empty:
         listed = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string") \
             .select(S.strip_scheme("path").alias("pdf_path"))
+        if keep is not None:
+            listed = listed.where(keep(F.col("pdf_path")))
         read = files.select(S.strip_scheme("path").alias("pdf_path"))
         empty = listed.join(read, "pdf_path", "left_anti").select(
             "pdf_path", F.lit("extract").alias("stage"), F.lit("ExtractionError").alias("error_class"),

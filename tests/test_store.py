@@ -17,6 +17,22 @@ def _write(d, name, data):
     return p
 
 
+def test_ingest_nested_folders(spark, scratch):
+    os.makedirs(os.path.join(scratch, "sub", "x=1"))
+    _write(scratch, "top.pdf", b"top")
+    _write(os.path.join(scratch, "sub"), "mid.pdf", b"mid")
+    _write(os.path.join(scratch, "sub", "x=1"), "deep.pdf", b"deep")
+    names = lambda df: sorted(os.path.basename(r.path) for r in df.collect())
+    flat, f1 = ingest_files(spark, scratch)
+    assert names(flat) == ["top.pdf"] and f1.count() == 0
+    deep, f2 = ingest_files(spark, scratch, recursive=True)
+    assert names(deep) == ["deep.pdf", "mid.pdf", "top.pdf"] and f2.count() == 0
+    one, _ = ingest_files(spark, os.path.join(scratch, "sub", "mid.pdf"))
+    assert names(one) == ["mid.pdf"]
+    globbed, _ = ingest_files(spark, os.path.join(scratch, "s*"), recursive=False)
+    assert "mid.pdf" in names(globbed)
+
+
 def test_ingest_files_and_identity(spark, scratch):
     _write(scratch, "a.pdf", b"hello")
     _write(scratch, "b.txt", b"not a pdf")
@@ -105,3 +121,46 @@ def test_stream_ingest_idempotent(spark, scratch):
     cat = store.read_catalog(spark, root)
     # restart from the checkpoint: a.pdf is not read again; c.pdf has a known hash and is skipped
     assert sorted(os.path.basename(r.pdf_path) for r in cat.collect()) == ["a.pdf", "b.pdf"]
+
+
+def test_build_rows_ids_time_and_pages(spark):
+    import datetime as dt
+    import re
+
+    from corpusbrief.sources.files import build_rows
+
+    dig = spark.createDataFrame(
+        [("/a.pdf", "h1", None, "s1", "short", "m", 10, 20, 500), ("/b.pdf", "h2", 3, "s2", "short", "m", None,
+                                                                     None, None)],
+        "pdf_path string, pdf_hash string, page_count long, summary string, length string, model string, "
+        "tokens_in long, tokens_out long, latency_ms long")
+    before = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None) - dt.timedelta(seconds=5)
+    rows = {r.pdf_path: r for r in build_rows(dig).collect()}
+    v4 = re.compile(r"^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")
+    assert all(v4.match(r.id) for r in rows.values()) and rows["/a.pdf"].id != rows["/b.pdf"].id
+    assert rows["/a.pdf"].page_count == 0 and rows["/b.pdf"].page_count == 3
+    assert rows["/a.pdf"].tokens_in == 10 and rows["/b.pdf"].tokens_in is None
+    assert before <= rows["/a.pdf"].created_at <= before + dt.timedelta(minutes=5)  # session is UTC
+
+
+def test_legacy_run_folder_reads_with_null_usage(spark, scratch):
+    from corpusbrief.schemas import STORE_COLUMNS
+
+    root = os.path.join(scratch, "store")
+    legacy = spark.createDataFrame(
+        [("0123abcd-1111-4222-a333-444455556666", "/old.pdf", "h", 2, "old", "standard", "m",
+          "2025-01-01T00:00:00")],
+        "id string, pdf_path string, pdf_hash string, page_count long, summary string, length string, "
+        "model string, created_at string")
+    # an old generation: 8 columns, timestamp stored as ISO text
+    legacy.selectExpr(*STORE_COLUMNS[:7], "cast(created_at as timestamp) as created_at") \
+        .write.parquet(store.run_dir(root, "legacy"))
+    _write(scratch, "n.pdf", b"New one. Two.")
+    # the store's run=... folders under the input folder are neither read nor a partition conflict
+    files, _ = ingest_files(spark, scratch)
+    rows, _ = run_corpus(files, length="short", summarizer=PrefixSummarizer, chunked=False)
+    store.append(root, rows)
+    cat = {r.pdf_path.rsplit("/", 1)[-1]: r for r in store.read_catalog(spark, root).collect()}
+    assert set(cat) == {"old.pdf", "n.pdf"}
+    assert cat["old.pdf"].tokens_in is None and cat["old.pdf"].latency_ms is None
+    assert cat["n.pdf"].tokens_in == 100
