@@ -51,17 +51,6 @@ def _params(length: str | None, length_col: str | None) -> tuple[Column, Column,
             F.when(short, BULLET).otherwise(""))
 
 
-def sentences(text: Column) -> Column:
-    """Sentences of a text: break after sentence marks followed by blanks, and at newlines."""
-    marked = F.regexp_replace(text, SENTENCE_END, "$1\n")
-    return F.filter(F.split(marked, "\n+"), lambda s: s != F.lit(""))
-
-
-def words(sentence: Column) -> Column:
-    """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(sentence), WORD_SPLIT), lambda w: w != F.lit(""))
-
-
 def _prepared(docs: DataFrame, length: str | None, length_col: str | None, id_col: str, text_col: str,
               carry: list[str] | None, partitions: int | None) -> DataFrame:
     ln, budget, ov, bullet = _params(length, length_col)
