@@ -122,10 +122,10 @@ def requests(docs: DataFrame) -> DataFrame:
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """B.6: the first 8 chars of every 5th id plus three edge prefixes."""
+    """B.6: the first 8 and the first 4 characters of every id, plus three edge prefixes."""
     spark = docs.sparkSession
     s = summaries_raw(docs.select("doc_id", "text", "lang", "source", "n_chars"))
-    data = s.where("doc_id % 5 = 0").selectExpr("substr(id, 1, 8) as prefix")
+    data = s.selectExpr("explode(array(substr(id, 1, 8), substr(id, 1, 4))) as prefix")
     edge = spark.createDataFrame([("zzzzzzzz",), ("a",), ("",)], "prefix string")
     return data.unionByName(edge)
 
@@ -190,7 +190,8 @@ DUCK_CTES = {
       WHEN 4 THEN 'detailed' WHEN 5 THEN '' WHEN 6 THEN NULL ELSE 'long' END AS length
   FROM summaries_raw)""",
     "prefixes": """prefixes AS (
-  SELECT substr(id,1,8) AS prefix FROM summaries_raw WHERE doc_id % 5 = 0
+  SELECT substr(id,1,8) AS prefix FROM summaries_raw
+  UNION ALL SELECT substr(id,1,4) FROM summaries_raw
   UNION ALL SELECT * FROM (VALUES ('zzzzzzzz'), ('a'), ('')) t(prefix))""",
 }
 # dependencies between the CTEs above

@@ -71,9 +71,11 @@ def _word_rows(d: DataFrame, id_col: str) -> DataFrame:
     Empty pieces are dropped by row filters after the explode (code-generated),
     not by a lambda ``filter`` on the array (interpreted).  Position 0 is always
     kept (as NULL when empty) so a document without sentences keeps one row;
-    gaps in ``pos`` do not change the order.  The sentence text rides only on
-    the sentence's first word row and the document's ``_carry`` only on its
-    first sentence, so neither is copied per word.
+    gaps in ``pos`` do not change the order.  Words come from the whole
+    sentence; only the text that may be emitted (``sent_text``) is cut to the
+    budget.  That text rides only on the sentence's first word row and the
+    document's ``_carry`` only on its first sentence, so neither is copied per
+    word.
     """
     keys = _keys(id_col)
     raw = F.split(F.regexp_replace(F.col("_text"), SENTENCE_END, "$1\n"), "\n+")
@@ -81,12 +83,13 @@ def _word_rows(d: DataFrame, id_col: str) -> DataFrame:
     sents = (d.select(*keys, "_carry", F.posexplode_outer(raw).alias("pos", "raw"))
              .where((F.col("raw") != "") | first)
              .select(*keys, F.col("pos").cast("bigint").alias("pos"),
+                     F.nullif(F.col("raw"), F.lit("")).alias("whole"),
                      F.nullif(F.substring(F.col("raw"), F.lit(1), F.col("_budget") - F.col("_ov") + 1),
                               F.lit("")).alias("sent"),
                      F.when(first, F.col("_carry")).alias("_carry")))
     first_word = F.coalesce(F.col("wpos"), F.lit(0)) == 0
     return (sents.select(*keys, "pos", "sent", "_carry",
-                         F.posexplode_outer(F.split(F.lower(F.col("sent")), WORD_SPLIT)).alias("wpos", "word"))
+                         F.posexplode_outer(F.split(F.lower(F.col("whole")), WORD_SPLIT)).alias("wpos", "word"))
             .where((F.col("word") != "") | first_word)
             .select(*keys, "pos", F.nullif(F.col("word"), F.lit("")).alias("word"),
                     F.when(first_word, F.col("sent")).alias("sent_text"),

@@ -119,8 +119,8 @@ SQL["delete_requests"] = W(["requests", "catalog"], """
 SELECT request_id, id_kind, status, CASE WHEN status = 'ok' THEN resolved_id END AS deleted_id
 FROM looked""", [_LOOKUP])
 
-_FULL_IDS = """full_ids AS (
-  SELECT DISTINCT id_text AS id FROM requests WHERE request_id % 8 < 2 OR request_id % 8 = 6)"""
+_FULL_IDS = f"""full_ids AS (
+  SELECT DISTINCT id_text AS id FROM requests WHERE ({KIND}) = 'full')"""
 
 SQL["delete_ids"] = W(["requests", "catalog"], """
 SELECT id, pdf_path FROM catalog WHERE id NOT IN (SELECT id FROM full_ids)""", [_FULL_IDS])
@@ -129,9 +129,10 @@ SQL["delete_outcome"] = W(["requests", "catalog"], """
 SELECT f.id, c.id IS NOT NULL AS deleted FROM full_ids f LEFT JOIN catalog c ON f.id = c.id""", [_FULL_IDS])
 
 SQL["resolve_and_delete"] = W(["prefixes", "catalog"], """
-SELECT id, pdf_path FROM catalog WHERE id NOT IN (
+SELECT id, pdf_path, id IN (
   SELECT min(c.id) FROM (SELECT DISTINCT prefix FROM prefixes) q JOIN catalog c ON starts_with(c.id, q.prefix)
-  GROUP BY q.prefix HAVING count(*) = 1)""")
+  GROUP BY q.prefix HAVING count(*) = 1) AS deleted
+FROM catalog""")
 
 SQL["latest_per_path"] = W(["catalog"], f"""
 SELECT pdf_path, id, summary_length, page_count, {TS} AS created_at FROM (
@@ -145,13 +146,13 @@ _BACKREF = r"'\1'"
 
 _EXTRACTIVE = """
 WITH s AS (
-  SELECT doc_id, pos, substr(raw, 1, @CUT@) AS sent FROM (
+  SELECT doc_id, pos, raw, substr(raw, 1, @CUT@) AS sent FROM (
     SELECT doc_id, unnest(arr) AS raw, (generate_subscripts(arr, 1) - 1)::BIGINT AS pos FROM (
       SELECT doc_id, list_filter(string_split_regex(
           regexp_replace(text, @SENT_END@, @BACKREF@ || chr(10), 'g'), chr(10) || '+'), lambda x: x <> '') AS arr
       FROM documents))),
 w AS (
-  SELECT doc_id, pos, unnest(list_filter(string_split_regex(lower(sent), @WORD_SPLIT@), lambda x: x <> '')) AS word
+  SELECT doc_id, pos, unnest(list_filter(string_split_regex(lower(raw), @WORD_SPLIT@), lambda x: x <> '')) AS word
   FROM s),
 tf AS (SELECT doc_id, word, count(*) AS tf FROM w GROUP BY doc_id, word),
 sc AS (SELECT w.doc_id, w.pos, sum(tf.tf) // count(*) AS score FROM w JOIN tf USING (doc_id, word)
@@ -344,8 +345,8 @@ SELECT doc_id, NULL, NULL, NULL, NULL, level::BIGINT, 'summarize' FROM st WHERE
 SQL["latest_for_paths"] = W(["files", "catalog"], f"""
 SELECT p.req_path, l.id IS NOT NULL AS found, l.id, l.summary_length,
   strftime(l.created_at, '%Y-%m-%d %H:%M:%S') AS created_at
-FROM (SELECT DISTINCT path AS req_path FROM files WHERE doc_id % 4 = 0
-      UNION SELECT path || '.missing' FROM files WHERE doc_id % 9 = 0) p
+FROM (SELECT DISTINCT path AS req_path FROM files
+      UNION SELECT path || '.missing' FROM files) p
 LEFT JOIN (SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY pdf_path ORDER BY created_at DESC, id DESC) AS rn FROM norm)
   WHERE rn = 1) l ON p.req_path = l.pdf_path""", [NORM])

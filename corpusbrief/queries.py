@@ -137,9 +137,10 @@ def q_lookup_requests(spark, sf):
 
 
 def _full_ids(docs):
+    """Every request that names a full id (found or not)."""
+    from .functions.scalars import id_kind
     req = X.requests(docs)
-    return req.where(F.col("request_id") % 8 < 2).select(F.col("id_text").alias("id")).unionByName(
-        req.where(F.col("request_id") % 8 == 6).select(F.col("id_text").alias("id")))
+    return req.where(id_kind("id_text") == "full").select(F.col("id_text").alias("id"))
 
 
 def q_delete_ids(spark, sf):
@@ -155,9 +156,13 @@ def q_delete_outcome(spark, sf):
 
 
 def q_resolve_and_delete(spark, sf):
+    """Every catalog row with ``deleted``: whether a prefix resolved to exactly it."""
     docs = _docs(spark, sf)
-    remaining, _ = C.resolve_and_delete(_catalog(docs), X.prefixes(docs))
-    return remaining.select("id", "pdf_path")
+    cat = _catalog(docs)
+    remaining, _ = C.resolve_and_delete(cat, X.prefixes(docs))
+    kept = remaining.select("id", F.lit(False).alias("deleted"))
+    gone = cat.select("id").join(remaining.select("id"), "id", "left_anti").select("id", F.lit(True).alias("deleted"))
+    return cat.select("id", "pdf_path").join(kept.unionByName(gone), "id")
 
 
 def q_delete_requests(spark, sf):
@@ -174,9 +179,9 @@ def q_latest_per_path(spark, sf):
 def q_latest_for_paths(spark, sf):
     docs = _docs(spark, sf)
     f = X.files(docs)
-    paths = (f.where(F.col("doc_id") % 4 == 0).select(F.col("path").alias("req_path"))
-             .unionByName(f.where(F.col("doc_id") % 9 == 0)
-                          .select(F.concat(F.col("path"), F.lit(".missing")).alias("req_path")))
+    # every file path, and a missing variant of every path
+    paths = (f.select(F.col("path").alias("req_path"))
+             .unionByName(f.select(F.concat(F.col("path"), F.lit(".missing")).alias("req_path")))
              .distinct())
     s = C.latest_per_path(_catalog(docs), paths, "req_path")
     return s.select("req_path", "found", "id", "summary_length", _ts())

@@ -14,8 +14,9 @@ def brute(text: str, length: str) -> tuple[str, int]:
     budget = BUDGETS[length]
     ov = 3 if length == "short" else 1
     marked = re.sub(r"([.!?。！？])[ \t\n\r\f]+", "\\1\n", text)
-    sents = [s[: budget - ov + 1] for s in re.split(r"\n+", marked) if s]
-    words = [[w for w in regex.split(r"[^\p{L}\p{N}]+", s.lower()) if w] for s in sents]
+    whole = [s for s in re.split(r"\n+", marked) if s]
+    sents = [s[: budget - ov + 1] for s in whole]  # emitted text is cut, words come from the whole sentence
+    words = [[w for w in regex.split(r"[^\p{L}\p{N}]+", s.lower()) if w] for s in whole]
     tf = Counter(w for ws in words for w in ws)
     scores = [sum(tf[w] for w in ws) // len(ws) if ws else 0 for ws in words]
     kept, cum = [], 0
@@ -37,6 +38,7 @@ EDGE = [
     (6, "Emoji 😀 here. More 😀😀 text. 𝔘𝔫𝔦𝔠𝔬𝔡𝔢 letters."),
     (7, "... !!! ???"),
     (8, " ".join(f"Word{i} common common." for i in range(400))),
+    (9, "Short one. " + " ".join(["rare"] * 50 + ["common"] * 400) + ". Common common. Another short one."),
 ]
 
 
