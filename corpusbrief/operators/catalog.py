@@ -33,9 +33,16 @@ def conform(df: DataFrame) -> DataFrame:
     return df.select(*cols, *extra)
 
 
-def apply_tombstones(rows: DataFrame, tombstones: DataFrame) -> DataFrame:
-    """The live catalog = rows whose id has no tombstone (anti-join)."""
-    return rows.join(tombstones.select("id").distinct(), "id", "left_anti")
+def apply_tombstones(rows: DataFrame, tombstones: DataFrame, max_broadcast: int = 2_000_000) -> DataFrame:
+    """The live catalog = rows whose id has no tombstone (anti-join).
+
+    Tombstones are few next to the catalog until a compaction: up to
+    ``max_broadcast`` distinct ids (counted) they are broadcast, so the catalog
+    is not shuffled; beyond that the anti-join shuffles both sides.
+    """
+    from ..plans.strategies import broadcast_if_small
+
+    return rows.join(broadcast_if_small(tombstones.select("id").distinct(), max_broadcast), "id", "left_anti")
 
 
 # ------------------------------------------------------------------ read model
@@ -184,8 +191,10 @@ def lookup(catalog: DataFrame, requests: DataFrame, id_col: str = "id_text") ->
 
 def delete_ids(catalog: DataFrame, ids: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
     """(remaining catalog, outcome per requested id with ``deleted``)."""
+    from ..plans.strategies import broadcast_if_small
+
     targets = ids.select(F.col(id_col).alias("id")).where("id is not null").distinct()
-    remaining = catalog.join(targets, "id", "left_anti")
+    remaining = catalog.join(broadcast_if_small(targets, 2_000_000), "id", "left_anti")
     present = catalog.select(F.col("id").alias("_hit"))
     outcome = (targets.join(present, targets["id"] == present["_hit"], "left")
                .select("id", F.col("_hit").isNotNull().alias("deleted")))
