@@ -43,11 +43,12 @@ def run_corpus(files: DataFrame, length: str | None = None, length_col: str | No
 
     f = file_identity(files)
     if id_col not in f.columns:
-        f = f.withColumn(id_col, F.monotonically_increasing_id())
+        # a file source names every file once: the path is a stable document key
+        id_col = "pdf_path"
     if limit is not None:
-        f = ST.limit_items(f, limit, ["pdf_path", id_col])
+        f = ST.limit_items(f, limit, list(dict.fromkeys(["pdf_path", id_col])))
     if catalog is not None:
-        f = ST.skip_seen(f, catalog, ["pdf_path", id_col])
+        f = ST.skip_seen(f, catalog, list(dict.fromkeys(["pdf_path", id_col])))
     # the file's byte length (metadata of the file source) routes long files in O28
     f = f.withColumn("_bytes", F.col("length").cast("bigint") if "length" in files.columns
                      else F.lit(None).cast("bigint"))
@@ -56,14 +57,14 @@ def run_corpus(files: DataFrame, length: str | None = None, length_col: str | No
     docs = ST.extract(f, extractor, key=id_col)
     if write_stages and extractor is not None:
         docs = materialize(docs, "extracted")
-    keep = [id_col, "pdf_path", "pdf_hash", "page_count", "length"]
+    keep = list(dict.fromkeys([id_col, "pdf_path", "pdf_hash", "page_count", "length"]))
 
     if summarizer == "extractive":
         ok, bad = ST.split_failures(docs)
         known = ok.where(F.col("length").isin("short", "standard", "detailed"))
         # route long files by their byte length (file metadata: no content read for the test)
         dig = extractive_summary(known, None, id_col=id_col, length_col="length", size_col="_bytes",
-                                 carry=["pdf_path", "pdf_hash", "page_count"])
+                                 carry=[c for c in ("pdf_path", "pdf_hash", "page_count") if c != id_col])
         dig = dig.select(*keep, "summary",
                          F.ceil(F.length(F.col("summary")) / chars_per_token).cast("bigint").alias("tokens_out"),
                          F.lit(None).cast("bigint").alias("tokens_in"),
@@ -84,11 +85,11 @@ def run_corpus(files: DataFrame, length: str | None = None, length_col: str | No
             docs = ST.chunk_budget(docs.withColumn("model", F.lit(model)), models)
         else:
             docs = docs.withColumn("budget_tokens", F.lit(budget_tokens or ST.DEFAULT_BUDGET_TOKENS))
+        key_cols = [c for c in ("pdf_path", "pdf_hash", "page_count") if c != id_col]
         src = docs.where(F.col("stage").isNull()).select(
-            id_col, "pdf_path", "pdf_hash", "page_count", F.col(text_col).alias("text"), "length",
-            "budget_tokens")
+            id_col, *key_cols, F.col(text_col).alias("text"), "length", "budget_tokens")
         dig = summarize_chunked(src, summarizer, "budget_tokens", chars_per_token,
-                                id_col=id_col, key_cols=["pdf_path", "pdf_hash", "page_count"])
+                                id_col=id_col, key_cols=key_cols)
         early = docs.where(F.col("stage").isNotNull()).select("pdf_path", *ST.ERROR_COLS)
     else:
         dig = ST.summarize(docs.select(*keep, F.col(text_col).alias("text"), *ST.ERROR_COLS),
