@@ -88,12 +88,31 @@ def usage_label(tokens_in: str | Column, tokens_out: str | Column) -> Column:
 
 
 def seconds_1dp(ms: str | Column) -> Column:
-    """Milliseconds as seconds with one decimal.
-
-    Java rounds the shortest decimal form half-up; Python rounds the binary
-    value.  They differ only for some values with ``ms % 100 == 50``.
+    """Milliseconds as seconds with one decimal, rounded as Python rounds ``ms / 1000``.
+
+    Python rounds the binary value of the double ``ms / 1000``; Java's ``%.1f``
+    rounds its shortest decimal form half-up, so the two differ at decimal
+    ties (``ms % 100 == 50``).  Away from ties both give the tenths nearest to
+    ``ms / 1000``, done here in integers.  At a tie the direction is the sign
+    of ``x * 1000 - ms`` for the double ``x``, computed exactly with Dekker's
+    error-free product (``x`` split in two 26-bit halves; every step is exact
+    in double arithmetic, which Catalyst does not reassociate); an exact tie
+    rounds half to even.
     """
-    return F.format_string("%.1f", col_(ms).cast("double") / F.lit(1000.0))
+    m = col_(ms).cast("bigint")
+    q, r = F.floor(m / F.lit(100)).cast("bigint"), m % F.lit(100)
+    x = m.cast("double") / F.lit(1000.0)
+    c = x * F.lit(134217729.0)                      # 2**27 + 1
+    xh = c - (c - x)
+    xl = x - xh
+    p = x * F.lit(1000.0)
+    err = (xh * F.lit(1000.0) - p) + xl * F.lit(1000.0)
+    above = (p - m.cast("double")) + err            # sign of x * 1000 - ms, exactly
+    tenths = (F.when(r < 50, q).when(r > 50, q + 1)
+              .when(above > 0, q + 1).when(above < 0, q)
+              .when(q % 2 == 0, q).otherwise(q + 1))
+    exact = F.concat((tenths / 10).cast("bigint").cast("string"), F.lit("."), (tenths % 10).cast("string"))
+    return F.when(m >= 0, exact).otherwise(F.format_string("%.1f", x))
 
 
 def latency_label(ms: str | Column) -> Column:

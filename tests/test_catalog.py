@@ -195,3 +195,10 @@ def test_single_value_forms_push_down(spark, scratch, cat):
     assert got == {"0123abcd": (2, "many", None), "ffff": (1, "one", "ffff0000-1111-4222-a333-444455556666"),
                    "zz": (0, "none", None), "": (4, "many", None)}
     assert "StringStartsWith(id,ffff)" in C.get_by_prefix(df, "ffff")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_seconds_rounding_matches_python(spark):
+    vals = [0, 1, 49, 50, 51, 150, 250, 350, 1050, 1150, 1250, 2250, 999950, 123456789050] + list(range(0, 20000, 50))
+    df = spark.createDataFrame([(v,) for v in vals], "ms long")
+    got = {r.ms: r.s for r in df.select("ms", S.seconds_1dp("ms").alias("s")).collect()}
+    assert got == {v: f"{v / 1000:.1f}" for v in vals}
