@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from ..schemas import DEFAULT_LENGTH, LENGTHS
 
 # Id patterns accepted by the reference (lower-case hex only, no
-# version-nibble check).  ``\A`` and ``\z`` anchor the whole value, so a trailing
-# newline is rejected.
-FULL_ID_PATTERN = r"\A[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z"
-SHORT_ID_PATTERN = r"\A[0-9a-f]{8}\z"
+# version-nibble check).  The reference matches ``^...$`` with Python's
+# ``re.match``, where ``$`` also matches before one final newline; ``\n?\z``
+# spells that out (Java's ``$`` would accept other line terminators too).
+FULL_ID_PATTERN = r"\A[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\n?\z"
+SHORT_ID_PATTERN = r"\A[0-9a-f]{8}\n?\z"
 
 # Display labels and formats of the reference's terminal views.
 USAGE_TEMPLATE = "トークン: 入力 {tin} / 出力 {tout}"

@@ -23,8 +23,8 @@ NORM = f"""norm AS (
     tokens_in, tokens_out, latency_ms
   FROM catalog)"""
 
-KIND = ("CASE WHEN regexp_full_match(id_text, '[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}') "
-        "THEN 'full' WHEN regexp_full_match(id_text, '[0-9a-f]{8}') THEN 'short' ELSE 'invalid' END")
+KIND = ("CASE WHEN regexp_full_match(id_text, '[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\\n?') "
+        "THEN 'full' WHEN regexp_full_match(id_text, '[0-9a-f]{8}\\n?') THEN 'short' ELSE 'invalid' END")
 RLEN = "coalesce(nullif(length, ''), 'standard')"
 
 SQL: dict[str, str] = {}

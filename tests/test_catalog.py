@@ -32,10 +32,18 @@ def cat(spark):
 
 
 def test_id_kind(spark):
-    vals = [FULL, "0123abcd", "0123abc", "0123abcde", "zzzzzzzz", FULL.upper(), FULL + "\n", "0123abcd\n", ""]
+    import re
+
+    # the reference's rule: re.match with ^...$ (where $ also matches before one final newline)
+    full = re.compile(r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
+    short = re.compile(r"^[0-9a-f]{8}$")
+    vals = [FULL, "0123abcd", "0123abc", "0123abcde", "zzzzzzzz", FULL.upper(), FULL + "\n", FULL + "\n\n",
+            FULL + "\r", "0123abcd\n", "0123abcd\r\n", "\n0123abcd", "", "\n"]
     df = spark.createDataFrame([(v,) for v in vals], "v string")
     got = [r[0] for r in df.select(S.id_kind("v")).collect()]
-    assert got == ["full", "short", "invalid", "invalid", "invalid", "invalid", "invalid", "invalid", "invalid"]
+    want = ["full" if full.match(v) else "short" if short.match(v) else "invalid" for v in vals]
+    assert got == want
+    assert got[:7] == ["full", "short", "invalid", "invalid", "invalid", "invalid", "full"]
 
 
 def test_validate_and_default_length(spark):
