@@ -350,3 +350,12 @@ FROM (SELECT DISTINCT path AS req_path FROM files
 LEFT JOIN (SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY pdf_path ORDER BY created_at DESC, id DESC) AS rn FROM norm)
   WHERE rn = 1) l ON p.req_path = l.pdf_path""", [NORM])
+
+# Spark writes each document as a text file: its bytes are the text plus one newline
+SQL["ingest_files"] = """
+SELECT doc_id, sha256(text || chr(10)) AS pdf_hash, (strlen(text) + 1)::BIGINT AS length FROM documents"""
+
+# the stream summarises those files (extractive, standard); the trailing newline adds no sentence
+SQL["stream_ingest"] = f"""
+SELECT doc_id, length, summary, ceil(length(summary) / 4)::BIGINT AS tokens_out, 'extractive' AS model
+FROM ({extractive("standard")})"""

@@ -302,6 +302,38 @@ def q_run_report(spark, sf):
     return run_report(classify_failures(bad))
 
 
+def _documents_as_files(spark, sf):
+    """Spark writes every document as one text file (``doc_id=<n>/part-*.txt``) in the scratch folder."""
+    from .session import scratch_path
+    root = scratch_path(spark, "documents-as-files")
+    _docs(spark, sf).select("doc_id", "text").write.partitionBy("doc_id").text(root)
+    return root
+
+
+def _doc_id_from_path(c: str = "pdf_path") -> F.Column:
+    return F.regexp_extract(F.col(c), r"/doc_id=([0-9]+)/", 1).cast("bigint").alias("doc_id")
+
+
+def q_ingest_files(spark, sf):
+    from .sources.files import file_identity, ingest_files
+    files, failures = ingest_files(spark, _documents_as_files(spark, sf), glob="*.txt", recursive=True)
+    return file_identity(files).select(_doc_id_from_path(), "pdf_hash", "length")
+
+
+def q_stream_ingest(spark, sf):
+    from .session import scratch_path
+    from .sources.store import read_catalog
+    from .streaming.ingest import start_ingest
+    src = _documents_as_files(spark, sf)
+    root, ck = scratch_path(spark, "stream-store"), scratch_path(spark, "stream-checkpoint")
+    q = start_ingest(spark, src, root, ck, glob="*.txt", recursive=True, length="standard",
+                     summarizer="extractive", max_files_per_trigger=None)
+    q.awaitTermination()  # availableNow: ends after the files present at start; a failure raises here
+    if q.exception() is not None:
+        raise RuntimeError(f"ingest stream failed: {q.exception()}")
+    return read_catalog(spark, root).select(_doc_id_from_path(), "length", "summary", "tokens_out", "model")
+
+
 def q_summarize_corpus(spark, sf):
     from .operators.stages import PrefixSummarizer
     from .plans.corpus_run import run_corpus
@@ -388,4 +420,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "summarize_corpus_extractive": q_summarize_corpus_extractive,
     "summarize_chunk_level": q_summarize_chunk_level,
     "summarize_chunked": q_summarize_chunked,
+    "ingest_files": q_ingest_files,
+    "stream_ingest": q_stream_ingest,
 }

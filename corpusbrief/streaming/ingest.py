@@ -18,8 +18,10 @@ from ..sources.store import append, read_catalog
 
 
 def file_stream(spark: SparkSession, input_dir: str, glob: str | None = "*.pdf",
-                max_files_per_trigger: int | None = None) -> DataFrame:
+                max_files_per_trigger: int | None = None, recursive: bool = False) -> DataFrame:
     reader = spark.readStream.format("binaryFile").schema(FILE_SCHEMA)
+    if recursive:
+        reader = reader.option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if max_files_per_trigger:
@@ -29,7 +31,8 @@ def file_stream(spark: SparkSession, input_dir: str, glob: str | None = "*.pdf",
 
 def start_ingest(spark: SparkSession, input_dir: str, store_root: str, checkpoint: str,
                  glob: str | None = "*.pdf", skip_seen: bool = False, available_now: bool = True,
-                 max_files_per_trigger: int | None = None, **run_kwargs) -> StreamingQuery:
+                 max_files_per_trigger: int | None = None, recursive: bool = False,
+                 **run_kwargs) -> StreamingQuery:
     """Start the ingest stream; ``run_kwargs`` go to :func:`run_corpus` (length, summarizer, ...).
 
     ``skip_seen`` skips files whose content hash is already in the live
@@ -42,7 +45,7 @@ def start_ingest(spark: SparkSession, input_dir: str, store_root: str, checkpoin
         rows = materialize(rows, f"stream-rows-{batch_id}")
         append(store_root, rows, run_id=f"stream-{batch_id}", failures=failures)
 
-    w = (file_stream(spark, input_dir, glob, max_files_per_trigger).writeStream
+    w = (file_stream(spark, input_dir, glob, max_files_per_trigger, recursive).writeStream
          .foreachBatch(batch).option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
