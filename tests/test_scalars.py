@@ -1,7 +1,6 @@
 """Scalar expressions and small rules, case tables in the style of the reference's unit tests."""
 import datetime as dt
 
-import pytest
 from pyspark.sql import functions as F
 
 from corpusbrief import fixtures as X
