@@ -302,7 +302,7 @@ def _corpus_extractive() -> str:
     ex = "\nUNION ALL\n".join(parts)
     return W(["files"], """
 SELECT f.path AS pdf_path, sha256(f.text) AS pdf_hash, len(string_split(f.text, chr(12)))::BIGINT AS page_count,
-  e.summary, e.length, 'extractive' AS model, NULL::BIGINT AS tokens_in,
+  e.summary, e.length, 'extractive' AS model, ceil(length(f.text) / 4)::BIGINT AS tokens_in,
   ceil(length(e.summary) / 4)::BIGINT AS tokens_out, NULL::BIGINT AS latency_ms,
   '2026-06-01 12:00:00' AS created_at
 FROM files f JOIN ex e USING (doc_id)""", [f"ex AS ({ex})"])
