@@ -52,7 +52,8 @@ def extract_utf8(files: DataFrame, content_col: str = "content") -> DataFrame:
     ok = F.is_valid_utf8(raw)
     out = (_with_error_cols(files)
            .withColumn("text", F.when(ok, raw))
-           .withColumn("page_count", F.when(ok, F.size(F.split(raw, "\f"))).cast("bigint")))
+           # pages = form feeds + 1, counted without splitting the text into an array
+           .withColumn("page_count", F.when(ok, F.regexp_count(raw, F.lit("\f")) + 1).cast("bigint")))
     failed = F.col("stage").isNull() & ~ok
     return (out.withColumn("error_class", F.when(failed, F.lit("ExtractionError")).otherwise(F.col("error_class")))
             .withColumn("message", F.when(failed, F.lit("content is not valid UTF-8")).otherwise(F.col("message")))

@@ -107,3 +107,10 @@ def test_spread_path_limits_per_document_rows(spark):
     assert "WindowGroupLimit" in q.optimizedPlan().toString()
     # the long-document scan filters on the size column inside the Parquet reader
     assert "PushedFilters: [IsNotNull(n_chars), GreaterThan(n_chars,1000)]" in q.executedPlan().toString()
+
+
+def test_null_and_blank_texts_keep_their_row(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "   "), (4, "\n\n")], "doc_id long, text string")
+    got = {r.doc_id: (r.summary, r.n_sentences) for r in extractive_summary(df, "short").collect()}
+    assert got == {1: ("", 0), 2: ("", 0), 3: ("-    ", 1), 4: ("", 0)}
+    assert got[3][0] == brute("   ", "short")[0]
