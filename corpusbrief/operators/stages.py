@@ -300,7 +300,8 @@ def resolve_templates(overrides: DataFrame | None) -> DataFrame:
     defaults = spark.createDataFrame(list(DEFAULT_TEMPLATES.items()), "length string, default_template string")
     if overrides is None:
         return defaults.withColumnRenamed("default_template", "template")
-    return (defaults.join(overrides.select("length", "override"), "length", "left")
+    # one override per length: a bounded side, broadcast after the count check
+    return (defaults.join(broadcast_if_small(overrides.select("length", "override"), 1000), "length", "left")
             .select("length", F.coalesce(F.nullif(F.col("override"), F.lit("")),
                                          F.col("default_template")).alias("template")))
 

@@ -161,8 +161,8 @@ def q_resolve_and_delete(spark, sf):
     cat = _catalog(docs)
     remaining, _ = C.resolve_and_delete(cat, X.prefixes(docs))
     kept = remaining.select("id", F.lit(False).alias("deleted"))
-    gone = cat.select("id").join(remaining.select("id"), "id", "left_anti").select("id", F.lit(True).alias("deleted"))
-    return cat.select("id", "pdf_path").join(kept.unionByName(gone), "id")
+    return (cat.select("id", "pdf_path").join(kept, "id", "left")
+            .select("id", "pdf_path", F.coalesce(F.col("deleted"), F.lit(True)).alias("deleted")))
 
 
 def q_delete_requests(spark, sf):
