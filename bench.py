@@ -52,7 +52,8 @@ def main() -> None:
     warm_dir = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.01")
     if not os.path.isdir(warm_dir):
         warm_dir = sf_dir
-    for w in ("extractive_short", "summarize_corpus", "lookup_requests"):
+    for w in ("extractive_short", "extractive_standard", "extractive_detailed", "summarize_corpus_extractive",
+              "summarize_corpus", "lookup_requests"):
         QUERIES[w](spark, warm_dir).write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}
     for name in names:
