@@ -8,7 +8,6 @@ FIXTURES.md part B; every table grows with ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .schemas import STORE_COLUMNS
 
