@@ -359,3 +359,20 @@ SELECT doc_id, sha256(text || chr(10)) AS pdf_hash, (strlen(text) + 1)::BIGINT A
 SQL["stream_ingest"] = f"""
 SELECT doc_id, length, summary, ceil(length(summary) / 4)::BIGINT AS tokens_out, 'extractive' AS model
 FROM ({extractive("standard")})"""
+
+
+def _resolve_templates_sql() -> str:
+    from .fixtures import TEMPLATE_OVERRIDES
+    from .operators.stages import DEFAULT_TEMPLATES
+
+    defaults = ", ".join(f"({_lit(k)}, {_lit(v)})" for k, v in DEFAULT_TEMPLATES.items())
+    overrides = ", ".join(f"({_lit(k)}, {_lit(v)})" for k, v in TEMPLATE_OVERRIDES)
+    return f"""
+WITH d(length, default_template) AS (VALUES {defaults}),
+o(length, override) AS (VALUES {overrides}),
+t AS (SELECT d.length, coalesce(nullif(o.override, ''), d.default_template) AS template
+      FROM d LEFT JOIN o USING (length))
+SELECT doc_id, {LEN_BY_DOC} AS length, t.template FROM documents LEFT JOIN t ON {LEN_BY_DOC} = t.length"""
+
+
+SQL["resolve_templates"] = _resolve_templates_sql()

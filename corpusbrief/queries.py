@@ -262,6 +262,15 @@ def q_render_prompts(spark, sf):
     return render_prompts(docs, t, X.EXTRA_INSTRUCTIONS).select("doc_id", "length", "prompt")
 
 
+def q_resolve_templates(spark, sf):
+    """O30 per document: the template its length resolves to (override if non-empty, else built-in)."""
+    from .operators.stages import resolve_templates
+    from .plans.strategies import broadcast_if_small
+    docs = _docs(spark, sf).select("doc_id", _length_by_doc().alias("length"))
+    t = broadcast_if_small(resolve_templates(X.template_overrides(spark)), 1000)
+    return docs.join(t, "length", "left").select("doc_id", "length", "template")
+
+
 def q_limit_items(spark, sf):
     from .operators.stages import limit_items
     return limit_items(X.files(_docs(spark, sf)), 1, ["path", "doc_id"]).select("doc_id", "path")
@@ -410,6 +419,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "summarize_single": q_summarize_single,
     "split_chunks": q_split_chunks,
     "chunk_budget": q_chunk_budget,
+    "resolve_templates": q_resolve_templates,
     "render_prompts": q_render_prompts,
     "limit_items": q_limit_items,
     "skip_seen": q_skip_seen,
