@@ -45,6 +45,26 @@ def apply_tombstones(rows: DataFrame, tombstones: DataFrame, max_broadcast: int
     return rows.join(broadcast_if_small(tombstones.select("id").distinct(), max_broadcast), "id", "left_anti")
 
 
+REQUEST_BROADCAST_MAX = 2_000_000
+
+
+def _restrict(catalog: DataFrame, col: str, keys: DataFrame, max_broadcast: int = REQUEST_BROADCAST_MAX
+              ) -> DataFrame:
+    """Catalog rows whose ``col`` is among ``keys`` (one column), filtered map-side when bounded.
+
+    A batch of requests is usually small next to the catalog: when the distinct
+    keys are at most ``max_broadcast`` (counted) they are broadcast and the
+    catalog is semi-joined without a shuffle.  Beyond that the catalog is
+    returned whole and the caller's join shuffles as usual.
+    """
+    from ..plans.strategies import row_count_at_most
+
+    k = keys.where(F.col(keys.columns[0]).isNotNull()).distinct().withColumnRenamed(keys.columns[0], "_k")
+    if row_count_at_most(k, max_broadcast):
+        return catalog.join(F.broadcast(k), catalog[col] == F.col("_k"), "left_semi")
+    return catalog
+
+
 # ------------------------------------------------------------------ read model
 
 def normalise(catalog: DataFrame) -> DataFrame:
@@ -77,7 +97,7 @@ def get_many(catalog: DataFrame, ids: DataFrame, id_col: str = "id_text") -> Dat
 
     A shuffle (or, when AQE measures one side as small, broadcast) equi-join.
     """
-    cat = normalise(catalog).withColumnRenamed("id", "_cid")
+    cat = normalise(_restrict(catalog, "id", ids.select(id_col))).withColumnRenamed("id", "_cid")
     return (ids.join(cat, ids[id_col] == cat["_cid"], "left")
             .withColumn("found", F.col("_cid").isNotNull())
             .drop("_cid"))
@@ -170,13 +190,15 @@ def lookup(catalog: DataFrame, requests: DataFrame, id_col: str = "id_text") ->
     decides ok / not_found.
     """
     req = requests.withColumn("id_kind", S.id_kind(id_col))
-    short = (catalog.groupBy(S.short_id("id").alias("_p8"))
-             .agg(F.count(F.lit(1)).alias("_n8"), F.min("id").alias("_id8")))
+    by_p8 = catalog.select(S.short_id("id").alias("_p8"), "id")
+    wanted8 = req.where(F.col("id_kind") == "short").select(id_col)
+    short = (_restrict(by_p8, "_p8", wanted8)
+             .groupBy("_p8").agg(F.count(F.lit(1)).alias("_n8"), F.min("id").alias("_id8")))
     j = req.join(short, (F.col("id_kind") == "short") & (req[id_col] == short["_p8"]), "left")
     cand = (F.when(F.col("id_kind") == "full", F.col(id_col))
             .when((F.col("id_kind") == "short") & (F.col("_n8") == 1), F.col("_id8")))
     j = j.withColumn("_cand", cand)
-    rows = normalise(catalog).withColumnRenamed("id", "_rid")
+    rows = normalise(_restrict(catalog, "id", j.select("_cand"))).withColumnRenamed("id", "_rid")
     out = j.join(rows, j["_cand"] == rows["_rid"], "left")
     status = (F.when(F.col("id_kind") == "invalid", "invalid")
               .when(F.col("id_kind") == "full",
@@ -195,7 +217,7 @@ def delete_ids(catalog: DataFrame, ids: DataFrame, id_col: str = "id") -> tuple[
 
     targets = ids.select(F.col(id_col).alias("id")).where("id is not null").distinct()
     remaining = catalog.join(broadcast_if_small(targets, 2_000_000), "id", "left_anti")
-    present = catalog.select(F.col("id").alias("_hit"))
+    present = _restrict(catalog, "id", targets).select(F.col("id").alias("_hit"))
     outcome = (targets.join(present, targets["id"] == present["_hit"], "left")
                .select("id", F.col("_hit").isNotNull().alias("deleted")))
     return remaining, outcome
@@ -232,6 +254,8 @@ def latest_per_path(catalog: DataFrame, paths: DataFrame | None = None,
     share of the catalog costs one row per map task in the shuffle.
     """
     cols = [c for c in STORE_COLUMNS if c != "pdf_path"]
+    if paths is not None:
+        catalog = _restrict(catalog, "pdf_path", paths.select(path_col))
     latest = (catalog.groupBy("pdf_path")
               .agg(F.max_by(F.struct(*cols), F.struct("created_at", "id")).alias("_r"))
               .select("pdf_path", "_r.*"))

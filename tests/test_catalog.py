@@ -210,3 +210,16 @@ def test_seconds_rounding_matches_python(spark):
     df = spark.createDataFrame([(v,) for v in vals], "ms long")
     got = {r.ms: r.s for r in df.select("ms", S.seconds_1dp("ms").alias("s")).collect()}
     assert got == {v: f"{v / 1000:.1f}" for v in vals}
+
+
+def test_small_request_batch_filters_catalog_map_side(spark, scratch, cat):
+    import os
+    root = os.path.join(scratch, "cat2")
+    cat.write.parquet(root)
+    df = spark.read.parquet(root)
+    ids = spark.createDataFrame([(1, FULL)], "request_id long, id_text string")
+    plan = C.get_many(df, ids)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "broadcast" in plan.lower()
+    assert [r.found for r in C.get_many(df, ids).collect()] == [True]
+    # beyond the bound the catalog is used whole (shuffle join), same answer
+    assert C._restrict(df, "id", ids.select("id_text"), max_broadcast=0).count() == 4
