@@ -2,7 +2,7 @@
 
 New files arriving in a folder are read by the binary file source, each
 micro-batch runs the whole summarisation (O22) and is written to the store as
-its own ``run=stream-<batch id>`` folder with overwrite, so a batch replayed
+its own ``run=stream-<stream tag>-<batch id>`` folder with overwrite, so a batch replayed
 after a failure replaces its earlier partial output instead of duplicating it.
 The stream is stateless (no watermark): a file is one self-contained unit.
 """
@@ -39,11 +39,17 @@ def start_ingest(spark: SparkSession, input_dir: str, store_root: str, checkpoin
     catalog (the documented cache).  With ``available_now`` the stream
     processes what is there and stops; otherwise it keeps polling.
     """
+    import hashlib
+
+    # one stream (one checkpoint) owns its run folders: a replayed batch replaces its own output,
+    # and two streams into one store never share a folder
+    tag = hashlib.sha1(checkpoint.rstrip("/").encode()).hexdigest()[:10]
+
     def batch(df: DataFrame, batch_id: int) -> None:
         catalog = read_catalog(spark, store_root) if skip_seen else None
         rows, failures = run_corpus(df, catalog=catalog, **run_kwargs)
         rows = materialize(rows, f"stream-rows-{batch_id}")
-        append(store_root, rows, run_id=f"stream-{batch_id}", failures=failures)
+        append(store_root, rows, run_id=f"stream-{tag}-{batch_id}", failures=failures)
 
     w = (file_stream(spark, input_dir, glob, max_files_per_trigger, recursive).writeStream
          .foreachBatch(batch).option("checkpointLocation", checkpoint))

@@ -164,3 +164,19 @@ def test_legacy_run_folder_reads_with_null_usage(spark, scratch):
     assert set(cat) == {"old.pdf", "n.pdf"}
     assert cat["old.pdf"].tokens_in is None and cat["old.pdf"].latency_ms is None
     assert cat["n.pdf"].tokens_in == 100
+
+
+def test_two_streams_into_one_store(spark, scratch):
+    from corpusbrief.streaming.ingest import start_ingest
+
+    a, b, root = (os.path.join(scratch, x) for x in ("a", "b", "store"))
+    os.makedirs(a)
+    os.makedirs(b)
+    _write(a, "one.pdf", b"Stream one. First file.")
+    _write(b, "two.pdf", b"Stream two. Second file.")
+    for src in (a, b):  # both streams have a batch 0
+        q = start_ingest(spark, src, root, os.path.join(scratch, "ck-" + os.path.basename(src)),
+                         length="short", summarizer="extractive")
+        q.awaitTermination(120)
+    assert sorted(os.path.basename(r.pdf_path) for r in store.read_catalog(spark, root).collect()) == \
+        ["one.pdf", "two.pdf"]
