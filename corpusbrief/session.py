@@ -19,6 +19,8 @@ DEFAULT_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Python stages receive file contents: bound each Arrow batch by bytes as well as rows
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
     # checkpoints written by with_position are removed once unreferenced
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
@@ -49,10 +51,12 @@ def get_session(master: str | None = None, app_name: str = "corpusbrief",
     return spark
 
 
+# settings the registered queries apply to whatever session runs them
 JOIN_CONF = {k: DEFAULT_CONF[k] for k in ("spark.sql.autoBroadcastJoinThreshold",
                                           "spark.sql.adaptive.autoBroadcastJoinThreshold",
                                           "spark.sql.adaptive.enabled",
-                                          "spark.sql.adaptive.skewJoin.enabled")}
+                                          "spark.sql.adaptive.skewJoin.enabled",
+                                          "spark.sql.execution.arrow.maxBytesPerBatch")}
 
 
 def _is_local(spark: SparkSession) -> bool:
