@@ -30,7 +30,7 @@ def _qualified(spark: SparkSession, p: str) -> tuple[str, bool]:
     return q.rstrip("/") or "/", bool(fs.getFileStatus(hp).isDirectory())
 
 
-def ingest_files(spark: SparkSession, paths: str | list[str], glob: str | None = "*.pdf",
+def ingest_files(spark: SparkSession, paths, glob: str | None = "*.pdf",
                  recursive: bool = False, max_bytes: int | None = None, report_empty: bool = True
                  ) -> tuple[DataFrame, DataFrame]:
     """O1/O2: read files (single paths, directories or globs) with the binary file source.
@@ -44,8 +44,17 @@ def ingest_files(spark: SparkSession, paths: str | list[str], glob: str | None =
     found by anti-joining Spark's own file listing (``inputFiles``, already
     held by the driver for planning) and become extraction failures.
     """
-    if isinstance(paths, str):
+    import os
+
+    # one path or many; str or path objects.  On a local default file system a relative path
+    # resolves against the process's working folder (as the reference does); otherwise Hadoop
+    # resolves it against the file system's working folder.
+    if isinstance(paths, (str, os.PathLike)):
         paths = [paths]
+    paths = [os.fspath(p) for p in paths]
+    default_fs = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+    if default_fs.startswith("file:"):
+        paths = [p if (":" in p.split("/", 1)[0]) else os.path.abspath(p) for p in paths]
     has_glob = [p for p in paths if any(ch in p for ch in "*?[")]
     existing = [p for p in paths if p in has_glob or path_exists(spark, p)]
     missing = [p for p in paths if p not in existing]

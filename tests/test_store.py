@@ -180,3 +180,15 @@ def test_two_streams_into_one_store(spark, scratch):
         q.awaitTermination(120)
     assert sorted(os.path.basename(r.pdf_path) for r in store.read_catalog(spark, root).collect()) == \
         ["one.pdf", "two.pdf"]
+
+
+def test_ingest_accepts_path_objects_and_relative_paths(spark, scratch, monkeypatch):
+    import pathlib
+
+    _write(scratch, "p.pdf", b"path object")
+    one, _ = ingest_files(spark, pathlib.Path(scratch) / "p.pdf")
+    assert [os.path.basename(r.path) for r in one.collect()] == ["p.pdf"]
+    monkeypatch.chdir(scratch)
+    rel, fails = ingest_files(spark, "p.pdf")
+    got = file_identity(rel).collect()
+    assert [r.pdf_path for r in got] == [os.path.join(scratch, "p.pdf")] and fails.count() == 0
