@@ -190,15 +190,16 @@ def lookup(catalog: DataFrame, requests: DataFrame, id_col: str = "id_text") ->
     decides ok / not_found.
     """
     req = requests.withColumn("id_kind", S.id_kind(id_col))
-    by_p8 = catalog.select(S.short_id("id").alias("_p8"), "id")
-    wanted8 = req.where(F.col("id_kind") == "short").select(id_col)
-    short = (_restrict(by_p8, "_p8", wanted8)
-             .groupBy("_p8").agg(F.count(F.lit(1)).alias("_n8"), F.min("id").alias("_id8")))
+    # every row a request can name shares its first 8 characters with the request: filter the
+    # catalog by those prefixes (keys from the requests alone, so counting them is cheap)
+    p8 = req.where(F.col("id_kind") != "invalid").select(S.short_id(id_col))
+    cat = _restrict(catalog.withColumn("_p8", S.short_id("id")), "_p8", p8)
+    short = cat.groupBy("_p8").agg(F.count(F.lit(1)).alias("_n8"), F.min("id").alias("_id8"))
     j = req.join(short, (F.col("id_kind") == "short") & (req[id_col] == short["_p8"]), "left")
     cand = (F.when(F.col("id_kind") == "full", F.col(id_col))
             .when((F.col("id_kind") == "short") & (F.col("_n8") == 1), F.col("_id8")))
     j = j.withColumn("_cand", cand)
-    rows = normalise(_restrict(catalog, "id", j.select("_cand"))).withColumnRenamed("id", "_rid")
+    rows = normalise(cat.drop("_p8")).withColumnRenamed("id", "_rid")
     out = j.join(rows, j["_cand"] == rows["_rid"], "left")
     status = (F.when(F.col("id_kind") == "invalid", "invalid")
               .when(F.col("id_kind") == "full",
@@ -213,11 +214,15 @@ def lookup(catalog: DataFrame, requests: DataFrame, id_col: str = "id_text") ->
 
 def delete_ids(catalog: DataFrame, ids: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
     """(remaining catalog, outcome per requested id with ``deleted``)."""
-    from ..plans.strategies import broadcast_if_small
+    from ..plans.strategies import row_count_at_most
 
     targets = ids.select(F.col(id_col).alias("id")).where("id is not null").distinct()
-    remaining = catalog.join(broadcast_if_small(targets, 2_000_000), "id", "left_anti")
-    present = _restrict(catalog, "id", targets).select(F.col("id").alias("_hit"))
+    if row_count_at_most(targets, REQUEST_BROADCAST_MAX):  # counted once, used by both joins
+        remaining = catalog.join(F.broadcast(targets), "id", "left_anti")
+        present = catalog.join(F.broadcast(targets), "id", "left_semi").select(F.col("id").alias("_hit"))
+    else:
+        remaining = catalog.join(targets, "id", "left_anti")
+        present = catalog.select(F.col("id").alias("_hit"))
     outcome = (targets.join(present, targets["id"] == present["_hit"], "left")
                .select("id", F.col("_hit").isNotNull().alias("deleted")))
     return remaining, outcome
@@ -226,7 +231,10 @@ def delete_ids(catalog: DataFrame, ids: DataFrame, id_col: str = "id") -> tuple[
 def resolve_and_delete(catalog: DataFrame, prefixes: DataFrame, col: str = "prefix"
                        ) -> tuple[DataFrame, DataFrame]:
     """Resolve each prefix; delete the ones that name exactly one row."""
-    res = resolve_prefixes(catalog, prefixes, col)
+    from ..plans.strategies import materialize
+
+    # written once: the delete's size check and its joins then read the resolution, not re-run it
+    res = materialize(resolve_prefixes(catalog, prefixes, col), "resolved-prefixes")
     ids = res.where("status = 'one'").select(F.col("matched_id").alias("id"))
     remaining, _ = delete_ids(catalog, ids)
     return remaining, res
@@ -238,7 +246,11 @@ def delete_requests(catalog: DataFrame, requests: DataFrame, id_col: str = "id_t
 
     Returns (remaining catalog, outcome per request: status and deleted id).
     """
-    looked = lookup(catalog, requests, id_col)
+    from ..plans.strategies import materialize
+
+    # written once: the delete's size check and its joins then read the lookup, not re-run it
+    looked = materialize(lookup(catalog, requests, id_col).select(
+        *requests.columns, "id_kind", "status", "resolved_id"), "looked-up")
     ids = looked.where("status = 'ok'").select(F.col("resolved_id").alias("id"))
     remaining, _ = delete_ids(catalog, ids)
     outcome = looked.select(*requests.columns, "id_kind", "status",
