@@ -23,3 +23,20 @@ def test_all_queries_run_on_smallest_data(spark):
         df = fn(spark, SF)
         assert df.columns, name
         df.limit(1).collect()
+
+
+# single-partition exchanges that are bounded by design: the per-partition offsets of the global
+# position (one row per partition) and the item limit (a top-n is the feature)
+SINGLE_PARTITION_OK = {"list_summaries", "list_view", "list_view_full_id", "limit_items"}
+
+
+def test_plans_have_no_cross_joins_or_single_partition_bottlenecks(spark):
+    from .conftest import SF
+
+    for name, fn in E.queries().items():
+        if name in ("ingest_files", "stream_ingest"):
+            continue  # these write files and run a stream while being built
+        plan = fn(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+        if name not in SINGLE_PARTITION_OK:
+            assert "SinglePartition" not in plan, name
