@@ -223,3 +223,17 @@ def test_small_request_batch_filters_catalog_map_side(spark, scratch, cat):
     assert [r.found for r in C.get_many(df, ids).collect()] == [True]
     # beyond the bound the catalog is used whole (shuffle join), same answer
     assert C._restrict(df, "id", ids.select("id_text"), max_broadcast=0).count() == 4
+
+
+def test_hot_path_latest_is_partially_aggregated(spark):
+    n = 3000
+    df = spark.range(n).selectExpr(
+        "lpad(cast(id as string), 36, '0') as id",
+        "case when id % 3 = 0 then '/hot.pdf' else concat('/p', cast(id as string), '.pdf') end as pdf_path",
+        "'h' as pdf_hash", "1L as page_count", "'s' as summary", "'short' as length", "'m' as model",
+        "timestamp_seconds(1767225600 + id) as created_at", "1L as tokens_in", "1L as tokens_out",
+        "1L as latency_ms")
+    out = C.latest_per_path(df)
+    got = {r.pdf_path: r.id for r in out.collect()}
+    assert got["/hot.pdf"] == str(2997).zfill(36) and len(got) == 1 + n - n // 3
+    assert "partial_max_by" in out._jdf.queryExecution().executedPlan().toString()

@@ -128,3 +128,17 @@ def test_summarize_chunked_levels_and_failures(spark):
     assert bad[2].stage == "summarize" and bad[1].stage is None
     few = {r.doc_id: r for r in summarize_chunked(docs, ST.PrefixSummarizer, 20, 4, max_levels=1).collect()}
     assert few[2].stage == "summarize" and "levels" in few[2].message
+
+
+def test_hot_hash_dedup_is_partially_aggregated(spark):
+    # a third of all files are copies of one content
+    n = 3000
+    files = spark.range(n).selectExpr(
+        "id as doc_id", "concat('/f/', lpad(cast(id as string), 5, '0')) as pdf_path",
+        "case when id % 3 = 0 then 'hot' else concat('h', cast(id as string)) end as pdf_hash")
+    catalog = spark.createDataFrame([("h1",)], "pdf_hash string")
+    out = ST.skip_seen(files, catalog, ["pdf_path", "doc_id"])
+    rows = {r.pdf_hash: r.pdf_path for r in out.collect()}
+    assert rows["hot"] == "/f/00000" and "h1" not in rows and len(rows) == 1 + (n - n // 3) - 1
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min_by" in plan  # map-side combine before the shuffle
