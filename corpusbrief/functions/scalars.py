@@ -137,9 +137,11 @@ def parse_iso_timestamp(c: str | Column) -> Column:
     return col_(c).try_cast("timestamp")
 
 
-def budget_from_limit(max_input: str | Column, fallback: int = 32000) -> Column:
-    """80 % of a positive max input, truncated to an integer; otherwise the fallback."""
+def budget_from_limit(max_input: str | Column, fallback: int = 32000, share: tuple[int, int] = (8, 10)
+                      ) -> Column:
+    """``share`` (80 %) of a positive max input, truncated to an integer; otherwise the fallback."""
     m = col_(max_input)
+    num, den = share
     # m * 8 / 10 is exact in double for every limit below 2**50, so floor is the int() of the reference
-    return (F.when(m > 0, F.floor(m * F.lit(8) / F.lit(10)).cast("bigint"))
+    return (F.when(m > 0, F.floor(m * F.lit(num) / F.lit(den)).cast("bigint"))
             .otherwise(F.lit(fallback).cast("bigint")))

@@ -21,6 +21,9 @@ from ..plans.strategies import broadcast_if_small, spread
 from ..schemas import DEFAULT_LENGTH
 
 ERROR_COLS = ("stage", "error_class", "message")
+# The reference's chunk budget is 80 % of the model's max input tokens,
+# and 32,000 tokens when the limit is unknown or not positive.
+BUDGET_SHARE = (8, 10)
 DEFAULT_BUDGET_TOKENS = 32000
 
 
@@ -163,6 +166,8 @@ def summarize(docs: DataFrame, factory: Callable[[], Callable[..., Digest]],
 
 # ------------------------------------------------------------------ O27 prefix summariser (test double)
 
+# The reference's test summariser keeps the first 30 characters and reports
+# usage of 100 tokens in, 50 tokens out, 1 ms.
 PREFIX_CHARS = 30
 PREFIX_USAGE = (100, 50, 1)
 
@@ -271,7 +276,7 @@ def chunk_budget(docs: DataFrame, models: DataFrame, fallback: int = DEFAULT_BUD
     on = on or [c for c in ("provider", "model") if c in docs.columns and c in models.columns]
     m = broadcast_if_small(models.select(*on, "max_input_tokens"))
     return (docs.join(m, on, "left")
-            .withColumn("budget_tokens", S.budget_from_limit(F.col("max_input_tokens"), fallback))
+            .withColumn("budget_tokens", S.budget_from_limit(F.col("max_input_tokens"), fallback, BUDGET_SHARE))
             .drop("max_input_tokens"))
 
 
