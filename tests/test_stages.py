@@ -142,3 +142,16 @@ def test_hot_hash_dedup_is_partially_aggregated(spark):
     assert rows["hot"] == "/f/00000" and "h1" not in rows and len(rows) == 1 + (n - n // 3) - 1
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "partial_min_by" in plan  # map-side combine before the shuffle
+
+
+def test_pdf_extractor_is_gated_on_an_installed_library():
+    import importlib.util
+
+    have = any(importlib.util.find_spec(m) for m in ("pypdf", "pypdfium2"))
+    if have:
+        assert callable(ST.pdf_extractor())
+    else:
+        import pytest
+
+        with pytest.raises(ImportError, match="no PDF library"):
+            ST.pdf_extractor()
