@@ -51,6 +51,23 @@ def keyed(docs: DataFrame, id_col: str, order: list[str], name: str = "_key") ->
                        .withColumn(name, F.monotonically_increasing_id()), "keyed")
 
 
+def later_copies(rows: DataFrame, partitions: int) -> DataFrame:
+    """The (key, pos) of rows whose digest (d1, d2) also has a row with a smaller (key, pos).
+
+    Callers combine copies per batch first, so a digest has at most one row a batch here.
+    """
+    def run(batches):
+        parts = [np.stack([b.column(i).to_numpy() for i in range(4)]) for b in batches]
+        if parts:
+            x = np.concatenate(parts, axis=1)
+            x = x[:, np.lexsort((x[1], x[0], x[3], x[2]))]
+            x = x[:2, 1:][:, (x[2:, 1:] == x[2:, :-1]).all(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1])], names=["key", "pos"])
+
+    return (rows.select("key", "pos", "d1", "d2").repartition(partitions, "d1", "d2")
+            .mapInArrow(run, "key long, pos long"))
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of each text of an Arrow column (None for NULL)."""
     big = pa.types.is_large_string(column.type)

@@ -14,7 +14,6 @@ an empty table gives an empty table.  Only id and text are read.
 """
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.strategies import materialize
-from .common import keyed, shuffle_partitions, table
+from .common import keyed, later_copies, shuffle_partitions, table
 
 LINE = re.compile(r"\n")
 PARAGRAPH = re.compile(r"\n[\x09\x0b-\x0d\x20]*\n")
@@ -74,27 +73,13 @@ def unit_table(docs: DataFrame, cut: re.Pattern, min_words: int) -> DataFrame:
     return docs.select("_key", "text").mapInArrow(run, "key long, pos long, d1 long, d2 long, later boolean")
 
 
-def later_copies(rows: DataFrame) -> DataFrame:
-    """The (key, pos) of rows whose digest (d1, d2) also has a row with a smaller (key, pos)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [np.stack([b.column(i).to_numpy() for i in range(4)]) for b in batches]
-        if parts:
-            x = np.concatenate(parts, axis=1)
-            x = x[:, np.lexsort((x[1], x[0], x[3], x[2]))]
-            x = x[:2, 1:][:, (x[2:, 1:] == x[2:, :-1]).all(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1])], names=["key", "pos"])
-
-    n = shuffle_partitions(rows.sparkSession, rows.count())
-    return rows.select("key", "pos", "d1", "d2").repartition(n, "d1", "d2").mapInArrow(run, "key long, pos long")
-
-
 def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line",
                 min_words: int = 5) -> DataFrame:
     """(id, n_units, n_removed, removed: spans in the original text, kept: the remaining text)."""
     cut = {"line": LINE, "paragraph": PARAGRAPH}[unit]
     rows = keyed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", ["text"])
     found = materialize(unit_table(rows, cut, min_words), "units")
-    gone = found.where("later").select("key", "pos").unionByName(later_copies(found.where("not later")))
+    gone = found.where("later").select("key", "pos").unionByName(later_copies(found.where("not later"), shuffle_partitions(docs.sparkSession, found.count())))
     gone = gone.groupBy("key").agg(F.array_sort(F.collect_list("pos")).alias("gone"))  # of one document
     both = rows.join(gone, rows._key == gone.key, "left").select("id", "text", "gone")
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
