@@ -276,3 +276,26 @@ def op1_decontam_automaton(spark, sf_dir) -> DataFrame:
 
 def stage(spark, docs, sf_dir) -> DataFrame:
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+SQL = r"""
+WITH doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+item_words AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+items AS (SELECT item_id, w, least(10, len(w)) AS size FROM item_words WHERE len(w) > 0),
+windows AS (
+  SELECT DISTINCT item_id, size, array_to_string(w[p:p + size - 1], ' ') AS win
+  FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS p FROM items)),
+places AS (
+  SELECT doc_id, p, size, array_to_string(w[p:p + size - 1], ' ') AS win
+  FROM (SELECT d.*, s.size, unnest(range(1, len(w) - s.size + 2)) AS p FROM doc_words d JOIN (SELECT DISTINCT size FROM windows) s ON len(w) >= s.size)),
+hits AS (SELECT doc_id, p, size, item_id FROM places JOIN windows USING (size, win)),
+hit_words AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest(range(p, p + size)) AS i FROM hits) GROUP BY doc_id),
+hit_items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(i.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN hit_words h USING (doc_id) LEFT JOIN hit_items i USING (doc_id)
+"""

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import prep, table
 
 LETTER = re.compile(r"[^\W\d_]")
 N = 5
@@ -200,6 +200,7 @@ def stage(spark, docs, sf_dir, min_score: float = 0.3, sure: int = 200) -> DataF
 
     Shorter texts are too little evidence against a document and stay.
     """
+    prep(spark)
     shared = spark.sparkContext.broadcast(learn(docs))
     at = docs.columns.index("text")
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.strategies import materialize
-from .common import table
+from .common import prep, table
 
 END = 1
 # texts of these characters are cut at white space alike by str.split() and by the tokenizer, and none of
@@ -278,4 +278,5 @@ def op9_packing_mt(spark, sf_dir) -> DataFrame:
 
 def stage(spark, docs, sf_dir) -> DataFrame:
     """The last stage: the pieces of every document and their places."""
+    prep(spark)
     return pack_documents(docs)

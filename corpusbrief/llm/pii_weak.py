@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import prep, table
 
 KINDS = ("email", "ip", "card", "phone")
 DIGIT = re.compile("[0-9]")
@@ -267,6 +267,7 @@ def op4_pii_weak(spark, sf_dir) -> DataFrame:
 
 def stage(spark, docs, sf_dir, threshold: float = 0.8) -> DataFrame:
     """Every document stays; its personal data is replaced by [EMAIL], [IP], [CARD] or [PHONE]."""
+    prep(spark)
     shared = spark.sparkContext.broadcast(learn(docs))
     names, at = docs.columns, docs.columns.index("text")
 
