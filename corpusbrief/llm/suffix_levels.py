@@ -10,14 +10,16 @@ consecutive starts with one anchor and holds the hash of the anchor's gram, the
 context, and the run's position; the array is sorted by these hashes, so equal suffix pieces are neighbours.
 
 1. Scan: each task makes the array of a batch of text.  Of equal runs only the first leaves the task; the
-   others are decided.  An anchor with different contexts inside one batch is already known to be mixed:
-   its runs are cut into single strings, which are combined the same way, and one row says so.  A key
-   therefore costs at most a row or two a batch, however frequent it is.
+   others are decided.  An anchor with more than BATCH_RUNS contexts inside one batch is hot: its runs are
+   cut into single strings, which are combined the same way, and one row says so.  A key therefore
+   costs at most BATCH_RUNS rows a batch, however frequent it is.
 2. Family: entries meet by anchor, in order of position.  Each arriving batch is sorted and merge-scanned
    against the existing levels; what is found there starts earlier.  The rest becomes a new level, and
    levels of equal size merge geometrically.  Anchors that end up with several contexts are mixed.
-3. The runs of mixed anchors are cut into single strings (hash of all ``length`` bytes), which are compared
-   globally.  4. All ranges meet their document, whose bytes are cut.
+3. The runs of mixed anchors fetch their bytes.  Those of an anchor with up to GROUP_RUNS contexts meet by
+   anchor and are compared there, string by string; those of hot anchors are cut into single strings at
+   once, combined per batch, and meet by string, so no anchor is too large for a task.
+4. All ranges meet their document, whose bytes are cut.
 
 Two strings count as equal if the 64-bit hash of the anchor's gram and the 64-bit hash of the string (two
 different polynomials) both agree.
@@ -32,15 +34,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.strategies import materialize
-from .common import keyed, later_copies, shuffle_partitions, table
+from .common import keyed, shuffle_partitions, table
 
 GRAM = 32
 BLOCK = 1 << 22  # bytes of text that a task hashes and combines at once
+BATCH_RUNS, GROUP_RUNS = 8, 256  # from more contexts on, an anchor's strings are spread over tasks
 U = np.uint64
 
 
@@ -125,6 +129,13 @@ def neighbours(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.r_[False, (a[1:] == a[:-1]) & (b[1:] == b[:-1])] if len(a) else np.zeros(0, bool)
 
 
+def group_sizes(a: np.ndarray) -> np.ndarray:
+    """For sorted ``a``: how many rows have the row's value."""
+    first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
+    n = np.diff(np.r_[first, len(a)])
+    return np.repeat(n, n)
+
+
 def expand(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     """first[i], first[i] + 1, ... n[i] numbers each, one after the other."""
     total = np.cumsum(n)
@@ -146,9 +157,9 @@ def batch(kind: int, a, b, key, start, n) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), kind, np.int32)), *part], names=NAMES)
 
 
-# kind RUN: anchor, context, position and number of starts (0: the anchor is mixed); STRING: anchor, hash of one
-# string, position; GONE: position and number of starts that repeat earlier ones; MIXED: anchor, position, number
-RUN, STRING, GONE, MIXED = range(4)
+# kind RUN: anchor, context, position and number of starts (0: the anchor is hot); STRING: anchor, hash of one
+# string, position; GONE: position and number of starts that repeat earlier ones; FEW, HOT: runs of mixed anchors
+RUN, STRING, GONE, FEW, HOT = range(5)
 NAMES = ["kind", "a", "b", "key", "start", "n"]
 ROWS = "kind int, a long, b long, key long, start long, n long"
 
@@ -172,8 +183,7 @@ def scan(docs: DataFrame, length: int, kind: int) -> DataFrame:
         if kind == GONE:
             yield from batch(GONE, a[again], b[again], key[again], start[again], n[again])
         a, b, key, start, n, place = (c[~again] for c in (a, b, key, start, n, place))
-        near = np.r_[False, a[1:] == a[:-1], False] if len(a) else np.zeros(1, bool)
-        mixed = near[1:] | near[:-1]
+        mixed = group_sizes(a) > BATCH_RUNS
         if kind == RUN:
             yield from batch(RUN, *(c[~mixed] for c in (a, b, key, start, n)))
             one = np.unique(a[mixed])
@@ -233,15 +243,16 @@ class Levels:
         return i[again]
 
     def mixed_runs(self) -> tuple:
-        """(anchor, key, start, n) of the runs whose anchor has several contexts."""
+        """(anchor, key, start, n, hot) of the runs whose anchor has several contexts."""
         if not self.levels:
-            return (np.zeros(0, np.int64),) * 4
+            return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, bool),)
         _, a, key, start, n = (np.concatenate(c) for c in zip(*self.levels))
         o = np.argsort(a, kind="stable")
         a, key, start, n = a[o], key[o], start[o], n[o]
-        near = np.r_[False, a[1:] == a[:-1], False]
-        pick = near[1:] | near[:-1] | np.isin(a, np.concatenate(self.mixed))
-        return a[pick], key[pick], start[pick], n[pick]
+        size = group_sizes(a)
+        hot = (size > GROUP_RUNS) | np.isin(a, np.concatenate(self.mixed))
+        pick = hot | (size > 1)
+        return a[pick], key[pick], start[pick], n[pick], hot[pick]
 
 
 def family(runs: DataFrame, partitions: int) -> DataFrame:
@@ -256,52 +267,135 @@ def family(runs: DataFrame, partitions: int) -> DataFrame:
             return batch(GONE, a[i], b[i], key[i], start[i], n[i])
 
         for rb in batches:
-            held.append([rb.column(c).to_numpy() for c in range(1, 6)])
+            a, b, key, packed = (rb.column(c).to_numpy() for c in range(4))
+            held.append([a, b, key, packed >> 16, packed & 0xFFFF])
             size += len(rb)
             if size >= 1 << 16:
                 yield from flush()
                 size = 0
         if held:
             yield from flush()
-        a, key, start, n = levels.mixed_runs()
-        yield from batch(MIXED, a, a, key, start, n)
+        *cols, hot = levels.mixed_runs()
+        for kind, pick in ((FEW, ~hot), (HOT, hot)):
+            a, key, start, n = (c[pick] for c in cols)
+            yield from batch(kind, a, a, key, start, n)
+
+    packed = F.shiftleft("start", 16).bitwiseOR(F.col("n")).alias("packed")  # a run has fewer than 2^16 starts
+    return (runs.select("a", "b", "key", packed).repartition(partitions, "a").sortWithinPartitions("key", "packed")
+            .mapInArrow(run, ROWS))
+
+
+def packed_texts(rows: DataFrame) -> DataFrame:
+    """(id, _key, z): the texts as zstd bytes, for the shuffles to their ranges."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_text = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            z = pa.array([zip_text(t or b"") for t in b.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), z], names=["id", "_key", "z"])
 
-    return runs.repartition(partitions, "a").sortWithinPartitions("key", "start").mapInArrow(run, ROWS)
+    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("_key", T.LongType()),
+                           T.StructField("z", T.BinaryType())])
+    return rows.select("id", "_key", F.col("text").cast("binary")).mapInArrow(run, schema)
 
 
-def cut_strings(docs: DataFrame, mixed: DataFrame, length: int) -> DataFrame:
-    """STRING rows of the runs ``mixed`` (a, key, start, n), one document's runs with its text."""
-    runs = mixed.groupBy("key").agg(F.collect_list(F.struct("a", "start", "n")).alias("runs"))
-    both = docs.select("_key", F.col("text").cast("binary").alias("text")).join(runs, F.col("_key") == F.col("key"))
+def fetch(docs: DataFrame, mixed: DataFrame, length: int) -> DataFrame:
+    """FEW rows with their bytes, and STRING and GONE rows of the HOT runs, from each document's own runs."""
+    runs = mixed.groupBy("key").agg(F.collect_list(F.struct("kind", "a", "start", "n")).alias("runs"))
+    both = docs.join(runs, F.col("_key") == F.col("key")).select("_key", "z", "runs")
 
     def emit(second: Rolling, rows: list) -> Iterator[pa.RecordBatch]:
-        data = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
-        second.load(data)
-        n = np.array([len(r[3]) - length + 1 for r in rows])
-        place = np.cumsum([0, *(len(r[3]) for r in rows)])[:-1]
-        h = second.all(length)[expand(place, n)]
-        a, key, start = (np.array(c, np.int64) for c in zip(*(r[:3] for r in rows)))
-        a, b, key, start, again = combined(np.repeat(a, n).view(U), h, np.repeat(key, n), expand(start, n))
-        yield from batch(STRING, *(c[~again] for c in (a, b, key, start, start)))
-        yield from gone_starts(key[again], start[again])
+        a, h, key, start = strings_of(second, rows, length)
+        a, b, key, start, again = combined(a, h, key, start)
+        for rb in (*batch(STRING, *(c[~again] for c in (a, b, key, start, start))), *gone_starts(key[again], start[again])):
+            yield with_bytes(rb)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        second, rows, held = Scanner(length).second, [], 0
+        second, hot, held, unzip = Scanner(length).second, [], 0, zstandard.ZstdDecompressor().decompress
         for rb in batches:
-            for key, t, own in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), rb.column(2).to_pylist()):
+            few = []
+            for key, z, own in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), rb.column(2).to_pylist()):
+                t = unzip(z)
                 for r in own:
-                    for at in range(0, r["n"], BLOCK // 2):
-                        s = r["start"] + at
-                        p = t[s:s + min(r["n"] - at, BLOCK // 2) + length - 1]
-                        if held + len(p) > BLOCK:
-                            yield from emit(second, rows)
-                            rows, held = [], 0
-                        rows.append((r["a"], key, s, p))
-                        held += len(p)
-        if rows:
-            yield from emit(second, rows)
+                    row = (r["a"], key, r["start"], t[r["start"]:r["start"] + r["n"] + length - 1])
+                    if r["kind"] == FEW:
+                        few.append(row)
+                        continue
+                    if held + len(row[3]) > BLOCK:
+                        yield from emit(second, hot)
+                        hot, held = [], 0
+                    hot.append(row)
+                    held += len(row[3])
+            if few:
+                a, key, start, text = zip(*few)
+                zero = np.zeros(len(few), np.int64)
+                at = 0
+                for part in batch(FEW, np.array(a), zero, np.array(key), np.array(start), zero):
+                    yield with_bytes(part, text[at:at + len(part)])
+                    at += len(part)
+        if hot:
+            yield from emit(second, hot)
+
+    return both.mapInArrow(run, ROWS + ", bytes binary")
+
+
+def with_bytes(rb: pa.RecordBatch, texts: tuple | None = None) -> pa.RecordBatch:
+    last = pa.nulls(len(rb), pa.binary()) if texts is None else pa.array(texts, pa.binary())
+    return pa.RecordBatch.from_arrays([*rb.columns, last], names=[*NAMES, "bytes"])
+
+
+def strings_of(second: Rolling, rows: list[tuple], length: int) -> tuple:
+    """(a, hash, key, start) of every string of the runs (a, key, start, bytes)."""
+    second.load(np.frombuffer(b"".join(r[3] for r in rows), np.uint8))
+    size = np.array([len(r[3]) for r in rows])
+    n = size - length + 1
+    a, key, start = (np.array(c, np.int64) for c in zip(*(r[:3] for r in rows)))
+    return np.repeat(a, n).view(U), second.all(length)[expand(np.cumsum(size) - size, n)], np.repeat(key, n), expand(start, n)
+
+
+def compare(rows: DataFrame, length: int, partitions: int) -> DataFrame:
+    """GONE rows of all strings that start earlier in another row of their anchor (FEW) or hash (STRING)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        second, held, size = Scanner(length).second, [], 0
+
+        def flush():
+            t = pa.Table.from_batches(held)
+            kind, (a, b, key, start) = t["kind"].to_numpy(), (t[c].to_numpy() for c in NAMES[1:5])
+            few = np.flatnonzero(kind == FEW)
+            texts, one = t["bytes"].take(pa.array(few)).to_pylist(), kind == STRING
+            found = [[a[one].view(U), b[one].view(U), key[one], start[one]]]
+            at = 0
+            while at < len(few):  # whole anchors, about a block at a time
+                end, total = at, 0
+                while end < len(few) and (total < BLOCK // 2 or a[few[end]] == a[few[end - 1]]):
+                    total += len(texts[end])
+                    end += 1
+                i = few[at:end]
+                found.append(strings_of(second, list(zip(a[i].tolist(), key[i].tolist(), start[i].tolist(), texts[at:end])), length))
+                at = end
+            for f in found:
+                _, _, k, s, again = combined(*f)
+                yield from gone_starts(k[again], s[again])
+            g = kind == GONE
+            yield from batch(GONE, a[g], b[g], key[g], start[g], t["n"].to_numpy()[g])
+
+        for rb in batches:  # sorted by p: equal p stay together
+            p = rb.column("p").to_numpy()
+            if held and size >= 1 << 14 and p[0] != held[-1].column("p")[-1].as_py():
+                yield from flush()
+                held, size = [], 0
+            elif size >= 1 << 14:
+                cut = int(np.argmax(p != p[0])) if p[-1] != p[0] else 0
+                if cut:
+                    held.append(rb.slice(0, cut))
+                    yield from flush()
+                    held, size, rb = [], 0, rb.slice(cut)
+            held.append(rb)
+            size += len(rb)
+        if held:
+            yield from flush()
 
-    return both.select("_key", "text", "runs").mapInArrow(run, ROWS)
+    p = F.when(F.col("kind") == FEW, F.col("a")).otherwise(F.xxhash64("kind", "a", "b", F.when(F.col("kind") == GONE, F.col("start"))))
+    return rows.withColumn("p", p).repartition(partitions, "p").sortWithinPartitions("p").mapInArrow(run, ROWS)
 
 
 def merged(ranges: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -320,23 +414,24 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     rows = keyed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", ["text"])
     parts = shuffle_partitions(spark)
+    packed = packed_texts(rows)
     found = materialize(family(scan(rows, length, RUN), parts), "suffix-levels")
-    cut = materialize(cut_strings(rows, found.where(F.col("kind") == MIXED), length), "strings")
-    strings = scan(rows, length, STRING).unionByName(cut.where(F.col("kind") == STRING))
-    again = later_copies(strings.select("key", F.col("start").alias("pos"), F.col("a").alias("d1"), F.col("b").alias("d2")), parts)
-    gone = (scan(rows, length, GONE).unionByName(found.where(F.col("kind") == GONE)).unionByName(cut.where(F.col("kind") == GONE))
-            .select("key", "start", "n").unionByName(again.select("key", F.col("pos").alias("start"), F.lit(1).cast("bigint").alias("n"))))
+    cut = fetch(packed, found.where(F.col("kind").isin(FEW, HOT)), length)
+    hot = scan(rows, length, STRING).withColumn("bytes", F.lit(None).cast("binary"))
+    compared = materialize(compare(cut.unionByName(hot), length, parts), "strings")
+    gone = scan(rows, length, GONE).unionByName(found.where(F.col("kind") == GONE)).unionByName(compared)
     gone = gone.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("gone"))  # of one document
-    both = rows.join(gone, F.col("_key") == F.col("key"), "left").select("id", F.col("text").cast("binary").alias("text"), "gone")
+    both = packed.join(gone, F.col("_key") == F.col("key"), "left").select("id", "z", "gone")
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()),
                            T.StructField("removed", T.ArrayType(span)), T.StructField("kept", T.BinaryType())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unzip = zstandard.ZstdDecompressor().decompress
         for b in batches:
             size, spans, kept = [], [], []
-            for t, g in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                t = t or b""
+            for z, g in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                t = unzip(z)
                 m = merged([(x["start"], x["n"]) for x in g or ()], length)
                 out, last = [], 0
                 for s, e in m:
