@@ -10,8 +10,8 @@ from ..plans.strategies import materialize
 from ..session import DEFAULT_CONF, ensure_checkpoint_dir, scratch_path  # noqa: F401
 
 # Python stages get small Arrow batches: texts may be long
-ARROW_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-              "spark.sql.execution.arrow.maxBytesPerBatch": str(8 * 1024 * 1024)}
+ARROW_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+              "spark.sql.execution.arrow.maxBytesPerBatch": str(4 * 1024 * 1024)}
 JOIN_CONF = {k: DEFAULT_CONF[k] for k in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled",
                                           "spark.sql.autoBroadcastJoinThreshold")}
 # a join side is broadcast only by its measured size, at most this much

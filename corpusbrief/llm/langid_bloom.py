@@ -149,7 +149,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 g = np.unique(grams(normalise(t)))  # documents that contain it
                 found.setdefault(code[lang], []).append(g)
                 held += len(g)
-                if held > 4_000_000:
+                if held > 1_500_000:
                     yield from flush()
                     held = 0
         yield from flush()

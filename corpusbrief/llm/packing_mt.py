@@ -22,6 +22,7 @@ import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,73 +32,116 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.strategies import materialize
-from .common import prep, table
+from .common import blocks, prep, table
 
 END = 1
-# texts of these characters are cut at white space alike by str.split() and by the tokenizer, and none of
-# their words changes with its neighbours; the others go to the tokenizer whole
-PLAIN = re.compile("[\t\n\r -~¡-ʯ‐-‧‰-⁞]*")
+# Texts of these characters only are cut into words here; others go to the tokenizer whole.  Of these characters
+# LETTER and NUMBER are all that Unicode counts as such, white space is the same for everyone, and no
+# character changes with its neighbours when a text is normalised.
+PLAIN = re.compile("[\t\n\r -~¡-įı-ʯ‐-‧‰-⁞]*")
 SPECIAL = "<|"
-CACHE = 300_000  # words a worker remembers; more are encoded again, with the same result
-
-
-class WordIds(dict):
-    """word -> number; the ids of word i are flat[start[i] : start[i] + size[i]]."""
-
-    def __init__(self, tokenizer) -> None:
-        super().__init__()
-        self.tokenizer = tokenizer
-        self.clear()
-
-    def clear(self) -> None:
-        super().clear()
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+LETTER, NUMBER = "a-zªµºß-öø-įı-ʯ", "0-9²³¹¼-¾"
+WORD = re.compile(f"'(?:[stmd]|re|ve|ll)|[{LETTER}]+|[{NUMBER}]|[^\\s{LETTER}{NUMBER}]+")  # the tokenizer's own cut
+CACHE = 150_000  # words in a generation of a worker's memory; forgotten words are encoded again, with the same result
+
+
+class WordIds:
+    """Token ids of texts, by a memory of words in two generations.
+
+    memory[word] = (place of its ids in ``flat``) * 256 + their number.  When the young generation is full it
+    becomes the old one; words still in use are taken over from there.
+    """
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        # the same model for words that are already normalised and cut
+        self.words = Tokenizer.from_file(path)
+        self.words.normalizer = normalizers.Sequence([])
+        self.words.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        ends = [i for w, i in self.words.get_vocab(with_added_tokens=False).items() if w.endswith("</w>")]
+        self.last = np.zeros(self.words.get_vocab_size() + 1, bool)  # ids that end a word
+        self.last[ends] = True
+        self.young, self.young_flat, self.used = {}, np.zeros(4 * CACHE, np.uint16), 0
+        self.old, self.old_flat = {}, np.zeros(0, np.uint16)
+
+    def add(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        """Remember words by their ids, all in one row."""
+        while self.used + len(ids) > len(self.young_flat):
+            self.young_flat = np.concatenate([self.young_flat, np.zeros_like(self.young_flat)])
+        self.young_flat[self.used:self.used + len(ids)] = ids
+        first = self.used + np.cumsum(size) - size
+        self.young.update(zip(words, (first << 8 | size).tolist()))
+        self.used += len(ids)
+
+    @staticmethod
+    def gather(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids at the remembered places, in one row, and the number of each."""
+        size = at & 255
+        first = np.cumsum(size) - size
+        return flat[np.repeat((at >> 8) - first, size) + np.arange(int(size.sum()))], size
 
     def learn(self, words: list[str]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else []):
-            ids, i = e.ids, len(self)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if i == len(self.start):
-                self.start, self.size = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.size))
-            self.flat[self.used:self.used + len(ids)] = ids
-            self.start[i], self.size[i] = self.used, len(ids)
-            self.used += len(ids)
-            self[w] = i
-
-    def ids(self, text: str) -> np.ndarray:
-        """The token ids of the whole text, as the tokenizer gives them."""
-        if SPECIAL in text or not PLAIN.fullmatch(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        parts, words = [], text.split()
-        for at in range(0, len(words), 100_000):
-            w = words[at:at + 100_000]
-            if len(self) > CACHE:
-                self.clear()
-            k = list(map(self.get, w))
-            if None in k:
-                self.learn([x for x, i in zip(w, k) if i is None])
-                k = list(map(self.__getitem__, w))
-            k = np.array(k, np.int64)
-            size, start = self.size[k], self.start[k]
-            before = np.cumsum(size) - size
-            parts.append(self.flat[np.repeat(start - before, size) + np.arange(int(size.sum()))])
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        words = list(dict.fromkeys(words))
+        at = list(map(self.old.get, words))
+        known = [w for w, k in zip(words, at) if k is not None]
+        if known:
+            self.add(known, *self.gather(self.old_flat, np.array([k for k in at if k is not None], np.int64)))
+        new = [w for w, k in zip(words, at) if k is None]
+        for i in range(0, len(new), 5000):
+            part = new[i:i + 5000]
+            rows = [" ".join(part[k:k + 50]) for k in range(0, len(part), 50)]
+            ids = np.concatenate([np.array(e.ids, np.int64) for e in self.words.encode_batch_fast(rows, add_special_tokens=False)])
+            end = np.flatnonzero(self.last[ids])
+            if len(end) != len(part):
+                raise ValueError("a word does not end with one end-of-word token")
+            self.add(part, ids, np.diff(np.r_[-1, end]))
+
+    def _known(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of the words in one row and the number of each; None if one has too many for the memory."""
+        if len(self.young) > CACHE:
+            self.old, self.old_flat = self.young, self.young_flat[:self.used].copy()
+            self.young, self.used = {}, 0
+        at = np.fromiter(map(self.young.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(at < 0).tolist()
+        if unknown:
+            new = [words[i] for i in unknown]
+            if len(max(new, key=len)) > 100:
+                return None
+            self.learn(new)
+            at[unknown] = list(map(self.young.__getitem__, new))
+        return self.gather(self.young_flat, at)
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The token ids of each whole text, as the tokenizer gives them; the texts are small together or one."""
+        plain = [SPECIAL not in t and PLAIN.fullmatch(t) is not None for t in texts]
+        words = [WORD.findall(t.lower()) if p else [] for t, p in zip(texts, plain)]
+        flat = list(chain.from_iterable(words))
+        parts = [self._known(flat[i:i + 200_000]) for i in range(0, len(flat), 200_000)]
+        if any(p is None for p in parts):  # a very long run of marks somewhere: each text by itself, or whole
+            if len(texts) > 1:
+                return [self.ids([t])[0] for t in texts]
+            plain = [False]
+        out = [np.zeros(0, np.uint16)] * len(texts)
+        if flat and any(plain):
+            size = np.cumsum(np.concatenate([[0], *(n for _, n in parts)]))
+            ends = size[np.cumsum([len(w) for w in words])]
+            out = np.split(np.concatenate([x for x, _ in parts]), ends[:-1])
+        return [x.astype("<u4") if p else np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4")
+                for x, p, t in zip(out, plain, texts)]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32, _task, _rank): _rank counts the task's pieces of that length."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        words, seen, task = WordIds(Tokenizer.from_file(tokenizer_path)), {}, TaskContext.get().partitionId()
+        words, seen, task = WordIds(tokenizer_path), {}, TaskContext.get().partitionId()
         for b in batches:
-            at, rows = [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                ids = np.append(words.ids(t or ""), np.uint32(END)).astype("<u4")
+            at, rows, texts = [], [], [t or "" for t in b.column(1).to_pylist()]
+            for i, ids in enumerate(x for k, e in blocks(texts, 1 << 20) for x in words.ids(texts[k:e])):
+                ids = np.append(ids, np.array(END, "<u4"))
                 for p, s in enumerate(range(0, len(ids), capacity)):
                     x = ids[s:s + capacity]
                     r = seen[len(x)] = seen.get(len(x), -1) + 1
