@@ -42,7 +42,7 @@ PLAIN = re.compile("[\t\n\r -~¡-įı-ʯ‐-‧‰-⁞]*")
 SPECIAL = "<|"
 LETTER, NUMBER = "a-zªµºß-öø-įı-ʯ", "0-9²³¹¼-¾"
 WORD = re.compile(f"'(?:[stmd]|re|ve|ll)|[{LETTER}]+|[{NUMBER}]|[^\\s{LETTER}{NUMBER}]+")  # the tokenizer's own cut
-CACHE = 150_000  # words in a generation of a worker's memory; forgotten words are encoded again, with the same result
+CACHE = 100_000  # words in a generation of a worker's memory; forgotten words are encoded again, with the same result
 
 
 class WordIds:
@@ -55,7 +55,7 @@ class WordIds:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.whole = Tokenizer.from_file(path)
+        self.path, self.tokenizer = path, None
         # the same model for words that are already normalised and cut
         self.words = Tokenizer.from_file(path)
         self.words.normalizer = normalizers.Sequence([])
@@ -67,6 +67,14 @@ class WordIds:
         self.young, self.young_flat, self.used = {}, np.zeros(4 * CACHE, np.uint16), 0
         self.old, self.old_flat = {}, np.zeros(0, np.uint16)
 
+    def whole(self, text: str) -> np.ndarray:
+        """The ids by the full tokenizer, which is loaded when first needed."""
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
     def add(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
         """Remember words by their ids, all in one row."""
         while self.used + len(ids) > len(self.young_flat):
@@ -119,7 +127,7 @@ class WordIds:
         plain = [SPECIAL not in t and PLAIN.fullmatch(t) is not None for t in texts]
         words = [WORD.findall(t.lower()) if p else [] for t, p in zip(texts, plain)]
         flat = list(chain.from_iterable(words))
-        parts = [self._known(flat[i:i + 200_000]) for i in range(0, len(flat), 200_000)]
+        parts = [self._known(flat[i:i + 50_000]) for i in range(0, len(flat), 50_000)]
         if any(p is None for p in parts):  # a very long run of marks somewhere: each text by itself, or whole
             if len(texts) > 1:
                 return [self.ids([t])[0] for t in texts]
@@ -129,8 +137,7 @@ class WordIds:
             size = np.cumsum(np.concatenate([[0], *(n for _, n in parts)]))
             ends = size[np.cumsum([len(w) for w in words])]
             out = np.split(np.concatenate([x for x, _ in parts]), ends[:-1])
-        return [x.astype("<u4") if p else np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4")
-                for x, p, t in zip(out, plain, texts)]
+        return [x.astype("<u4") if p else self.whole(t) for x, p, t in zip(out, plain, texts)]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, id_col: str = "doc_id",
@@ -140,7 +147,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, id_col: s
         words, seen, task = WordIds(tokenizer_path), {}, TaskContext.get().partitionId()
         for b in batches:
             at, rows, texts = [], [], [t or "" for t in b.column(1).to_pylist()]
-            for i, ids in enumerate(x for k, e in blocks(texts, 1 << 20) for x in words.ids(texts[k:e])):
+            for i, ids in enumerate(x for k, e in blocks(texts, 1 << 19) for x in words.ids(texts[k:e])):
                 ids = np.append(ids, np.array(END, "<u4"))
                 for p, s in enumerate(range(0, len(ids), capacity)):
                     x = ids[s:s + capacity]
