@@ -3,8 +3,8 @@
 Only vectors of one label (and one dimension) are compared.  Vectors are scaled to length one, where cosine >= c
 is distance <= eps with eps^2 = 2 - 2c.  Per group, pivots are drawn by a hash of the vector (``cell_rows``
 vectors a pivot, at most ``max_pivots`` in all: the proven bound of what is broadcast).  A vector belongs to the
-cell of its nearest pivot, and is replicated to every cell whose pivot is at most 2 eps further away: by
-the triangle inequality no other cell can hold a partner of it.  Cells join independently; each counts all
+cell of its nearest pivot, and is replicated to every cell whose pivot is at most 2 eps further away (by the
+triangle inequality no other cell can hold a partner of it) and whose half space comes within eps of it.  Cells join independently; each counts all
 links of its own vectors in blocks and emits, beside the counts, a spanning forest of its links.  A dense
 region draws many pivots, so its work is spread over as many cells.
 
@@ -115,7 +115,10 @@ def near_vectors(vectors: DataFrame, min_cosine: float = 0.98, id_col: str = "ve
                     x = unit_rows(piece.column(2))
                     d = distances(x, p)
                     home = d.argmin(1)
-                    i, cell = np.nonzero(d <= d.min(1, keepdims=True) + 2 * eps + MARGIN)
+                    near = d <= d.min(1, keepdims=True) + 2 * eps + MARGIN
+                    # a partner in cell j lies beyond the plane halfway between both pivots, so x is within eps of it
+                    near &= (x * p[home]).sum(1)[:, None] - x @ p.T <= eps * distances(p[home], p) + MARGIN
+                    i, cell = np.nonzero(near)
                     kind = pa.list_(pa.float64())
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(cell + start, pa.int64()), pa.array(cell == home[i]), piece.column(0).take(pa.array(i)),
