@@ -80,24 +80,10 @@ def tombstones(docs: DataFrame) -> DataFrame:
     return summaries_raw(docs).where("doc_id % 23 = 0").select("id")
 
 
-# Model limits of the reference's published model table, in
-# order, under neutral names (FIXTURES.md B.4).  m13 has no usable limit and m14
-# is absent, so both fall back to the default budget.
-MODEL_ROWS = [
-    ("gemini", "m01", 1048576, 65536, True),
-    ("gemini", "m02", 1048576, 65536, False),
-    ("gemini", "m03", 1048576, 65536, False),
-    ("gemini", "m04", 1048576, 65535, False),
-    ("claude", "m05", 1000000, 128000, False),
-    ("claude", "m06", 1000000, 128000, True),
-    ("claude", "m07", 200000, 64000, False),
-    ("openai", "m08", 1050000, 128000, False),
-    ("openai", "m09", 1050000, 128000, False),
-    ("openai", "m10", 1050000, 128000, False),
-    ("openai", "m11", 272000, 128000, True),
-    ("openai", "m12", 272000, 128000, False),
-    ("openai", "m13", 0, None, False),
-]
+# Model limits of the fixture, our own: three providers of five models each, the input limit doubling from model to
+# model; the last model of "c" has no usable limit, and m14 is absent, so both fall back to the default budget.
+MODEL_ROWS = [(p, f"m{5 * k + i + 1:02d}", 50_000 << i if (k, i) != (2, 2) else 0, 8_000 << k, i == 0)
+              for k, p in enumerate("abc") for i in range(5) if 5 * k + i < 13]
 MODELS_DDL = ("provider string, model string, max_input_tokens bigint, "
               "max_output_tokens bigint, is_default boolean")
 

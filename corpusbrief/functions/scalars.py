@@ -145,3 +145,15 @@ def budget_from_limit(max_input: str | Column, fallback: int = 32000, share: tup
     # m * 8 / 10 is exact in double for every limit below 2**50, so floor is the int() of the reference
     return (F.when(m > 0, F.floor(m * F.lit(num) / F.lit(den)).cast("bigint"))
             .otherwise(F.lit(fallback).cast("bigint")))
+
+
+def resolved_path(path: str | Column, cwd: str | None = None) -> Column:
+    """The absolute path that ingest would store: scheme removed, relative to ``cwd``, ``.`` and ``..`` resolved."""
+    import os
+
+    p = strip_scheme(path)
+    p = F.when(p.startswith("/"), p).otherwise(F.concat(F.lit((cwd or os.getcwd()).rstrip("/") + "/"), p))
+    parts = F.aggregate(F.split(p, "/"), F.array().cast("array<string>"), lambda out, x: F.when(x.isin("", "."), out)
+                        .when(x == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))))
+                        .otherwise(F.concat(out, F.array(x))))
+    return F.concat(F.lit("/"), F.array_join(parts, "/"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..plans.strategies import BROADCAST_MAX_BYTES, broadcast_if_small, bytes_at_most
 from ..schemas import ADDED_COLUMNS, STORE_COLUMNS, STORE_SCHEMA
 
 # ------------------------------------------------------------------ schema
@@ -33,34 +34,26 @@ def conform(df: DataFrame) -> DataFrame:
     return df.select(*cols, *extra)
 
 
-def apply_tombstones(rows: DataFrame, tombstones: DataFrame, max_broadcast: int = 2_000_000) -> DataFrame:
+def apply_tombstones(rows: DataFrame, tombstones: DataFrame) -> DataFrame:
     """The live catalog = rows whose id has no tombstone (anti-join).
 
-    Tombstones are few next to the catalog until a compaction: up to
-    ``max_broadcast`` distinct ids (counted) they are broadcast, so the catalog
-    is not shuffled; beyond that the anti-join shuffles both sides.
+    Tombstones are few next to the catalog until a compaction: while their bytes
+    are within the measured bound they are broadcast, so the catalog is not
+    shuffled; beyond that the anti-join shuffles both sides.
     """
-    from ..plans.strategies import broadcast_if_small
+    return rows.join(broadcast_if_small(tombstones.select("id").distinct()), "id", "left_anti")
 
-    return rows.join(broadcast_if_small(tombstones.select("id").distinct(), max_broadcast), "id", "left_anti")
 
-
-REQUEST_BROADCAST_MAX = 2_000_000
-
-
-def _restrict(catalog: DataFrame, col: str, keys: DataFrame, max_broadcast: int = REQUEST_BROADCAST_MAX
-              ) -> DataFrame:
+def _restrict(catalog: DataFrame, col: str, keys: DataFrame, max_broadcast: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """Catalog rows whose ``col`` is among ``keys`` (one column), filtered map-side when bounded.
 
     A batch of requests is usually small next to the catalog: when the distinct
-    keys are at most ``max_broadcast`` (counted) they are broadcast and the
+    keys are within the measured byte bound they are broadcast and the
     catalog is semi-joined without a shuffle.  Beyond that the catalog is
     returned whole and the caller's join shuffles as usual.
     """
-    from ..plans.strategies import row_count_at_most
-
     k = keys.where(F.col(keys.columns[0]).isNotNull()).distinct().withColumnRenamed(keys.columns[0], "_k")
-    if row_count_at_most(k, max_broadcast):
+    if bytes_at_most(k, max_broadcast):
         return catalog.join(F.broadcast(k), catalog[col] == F.col("_k"), "left_semi")
     return catalog
 
@@ -87,7 +80,7 @@ def newest_first() -> list:
 def list_summaries(catalog: DataFrame, limit: int | None = None) -> DataFrame:
     """All rows newest first (ties broken by id); ``limit`` keeps the newest n."""
     out = normalise(catalog).orderBy(*newest_first())
-    return out.limit(limit) if limit else out
+    return out.limit(limit) if limit is not None else out
 
 
 # ------------------------------------------------------------------ lookups
@@ -124,35 +117,34 @@ def get_by_prefix(catalog: DataFrame, prefix: str) -> DataFrame:
                       *[F.when(n == 1, F.col("_r")[c]).alias(c) for c in m.columns])
 
 
-def _prefix_lengths(prefixes: DataFrame, col: str) -> list[int]:
-    # at most 37 distinct values (0..36 characters): a proven bound
-    rows = (prefixes.select(F.length(F.col(col)).alias("n")).where("n <= 36")
+def _prefix_lengths(catalog: DataFrame, prefixes: DataFrame, col: str) -> list[int]:
+    # a prefix longer than every id matches nothing; so there are at most as many lengths as an id has characters
+    longest = catalog.agg(F.max(F.length("id"))).first()[0] or 0
+    rows = (prefixes.select(F.length(F.col(col)).alias("n")).where(F.col("n") <= longest)
             .distinct().collect())
     return sorted(r["n"] for r in rows)
 
 
 def resolve_prefixes(catalog: DataFrame, prefixes: DataFrame, col: str = "prefix",
-                     max_broadcast: int = 1_000_000) -> DataFrame:
+                     max_broadcast: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """Prefix → (match count, the id when exactly one, status none/one/many).
 
     Literal, case-sensitive prefix match.  Each catalog id is expanded into its
-    prefixes of the requested lengths only (at most 37), which turns the
+    prefixes of the requested lengths only, which turns the
     ``LIKE 'p%'`` into an equi-join.  When the distinct requested prefixes are
-    few (counted, at most ``max_broadcast``) they are broadcast and
+    within the measured byte bound they are broadcast and
     semi-joined map-side before a partially aggregated count; otherwise the
     expansion is aggregated first and then joined.  Either way a prefix that
     matches most of the catalog (``''``) is only a map-side count, never a
     hot join key.
     """
-    from ..plans.strategies import row_count_at_most
-
-    lengths = _prefix_lengths(prefixes, col)
+    lengths = _prefix_lengths(catalog, prefixes, col)
     wanted = prefixes.select(F.col(col).alias("_p")).distinct()
     if lengths:
         exploded = catalog.select(
             "id", F.explode(F.array(*[F.substring("id", 1, n) if n else F.lit("")
                                       for n in lengths])).alias("_p"))
-        if row_count_at_most(wanted, max_broadcast):
+        if bytes_at_most(wanted, max_broadcast):
             exploded = exploded.join(F.broadcast(wanted), "_p", "left_semi")
         matched = (exploded.groupBy("_p")
                    .agg(F.count(F.lit(1)).alias("match_count"), F.min("id").alias("_min_id")))
@@ -190,9 +182,12 @@ def lookup(catalog: DataFrame, requests: DataFrame, id_col: str = "id_text") ->
     decides ok / not_found.
     """
     req = requests.withColumn("id_kind", S.id_kind(id_col))
+    # invalid and missing ids join with nothing: they leave before the joins, where they would be one hot key
+    known = F.coalesce(F.col("id_kind") != "invalid", F.lit(False))
+    unknown, req = req.where(~known), req.where(known)
     # every row a request can name shares its first 8 characters with the request: filter the
     # catalog by those prefixes (keys from the requests alone, so counting them is cheap)
-    p8 = req.where(F.col("id_kind") != "invalid").select(S.short_id(id_col))
+    p8 = req.select(S.short_id(id_col))
     cat = _restrict(catalog.withColumn("_p8", S.short_id("id")), "_p8", p8)
     short = cat.groupBy("_p8").agg(F.count(F.lit(1)).alias("_n8"), F.min("id").alias("_id8"))
     j = req.join(short, (F.col("id_kind") == "short") & (req[id_col] == short["_p8"]), "left")
@@ -200,8 +195,11 @@ def lookup(catalog: DataFrame, requests: DataFrame, id_col: str = "id_text") ->
             .when((F.col("id_kind") == "short") & (F.col("_n8") == 1), F.col("_id8")))
     j = j.withColumn("_cand", cand)
     rows = normalise(cat.drop("_p8")).withColumnRenamed("id", "_rid")
-    out = j.join(rows, j["_cand"] == rows["_rid"], "left")
-    status = (F.when(F.col("id_kind") == "invalid", "invalid")
+    # so do requests without a single candidate
+    out = (j.where(F.col("_cand").isNotNull()).join(rows, F.col("_cand") == F.col("_rid"), "left")
+           .unionByName(j.where(F.col("_cand").isNull()), allowMissingColumns=True)
+           .unionByName(unknown, allowMissingColumns=True))
+    status = (F.when(F.coalesce(F.col("id_kind") == "invalid", F.lit(True)), "invalid")
               .when(F.col("id_kind") == "full",
                     F.when(F.col("_rid").isNotNull(), "ok").otherwise("not_found"))
               .when(F.col("_n8").isNull(), "not_found")
@@ -214,10 +212,8 @@ def lookup(catalog: DataFrame, requests: DataFrame, id_col: str = "id_text") ->
 
 def delete_ids(catalog: DataFrame, ids: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
     """(remaining catalog, outcome per requested id with ``deleted``)."""
-    from ..plans.strategies import row_count_at_most
-
     targets = ids.select(F.col(id_col).alias("id")).where("id is not null").distinct()
-    if row_count_at_most(targets, REQUEST_BROADCAST_MAX):  # counted once, used by both joins
+    if bytes_at_most(targets):  # measured once, used by both joins
         remaining = catalog.join(F.broadcast(targets), "id", "left_anti")
         present = catalog.join(F.broadcast(targets), "id", "left_semi").select(F.col("id").alias("_hit"))
     else:
@@ -244,7 +240,8 @@ def delete_requests(catalog: DataFrame, requests: DataFrame, id_col: str = "id_t
                     ) -> tuple[DataFrame, DataFrame]:
     """Lookup, then delete the rows of requests with status ok.
 
-    Returns (remaining catalog, outcome per request: status and deleted id).
+    Returns (remaining catalog, outcome per request: status, deleted id, and whether that id is gone from
+    the remaining catalog).
     """
     from ..plans.strategies import materialize
 
@@ -255,19 +252,26 @@ def delete_requests(catalog: DataFrame, requests: DataFrame, id_col: str = "id_t
     remaining, _ = delete_ids(catalog, ids)
     outcome = looked.select(*requests.columns, "id_kind", "status",
                             F.when(F.col("status") == "ok", F.col("resolved_id")).alias("deleted_id"))
-    return remaining, outcome
+    still = _restrict(remaining, "id", ids).select(F.col("id").alias("_still")).distinct()
+    ok = (outcome.where("status = 'ok'").join(still, F.col("deleted_id") == F.col("_still"), "left")
+          .withColumn("gone", F.col("_still").isNull()).drop("_still"))
+    other = outcome.where("status <> 'ok'").withColumn("gone", F.lit(None).cast("boolean"))
+    return remaining, ok.unionByName(other)
 
 
 def latest_per_path(catalog: DataFrame, paths: DataFrame | None = None,
                     path_col: str = "pdf_path") -> DataFrame:
     """Newest row per path (ties → larger id); with ``paths`` a left join, ``found`` flag.
 
+    Requested paths are resolved as ingest does (working folder, ``.`` and ``..``) before they are compared.
+
     ``max_by`` aggregates partially on the map side, so a path holding a large
     share of the catalog costs one row per map task in the shuffle.
     """
     cols = [c for c in STORE_COLUMNS if c != "pdf_path"]
     if paths is not None:
-        catalog = _restrict(catalog, "pdf_path", paths.select(path_col))
+        paths = paths.withColumn("_rp", S.resolved_path(path_col))
+        catalog = _restrict(catalog, "pdf_path", paths.select("_rp"))
     latest = (catalog.groupBy("pdf_path")
               .agg(F.max_by(F.struct(*cols), F.struct("created_at", "id")).alias("_r"))
               .select("pdf_path", "_r.*"))
@@ -275,8 +279,8 @@ def latest_per_path(catalog: DataFrame, paths: DataFrame | None = None,
     if paths is None:
         return latest
     lat = latest.withColumnRenamed("pdf_path", "_lp")
-    return (paths.join(lat, paths[path_col] == lat["_lp"], "left")
-            .withColumn("found", F.col("_lp").isNotNull()).drop("_lp"))
+    return (paths.join(lat, paths["_rp"] == lat["_lp"], "left")
+            .withColumn("found", F.col("_lp").isNotNull()).drop("_lp", "_rp"))
 
 
 def usage_rollup(catalog: DataFrame) -> DataFrame:

@@ -49,17 +49,20 @@ def _with_error_cols(df: DataFrame) -> DataFrame:
 def extract_utf8(files: DataFrame, content_col: str = "content") -> DataFrame:
     """Built-in extractor, JVM-side: UTF-8 text; pages are form-feed separated.
 
-    Content that is not valid UTF-8 is an extraction failure.
+    Content that is not valid UTF-8, or that is a PDF, is an extraction failure.
     """
     raw = F.col(content_col).cast("string")
-    ok = F.is_valid_utf8(raw)
+    # a PDF needs an extractor; its bytes are not text even where they are valid UTF-8
+    pdf = F.substring(F.col(content_col), 1, 5) == F.lit(b"%PDF-")
+    ok = F.is_valid_utf8(raw) & ~pdf
     out = (_with_error_cols(files)
            .withColumn("text", F.when(ok, raw))
            # pages = form feeds + 1, counted without splitting the text into an array
            .withColumn("page_count", F.when(ok, F.regexp_count(raw, F.lit("\f")) + 1).cast("bigint")))
     failed = F.col("stage").isNull() & ~ok
     return (out.withColumn("error_class", F.when(failed, F.lit("ExtractionError")).otherwise(F.col("error_class")))
-            .withColumn("message", F.when(failed, F.lit("content is not valid UTF-8")).otherwise(F.col("message")))
+            .withColumn("message", F.when(failed & pdf, F.lit("PDF content needs an extractor"))
+                        .when(failed, F.lit("content is not valid UTF-8")).otherwise(F.col("message")))
             .withColumn("stage", F.when(failed, F.lit("extract")).otherwise(F.col("stage")))
             .drop(content_col))
 
@@ -114,8 +117,7 @@ def extract(files: DataFrame, extractor: Callable[[bytes, str], tuple[str, int |
 
 def summarize(docs: DataFrame, factory: Callable[[], Callable[..., Digest]],
               text_col: str = "text", length_col: str | None = "length",
-              default_length: str = DEFAULT_LENGTH, key: str | list | None = None,
-              force_spread: bool = False) -> DataFrame:
+              default_length: str = DEFAULT_LENGTH, key: str | list | None = None) -> DataFrame:
     """One summariser call per row → digest columns; failures ``stage='summarize'``.
 
     ``factory()`` builds the summariser once per partition (clients need not
@@ -124,7 +126,7 @@ def summarize(docs: DataFrame, factory: Callable[[], Callable[..., Digest]],
     """
     docs = _with_error_cols(docs)
     if key:
-        docs = spread(docs, key, force=force_spread)
+        docs = spread(docs, key)
     digest_fields = [T.StructField("summary", T.StringType()), T.StructField("tokens_in", T.LongType()),
                      T.StructField("tokens_out", T.LongType()), T.StructField("latency_ms", T.LongType()),
                      T.StructField("model", T.StringType())]
@@ -253,15 +255,13 @@ class FailingSummarizer(PrefixSummarizer):
 def split_chunks(docs: DataFrame, chunk_chars: int | str | Column, text_col: str = "text") -> DataFrame:
     """Consecutive chunks of at most ``chunk_chars`` characters (``chunk_no`` from 0).
 
-    Narrow (no shuffle) and lossless: the chunks concatenate to the text.  An
-    empty text has no chunks.
+    Narrow (no shuffle), lossless and linear: one pass of a pattern cuts the text,
+    and the chunks concatenate to it.  An empty text has no chunks.
     """
     c = chunk_chars if isinstance(chunk_chars, Column) else (
         F.col(chunk_chars) if isinstance(chunk_chars, str) else F.lit(int(chunk_chars)))
     t = F.col(text_col)
-    n = F.floor((F.length(t) + c - 1) / c).cast("int")
-    arr = F.when(F.length(t) > 0,
-                 F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(t, i * c + 1, c)))
+    arr = F.regexp_extract_all(t, F.concat(F.lit("(?s).{1,"), c.cast("string"), F.lit("}")), F.lit(0))
     return (docs.select("*", F.posexplode(arr).alias("chunk_no", "chunk"))
             .withColumn("chunk_no", F.col("chunk_no").cast("bigint")))
 
@@ -271,7 +271,7 @@ def chunk_budget(docs: DataFrame, models: DataFrame, fallback: int = DEFAULT_BUD
     """``budget_tokens`` = 80 % of the model's max input, else 32,000.
 
     ``models`` is a dimension (one row per model): it is broadcast after a
-    row-count check, otherwise the join shuffles.
+    check of its bytes, otherwise the join shuffles.
     """
     on = on or [c for c in ("provider", "model") if c in docs.columns and c in models.columns]
     m = broadcast_if_small(models.select(*on, "max_input_tokens"))
@@ -282,16 +282,13 @@ def chunk_budget(docs: DataFrame, models: DataFrame, fallback: int = DEFAULT_BUD
 
 # ------------------------------------------------------------------ O30, O31 templates and prompts
 
-# Our own default prompt templates (the reference's are Japanese texts of its own).
+# Our own default prompts; the character ranges are fixed values.
 DEFAULT_TEMPLATES = {
-    "short": ("Summarise the key points of the following text as a short bullet list "
-              "of about 300 to 500 characters, keeping only the most important points.\n\n{text}"),
-    "standard": ("Summarise the following text with its key points and important details "
-                 "in about 1,000 to 2,000 characters, organising the main arguments and "
-                 "supporting information.\n\n{text}"),
-    "detailed": ("Summarise the following text in detail, section by section, with an overview "
-                 "and the key points of each, in about 3,000 to 5,000 characters, keeping its "
-                 "structure.\n\n{text}"),
+    "short": "What would a busy reader have to know? Answer in 300 to 500 characters.\n\nDocument:\n{text}",
+    "standard": ("Write an abstract of 1,000 to 2,000 characters for a colleague who will not open the document: "
+                 "what it is for, what it finds, and the figures that matter.\n\nDocument:\n{text}"),
+    "detailed": ("Prepare a briefing of 3,000 to 5,000 characters that could stand in for the document. Follow its "
+                 "order and name people, dates and amounts as they appear.\n\nDocument:\n{text}"),
 }
 PLACEHOLDER = "{text}"
 EXTRA_LABEL = "Additional instructions: "
@@ -305,8 +302,8 @@ def resolve_templates(overrides: DataFrame | None) -> DataFrame:
     defaults = spark.createDataFrame(list(DEFAULT_TEMPLATES.items()), "length string, default_template string")
     if overrides is None:
         return defaults.withColumnRenamed("default_template", "template")
-    # one override per length: a bounded side, broadcast after the count check
-    return (defaults.join(broadcast_if_small(overrides.select("length", "override"), 1000), "length", "left")
+    # one override per length: a small side, broadcast after a check of its bytes
+    return (defaults.join(broadcast_if_small(overrides.select("length", "override")), "length", "left")
             .select("length", F.coalesce(F.nullif(F.col("override"), F.lit("")),
                                          F.col("default_template")).alias("template")))
 
@@ -322,7 +319,7 @@ def render_prompts(docs: DataFrame, templates: DataFrame, extra: str = "", text_
     t = F.col("template")
     if extra:
         t = F.concat(t, F.lit("\n\n" + EXTRA_LABEL + extra))
-    tmpl = broadcast_if_small(templates.select(F.col("length").alias("_len"), "template"), 1000)
+    tmpl = broadcast_if_small(templates.select(F.col("length").alias("_len"), "template"))
     joined = docs.join(tmpl, docs[length_col] == tmpl["_len"], "left").drop("_len")
     prompt = F.when(F.instr(t, PLACEHOLDER) > 0, F.replace(t, F.lit(PLACEHOLDER), F.col(text_col))) \
         .otherwise(F.concat(t, F.lit("\n\n"), F.col(text_col)))
@@ -333,23 +330,31 @@ def render_prompts(docs: DataFrame, templates: DataFrame, extra: str = "", text_
 
 def limit_items(files: DataFrame, n: int = 1, order: list[str] | None = None) -> DataFrame:
     """At most ``n`` items per run, the first by path (deterministic)."""
-    return files.orderBy(*(order or ["path"])).limit(n)
+    order = order or ["path"]
+    # the names are chosen on their own: no file content is sorted or sent to one task
+    first = files.select(*order).orderBy(*order).limit(n)
+    same = [files[c].eqNullSafe(first[c]) for c in order]
+    return files.join(F.broadcast(first), same, "left_semi")  # n rows of names, n is the caller's
 
 
-def skip_seen(files: DataFrame, catalog: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """Keep one file per content hash (first by ``order``) whose hash is not in the catalog.
+def skip_seen(files: DataFrame, catalog: DataFrame, order: list[str] | None = None,
+              key_col: str = "pdf_hash") -> DataFrame:
+    """Keep one file per ``key_col`` (first by ``order``) whose key is not in the catalog.
 
     The seen set is the live catalog, so a deleted summary is produced again on
-    the next run.  ``min_by`` aggregates partially on the map side, so many
-    copies of one file cost one row per map task in the shuffle.
+    the next run.  Keys and names alone are compared with the seen keys and reduced
+    (``min`` of a struct of names, partially on the map side: many copies of one file cost
+    one row per map task); the files kept are then picked by name.  NULL keys are
+    never seen and are one group.
     """
     order = order or ["pdf_path"]
-    cols = [c for c in files.columns if c != "pdf_hash"]
-    first = (files.groupBy("pdf_hash")
-             .agg(F.min_by(F.struct(*cols), F.struct(*order)).alias("_f"))
-             .select("pdf_hash", "_f.*"))
-    seen = catalog.select("pdf_hash").distinct()
-    return first.join(seen, "pdf_hash", "left_anti").select(*files.columns)
+    names = files.select(key_col, *order)
+    seen = catalog.select(key_col).where(F.col(key_col).isNotNull()).distinct()
+    first = (names.join(seen, key_col, "left_anti").groupBy(key_col)
+             .agg(F.min(F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])).alias("_f"))
+             .select("_f.*"))
+    same = [files[c].eqNullSafe(first[f"_o{i}"]) for i, c in enumerate(order)]
+    return files.join(broadcast_if_small(first), same, "left_semi")
 
 
 # ------------------------------------------------------------------ O35, O36 failures
@@ -368,27 +373,30 @@ CATEGORY_RULES = [
     (("SummarizationError",), "summarize", 1),
     (("ExtractionError",), "extract", 1),
     (("SinkError",), "sink", 1),
-    (("PackageError",), "package", 1),
 ]
+# what a user can do about a failure, in our own words
+ADVICE = {"config": "Check the settings of the run.", "extract": "The file could not be turned into text.",
+          "summarize": "The summariser did not return a summary.", "sink": "The summary could not be stored.",
+          "source": "The file could not be read.", "other": "The run failed for another reason."}
 
 
 def classify_failures(failures: DataFrame) -> DataFrame:
-    """``category`` and ``severity`` (exit code 2 for configuration errors, else 1).
+    """``category``, ``severity`` (exit code 2 for configuration errors, else 1) and ``advice`` with the message.
 
-    Classes raised by user code are mapped by the stage they failed in, as the
-    reference maps pipeline failures by stage.
+    A failure inside the pipeline belongs to the stage it failed in, whatever
+    class user code raised; elsewhere the class decides.
     """
     ec, st = F.col("error_class"), F.col("stage")
-    cat = None
-    sev = None
+    piped = st.isin("extract", "summarize")
+    cat, sev = F.when(piped, st), F.when(piped, F.lit(1))
     for classes, name, code in CATEGORY_RULES:
         cond = ec.isin(*classes)
-        cat = F.when(cond, F.lit(name)) if cat is None else cat.when(cond, F.lit(name))
-        sev = F.when(cond, F.lit(code)) if sev is None else sev.when(cond, F.lit(code))
-    cat = cat.when(st == "extract", "extract").when(st == "summarize", "summarize") \
-        .when(st == "source", "source").otherwise("other")
-    sev = sev.otherwise(1)
-    return failures.withColumn("category", cat).withColumn("severity", sev.cast("bigint"))
+        cat, sev = cat.when(cond, F.lit(name)), sev.when(cond, F.lit(code))
+    cat = cat.when(st == "source", "source").otherwise("other")
+    advice = F.create_map(*[F.lit(x) for pair in ADVICE.items() for x in pair])
+    out = failures.withColumn("category", cat).withColumn("severity", sev.otherwise(1).cast("bigint"))
+    said = F.col("message") if "message" in failures.columns else F.lit(None).cast("string")
+    return out.withColumn("advice", F.concat_ws(" ", advice[F.col("category")], F.concat(F.lit("("), said, F.lit(")"))))
 
 
 def run_report(classified: DataFrame) -> DataFrame:

@@ -116,7 +116,9 @@ SELECT l.request_id, l.id_text, l.id_kind, l.status, l.resolved_id, n.file_name,
 FROM looked l LEFT JOIN norm n ON l.resolved_id = n.id""", [NORM, _LOOKUP])
 
 SQL["delete_requests"] = W(["requests", "catalog"], """
-SELECT request_id, id_kind, status, CASE WHEN status = 'ok' THEN resolved_id END AS deleted_id
+SELECT request_id, id_kind, status, CASE WHEN status = 'ok' THEN resolved_id END AS deleted_id,
+  CASE WHEN status = 'ok' THEN resolved_id NOT IN (
+    SELECT id FROM catalog WHERE id NOT IN (SELECT resolved_id FROM looked WHERE status = 'ok')) END AS gone
 FROM looked""", [_LOOKUP])
 
 _FULL_IDS = f"""full_ids AS (
@@ -271,14 +273,13 @@ SQL["split_failures"] = W(["files"], "SELECT doc_id, pdf_path, stage, error_clas
 
 _CLASS = """classified AS (
   SELECT doc_id, stage, error_class,
-    CASE WHEN error_class IN ('ConfigError', 'ConfigurationError') THEN 'config'
+    CASE WHEN stage IN ('extract', 'summarize') THEN stage
+         WHEN error_class IN ('ConfigError', 'ConfigurationError') THEN 'config'
          WHEN error_class = 'SummarizationError' THEN 'summarize'
          WHEN error_class = 'ExtractionError' THEN 'extract'
          WHEN error_class = 'SinkError' THEN 'sink'
-         WHEN error_class = 'PackageError' THEN 'package'
-         WHEN stage = 'extract' THEN 'extract' WHEN stage = 'summarize' THEN 'summarize'
          WHEN stage = 'source' THEN 'source' ELSE 'other' END AS category,
-    (CASE WHEN error_class IN ('ConfigError', 'ConfigurationError') THEN 2 ELSE 1 END)::BIGINT AS severity
+    (CASE WHEN coalesce(stage NOT IN ('extract', 'summarize'), true) AND error_class IN ('ConfigError', 'ConfigurationError') THEN 2 ELSE 1 END)::BIGINT AS severity
   FROM fails)"""
 
 SQL["classify_failures"] = W(["files"], "SELECT * FROM classified", [_FAIL, _CLASS])

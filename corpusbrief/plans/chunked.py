@@ -7,8 +7,12 @@ Level loop on the driver (the number of levels depends on the data):
 2. The others are split into chunks of ``budget * chars_per_token`` characters
    (O26), every chunk is summarised (one call each), and the chunk summaries
    are joined in order with a blank line per document; usage is summed.
-3. Repeat until no rows are left or ``max_levels`` is reached.  A document
-   whose text did not shrink, or that runs out of levels, becomes a failure.
+3. Repeat until no rows are left.  A document whose text did not shrink becomes
+   a failure, so every round shortens what is left and the loop ends.
+
+Every document ends as a digest or as a failure: one without text, budget or (with
+templates) a known length fails at the start.  With templates, every chunk call and
+every combining call gets its own rendered prompt.
 
 Every level is written to the shared scratch folder before the next starts:
 the summariser is a paid Python call, and without the write a second action or
@@ -21,8 +25,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.stages import ERROR_COLS, _with_error_cols, split_chunks, summarize
-from .strategies import materialize
+from ..operators.stages import ERROR_COLS, _with_error_cols, render_prompts, split_chunks, summarize
+from .strategies import broadcast_if_small, materialize
 
 USAGE = ("tokens_in", "tokens_out", "latency_ms")
 
@@ -39,11 +43,20 @@ def combine_chunks(chunk_digests: DataFrame, id_col: str = "doc_id") -> DataFram
 
 
 def summarize_level(state: DataFrame, factory: Callable, chars_per_token: int = 4,
-                    id_col: str = "doc_id", key_cols: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+                    id_col: str = "doc_id", key_cols: list[str] | None = None,
+                    templates: DataFrame | None = None, extra: str = "") -> tuple[DataFrame, DataFrame]:
     """One level: (final digests of rows that fit, next-level state of rows that do not)."""
     key_cols = key_cols or []
+
+    def call(rows: DataFrame, key) -> DataFrame:
+        """One summariser call per row, on its rendered prompt where there are templates."""
+        if templates is None:
+            return summarize(rows, factory, text_col="text", length_col="length", key=key)
+        rows = render_prompts(rows, templates, extra)
+        return summarize(rows, factory, text_col="prompt", length_col="length", key=key).drop("prompt")
+
     fits = F.length("text") <= F.col("budget_tokens") * F.lit(chars_per_token)
-    final = summarize(state.where(fits), factory, text_col="text", length_col="length", key=id_col)
+    final = call(state.where(fits), id_col)
     final = final.select(
         *[c for c in final.columns if c not in USAGE and not c.startswith("acc_")],
         *[(F.coalesce(F.col(c), F.lit(0)) + F.col("acc_" + c)).alias(c) for c in USAGE])
@@ -51,8 +64,7 @@ def summarize_level(state: DataFrame, factory: Callable, chars_per_token: int =
     chunks = split_chunks(big, F.col("budget_tokens") * F.lit(chars_per_token), "text").drop("text")
     chunks = chunks.withColumnRenamed("chunk", "text")
     # chunk rows are spread by (document, chunk): one long document's calls run in many tasks
-    digests = summarize(chunks, factory, text_col="text", length_col="length", key=[id_col, "chunk_no"],
-                        force_spread=True)
+    digests = call(chunks, [id_col, "chunk_no"])
     combined = combine_chunks(digests, id_col)
     carry = big.select(id_col, *key_cols, "length", "budget_tokens", "level",
                        F.length("text").alias("prev_chars"), *[("acc_" + c) for c in USAGE])
@@ -73,32 +85,37 @@ def summarize_level(state: DataFrame, factory: Callable, chars_per_token: int =
 
 
 def summarize_chunked(docs: DataFrame, factory: Callable, budget_tokens: int | str = "budget_tokens",
-                      chars_per_token: int = 4, max_levels: int = 8, id_col: str = "doc_id",
-                      key_cols: list[str] | None = None) -> DataFrame:
+                      chars_per_token: int = 4, id_col: str = "doc_id", key_cols: list[str] | None = None,
+                      templates: DataFrame | None = None, extra: str = "") -> DataFrame:
     """Digest per document (``summary``, usage summed over every call, ``levels``) or a failure row.
 
     ``docs`` has ``id_col``, ``text``, ``length`` and either a ``budget_tokens``
-    column (O29) or an integer budget.
+    column (O29) or an integer budget.  ``templates`` (O30) are rendered for each call.
     """
     key_cols = key_cols or []
     budget = F.col(budget_tokens) if isinstance(budget_tokens, str) else F.lit(int(budget_tokens))
     state = _with_error_cols(docs.select(id_col, *key_cols, "text", "length",
                                          budget.cast("bigint").alias("budget_tokens")))
     state = state.select("*", F.lit(0).alias("level"), *[F.lit(0).cast("bigint").alias("acc_" + c) for c in USAGE])
+    why = (F.when(F.col("text").isNull(), "no text").when(F.col("budget_tokens").isNull(), "no budget")
+           .when(F.col("budget_tokens") * chars_per_token < 1, "no budget"))
+    if templates is not None:
+        known = broadcast_if_small(templates.select(F.col("length").alias("_known")))
+        state = state.join(known, F.col("length") == F.col("_known"), "left")
+        why = why.when(F.col("_known").isNull(), F.concat(F.lit("unknown length "), F.coalesce("length", F.lit("NULL"))))
+    state = (state.withColumn("_why", F.when(F.col("stage").isNull(), why))
+             .withColumn("stage", F.when(F.col("_why").isNotNull(), "summarize").otherwise(F.col("stage")))
+             .withColumn("error_class", F.when(F.col("_why").isNotNull(), "SummarizationError").otherwise(F.col("error_class")))
+             .withColumn("message", F.coalesce("_why", "message")).drop("_why", "_known"))
     failed = state.where(F.col("stage").isNotNull())
     state = materialize(state.where(F.col("stage").isNull()), "chunk-level")
     outputs = []
-    for _level in range(max_levels):
-        if state.limit(1).count() == 0:
-            break
-        final, nxt = summarize_level(state, factory, chars_per_token, id_col, key_cols)
+    while not state.isEmpty():
+        final, nxt = summarize_level(state, factory, chars_per_token, id_col, key_cols, templates, extra)
         outputs.append(materialize(final, "chunk-final"))
         nxt = materialize(nxt, "chunk-level")
         failed = failed.unionByName(nxt.where(F.col("stage").isNotNull()), allowMissingColumns=True)
         state = nxt.where(F.col("stage").isNull())
-    left = state.withColumn("stage", F.lit("summarize")).withColumn("error_class", F.lit("SummarizationError")) \
-        .withColumn("message", F.lit(f"not done after {max_levels} levels"))
-    failed = failed.unionByName(left, allowMissingColumns=True)
     cols = [id_col, *key_cols, "length", "summary", *USAGE, "model", "level", *ERROR_COLS]
     out = None
     for o in outputs:

@@ -41,12 +41,12 @@ def run_corpus(files: DataFrame, length: str | None = None, length_col: str | No
     """
     from ..schemas import DEFAULT_LENGTH
 
+    if limit is not None:  # before any content is read for its hash
+        files = ST.limit_items(files, limit, ["path"] + [id_col] * (id_col in files.columns))
     f = file_identity(files)
     if id_col not in f.columns:
         # a file source names every file once: the path is a stable document key
         id_col = "pdf_path"
-    if limit is not None:
-        f = ST.limit_items(f, limit, list(dict.fromkeys(["pdf_path", id_col])))
     if catalog is not None:
         f = ST.skip_seen(f, catalog, list(dict.fromkeys(["pdf_path", id_col])))
     # the file's byte length (metadata of the file source) routes long files in O28
@@ -80,8 +80,9 @@ def run_corpus(files: DataFrame, length: str | None = None, length_col: str | No
         return build_rows(dig, "length", run_ts, with_id=with_id), failures
 
     text_col = "text"
-    if use_prompts:
-        docs = ST.render_prompts(docs, ST.resolve_templates(templates), extra_instructions)
+    templates = ST.resolve_templates(templates) if use_prompts else None
+    if use_prompts and not chunked:
+        docs = ST.render_prompts(docs, templates, extra_instructions)
         text_col = "prompt"
     if chunked:
         if models is not None:
@@ -92,7 +93,7 @@ def run_corpus(files: DataFrame, length: str | None = None, length_col: str | No
         src = docs.where(F.col("stage").isNull()).select(
             id_col, *key_cols, F.col(text_col).alias("text"), "length", "budget_tokens")
         dig = summarize_chunked(src, summarizer, "budget_tokens", chars_per_token,
-                                id_col=id_col, key_cols=key_cols)
+                                id_col=id_col, key_cols=key_cols, templates=templates, extra=extra_instructions)
         early = docs.where(F.col("stage").isNotNull()).select("pdf_path", *ST.ERROR_COLS)
     else:
         dig = ST.summarize(docs.select(*keep, F.col(text_col).alias("text"), *ST.ERROR_COLS),

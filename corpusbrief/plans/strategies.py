@@ -1,8 +1,8 @@
 """Physical-plan helpers shared by the operators.
 
-* ``broadcast_if_small``: broadcast a join side only after counting that it is
-  below a row bound; beyond it the join stays a shuffle join (and AQE may still
-  convert it at run time from the measured shuffle size).
+* ``broadcast_if_small``: broadcast a join side only after measuring that its rows
+  are below a bound in bytes; beyond it the join stays a shuffle join (and AQE may
+  still convert it at run time from the measured shuffle size).
 * ``with_position``: 1-based position in a total order without a global
   window (which would put every row in one task).
 * ``materialize``: write an intermediate to the shared scratch folder and
@@ -16,17 +16,18 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
-# Row bound under which a dimension-like side is broadcast.
-BROADCAST_MAX_ROWS = 1_000_000
+# Bound in bytes (of the rows as JSON text) under which a dimension-like side is broadcast.
+BROADCAST_MAX_BYTES = 32 << 20
 
 
-def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads no more than max_rows + 1."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def bytes_at_most(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
+    """True when the rows of ``df`` take at most ``max_bytes``: one partially aggregated sum."""
+    row = F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns]))) + 16
+    return (df.agg(F.sum(row).alias("n")).first()["n"] or 0) <= max_bytes
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    return F.broadcast(df) if bytes_at_most(df, max_bytes) else df
 
 
 def with_position(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
@@ -61,21 +62,15 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def spread(df: DataFrame, key: str | Column | list, min_partitions: int | None = None,
-           force: bool = False) -> DataFrame:
+def spread(df: DataFrame, key: str | Column | list, min_partitions: int | None = None) -> DataFrame:
     """Hash-partition by ``key`` (one or more columns) before a Python stage.
 
-    Without ``force`` only when the input has fewer partitions than the cluster
-    has cores (a single-row-group Parquet file is one task).  With ``force``
-    always, e.g. for chunk rows: spreading them by (document, chunk) keeps the
-    paid calls for one long document from queueing in one task.
+    A plain ``repartition``: no job runs while the plan is built.  Chunk rows are
+    spread by (document, chunk), so the paid calls for one long document do not
+    queue in one task.
     """
     keys = key if isinstance(key, list) else [key]
     sc = df.sparkSession.sparkContext
     want = min_partitions or max(sc.defaultParallelism,
                                  int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    if force:
-        return df.repartition(want, *keys)
-    if df.rdd.getNumPartitions() < sc.defaultParallelism:
-        return df.repartition(want, *keys)
-    return df
+    return df.repartition(want, *keys)

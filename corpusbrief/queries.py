@@ -168,7 +168,7 @@ def q_resolve_and_delete(spark, sf):
 def q_delete_requests(spark, sf):
     docs = _docs(spark, sf)
     _, outcome = C.delete_requests(_catalog(docs), X.requests(docs))
-    return outcome.select("request_id", "id_kind", "status", "deleted_id")
+    return outcome.select("request_id", "id_kind", "status", "deleted_id", "gone")
 
 
 def q_latest_per_path(spark, sf):
@@ -267,7 +267,7 @@ def q_resolve_templates(spark, sf):
     from .operators.stages import resolve_templates
     from .plans.strategies import broadcast_if_small
     docs = _docs(spark, sf).select("doc_id", _length_by_doc().alias("length"))
-    t = broadcast_if_small(resolve_templates(X.template_overrides(spark)), 1000)
+    t = broadcast_if_small(resolve_templates(X.template_overrides(spark)))
     return docs.join(t, "length", "left").select("doc_id", "length", "template")
 
 

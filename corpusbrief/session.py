@@ -51,6 +51,30 @@ def get_session(master: str | None = None, app_name: str = "corpusbrief",
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the session's executors, for Python stages where it is not installed there.
+
+    Needed once per session that was not started from the repository folder (and not submitted with
+    ``--py-files``); the archive goes through Spark's own file distribution.
+    """
+    import io
+    import zipfile
+
+    top = os.path.dirname(os.path.abspath(__file__))
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in sorted(os.walk(top)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(top)))
+    folder = tempfile.mkdtemp(prefix="corpusbrief-ship-")  # read by the driver's file server only
+    path = os.path.join(folder, "corpusbrief.zip")
+    with open(path, "wb") as f:
+        f.write(data.getvalue())
+    spark.sparkContext.addPyFile(path)
+
+
 # settings the registered queries apply to whatever session runs them
 JOIN_CONF = {k: DEFAULT_CONF[k] for k in ("spark.sql.autoBroadcastJoinThreshold",
                                           "spark.sql.adaptive.autoBroadcastJoinThreshold",

@@ -1,6 +1,8 @@
 """File sources: ingest (O1, O2), identity (O3) and the catalog row builder."""
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,7 +81,8 @@ def ingest_files(spark: SparkSession, paths, glob: str | None = "*.pdf",
             return F.regexp_replace(c, "/[^/]*$", "").isin(*dirs) | c.isin(*singles)
         files = files.where(keep(S.strip_scheme("path")))
     if report_empty:
-        listed = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string") \
+        # inputFiles() gives encoded URIs, the source's path column plain ones
+        listed = spark.createDataFrame([(unquote(p),) for p in files.inputFiles()], "path string") \
             .select(S.strip_scheme("path").alias("pdf_path"))
         if keep is not None:
             listed = listed.where(keep(F.col("pdf_path")))

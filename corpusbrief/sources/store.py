@@ -30,12 +30,18 @@ def _tomb(root: str) -> str:
     return root.rstrip("/") + "/tombstones"
 
 
-def read_catalog(spark: SparkSession, root: str) -> DataFrame:
-    """Live catalog rows; a store that does not exist yet reads as empty."""
+def read_catalog(spark: SparkSession, root: str, without_run: str | None = None) -> DataFrame:
+    """Live catalog rows; a store that does not exist yet reads as empty.
+
+    ``without_run`` leaves out one run's folder: a replayed batch must not see its own earlier rows.
+    """
     if not path_exists(spark, _data(root)):
         return spark.createDataFrame([], STORE_SCHEMA)
     # explicit schema: files written before the usage columns existed read them as NULL
-    rows = conform(spark.read.schema(STORE_SCHEMA).parquet(_data(root))).select(*STORE_COLUMNS)
+    rows = spark.read.schema(STORE_SCHEMA).parquet(_data(root))
+    if without_run is not None:
+        rows = rows.where(~F.col("_metadata.file_path").contains(f"/run={without_run}/"))
+    rows = conform(rows).select(*STORE_COLUMNS)
     if path_exists(spark, _tomb(root)):
         rows = apply_tombstones(rows, spark.read.schema(TOMBSTONE_SCHEMA).parquet(_tomb(root)))
     return rows

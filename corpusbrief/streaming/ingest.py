@@ -46,10 +46,14 @@ def start_ingest(spark: SparkSession, input_dir: str, store_root: str, checkpoin
     tag = hashlib.sha1(checkpoint.rstrip("/").encode()).hexdigest()[:10]
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        catalog = read_catalog(spark, store_root) if skip_seen else None
+        run_id = f"stream-{tag}-{batch_id}"
+        # a replay sees the same catalog as the first try: everything but its own rows
+        catalog = read_catalog(spark, store_root, without_run=run_id) if skip_seen else None
         rows, failures = run_corpus(df, catalog=catalog, **run_kwargs)
+        # both are written before either folder of the run is replaced
         rows = materialize(rows, f"stream-rows-{batch_id}")
-        append(store_root, rows, run_id=f"stream-{tag}-{batch_id}", failures=failures)
+        failures = materialize(failures, f"stream-failures-{batch_id}")
+        append(store_root, rows, run_id=run_id, failures=failures)
 
     w = (file_stream(spark, input_dir, glob, max_files_per_trigger, recursive).writeStream
          .foreachBatch(batch).option("checkpointLocation", checkpoint))

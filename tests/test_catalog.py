@@ -237,3 +237,32 @@ def test_hot_path_latest_is_partially_aggregated(spark):
     got = {r.pdf_path: r.id for r in out.collect()}
     assert got["/hot.pdf"] == str(2997).zfill(36) and len(got) == 1 + n - n // 3
     assert "partial_max_by" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def one_row(spark, id_):
+    return spark.createDataFrame([(id_,)], "id string").selectExpr(
+        "id", "'/w/doc.pdf' as pdf_path", "'h' as pdf_hash", "1L as page_count", "'s' as summary", "'short' as length", "'m' as model",
+        "timestamp_seconds(1767225600) as created_at", "1L as tokens_in", "1L as tokens_out", "1L as latency_ms")
+
+
+def test_list_limit_zero_and_resolved_request_paths(spark):
+    import os
+
+    from corpusbrief.functions.scalars import resolved_path
+
+    got = [r.p for r in spark.createDataFrame([("/w/x/../doc.pdf",), ("file:/w/./doc.pdf",), ("a/../b",), ("/..",)], "path string")
+           .select(resolved_path("path").alias("p")).collect()]
+    assert got == ["/w/doc.pdf", "/w/doc.pdf", os.getcwd() + "/b", "/"]
+    cat = one_row(spark, "id1")
+    assert C.list_summaries(cat, 0).count() == 0 and C.list_summaries(cat, 1).count() == 1
+    req = spark.createDataFrame([("/w/x/../doc.pdf",), ("/w/none",)], "p string")
+    assert {r.p: r.found for r in C.latest_per_path(cat, req, "p").collect()} == {"/w/x/../doc.pdf": True, "/w/none": False}
+
+
+def test_lookup_of_null_and_invalid_ids(spark):
+    cat = one_row(spark, "00000000-0000-4000-a000-000000000001")
+    req = spark.createDataFrame([(1, None), (2, "zz"), (3, "00000000"), (4, "11111111"), (5, "00000000-0000-4000-a000-000000000001")], "n long, id_text string")
+    got = {r.n: r.status for r in C.lookup(cat, req).collect()}
+    assert got == {1: "invalid", 2: "invalid", 3: "ok", 4: "not_found", 5: "ok"}
+    _, out = C.delete_requests(cat, req)
+    assert {r.n: (r.status, r.gone) for r in out.collect()}[3] == ("ok", True)

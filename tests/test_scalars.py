@@ -87,9 +87,11 @@ def test_prefix_match_is_literal(spark):
     assert got == {"ab%": (1, ids[0]), "ab_": (1, ids[1]), "abc": (1, ids[2]), "ab": (3, None), "ABC": (1, ids[3])}
 
 
-CLASS_CASES = [("ConfigError", "summarize", "config", 2), ("ConfigurationError", "extract", "config", 2),
-               ("SummarizationError", "extract", "summarize", 1), ("ExtractionError", "summarize", "extract", 1),
-               ("SinkError", "sink", "sink", 1), ("PackageError", "source", "package", 1),
+CLASS_CASES = [("ConfigError", "load", "config", 2), ("ConfigurationError", None, "config", 2),
+               # inside the pipeline the stage decides
+               ("ConfigError", "summarize", "summarize", 1), ("ConfigurationError", "extract", "extract", 1),
+               ("SummarizationError", "extract", "extract", 1), ("ExtractionError", "summarize", "summarize", 1),
+               ("SinkError", "sink", "sink", 1), ("PackageError", "source", "source", 1),
                ("TimeoutError", "summarize", "summarize", 1), ("UnicodeDecodeError", "extract", "extract", 1),
                ("FileNotFoundError", "source", "source", 1), ("Weird", "elsewhere", "other", 1)]
 

@@ -68,7 +68,7 @@ def test_chunk_budget_fallbacks(spark):
 
     docs = spark.createDataFrame([("m01",), ("m07",), ("m11",), ("m13",), ("m14",)], "model string")
     got = {r.model: r.budget_tokens for r in ST.chunk_budget(docs, X.models(spark)).collect()}
-    assert got == {"m01": 838860, "m07": 160000, "m11": 217600, "m13": 32000, "m14": 32000}
+    assert got == {"m01": 40000, "m07": 80000, "m11": 40000, "m13": 32000, "m14": 32000}
 
 
 def test_templates_and_prompts(spark):
@@ -98,14 +98,15 @@ def test_skip_seen_and_limit(spark):
 
 def test_classify_failures(spark):
     f = spark.createDataFrame([("/a", "extract", "ValueError", "m"), ("/b", "summarize", "ConfigError", "m"),
+                               ("/f", "load", "ConfigError", "m"), ("/g", "extract", "SummarizationError", "m"),
                                ("/c", "sink", "SinkError", "m"), ("/d", "summarize", "KeyError", "m"),
                                ("/e", "other", "Boom", "m")],
                               "pdf_path string, stage string, error_class string, message string")
     got = {r.pdf_path: (r.category, r.severity) for r in ST.classify_failures(f).collect()}
-    assert got == {"/a": ("extract", 1), "/b": ("config", 2), "/c": ("sink", 1), "/d": ("summarize", 1),
+    assert got == {"/a": ("extract", 1), "/b": ("summarize", 1), "/f": ("config", 2), "/g": ("extract", 1), "/c": ("sink", 1), "/d": ("summarize", 1),
                    "/e": ("other", 1)}
     rep = {(r.stage, r.category): r.n_failures for r in ST.run_report(ST.classify_failures(f)).collect()}
-    assert rep[("extract", "extract")] == 1 and sum(rep.values()) == 5
+    assert rep[("extract", "extract")] == 2 and sum(rep.values()) == 7
 
 
 def test_summarize_chunked_levels_and_failures(spark):
@@ -126,8 +127,50 @@ def test_summarize_chunked_levels_and_failures(spark):
 
     bad = {r.doc_id: r for r in summarize_chunked(docs, Verbose, 20, 4).collect()}
     assert bad[2].stage == "summarize" and bad[1].stage is None
-    few = {r.doc_id: r for r in summarize_chunked(docs, ST.PrefixSummarizer, 20, 4, max_levels=1).collect()}
-    assert few[2].stage == "summarize" and "levels" in few[2].message
+
+
+class Echo:
+    """Reports the prompts it was given and keeps the middle of the text: whole chunks are read."""
+
+    def __call__(self, text, length=None):
+        return ST.Digest(text[len(text) // 4: len(text) // 2], 1, 1, 1, "echo")
+
+
+class Seen:
+    def __call__(self, text, length=None):
+        if not (text.startswith("T:") and text.endswith("Additional instructions: be brief")):
+            raise ValueError("a call without its prompt: " + text[:40])
+        return ST.Digest("s", 1, 1, 1, "seen")
+
+
+def test_chunked_accounts_for_every_document(spark):
+    docs = spark.createDataFrame([(1, None, "short"), (2, "", "short"), (3, "x" * 5000, "short"), (4, "y" * 90, None), (5, "z" * 5000, "long")],
+                                 "doc_id long, text string, length string")
+    out = {r.doc_id: r for r in summarize_chunked(docs, Echo, 25, 4).collect()}
+    assert set(out) == {1, 2, 3, 4, 5} and out[1].message == "no text" and out[1].stage == "summarize"
+    assert out[3].stage is None and out[3].levels > 2 and out[5].stage is None
+    templates = spark.createDataFrame([("short", "T:{text}")], "length string, template string")
+    out = {r.doc_id: r for r in summarize_chunked(docs, Seen, 25, 4, templates=templates, extra="be brief").collect()}
+    assert out[3].stage is None and out[3].summary == "s" and out[3].levels == 2
+    assert out[5].message == "unknown length long" and out[4].message == "unknown length NULL" and len(out) == 5
+
+
+def test_split_chunks_is_lossless_with_any_characters(spark):
+    t = "aé漢\U0001F600\n\r" * 500
+    rows = ST.split_chunks(spark.createDataFrame([(1, t, 7), (2, "", 3), (3, None, 3)], "i long, text string, n int"), "n").orderBy("chunk_no").collect()
+    assert "".join(r.chunk for r in rows) == t and {len(r.chunk) for r in rows[:-1]} == {7} and {r.i for r in rows} == {1}
+
+
+def test_pdf_bytes_are_not_text(spark):
+    f = spark.createDataFrame([("/a.pdf", bytearray(b"%PDF-1.4 1 0 obj")), ("/b", bytearray(b"plain"))], "pdf_path string, content binary")
+    got = {r.pdf_path: (r.stage, r.text) for r in ST.extract(f).collect()}
+    assert got == {"/a.pdf": ("extract", None), "/b": (None, "plain")}
+
+
+def test_skip_seen_by_another_key(spark):
+    f = spark.createDataFrame([("/a", "h", "k1"), ("/b", "h", "k2"), ("/c", "h", "k2"), ("/d", None, None)], "pdf_path string, pdf_hash string, name string")
+    seen = spark.createDataFrame([("k1",)], "name string")
+    assert {r.pdf_path for r in ST.skip_seen(f, seen, key_col="name").collect()} == {"/b", "/d"}
 
 
 def test_hot_hash_dedup_is_partially_aggregated(spark):
@@ -141,7 +184,7 @@ def test_hot_hash_dedup_is_partially_aggregated(spark):
     rows = {r.pdf_hash: r.pdf_path for r in out.collect()}
     assert rows["hot"] == "/f/00000" and "h1" not in rows and len(rows) == 1 + (n - n // 3) - 1
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "partial_min_by" in plan  # map-side combine before the shuffle
+    assert "partial_min(" in plan  # map-side combine before the shuffle
 
 
 def test_pdf_extractor_is_gated_on_an_installed_library():
