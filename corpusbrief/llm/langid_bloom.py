@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prep, table
+from .common import give_back, prep, table
 
 LETTER = re.compile(r"[^\W\d_]")
 N = 5
@@ -153,6 +153,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     yield from flush()
                     held = 0
         yield from flush()
+        give_back()
 
     grouped = (sample.select("text", "lang").mapInArrow(count, "lang int, gram long, n long")
                .groupBy("lang", "gram").agg(F.sum("n").alias("n")))

@@ -18,6 +18,7 @@ longer than ``capacity`` tokens are cut.
 """
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import bisect_right
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.strategies import materialize
-from .common import blocks, prep, table
+from .common import blocks, give_back, prep, table
 
 END = 1
 # Texts of these characters only are cut into words here; others go to the tokenizer whole.  Of these characters
@@ -42,7 +43,7 @@ PLAIN = re.compile("[\t\n\r -~¡-įı-ʯ‐-‧‰-⁞]*")
 SPECIAL = "<|"
 LETTER, NUMBER = "a-zªµºß-öø-įı-ʯ", "0-9²³¹¼-¾"
 WORD = re.compile(f"'(?:[stmd]|re|ve|ll)|[{LETTER}]+|[{NUMBER}]|[^\\s{LETTER}{NUMBER}]+")  # the tokenizer's own cut
-CACHE = 100_000  # words in a generation of a worker's memory; forgotten words are encoded again, with the same result
+CACHE = 80_000  # words in a generation of a worker's memory; forgotten words are encoded again, with the same result
 
 
 class WordIds:
@@ -53,6 +54,7 @@ class WordIds:
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core; threads would each keep memory
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.path, self.tokenizer = path, None
@@ -158,6 +160,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, id_col: s
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())),
                                               *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=schema.fieldNames())
+        del words, seen
+        give_back()
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("piece", T.IntegerType()),
                            *[T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32")],

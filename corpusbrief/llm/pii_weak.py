@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prep, table
+from .common import give_back, prep, table
 
 KINDS = ("email", "ip", "card", "phone")
 DIGIT = re.compile("[0-9]")
@@ -281,5 +281,6 @@ def stage(spark, docs, sf_dir, threshold: float = 0.8) -> DataFrame:
                 cols[c] = pa.array([n if x is y or x == y else len(y) for x, y, n in zip(texts, new, cols[c].to_pylist())],
                                    cols[c].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
