@@ -31,8 +31,14 @@ from pyspark.sql import functions as F
 BUDGETS = {"short": 500, "standard": 2000, "detailed": 5000}
 # Short output is a bullet list: "- " before each sentence plus the newline.
 BULLET = "- "
-SENTENCE_END = r"([.!?。！？])[ \t\n\r\f]+"
+# A sentence ends at . ! ? before white space, or at the full-width marks by themselves.
+SENTENCE_END = r"([.!?])[ \t\n\r\f]+"
+FULL_WIDTH_END = r"([。！？]+)[ \t\n\r\f]*"
 WORD_SPLIT = r"[^\p{L}\p{N}]+"
+# Scripts written without blanks: every character counts as a word.
+SINGLE_CHAR_WORDS = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}])"
+# Order of pieces within a sentence: pos = sentence * PIECE_STEP + piece (a sentence has fewer pieces than that).
+PIECE_STEP = 1 << 24
 
 
 def _params(length: str | None, length_col: str | None) -> tuple[Column, Column, Column, Column]:
@@ -68,34 +74,47 @@ def _keys(id_col: str) -> list[str]:
 def _word_rows(d: DataFrame, id_col: str) -> DataFrame:
     """(keys, pos, word, sent_text, _carry): one row per word, plus one per empty sentence.
 
-    Empty pieces are dropped by row filters after the explode (code-generated),
+    Empty sentences are dropped by row filters after the explode (code-generated),
     not by a lambda ``filter`` on the array (interpreted).  Position 0 is always
     kept (as NULL when empty) so a document without sentences keeps one row;
-    gaps in ``pos`` do not change the order.  Words come from the whole
-    sentence; only the text that may be emitted (``sent_text``) is cut to the
-    budget.  That text rides only on the sentence's first word row and the
-    document's ``_carry`` only on its first sentence, so neither is copied per
-    word.
+    gaps in ``pos`` do not change the order.  A sentence longer than the budget
+    is cut into pieces (:func:`_pieces`), which compete like sentences, so no
+    part of a text is left out.  The text rides only on the piece's first word
+    row and the document's ``_carry`` only on its first piece, so neither is
+    copied per word.
     """
     keys = _keys(id_col)
-    raw = F.split(F.regexp_replace(F.col("_text"), SENTENCE_END, "$1\n"), "\n+")
+    marked = F.regexp_replace(F.regexp_replace(F.col("_text"), SENTENCE_END, "$1\n"), FULL_WIDTH_END, "$1\n")
     first = F.coalesce(F.col("pos"), F.lit(0)) == 0
-    sents = (d.select(*keys, "_carry", F.posexplode_outer(raw).alias("pos", "raw"))
-             .where((F.col("raw") != "") | first)
-             .select(*keys, F.col("pos").cast("bigint").alias("pos"),
-                     F.nullif(F.col("raw"), F.lit("")).alias("whole"),
-                     F.nullif(F.substring(F.col("raw"), F.lit(1), F.col("_budget") - F.col("_ov") + 1),
-                              F.lit("")).alias("sent"),
-                     F.when(first, F.col("_carry")).alias("_carry")))
+    whole = (d.select(*keys, "_carry", F.posexplode_outer(F.split(marked, "\n+")).alias("pos", "raw"))
+             .where((F.col("raw") != "") | first))
+    sents = (whole.select(*keys, "_carry", F.col("pos").cast("bigint").alias("spos"),
+                          F.posexplode_outer(_pieces("raw")).alias("piece", "raw"))
+             .select(*keys, (F.col("spos") * F.lit(PIECE_STEP) + F.col("piece")).alias("pos"),
+                     F.nullif(F.col("raw"), F.lit("")).alias("sent"), "_carry"))
+    sents = sents.withColumn("_carry", F.when(F.coalesce(F.col("pos"), F.lit(0)) == 0, F.col("_carry")))
+    spaced = F.regexp_replace(F.lower(F.col("sent")), SINGLE_CHAR_WORDS, " $1 ")
     first_word = F.coalesce(F.col("wpos"), F.lit(0)) == 0
     return (sents.select(*keys, "pos", "sent", "_carry",
-                         F.posexplode_outer(F.split(F.lower(F.col("whole")), WORD_SPLIT)).alias("wpos", "word"))
+                         F.posexplode_outer(F.split(spaced, WORD_SPLIT)).alias("wpos", "word"))
             .where((F.col("word") != "") | first_word)
             .select(*keys, "pos", F.nullif(F.col("word"), F.lit("")).alias("word"),
                     F.when(first_word, F.col("sent")).alias("sent_text"),
                     F.when(first_word, F.col("_carry")).alias("_carry"), first_word.alias("_fw")))
 
 
+def _pieces(raw: str) -> Column:
+    """The sentence, or its pieces of at most budget - overhead + 1 characters if it is longer.
+
+    A piece ends after the last blank that fits, or without one where the budget ends.
+    """
+    cap = F.col("_budget") - F.col("_ov") + 1
+    n, n1 = cap.cast("string"), (cap - 1).cast("string")
+    pattern = F.concat(F.lit("(?s).{1,"), n, F.lit(r"}\z|.{0,"), n1, F.lit("} |.{1,"), n, F.lit("}"))
+    return (F.when(F.length(raw) > cap, F.regexp_extract_all(F.col(raw), pattern, F.lit(0)))
+            .otherwise(F.array(F.col(raw))))
+
+
 def _per_sentence(tf: DataFrame, id_col: str) -> DataFrame:
     """(keys, pos, sent, score, _carry) from word rows carrying ``tf``."""
     keys = _keys(id_col)
@@ -141,7 +160,7 @@ def sentence_scores(docs: DataFrame, length: str | None = "short", id_col: str =
                     length_col: str | None = None, carry: list[str] | None = None) -> DataFrame:
     """(id, length, budget, ov, bullet, pos, sent, score, _carry) per sentence (local path).
 
-    ``sent`` is cut so that it alone fits the budget.
+    A sentence too long for the budget comes as pieces that each fit it.
     """
     return _scores_local(_prepared(docs, length, length_col, id_col, text_col, carry, partitions), id_col)
 
@@ -202,7 +221,7 @@ def extractive_summary(docs: DataFrame, length: str | None = "short", id_col: st
     length (short / standard / detailed).  Sentences are ranked by (score
     desc, position); the kept set is the longest prefix of that ranking whose
     cost (characters plus bullet and newline) stays within budget + 1, so the
-    text is at most ``budget`` characters; the top sentence always fits.
+    text is at most ``budget`` characters; the top sentence (or piece of one) always fits.
     Documents without sentences get an empty summary.  ``carry`` names
     document columns to return alongside (no second scan).
 

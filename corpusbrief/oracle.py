@@ -142,19 +142,32 @@ SELECT pdf_path, id, summary_length, page_count, {TS} AS created_at FROM (
 WHERE rn = 1""", [NORM])
 
 
-_SENT_END = r"'([.!?。！？])[ \t\n\r\f]+'"
+_SENT_END = r"'([.!?])[ \t\n\r\f]+'"
+_WIDE_END = r"'([。！？]+)[ \t\n\r\f]*'"
 _WORD_SPLIT = r"'[^\p{L}\p{N}]+'"
+_ONE_CHAR = r"'([\p{Han}\p{Hiragana}\p{Katakana}])', ' \1 '"
 _BACKREF = r"'\1'"
 
+# a sentence above the budget is cut after the last blank that fits, else where the budget ends, until nothing is left
 _EXTRACTIVE = """
-WITH s AS (
-  SELECT doc_id, pos, raw, substr(raw, 1, @CUT@) AS sent FROM (
+WITH RECURSIVE s0 AS (
+  SELECT doc_id, pos, raw FROM (
     SELECT doc_id, unnest(arr) AS raw, (generate_subscripts(arr, 1) - 1)::BIGINT AS pos FROM (
-      SELECT doc_id, list_filter(string_split_regex(
-          regexp_replace(text, @SENT_END@, @BACKREF@ || chr(10), 'g'), chr(10) || '+'), lambda x: x <> '') AS arr
+      SELECT doc_id, list_filter(string_split_regex(regexp_replace(
+          regexp_replace(text, @SENT_END@, @BACKREF@ || chr(10), 'g'), @WIDE_END@, @BACKREF@ || chr(10), 'g'),
+          chr(10) || '+'), lambda x: x <> '') AS arr
       FROM documents))),
+pc(doc_id, spos, part, sent, rest) AS (
+  SELECT doc_id, pos, 0::BIGINT, NULL::VARCHAR, raw FROM s0
+  UNION ALL
+  SELECT doc_id, spos, part + 1, substr(rest, 1, cut), substr(rest, cut + 1) FROM (
+    SELECT *, CASE WHEN length(rest) > @CUT@ AND contains(substr(rest, 1, @CUT@), ' ')
+                   THEN @CUT@ + 1 - strpos(reverse(substr(rest, 1, @CUT@)), ' ') ELSE @CUT@ END AS cut
+    FROM pc WHERE rest <> '')),
+s AS (SELECT doc_id, spos * 16777216 + part AS pos, sent FROM pc WHERE part > 0),
 w AS (
-  SELECT doc_id, pos, unnest(list_filter(string_split_regex(lower(raw), @WORD_SPLIT@), lambda x: x <> '')) AS word
+  SELECT doc_id, pos, unnest(list_filter(string_split_regex(
+    regexp_replace(lower(sent), @ONE_CHAR@, 'g'), @WORD_SPLIT@), lambda x: x <> '')) AS word
   FROM s),
 tf AS (SELECT doc_id, word, count(*) AS tf FROM w GROUP BY doc_id, word),
 sc AS (SELECT w.doc_id, w.pos, sum(tf.tf) // count(*) AS score FROM w JOIN tf USING (doc_id, word)
@@ -176,7 +189,8 @@ def extractive(length: str, src: str = "documents") -> str:
     budget = {"short": 500, "standard": 2000, "detailed": 5000}[length]
     ov = 3 if length == "short" else 1
     line = "'- ' || k.sent" if length == "short" else "k.sent"
-    subst = {"@CUT@": str(budget - ov + 1), "@SENT_END@": _SENT_END, "@BACKREF@": _BACKREF,
+    subst = {"@CUT@": str(budget - ov + 1), "@SENT_END@": _SENT_END, "@WIDE_END@": _WIDE_END,
+             "@ONE_CHAR@": _ONE_CHAR, "@BACKREF@": _BACKREF,
              "@WORD_SPLIT@": _WORD_SPLIT, "@OV@": str(ov), "@LIMIT@": str(budget + 1),
              "@LINE@": line, "@LENGTH@": length}
     sql = _EXTRACTIVE

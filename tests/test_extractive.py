@@ -13,10 +13,19 @@ from .conftest import SF
 def brute(text: str, length: str) -> tuple[str, int]:
     budget = BUDGETS[length]
     ov = 3 if length == "short" else 1
-    marked = re.sub(r"([.!?。！？])[ \t\n\r\f]+", "\\1\n", text)
-    whole = [s for s in re.split(r"\n+", marked) if s]
-    sents = [s[: budget - ov + 1] for s in whole]  # emitted text is cut, words come from the whole sentence
-    words = [[w for w in regex.split(r"[^\p{L}\p{N}]+", s.lower()) if w] for s in whole]
+    cap = budget - ov + 1
+    marked = re.sub(r"([.!?])[ \t\n\r\f]+", "\\1\n", text)
+    marked = re.sub(r"([。！？]+)[ \t\n\r\f]*", "\\1\n", marked)
+    sents = []
+    for s in re.split(r"\n+", marked):
+        while len(s) > cap:  # too long: cut after the last blank that fits, else at the budget
+            cut = s[:cap].rfind(" ") + 1 or cap
+            sents.append(s[:cut])
+            s = s[cut:]
+        if s:
+            sents.append(s)
+    spaced = [regex.sub(r"([\p{Han}\p{Hiragana}\p{Katakana}])", r" \1 ", s.lower()) for s in sents]
+    words = [[w for w in regex.split(r"[^\p{L}\p{N}]+", s) if w] for s in spaced]
     tf = Counter(w for ws in words for w in ws)
     scores = [sum(tf[w] for w in ws) // len(ws) if ws else 0 for ws in words]
     kept, cum = [], 0
@@ -39,6 +48,9 @@ EDGE = [
     (7, "... !!! ???"),
     (8, " ".join(f"Word{i} common common." for i in range(400))),
     (9, "Short one. " + " ".join(["rare"] * 50 + ["common"] * 400) + ". Common common. Another short one."),
+    (10, "始めの文。" + "要約は大事な文を選ぶ。" * 300 + "終わりの文"),
+    (11, "".join(f"w{i % 50}{'  ' if i % 7 == 0 else ' '}" for i in range(3000)) + "y" * 1200 + " tail. End."),
+    (12, "漢字" * 1500 + " 。 x！？y"),
 ]
 
 
@@ -114,3 +126,10 @@ def test_null_and_blank_texts_keep_their_row(spark):
     got = {r.doc_id: (r.summary, r.n_sentences) for r in extractive_summary(df, "short").collect()}
     assert got == {1: ("", 0), 2: ("", 0), 3: ("-    ", 1), 4: ("", 0)}
     assert got[3][0] == brute("   ", "short")[0]
+
+
+def test_pieces_of_a_long_sentence_compete(spark):
+    # the repeated words stand far behind the first budget of characters
+    text = " ".join(f"u{i}" for i in range(2000)) + " " + "common " * 400
+    got = extractive_summary(spark.createDataFrame([(1, text)], "doc_id long, text string"), "short").first()
+    assert "common common" in got.summary and got.summary == brute(text, "short")[0]
