@@ -8,6 +8,7 @@ FIXTURES.md part B; every table grows with ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .schemas import STORE_COLUMNS
 
@@ -41,7 +42,7 @@ def _summaries_select() -> list[str]:
         "cast(doc_id % 100 as string), '.pdf') as pdf_path",
         "sha2(text, 256) as pdf_hash",
         "case when doc_id % 11 = 0 then cast(null as bigint) else (n_chars + 1799) div 1800 end as page_count",
-        "concat('[summary] ', substr(text, 1, 30), '...') as summary",
+        "concat('[summary] ', text) as summary",
         "case doc_id % 3 when 0 then 'short' when 1 then 'standard' else 'detailed' end as length",
         "concat('m', lpad(cast(doc_id % 14 + 1 as string), 2, '0')) as model",
         f"concat(date_format(timestamp_seconds({EPOCH_2026} + doc_id * 60), \"yyyy-MM-dd'T'HH:mm:ss\"),"
@@ -59,8 +60,10 @@ def summaries_raw(docs: DataFrame) -> DataFrame:
 
 
 def summaries_legacy(docs: DataFrame) -> DataFrame:
-    """B.3: the first eight columns, rows written before usage was recorded."""
-    return summaries_raw(docs).where("doc_id % 10 = 0").select(*STORE_COLUMNS[:8])
+    """B.3: the first eight columns, as written before usage was recorded; every 29th time is not a time."""
+    return (summaries_raw(docs).withColumn("created_at", F.expr(
+        "case when doc_id % 29 = 0 then concat('unknown ', cast(doc_id as string)) else created_at end"))
+        .select(*STORE_COLUMNS[:8]))
 
 
 def files(docs: DataFrame) -> DataFrame:
@@ -144,7 +147,7 @@ DUCK_CTES = {
       ||cast(doc_id % 100 AS varchar)||'.pdf' AS pdf_path,
     sha256(text) AS pdf_hash,
     CASE WHEN doc_id % 11 = 0 THEN NULL ELSE (n_chars + 1799) // 1800 END::BIGINT AS page_count,
-    '[summary] '||substr(text,1,30)||'...' AS summary,
+    '[summary] '||text AS summary,
     CASE doc_id % 3 WHEN 0 THEN 'short' WHEN 1 THEN 'standard' ELSE 'detailed' END AS length,
     'm'||lpad(cast(doc_id % 14 + 1 AS varchar), 2, '0') AS model,
     strftime(TIMESTAMP '2026-01-01 00:00:00' + to_minutes(doc_id), '%Y-%m-%dT%H:%M:%S')||'+00:00' AS created_at,

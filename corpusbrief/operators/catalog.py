@@ -34,6 +34,23 @@ def conform(df: DataFrame) -> DataFrame:
     return df.select(*cols, *extra)
 
 
+def migrate_rows(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows at ``STORE_SCHEMA``, failure rows) of an older generation.
+
+    A row whose time text is missing or is no time has no place in the newest-first order: it becomes a
+    failure that carries the text, instead of a row with a NULL time.
+    """
+    good = conform(df)
+    raw = F.col("created_at").cast("string")
+    # told apart before the conversion, on the raw column, so both sides see the same rows
+    bad = (S.parse_iso_timestamp("created_at") if dict(df.dtypes)["created_at"] == "string"
+           else F.col("created_at")).isNull()
+    failures = df.where(bad).select(
+        "pdf_path", F.lit("source").alias("stage"), F.lit("ValueError").alias("error_class"),
+        F.concat(F.lit("bad created_at: "), F.coalesce(raw, F.lit("NULL"))).alias("message"))
+    return good.where(F.col("created_at").isNotNull()), failures
+
+
 def apply_tombstones(rows: DataFrame, tombstones: DataFrame) -> DataFrame:
     """The live catalog = rows whose id has no tombstone (anti-join).
 

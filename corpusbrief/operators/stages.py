@@ -8,6 +8,7 @@ failing the job.
 """
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -199,6 +200,18 @@ def prefix_summary(text: str | Column, length: str | Column, model: str | Column
         m.alias("model"))
 
 
+class HashSummarizer:
+    """Test double that reads the whole text: its length and SHA-256, tokens in = characters."""
+
+    def __init__(self, model: str = "hash-model"):
+        self.model = model
+
+    def __call__(self, text: str, length: str | None = None) -> Digest:
+        digest = hashlib.sha256(text.encode()).hexdigest()
+        return Digest(f"[digest length={length or DEFAULT_LENGTH}] {len(text)} characters, sha256 {digest}",
+                      len(text), 50, 1, self.model)
+
+
 def pdf_extractor() -> Callable[[bytes, str], tuple[str, int]]:
     """A PDF extractor when a PDF library is importable on the executors (pypdf or pypdfium2).
 

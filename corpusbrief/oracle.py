@@ -37,7 +37,12 @@ SQL["migrate_schema"] = W(["summaries_raw"], f"""
 SELECT id, pdf_path, pdf_hash, page_count, summary, length, model,
   strftime(cast(created_at AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS created_at,
   NULL::BIGINT AS tokens_in, NULL::BIGINT AS tokens_out, NULL::BIGINT AS latency_ms
-FROM summaries_raw WHERE doc_id % 10 = 0""")
+FROM summaries_raw WHERE doc_id % 29 <> 0""")
+
+SQL["migrate_failures"] = W(["summaries_raw"], """
+SELECT pdf_path, 'source' AS stage, 'ValueError' AS error_class,
+  'bad created_at: unknown ' || cast(doc_id AS VARCHAR) AS message
+FROM summaries_raw WHERE doc_id % 29 = 0""")
 
 SQL["normalise_rows"] = W(["catalog"], f"""
 SELECT id, pdf_path, pdf_hash, file_name, page_count, summary_text, summary_length, model_name,
@@ -217,6 +222,11 @@ def _prefix(text: str, length: str) -> str:
     return f"'[digest length=' || {length} || '] ' || substr({text}, 1, 30) || '...'"
 
 
+def _hash(text: str, length: str) -> str:
+    return (f"'[digest length=' || {length} || '] ' || cast(length({text}) AS VARCHAR) || ' characters, sha256 ' "
+            f"|| sha256({text})")
+
+
 SQL["file_identity"] = W(["files"], f"""
 SELECT doc_id, path AS pdf_path, sha256(text) AS pdf_hash, {PATH_NAME} AS file_name, length FROM files""")
 
@@ -233,8 +243,8 @@ SELECT doc_id, {_prefix('text', LEN_BY_DOC)} AS summary, 100::BIGINT AS tokens_i
   1::BIGINT AS latency_ms, 'prefix-model' AS model FROM documents"""
 
 SQL["summarize_single"] = f"""
-SELECT doc_id, {_prefix('text', LEN_BY_DOC)} AS summary, 100::BIGINT AS tokens_in, 50::BIGINT AS tokens_out,
-  1::BIGINT AS latency_ms, 'prefix-model' AS model, NULL::VARCHAR AS stage FROM documents"""
+SELECT doc_id, {_hash('text', LEN_BY_DOC)} AS summary, length(text)::BIGINT AS tokens_in, 50::BIGINT AS tokens_out,
+  1::BIGINT AS latency_ms, 'hash-model' AS model, NULL::VARCHAR AS stage FROM documents"""
 
 SQL["split_chunks"] = """
 SELECT doc_id, i::BIGINT AS chunk_no, substr(text, i * 800 + 1, 800) AS chunk FROM (
@@ -304,8 +314,8 @@ FROM classified GROUP BY stage, category""", [_FAIL, _CLASS])
 
 SQL["summarize_corpus"] = W(["files"], f"""
 SELECT path AS pdf_path, sha256(text) AS pdf_hash, len(string_split(text, chr(12)))::BIGINT AS page_count,
-  {_prefix('text', LEN_BY_DOC)} AS summary, {LEN_BY_DOC} AS length, 'prefix-model' AS model,
-  100::BIGINT AS tokens_in, 50::BIGINT AS tokens_out, 1::BIGINT AS latency_ms,
+  {_hash('text', LEN_BY_DOC)} AS summary, {LEN_BY_DOC} AS length, 'hash-model' AS model,
+  length(text)::BIGINT AS tokens_in, 50::BIGINT AS tokens_out, 1::BIGINT AS latency_ms,
   '2026-06-01 12:00:00' AS created_at FROM files""")
 
 
@@ -327,35 +337,39 @@ SQL["summarize_corpus_extractive"] = _corpus_extractive()
 
 SQL["summarize_chunk_level"] = f"""
 WITH d AS (SELECT doc_id, text, {LEN_BY_DOC} AS length FROM documents)
-SELECT doc_id, 0::BIGINT AS next_level, {_prefix('text', 'length')} AS text, 100::BIGINT AS tokens_in
+SELECT doc_id, 0::BIGINT AS next_level, {_hash('text', 'd.length')} AS text, length(text)::BIGINT AS tokens_in
 FROM d WHERE length(text) <= 800
 UNION ALL
 SELECT doc_id, 1::BIGINT AS next_level,
-  string_agg({_prefix('chunk', 'length')}, chr(10) || chr(10) ORDER BY i) AS text,
-  (100 * count(*))::BIGINT AS tokens_in
+  string_agg({_hash('chunk', 'c.length')}, chr(10) || chr(10) ORDER BY i) AS text,
+  sum(length(chunk))::BIGINT AS tokens_in
 FROM (SELECT doc_id, length, i, substr(text, i * 800 + 1, 800) AS chunk
       FROM (SELECT doc_id, length, text, unnest(range(0, (length(text) + 799) // 800)) AS i
-            FROM d WHERE length(text) > 800))
+            FROM d WHERE length(text) > 800)) c
 GROUP BY doc_id"""
 
 
-# full recursion of O25 with the prefix summariser (budget 200 tokens x 4 chars, at most 8 levels)
+# full recursion of O25 with the hash summariser (budget 200 tokens x 4 chars), until every text fits
 SQL["summarize_chunked"] = f"""
-WITH RECURSIVE st(doc_id, length, text, level, calls) AS (
-  SELECT doc_id, {LEN_BY_DOC}, text, 0, 0 FROM documents
+WITH RECURSIVE st(doc_id, len, text, level, calls, tin) AS (
+  SELECT doc_id, {LEN_BY_DOC}, text, 0, 0::BIGINT, 0::BIGINT FROM documents
   UNION ALL
-  SELECT doc_id, length, string_agg({_prefix('chunk', 'length')}, chr(10) || chr(10) ORDER BY i),
-    max(level) + 1, max(calls) + count(*)
-  FROM (SELECT doc_id, length, level, calls, i, substr(text, i * 800 + 1, 800) AS chunk
-        FROM (SELECT doc_id, length, level, calls, text, unnest(range(0, (length(text) + 799) // 800)) AS i
-              FROM st WHERE length(text) > 800 AND level < 8))
-  GROUP BY doc_id, length)
-SELECT doc_id, {_prefix('text', 'length')} AS summary, (100 * (calls + 1))::BIGINT AS tokens_in,
+  SELECT doc_id, len, string_agg({_hash('chunk', 'len')}, chr(10) || chr(10) ORDER BY i),
+    max(level) + 1, max(calls) + count(*), (max(tin) + sum(length(chunk)))::BIGINT
+  FROM (SELECT doc_id, len, level, calls, tin, i, substr(text, i * 800 + 1, 800) AS chunk
+        FROM (SELECT doc_id, len, level, calls, tin, text, unnest(range(0, (length(text) + 799) // 800)) AS i
+              FROM st WHERE length(text) > 800))
+  GROUP BY doc_id, len)
+SELECT doc_id, {_hash('text', 'len')} AS summary, (tin + length(text))::BIGINT AS tokens_in,
   (50 * (calls + 1))::BIGINT AS tokens_out, (calls + 1)::BIGINT AS latency_ms, level::BIGINT AS levels,
   NULL::VARCHAR AS stage
-FROM st WHERE length(text) <= 800
-UNION ALL
-SELECT doc_id, NULL, NULL, NULL, NULL, level::BIGINT, 'summarize' FROM st WHERE level = 8 AND length(text) > 800"""
+FROM st WHERE length(text) <= 800"""
+
+SQL["chunked_accounting"] = """
+SELECT doc_id, 1::BIGINT AS n_rows, (CASE WHEN message IS NULL THEN 1 ELSE 0 END)::BIGINT AS n_digests,
+  CASE WHEN message IS NOT NULL THEN 'summarize' END AS stage, message
+FROM (SELECT doc_id, CASE WHEN doc_id % 31 = 0 THEN 'no text' WHEN doc_id % 37 = 0 THEN 'unknown length long' END
+      AS message FROM documents)"""
 
 SQL["latest_for_paths"] = W(["files", "catalog"], f"""
 SELECT p.req_path, l.id IS NOT NULL AS found, l.id, l.summary_length,

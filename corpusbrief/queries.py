@@ -50,12 +50,27 @@ def q_catalog_scan(spark, sf):
                       _ts(), "tokens_in", "tokens_out", "latency_ms")
 
 
+def _migrated(spark, sf):
+    """A store of the first generation (text times, eight columns), written and migrated into a new one."""
+    from .session import scratch_path
+    from .sources.store import migrate
+    old, root = scratch_path(spark, "old-store"), scratch_path(spark, "migrated-store")
+    X.summaries_legacy(_docs(spark, sf)).write.parquet(old)
+    migrate(spark, old, root)
+    return root
+
+
 def q_migrate_schema(spark, sf):
-    legacy = X.summaries_legacy(_docs(spark, sf))
-    out = C.conform(legacy)
+    from .sources.store import read_catalog
+    out = read_catalog(spark, _migrated(spark, sf))
     return out.select(*[c for c in out.columns if c != "created_at"], _ts())
 
 
+def q_migrate_failures(spark, sf):
+    from .sources.store import read_failures
+    return read_failures(spark, _migrated(spark, sf))
+
+
 def q_normalise_rows(spark, sf):
     s = C.normalise(_catalog(_docs(spark, sf)))
     return s.select(*[c for c in s.columns if c != "created_at"], _ts())
@@ -235,10 +250,10 @@ def q_prefix_summary(spark, sf):
 
 
 def q_summarize_single(spark, sf):
-    from .operators.stages import PrefixSummarizer, extract, summarize
+    from .operators.stages import HashSummarizer, extract, summarize
     docs = extract(_identified(_docs(spark, sf))).withColumn("length", _length_by_doc())
     out = summarize(docs.select("doc_id", "text", "length", "stage", "error_class", "message"),
-                    PrefixSummarizer, key="doc_id")
+                    HashSummarizer, key="doc_id")
     return out.select("doc_id", "summary", "tokens_in", "tokens_out", "latency_ms", "model", "stage")
 
 
@@ -344,11 +359,11 @@ def q_stream_ingest(spark, sf):
 
 
 def q_summarize_corpus(spark, sf):
-    from .operators.stages import PrefixSummarizer
+    from .operators.stages import HashSummarizer
     from .plans.corpus_run import run_corpus
     docs = _docs(spark, sf)
     files = X.files(docs).withColumn("req_length", _length_by_doc())
-    rows, _ = run_corpus(files, length_col="req_length", summarizer=PrefixSummarizer, chunked=False,
+    rows, _ = run_corpus(files, length_col="req_length", summarizer=HashSummarizer, chunked=False,
                          run_ts=X.RUN_TS, with_id=False)
     return rows.select(*[c for c in rows.columns if c != "created_at"], _ts())
 
@@ -363,14 +378,14 @@ def q_summarize_corpus_extractive(spark, sf):
 
 
 def q_summarize_chunk_level(spark, sf):
-    from .operators.stages import PrefixSummarizer
+    from .operators.stages import HashSummarizer
     from .plans.chunked import summarize_level
     docs = _docs(spark, sf)
     state = docs.select("doc_id", "text", _length_by_doc().alias("length"),
                         F.lit(X.FIXTURE_BUDGET_TOKENS).cast("bigint").alias("budget_tokens"),
                         F.lit(0).alias("level"),
                         *[F.lit(0).cast("bigint").alias("acc_" + c) for c in ("tokens_in", "tokens_out", "latency_ms")])
-    final, nxt = summarize_level(state, PrefixSummarizer, X.CHARS_PER_TOKEN)
+    final, nxt = summarize_level(state, HashSummarizer, X.CHARS_PER_TOKEN)
     a = final.select("doc_id", F.lit(0).cast("bigint").alias("next_level"), F.col("summary").alias("text"),
                      "tokens_in")
     b = nxt.select("doc_id", F.lit(1).cast("bigint").alias("next_level"), "text",
@@ -379,16 +394,30 @@ def q_summarize_chunk_level(spark, sf):
 
 
 def q_summarize_chunked(spark, sf):
-    from .operators.stages import PrefixSummarizer
+    from .operators.stages import HashSummarizer
     from .plans.chunked import summarize_chunked
     docs = _docs(spark, sf).select("doc_id", "text", _length_by_doc().alias("length"))
-    out = summarize_chunked(docs, PrefixSummarizer, X.FIXTURE_BUDGET_TOKENS, X.CHARS_PER_TOKEN)
+    out = summarize_chunked(docs, HashSummarizer, X.FIXTURE_BUDGET_TOKENS, X.CHARS_PER_TOKEN)
     return out.select("doc_id", "summary", "tokens_in", "tokens_out", "latency_ms", "levels", "stage")
 
 
+def q_chunked_accounting(spark, sf):
+    """Every document ends once, as a digest or as a failure: some have no text, some an unknown length."""
+    from .operators.stages import HashSummarizer, resolve_templates
+    from .plans.chunked import summarize_chunked
+    docs = _docs(spark, sf).select(
+        "doc_id", F.when(F.col("doc_id") % 31 != 0, F.col("text")).alias("text"),
+        F.when(F.col("doc_id") % 37 == 0, "long").otherwise(_length_by_doc()).alias("length"))
+    out = summarize_chunked(docs, HashSummarizer, X.FIXTURE_BUDGET_TOKENS, X.CHARS_PER_TOKEN,
+                            templates=resolve_templates(X.template_overrides(spark)), extra=X.EXTRA_INSTRUCTIONS)
+    return out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count("summary").alias("n_digests"),
+                                     F.max("stage").alias("stage"), F.max("message").alias("message"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "catalog_scan": q_catalog_scan,
     "migrate_schema": q_migrate_schema,
+    "migrate_failures": q_migrate_failures,
     "normalise_rows": q_normalise_rows,
     "list_summaries": q_list_summaries,
     "list_view": q_list_view,
@@ -430,6 +459,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "summarize_corpus_extractive": q_summarize_corpus_extractive,
     "summarize_chunk_level": q_summarize_chunk_level,
     "summarize_chunked": q_summarize_chunked,
+    "chunked_accounting": q_chunked_accounting,
     "ingest_files": q_ingest_files,
     "stream_ingest": q_stream_ingest,
 }

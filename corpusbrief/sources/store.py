@@ -16,9 +16,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.catalog import apply_tombstones, conform, delete_ids
+from ..operators.catalog import apply_tombstones, conform, delete_ids, migrate_rows
 from ..plans.strategies import materialize
-from ..schemas import STORE_COLUMNS, STORE_SCHEMA, TOMBSTONE_SCHEMA
+from ..schemas import FAILURE_SCHEMA, STORE_COLUMNS, STORE_SCHEMA, TOMBSTONE_SCHEMA
 from .files import path_exists
 
 
@@ -67,6 +67,26 @@ def append(root: str, rows: DataFrame, run_id: str | None = None,
     return run_id
 
 
+def migrate(spark: SparkSession, old_data: str, root: str) -> str:
+    """Take one generation of an older store (a Parquet folder, read by its own schema) into ``root``.
+
+    Text times are parsed, missing columns come as NULL, and rows without a readable time go to the
+    failures of the run.  The run is named by the old folder, so a repeated migration replaces itself.
+    """
+    import hashlib
+
+    rows, failures = migrate_rows(spark.read.parquet(old_data))
+    return append(root, rows, "migrated-" + hashlib.sha1(old_data.rstrip("/").encode()).hexdigest()[:10], failures)
+
+
+def read_failures(spark: SparkSession, root: str) -> DataFrame:
+    """Failure rows of every run of the store; empty where there are none."""
+    path = root.rstrip("/") + "/failures"
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], FAILURE_SCHEMA)
+    return spark.read.schema(FAILURE_SCHEMA).parquet(path).select(*FAILURE_SCHEMA.fieldNames())
+
+
 def delete(spark: SparkSession, root: str, ids: DataFrame, id_col: str = "id") -> DataFrame:
     """Delete a batch of ids; returns the outcome per id (``deleted``).
 

@@ -143,6 +143,23 @@ def test_build_rows_ids_time_and_pages(spark):
     assert before <= rows["/a.pdf"].created_at <= before + dt.timedelta(minutes=5)  # session is UTC
 
 
+def test_migrate_old_store_with_text_times(spark, scratch):
+    old, root = os.path.join(scratch, "old"), os.path.join(scratch, "store")
+    ddl = ("id string, pdf_path string, pdf_hash string, page_count long, summary string, length string, "
+           "model string, created_at string")
+    spark.createDataFrame(
+        [("i1", "/a.pdf", "h", 2, "s", "short", "m", "2025-01-01T09:00:00+09:00"),
+         ("i2", "/b.pdf", "h", 2, "s", "short", "m", "yesterday"),
+         ("i3", "/c.pdf", "h", 2, "s", "short", "m", None)], ddl).write.parquet(old)
+    for _ in range(2):  # a repeated migration replaces itself
+        store.migrate(spark, old, root)
+    got = store.read_catalog(spark, root).selectExpr("id", "string(created_at) as t", "tokens_in").collect()
+    assert [(r.id, r.t, r.tokens_in) for r in got] == [("i1", "2025-01-01 00:00:00", None)]
+    assert sorted((r.pdf_path, r.message) for r in store.read_failures(spark, root).collect()) == [
+        ("/b.pdf", "bad created_at: yesterday"), ("/c.pdf", "bad created_at: NULL")]
+    assert store.read_failures(spark, os.path.join(scratch, "none")).count() == 0
+
+
 def test_legacy_run_folder_reads_with_null_usage(spark, scratch):
     from corpusbrief.schemas import STORE_COLUMNS
 
