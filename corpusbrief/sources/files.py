@@ -10,6 +10,10 @@ from ..functions import scalars as S
 from ..schemas import FAILURE_SCHEMA, FILE_SCHEMA, STORE_COLUMNS
 
 
+# What a file without bytes becomes in the failures, beside its path.
+EMPTY_FILE = ("'extract' as stage", "'ExtractionError' as error_class", "'empty file' as message")
+
+
 def _fs_path(spark: SparkSession, p: str):
     jvm = spark.sparkContext._jvm
     hp = jvm.org.apache.hadoop.fs.Path(p)
@@ -33,8 +37,8 @@ def _qualified(spark: SparkSession, p: str) -> tuple[str, bool]:
 
 
 def ingest_files(spark: SparkSession, paths, glob: str | None = "*.pdf",
-                 recursive: bool = False, max_bytes: int | None = None, report_empty: bool = True
-                 ) -> tuple[DataFrame, DataFrame]:
+                 recursive: bool = False, max_bytes: int | None = None, report_empty: bool = True,
+                 manifest: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """O1/O2: read files (single paths, directories or globs) with the binary file source.
 
     Returns ``(files, failures)``.  A requested path that does not exist is not
@@ -44,7 +48,10 @@ def ingest_files(spark: SparkSession, paths, glob: str | None = "*.pdf",
     on ``length`` before ``content`` is selected.  The binary file source
     yields no row for a 0-byte file; with ``report_empty`` such files are
     found by anti-joining Spark's own file listing (``inputFiles``, already
-    held by the driver for planning) and become extraction failures.
+    held by the driver for planning) and become extraction failures.  A corpus
+    of very many files comes with a ``manifest`` (``path``, ``length``, such as an
+    inventory of the store): its empty files are then filtered in Spark, and no
+    name goes through the driver.
     """
     import os
 
@@ -80,16 +87,18 @@ def ingest_files(spark: SparkSession, paths, glob: str | None = "*.pdf",
         def keep(c):
             return F.regexp_replace(c, "/[^/]*$", "").isin(*dirs) | c.isin(*singles)
         files = files.where(keep(S.strip_scheme("path")))
-    if report_empty:
+    if report_empty and manifest is not None:
+        empty = (manifest.where("length = 0").withColumn("pdf_path", S.strip_scheme("path"))
+                 .selectExpr("pdf_path", *EMPTY_FILE))
+        failures = failures.unionByName(empty if keep is None else empty.where(keep(F.col("pdf_path"))))
+    elif report_empty:
         # inputFiles() gives encoded URIs, the source's path column plain ones
         listed = spark.createDataFrame([(unquote(p),) for p in files.inputFiles()], "path string") \
             .select(S.strip_scheme("path").alias("pdf_path"))
         if keep is not None:
             listed = listed.where(keep(F.col("pdf_path")))
         read = files.select(S.strip_scheme("path").alias("pdf_path"))
-        empty = listed.join(read, "pdf_path", "left_anti").select(
-            "pdf_path", F.lit("extract").alias("stage"), F.lit("ExtractionError").alias("error_class"),
-            F.lit("empty file").alias("message"))
+        empty = listed.join(read, "pdf_path", "left_anti").selectExpr("pdf_path", *EMPTY_FILE)
         failures = failures.unionByName(empty)
     if max_bytes is not None:
         big = files.where(F.col("length") > max_bytes).select(

@@ -79,12 +79,15 @@ def migrate(spark: SparkSession, old_data: str, root: str) -> str:
     return append(root, rows, "migrated-" + hashlib.sha1(old_data.rstrip("/").encode()).hexdigest()[:10], failures)
 
 
-def read_failures(spark: SparkSession, root: str) -> DataFrame:
-    """Failure rows of every run of the store; empty where there are none."""
+def read_failures(spark: SparkSession, root: str, without_run: str | None = None) -> DataFrame:
+    """Failure rows of every run of the store (but one, if named); empty where there are none."""
     path = root.rstrip("/") + "/failures"
     if not path_exists(spark, path):
         return spark.createDataFrame([], FAILURE_SCHEMA)
-    return spark.read.schema(FAILURE_SCHEMA).parquet(path).select(*FAILURE_SCHEMA.fieldNames())
+    rows = spark.read.schema(FAILURE_SCHEMA).parquet(path)
+    if without_run is not None:
+        rows = rows.where(~F.col("_metadata.file_path").contains(f"/run={without_run}/"))
+    return rows.select(*FAILURE_SCHEMA.fieldNames())
 
 
 def delete(spark: SparkSession, root: str, ids: DataFrame, id_col: str = "id") -> DataFrame:

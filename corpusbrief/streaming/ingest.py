@@ -4,6 +4,9 @@ New files arriving in a folder are read by the binary file source, each
 micro-batch runs the whole summarisation (O22) and is written to the store as
 its own ``run=stream-<stream tag>-<batch id>`` folder with overwrite, so a batch replayed
 after a failure replaces its earlier partial output instead of duplicating it.
+The binary file source gives no row for a 0-byte file.  Each batch therefore also lists the empty files of
+the folder and reports those that no other run reported yet.  As the file source asks, files are to be
+moved in whole: it takes each path once, so a file that was empty then is not read when it grows.
 The stream is stateless (no watermark): a file is one self-contained unit.
 """
 from __future__ import annotations
@@ -14,7 +17,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..plans.corpus_run import run_corpus
 from ..plans.strategies import materialize
 from ..schemas import FILE_SCHEMA
-from ..sources.store import append, read_catalog
+from ..sources.files import ingest_files
+from ..sources.store import append, read_catalog, read_failures
 
 
 def file_stream(spark: SparkSession, input_dir: str, glob: str | None = "*.pdf",
@@ -32,7 +36,7 @@ def file_stream(spark: SparkSession, input_dir: str, glob: str | None = "*.pdf",
 def start_ingest(spark: SparkSession, input_dir: str, store_root: str, checkpoint: str,
                  glob: str | None = "*.pdf", skip_seen: bool = False, available_now: bool = True,
                  max_files_per_trigger: int | None = None, recursive: bool = False,
-                 **run_kwargs) -> StreamingQuery:
+                 report_empty: bool = True, **run_kwargs) -> StreamingQuery:
     """Start the ingest stream; ``run_kwargs`` go to :func:`run_corpus` (length, summarizer, ...).
 
     ``skip_seen`` skips files whose content hash is already in the live
@@ -52,6 +56,10 @@ def start_ingest(spark: SparkSession, input_dir: str, store_root: str, checkpoin
         rows, failures = run_corpus(df, catalog=catalog, **run_kwargs)
         # both are written before either folder of the run is replaced
         rows = materialize(rows, f"stream-rows-{batch_id}")
+        if report_empty:
+            _, empty = ingest_files(df.sparkSession, input_dir, glob, recursive)
+            known = read_failures(spark, store_root, without_run=run_id).select("pdf_path")
+            failures = failures.unionByName(empty.join(known, "pdf_path", "left_anti"))
         failures = materialize(failures, f"stream-failures-{batch_id}")
         append(store_root, rows, run_id=run_id, failures=failures)
 

@@ -53,6 +53,40 @@ def test_ingest_files_and_identity(spark, scratch):
                                                            "file larger than 4 bytes"]
 
 
+def test_ingest_names_with_blanks_and_manifest(spark, scratch):
+    names = ["my report.pdf", "要約 2026.pdf", "100%20.pdf", "a+b#c.pdf"]
+    for n in names:
+        _write(scratch, n, b"text")
+    _write(scratch, "leer und 空.pdf", b"")
+    empty = [(os.path.join(scratch, "leer und 空.pdf"), "empty file")]
+    files, failures = ingest_files(spark, scratch)
+    assert sorted(r.file_name for r in file_identity(files).collect()) == sorted(names)
+    assert [(r.pdf_path, r.message) for r in failures.collect()] == empty
+    listing = spark.createDataFrame([("file:" + os.path.join(scratch, n), os.path.getsize(os.path.join(scratch, n)))
+                                     for n in os.listdir(scratch)] + [("file:/elsewhere/x.pdf", 0)], "path string, length long")
+    files, failures = ingest_files(spark, scratch, manifest=listing)
+    assert files.count() == 4 and [(r.pdf_path, r.message) for r in failures.collect()] == empty
+
+
+def test_stream_reports_empty_files(spark, scratch):
+    from corpusbrief.streaming.ingest import start_ingest
+
+    src, root, ck = (os.path.join(scratch, x) for x in ("in", "store", "ck"))
+    os.makedirs(src)
+    _write(src, "a.pdf", b"First doc. It has two sentences.")
+    _write(src, "b.pdf", b"")
+    start_ingest(spark, src, root, ck, length="short", summarizer="extractive").awaitTermination(120)
+    assert store.read_catalog(spark, root).count() == 1
+    assert [(r.pdf_path, r.message) for r in store.read_failures(spark, root).collect()] == \
+        [(os.path.join(src, "b.pdf"), "empty file")]
+    _write(src, "c.pdf", b"")
+    _write(src, "d.pdf", b"Third doc.")
+    start_ingest(spark, src, root, ck, length="short", summarizer="extractive").awaitTermination(120)
+    assert sorted(r.pdf_path for r in store.read_failures(spark, root).collect()) == \
+        [os.path.join(src, "b.pdf"), os.path.join(src, "c.pdf")]  # each once
+    assert store.read_catalog(spark, root).count() == 2
+
+
 def test_store_append_delete_compact(spark, scratch):
     root = os.path.join(scratch, "store")
     assert store.read_catalog(spark, root).count() == 0  # a store that does not exist reads as empty
