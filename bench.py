@@ -30,6 +30,8 @@ HEADLINE = [
     "latest_per_path",
     "usage_rollup",
     "delete_requests",
+    "latest_for_paths",
+    "summarize_chunked",
 ]
 
 

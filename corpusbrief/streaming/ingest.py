@@ -4,8 +4,9 @@ New files arriving in a folder are read by the binary file source, each
 micro-batch runs the whole summarisation (O22) and is written to the store as
 its own ``run=stream-<stream tag>-<batch id>`` folder with overwrite, so a batch replayed
 after a failure replaces its earlier partial output instead of duplicating it.
-The binary file source gives no row for a 0-byte file.  Each batch therefore also lists the empty files of
-the folder and reports those that no other run reported yet.  As the file source asks, files are to be
+The binary file source gives no row for a 0-byte file.  The first batch after each start therefore also
+lists the folder's empty files and reports those that no other run reported yet (once a start, as the
+listing grows with the folder and not with the batch).  As the file source asks, files are to be
 moved in whole: it takes each path once, so a file that was empty then is not read when it grows.
 The stream is stateless (no watermark): a file is one self-contained unit.
 """
@@ -49,6 +50,8 @@ def start_ingest(spark: SparkSession, input_dir: str, store_root: str, checkpoin
     # and two streams into one store never share a folder
     tag = hashlib.sha1(checkpoint.rstrip("/").encode()).hexdigest()[:10]
 
+    to_report = [report_empty]
+
     def batch(df: DataFrame, batch_id: int) -> None:
         run_id = f"stream-{tag}-{batch_id}"
         # a replay sees the same catalog as the first try: everything but its own rows
@@ -56,7 +59,7 @@ def start_ingest(spark: SparkSession, input_dir: str, store_root: str, checkpoin
         rows, failures = run_corpus(df, catalog=catalog, **run_kwargs)
         # both are written before either folder of the run is replaced
         rows = materialize(rows, f"stream-rows-{batch_id}")
-        if report_empty:
+        if to_report and to_report.pop():
             _, empty = ingest_files(df.sparkSession, input_dir, glob, recursive)
             known = read_failures(spark, store_root, without_run=run_id).select("pdf_path")
             failures = failures.unionByName(empty.join(known, "pdf_path", "left_anti"))
