@@ -45,6 +45,7 @@ from .common import keyed, shuffle_partitions, table
 GRAM = 32
 BLOCK = 1 << 22  # bytes of text that a task hashes and combines at once
 BATCH_RUNS, GROUP_RUNS = 8, 256  # from more contexts on, an anchor's strings are spread over tasks
+PART_RUNS = 4_000_000  # 40 bytes each, three times that while levels merge
 U = np.uint64
 
 
@@ -413,7 +414,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(id, n_bytes, removed: byte spans, kept: the remaining bytes) for each row."""
     spark = docs.sparkSession
     rows = keyed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", ["text"])
-    parts = shuffle_partitions(spark)
+    # anchors change about every (length - GRAM + 1) / 2 bytes; a partition of the family holds some PART_RUNS runs
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = shuffle_partitions(spark, 2 * size // (length - GRAM + 1), PART_RUNS)
     packed = packed_texts(rows)
     found = materialize(family(scan(rows, length, RUN), parts), "suffix-levels")
     cut = fetch(packed, found.where(F.col("kind").isin(FEW, HOT)), length)
