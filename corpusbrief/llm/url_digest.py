@@ -2,8 +2,8 @@
 
 The rules' strings (host + path) are hashed with xxhash64; the sorted keys, string offsets and strings
 are one index block.  It travels as broadcast bytes (at most ``block_bytes`` of rules a block, the
-proven bound; more rules make more blocks, one pass each) and every worker memory-maps it from an
-unlinked file of its own.  A url's candidates are its host and each parent domain, times each path
+proven bound; more rules make more blocks, one pass each) and every task memory-maps it from an
+anonymous file in memory, so no local folder is used.  A url's candidates are its host and each parent domain, times each path
 length that rules have; all candidates of a batch are probed with one vectorised binary search, and a
 hit counts only if the stored string is equal, so digest collisions decide nothing.
 
@@ -18,7 +18,7 @@ repeated rows are judged each; an empty table, or no rules, works.  Only id and
 from __future__ import annotations
 
 import mmap
-import tempfile
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,7 +54,7 @@ class DigestArray:
     """A memory-mapped index block."""
 
     def __init__(self, data: bytes) -> None:
-        with tempfile.TemporaryFile() as f:  # has no name: it goes with the worker
+        with open(os.memfd_create("rules"), "wb") as f:  # goes with the map
             f.write(data)
             f.flush()
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
