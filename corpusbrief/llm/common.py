@@ -29,6 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def by_place(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns named c0, c1, ...: whatever their names were, they clash with nothing."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
 def shuffle_partitions(spark: SparkSession, rows: int = 0, rows_each: int = 1_000_000) -> int:
     """Partitions for a keyed Python stage: the session's number, or more where ``rows`` asks for it."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))
@@ -46,7 +51,6 @@ def keyed(docs: DataFrame, id_col: str, order: list[str], name: str = "_key") ->
             return docs.withColumn(name, c.cast("bigint"))
     n = shuffle_partitions(docs.sparkSession)
     by = [F.col(id_col).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in order]]
-    # the second text hash breaks nothing but the ties that the range bounds would otherwise put together
     return materialize(docs.repartitionByRange(n, *by).sortWithinPartitions(*by)
                        .withColumn(name, F.monotonically_increasing_id()), "keyed")
 

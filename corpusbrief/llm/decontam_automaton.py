@@ -6,8 +6,10 @@ and length always describe the longest suffix that occurs in some item.  A lengt
 holds the window, names the items.  The walk is made only on stretches whose neighbouring words are
 neighbours in some item too, found with numpy; a match cannot leave such a stretch, so nothing is lost.
 
-The items are read in blocks of at most ``block_bytes`` (the proven bound of what is broadcast); each
-block is one pass of a chained ``mapInArrow`` that adds to the row's spans, without any shuffle.
+The items are read in blocks of about ``block_bytes`` of text (the proven bound of what is broadcast).  An
+automaton takes some 180 bytes a byte of items, so a block of 2 MB is one of some 360 MB; a worker keeps the last
+one it built for its later tasks.  Each block is one ``mapInArrow`` pass that adds to the row's spans, without any
+shuffle; its rows are written before the next pass, so that no task holds two automatons.
 
 A normalised word is a maximal run of [0-9a-z] and non-ASCII characters after lower-casing A-Z.  An
 item of fewer than ``window`` words, but not none, is one window.
@@ -19,6 +21,7 @@ judged each; empty tables give no rows or clean rows.  Only id and text are read
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, utf8
+from ..plans.strategies import materialize
+from .common import by_place, prep, table, utf8
 
 # word bytes, lower-cased; all others blank
 WORD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -172,6 +176,16 @@ def _merged(spans: list) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
+_LAST: dict[str, Automaton] = {}  # a worker's last automaton, by the name of its block
+
+
+def _automaton(name: str, items: list, window: int) -> Automaton:
+    if name not in _LAST:
+        _LAST.clear()
+        _LAST[name] = Automaton(items, window)
+    return _LAST[name]
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(WORD).split()
 
@@ -192,15 +206,17 @@ def _item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int)
 
 
 def find_items(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text", item_id: str = "item_id",
-               item_text: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
+               item_text: str = "text", block_bytes: int = 2 << 20) -> DataFrame:
     """``docs`` with _words, _spans (word ranges that lie in some item) and _items (item ids as text)."""
     schema = T.StructType([*docs.schema.fields, *FOUND])
     out, at, width = docs, docs.columns.index(text_col), len(docs.columns)
     for k, block in enumerate(_item_blocks(items, item_id, item_text, block_bytes)):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        shared, name = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
+        if k:
+            out = materialize(out, "item-block")
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, k=k) -> Iterator[pa.RecordBatch]:
-            auto = Automaton(shared.value, window)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name, k=k) -> Iterator[pa.RecordBatch]:
+            auto = _automaton(name, shared.value, window)
             for b in batches:
                 n_words, spans, found = [], [], []
                 old = [b.column(width + x).to_pylist() for x in (1, 2)] if k else None
@@ -237,9 +253,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_cover
                   text_col: str = "text") -> DataFrame:
     """``docs`` with benchmark spans cut from the text; documents covered by more than ``max_coverage`` go.
 
-    An integer n_chars column is set anew where the text changed.
+    An integer n_chars column is set anew where the text changed.  Columns may have any names.
     """
-    found = find_items(docs, items, window, text_col)
+    found = find_items(by_place(docs), items, window, f"c{docs.columns.index(text_col)}")
     hit = F.aggregate("_spans", F.lit(0), lambda a, x: a + x["end"] - x["start"])
     found = found.where(hit <= F.lit(max_coverage) * F.col("_words"))
     names, at = docs.columns, docs.columns.index(text_col)
@@ -261,7 +277,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_cover
                                        cols[c].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return found.select(*names, "_spans").mapInArrow(cut, docs.schema)
+    return found.select(*found.columns[:len(names)], "_spans").mapInArrow(cut, docs.schema)
 
 
 def op1_decontam_automaton(spark, sf_dir) -> DataFrame:
@@ -275,6 +291,7 @@ def op1_decontam_automaton(spark, sf_dir) -> DataFrame:
 
 
 def stage(spark, docs, sf_dir) -> DataFrame:
+    prep(spark)
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 

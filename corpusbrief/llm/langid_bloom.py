@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, prep, table
+from .common import by_place, give_back, prep, table
 
 LETTER = re.compile(r"[^\W\d_]")
 N = 5
@@ -203,13 +203,13 @@ def stage(spark, docs, sf_dir, min_score: float = 0.3, sure: int = 200) -> DataF
     """
     prep(spark)
     shared = spark.sparkContext.broadcast(learn(docs))
-    at = docs.columns.index("text")
+    names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(at).to_pylist()
             lang, score = shared.value.predict(texts)
             keep = [x != "und" and (s >= min_score or len(normalise(t)) < sure) for x, s, t in zip(lang, score, texts)]
-            yield b.filter(pa.array(keep, pa.bool_()))
+            yield b.filter(pa.array(keep, pa.bool_())).rename_columns(names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return by_place(docs).mapInArrow(run, docs.schema)

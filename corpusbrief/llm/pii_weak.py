@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, prep, table
+from .common import by_place, give_back, prep, table
 
 KINDS = ("email", "ip", "card", "phone")
 DIGIT = re.compile("[0-9]")
@@ -283,4 +283,4 @@ def stage(spark, docs, sf_dir, threshold: float = 0.8) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=names)
         give_back()
 
-    return docs.mapInArrow(run, docs.schema)
+    return by_place(docs).mapInArrow(run, docs.schema)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.strategies import materialize
-from .common import give_back, keyed, local_components, prep, shuffle_partitions, table, utf8
+from .common import by_place, give_back, keyed, local_components, prep, shuffle_partitions, table, utf8
 from .components import connected_components
 
 SEED = 42
@@ -235,7 +235,8 @@ def op6_simhash_golay(spark, sf_dir) -> DataFrame:
 def stage(spark, docs, sf_dir) -> DataFrame:
     """One document of each group stays, the one with the smallest id."""
     prep(spark)
-    key = keyed(docs, "doc_id", ["text"])
-    c = simhash_components(key, "_key", "text")
+    doc_id, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    key = keyed(by_place(docs), doc_id, [text])
+    c = simhash_components(key, "_key", text)
     keep = c.where("id = component_id").select(F.col("id").alias("_key"))
-    return key.join(keep, "_key", "left_semi").select(*docs.columns)
+    return key.join(keep, "_key", "left_semi").drop("_key").toDF(*docs.columns)

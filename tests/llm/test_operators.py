@@ -74,6 +74,12 @@ def test_decontamination_cuts_spans_and_keeps_clean_documents(spark):
     assert decontam_automaton.decontaminate(docs(spark, texts), items.limit(0)).count() == 4
 
 
+def test_decontamination_keeps_a_workers_automaton_only_for_its_block():
+    a = decontam_automaton._automaton("a", [("1", [b"x", b"y"])], 10)
+    assert decontam_automaton._automaton("a", [], 10) is a
+    assert decontam_automaton._automaton("b", [], 10) is not a and list(decontam_automaton._LAST) == ["b"]
+
+
 # ---------------------------------------------------------------- 2
 
 def test_warc_round_trip(spark):

@@ -1,4 +1,6 @@
 """The pipeline's stages on the smallest tables, each held against what its operator decides."""
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from corpusbrief.llm import decontam_automaton, pii_weak, simhash_golay
 from corpusbrief.llm.common import table
@@ -26,3 +28,15 @@ def test_stages_keep_columns_and_take_effect(spark):
 def test_run_returns_the_pieces(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 0
+
+
+def test_stages_take_columns_of_any_names(spark):
+    clash = ["_key", "_spans", "_words", "_items", "c0", "id", "fp", "a.b", "key"]
+    docs = table(spark, SF, "documents")
+    docs = docs.select("*", *[F.col("doc_id").alias(c) for c in clash])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialize(stage(spark, docs, SF), f"test-{name}")
+        assert docs.columns[-len(clash):] == clash, name
+        for r in docs.collect():
+            assert set(r[-len(clash):]) == {r.doc_id}, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 0
