@@ -5,21 +5,17 @@ sentence by the mean in-document frequency of its words, then keep the
 highest-scoring sentences that fit the length's character budget and emit
 them in document order.
 
-Plan shape: the documents are scanned once and hash-partitioned by id once.
-For ordinary documents every later step (sentence and word explode, word
-counts per document, score per sentence, ranking and the final collect)
-groups by keys that start with the document id, so Spark reuses that
-partitioning: no further exchange, no join, nothing broadcast.
-
-A single very long document would then be one long task.  When the input has
-a size column, documents longer than ``big_doc_chars`` take a second path: word counts
-with partial aggregation, a join back to the words (AQE splits a hot
-(document, word) key), per-sentence scores shuffled by (document, sentence),
-and a per-document top-K by rank (Spark plans it as a partial limit before the
-shuffle) ahead of the running-sum cut, so no step holds all of one document's
-words or sentences in one task.  K is the most sentences a budget can hold
-(each costs at least 1 + overhead characters), plus one for the empty
-first-position placeholder.
+Plan shape, the same for documents of every size:
+
+1. The scan explodes sentences and words in place.  Word rows (id, word, position) are hash-partitioned
+   by (id, word) and counted by a window, so the words of one document are spread over all tasks.
+2. Sums per (id, sentence) are partially aggregated, then shuffled by that pair.
+3. Sentences are ranked per document.  The running-sum cut is preceded by a top-K by rank, which
+   Spark plans as a partial limit before the shuffle.  K is the most sentences a budget can hold (each
+   costs at least 1 + overhead characters), so nothing is lost and no task holds all of a document's
+   sentences.
+4. The chosen positions meet their document by id; the texts of these sentences alone are cut out.
+   Neither text nor carried columns are copied to sentences or words.
 """
 from __future__ import annotations
 
@@ -57,53 +53,35 @@ def _params(length: str | None, length_col: str | None) -> tuple[Column, Column,
             F.when(short, BULLET).otherwise(""))
 
 
-def _prepared(docs: DataFrame, length: str | None, length_col: str | None, id_col: str, text_col: str,
-              carry: list[str] | None, partitions: int | None) -> DataFrame:
-    ln, budget, ov, bullet = _params(length, length_col)
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    carry_col = F.struct(*carry) if carry else F.lit(None).cast("struct<_:int>")
-    return (docs.select(id_col, F.col(text_col).alias("_text"), ln.alias("_length"), budget.alias("_budget"),
-                        ov.alias("_ov"), bullet.alias("_bullet"), carry_col.alias("_carry"))
-            .repartition(n, id_col))
-
-
-def _keys(id_col: str) -> list[str]:
-    return [id_col, "_length", "_budget", "_ov", "_bullet"]
+def _marked(text: str) -> Column:
+    """The sentences (some empty) of a text, as an array."""
+    ends = F.regexp_replace(F.regexp_replace(F.col(text), SENTENCE_END, "$1\n"), FULL_WIDTH_END, "$1\n")
+    return F.split(ends, "\n+")
 
 
-def _word_rows(d: DataFrame, id_col: str) -> DataFrame:
-    """(keys, pos, word, sent_text, _carry): one row per word, plus one per empty sentence.
+def _word_rows(docs: DataFrame, length: str | None, length_col: str | None, id_col: str, text_col: str) -> DataFrame:
+    """(id, length, pos, word, n): one row per word, and one for a sentence without words (word NULL).
 
-    Empty sentences are dropped by row filters after the explode (code-generated),
-    not by a lambda ``filter`` on the array (interpreted).  Position 0 is always
-    kept (as NULL when empty) so a document without sentences keeps one row;
-    gaps in ``pos`` do not change the order.  A sentence longer than the budget
-    is cut into pieces (:func:`_pieces`), which compete like sentences, so no
-    part of a text is left out.  The text rides only on the piece's first word
-    row and the document's ``_carry`` only on its first piece, so neither is
-    copied per word.
+    A sentence longer than the budget is cut into pieces (:func:`_pieces`), which compete like sentences, so
+    no part of a text is left out.  ``n`` is the length of the sentence, on its first row only.  Gaps in ``pos``
+    do not change the order.
     """
-    keys = _keys(id_col)
-    marked = F.regexp_replace(F.regexp_replace(F.col("_text"), SENTENCE_END, "$1\n"), FULL_WIDTH_END, "$1\n")
-    first = F.coalesce(F.col("pos"), F.lit(0)) == 0
-    whole = (d.select(*keys, "_carry", F.posexplode_outer(F.split(marked, "\n+")).alias("pos", "raw"))
-             .where((F.col("raw") != "") | first))
-    sents = (whole.select(*keys, "_carry", F.col("pos").cast("bigint").alias("spos"),
-                          F.posexplode_outer(_pieces("raw")).alias("piece", "raw"))
-             .select(*keys, (F.col("spos") * F.lit(PIECE_STEP) + F.col("piece")).alias("pos"),
-                     F.nullif(F.col("raw"), F.lit("")).alias("sent"), "_carry"))
-    sents = sents.withColumn("_carry", F.when(F.coalesce(F.col("pos"), F.lit(0)) == 0, F.col("_carry")))
+    ln, budget, ov, _ = _params(length, length_col)
+    whole = (docs.select(F.col(id_col).alias("_id"), ln.alias("_length"), budget.alias("_budget"), ov.alias("_ov"),
+                         F.col(text_col).alias("_text"))
+             .select("_id", "_length", "_budget", "_ov", F.posexplode(_marked("_text")).alias("spos", "raw"))
+             .where(F.col("raw") != ""))
+    sents = whole.select("_id", "_length", "spos", F.posexplode(_pieces(F.col("raw"))).alias("piece", "sent"))
     spaced = F.regexp_replace(F.lower(F.col("sent")), SINGLE_CHAR_WORDS, " $1 ")
-    first_word = F.coalesce(F.col("wpos"), F.lit(0)) == 0
-    return (sents.select(*keys, "pos", "sent", "_carry",
-                         F.posexplode_outer(F.split(spaced, WORD_SPLIT)).alias("wpos", "word"))
-            .where((F.col("word") != "") | first_word)
-            .select(*keys, "pos", F.nullif(F.col("word"), F.lit("")).alias("word"),
-                    F.when(first_word, F.col("sent")).alias("sent_text"),
-                    F.when(first_word, F.col("_carry")).alias("_carry"), first_word.alias("_fw")))
+    pos = F.col("spos").cast("bigint") * F.lit(PIECE_STEP) + F.col("piece")
+    return (sents.select("_id", "_length", pos.alias("pos"), F.length("sent").alias("n"),
+                         F.posexplode(F.split(spaced, WORD_SPLIT)).alias("wpos", "word"))
+            .where((F.col("word") != "") | (F.col("wpos") == 0))
+            .select("_id", "_length", "pos", F.nullif(F.col("word"), F.lit("")).alias("word"),
+                    F.when(F.col("wpos") == 0, F.col("n")).alias("n")))
 
 
-def _pieces(raw: str) -> Column:
+def _pieces(raw: Column) -> Column:
     """The sentence, or its pieces of at most budget - overhead + 1 characters if it is longer.
 
     A piece ends after the last blank that fits, or without one where the budget ends.
@@ -111,92 +89,34 @@ def _pieces(raw: str) -> Column:
     cap = F.col("_budget") - F.col("_ov") + 1
     n, n1 = cap.cast("string"), (cap - 1).cast("string")
     pattern = F.concat(F.lit("(?s).{1,"), n, F.lit(r"}\z|.{0,"), n1, F.lit("} |.{1,"), n, F.lit("}"))
-    return (F.when(F.length(raw) > cap, F.regexp_extract_all(F.col(raw), pattern, F.lit(0)))
-            .otherwise(F.array(F.col(raw))))
-
-
-def _per_sentence(tf: DataFrame, id_col: str) -> DataFrame:
-    """(keys, pos, sent, score, _carry) from word rows carrying ``tf``."""
-    keys = _keys(id_col)
-    per_sent = (tf.drop("_fw").groupBy(*keys, "pos")
-                .agg(F.sum("tf").alias("_sum"), F.count("word").alias("_nw"),
-                     F.collect_list("sent_text").alias("_text"), F.collect_list("_carry").alias("_c")))
-    return per_sent.select(
-        *keys, "pos", F.try_element_at("_text", F.lit(1)).alias("sent"),
-        F.when(F.col("_nw") > 0, F.expr("_sum div _nw")).otherwise(F.lit(0)).cast("bigint").alias("score"),
-        F.try_element_at("_c", F.lit(1)).alias("_carry"))
-
-
-def _scores_local(d: DataFrame, id_col: str) -> DataFrame:
-    """Word counts and sentence sums by windows inside the document's partition.
-
-    Both windows sort within the partition Spark already has (by document); the
-    per-sentence sums are a window over (document, sentence) read back on the
-    sentence's first word row, which carries the text.  That avoids a
-    ``collect_list`` aggregate, which falls back to sort-based aggregation after
-    128 keys per task (about 14 % less CPU here).
-    """
-    keys = _keys(id_col)
-    w = _word_rows(d, id_col)
-    tf = w.withColumn("tf", F.count("word").over(Window.partitionBy(id_col, "word")))
-    per = Window.partitionBy(id_col, "pos")
-    s = (tf.withColumn("_sum", F.sum("tf").over(per)).withColumn("_nw", F.count("word").over(per))
-         .where(F.col("_fw")))
-    return s.select(
-        *keys, "pos", F.col("sent_text").alias("sent"),
-        F.when(F.col("_nw") > 0, F.expr("_sum div _nw")).otherwise(F.lit(0)).cast("bigint").alias("score"),
-        "_carry")
-
-
-def _scores_spread(d: DataFrame, id_col: str) -> DataFrame:
-    """Word counts by a partially aggregated count joined back to the words (shuffled by word)."""
-    w = _word_rows(d, id_col)
-    counts = w.where(F.col("word").isNotNull()).groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("tf"))
-    return _per_sentence(w.join(counts, [id_col, "word"], "left"), id_col)
+    return (F.when(F.length(raw) > cap, F.regexp_extract_all(raw, pattern, F.lit(0)))
+            .otherwise(F.array(raw)))
 
 
 def sentence_scores(docs: DataFrame, length: str | None = "short", id_col: str = "doc_id",
                     text_col: str = "text", partitions: int | None = None,
-                    length_col: str | None = None, carry: list[str] | None = None) -> DataFrame:
-    """(id, length, budget, ov, bullet, pos, sent, score, _carry) per sentence (local path).
+                    length_col: str | None = None) -> DataFrame:
+    """(_id, _length, pos, n: characters, score) per sentence.
 
     A sentence too long for the budget comes as pieces that each fit it.
     """
-    return _scores_local(_prepared(docs, length, length_col, id_col, text_col, carry, partitions), id_col)
-
-
-def _cost() -> Column:
-    return F.coalesce(F.length("sent") + F.col("_ov"), F.lit(0))
-
-
-def _collect(kept: DataFrame, id_col: str) -> DataFrame:
-    take = F.col("_in") & F.col("sent").isNotNull()
-    line = F.concat(F.col("_bullet"), F.col("sent"))
-    item = F.when(take, F.struct(F.col("pos"), line.alias("line")))
-    summary = F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["line"]), "\n")
-    return (kept.groupBy(id_col, "_length")
-            .agg(summary.alias("summary"), F.count(F.when(take, F.lit(1))).alias("n_sentences"),
-                 F.collect_list("_carry").alias("_c"))
-            .select(id_col, F.col("_length").alias("length"), "summary",
-                    F.col("n_sentences").cast("bigint").alias("n_sentences"),
-                    F.length("summary").cast("bigint").alias("summary_chars"),
-                    F.try_element_at("_c", F.lit(1)).alias("_carry")))
-
-
-def _rank_local(s: DataFrame, id_col: str) -> DataFrame:
-    rank = Window.partitionBy(id_col).orderBy(F.col("score").desc(), F.col("pos")) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = s.withColumn("_in", F.sum(_cost()).over(rank) <= F.col("_budget") + 1)
-    return _collect(ranked.where(F.col("_in") | F.col("_carry").isNotNull()), id_col)
-
-
-def _rank_topk(s: DataFrame, id_col: str, k: int) -> DataFrame:
-    order = [F.col("score").desc(), F.col("pos")]
-    top = (s.withColumn("_rn", F.row_number().over(Window.partitionBy(id_col).orderBy(*order)))
+    parts = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = _word_rows(docs, length, length_col, id_col, text_col).repartition(parts, "_id", "word")
+    tf = words.withColumn("tf", F.count("word").over(Window.partitionBy("_id", "word")))
+    return (tf.groupBy("_id", "_length", "pos")
+            .agg(F.sum("tf").alias("_sum"), F.count("word").alias("_nw"), F.max("n").alias("n"))
+            .select("_id", "_length", "pos", "n",
+                    F.when(F.col("_nw") > 0, F.expr("_sum div _nw")).otherwise(F.lit(0)).cast("bigint").alias("score")))
+
+
+def _chosen(s: DataFrame, k: int) -> DataFrame:
+    """(_of, _pos): per document, the positions of the longest prefix of its ranking that fits the budget."""
+    _, budget, ov, _ = _params(None, "_length")
+    top = (s.withColumn("_rn", F.row_number().over(Window.partitionBy("_id").orderBy(F.col("score").desc(), "pos")))
            .where(F.col("_rn") <= k))
-    run = Window.partitionBy(id_col).orderBy("_rn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = top.withColumn("_in", F.sum(_cost()).over(run) <= F.col("_budget") + 1)
-    return _collect(ranked.where(F.col("_in")), id_col)
+    run = Window.partitionBy("_id").orderBy("_rn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (top.withColumn("_in", F.sum(F.col("n") + ov).over(run) <= budget + 1).where("_in")
+            .groupBy(F.col("_id").alias("_of")).agg(F.array_sort(F.collect_list("pos")).alias("_pos")))
 
 
 def _max_kept(length: str | None, length_col: str | None) -> int:
@@ -208,13 +128,9 @@ def _overhead(length: str) -> int:
     return len(BULLET) + 1 if length == "short" else 1
 
 
-BIG_DOC_CHARS = 1_000_000
-
-
 def extractive_summary(docs: DataFrame, length: str | None = "short", id_col: str = "doc_id",
                        text_col: str = "text", partitions: int | None = None,
-                       length_col: str | None = None, carry: list[str] | None = None,
-                       size_col: str | None = None, big_doc_chars: int = BIG_DOC_CHARS) -> DataFrame:
+                       length_col: str | None = None, carry: list[str] | None = None) -> DataFrame:
     """One row per document: (id, length, summary, n_sentences, summary_chars, *carry).
 
     ``length`` applies to every document, or ``length_col`` names a per-row
@@ -223,34 +139,26 @@ def extractive_summary(docs: DataFrame, length: str | None = "short", id_col: st
     cost (characters plus bullet and newline) stays within budget + 1, so the
     text is at most ``budget`` characters; the top sentence (or piece of one) always fits.
     Documents without sentences get an empty summary.  ``carry`` names
-    document columns to return alongside (no second scan).
-
-    ``size_col`` names a size column that needs no text to read (a character
-    count, or the byte length of a file).  Rows above ``big_doc_chars`` take
-    the spread path.  Each path scans with its own filter on that column: the
-    long-document scan skips every Parquet row group (or file) without a long
-    document through min/max statistics, so the text is read about once.
-    Whether any document is that long is checked first by a job that reads
-    only the size column (pushed-down filter, ``limit 1``); without one, or
-    without ``size_col``, every document takes the single-exchange path.
+    document columns to return alongside.  Ids are unique.
     """
-    if size_col is not None:
-        big_rows = docs.where(F.col(size_col) > F.lit(big_doc_chars)).select(size_col).limit(1)
-        if big_rows.count() == 0:
-            size_col = None
-    if size_col is None:
-        out = _rank_local(_scores_local(_prepared(docs, length, length_col, id_col, text_col, carry,
-                                                  partitions), id_col), id_col)
-    else:
-        big = F.col(size_col) > F.lit(big_doc_chars)
-        small = _rank_local(_scores_local(_prepared(docs.where(~big | F.col(size_col).isNull()), length,
-                                                    length_col, id_col, text_col, carry, partitions),
-                                          id_col), id_col)
-        d_big = _prepared(docs.where(big), length, length_col, id_col, text_col, carry, partitions)
-        no_carry = d_big.withColumn("_carry", F.lit(None).cast(d_big.schema["_carry"].dataType))
-        spread = _rank_topk(_scores_spread(no_carry, id_col), id_col, _max_kept(length, length_col))
-        spread = spread.drop("_carry").join(d_big.select(id_col, "_carry"), id_col, "left")
-        out = small.unionByName(spread)
-    if carry:
-        return out.select("*", *[F.col("_carry")[c].alias(c) for c in carry]).drop("_carry")
-    return out.drop("_carry")
+    parts = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a struct is never NULL, so a NULL id joins like any other; both uses of this exchange share one scan
+    base = docs.select(F.struct(F.col(id_col).alias("id")).alias("_k"), F.col(text_col).alias("_text"),
+                       *([F.col(length_col).alias("_ln")] if length_col else []),
+                       *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry or [])]).repartition(parts, "_k")
+    chosen = _chosen(sentence_scores(base.withColumn("_doc", F.col("_k.id")), length, "_doc", "_text", parts, length_col and "_ln"),
+                     _max_kept(length, length_col))
+    ln, budget, ov, bullet = _params(length, length_col and "_ln")
+    rows = base.select("*", F.col("_k.id").alias("_id"), ln.alias("_length"), budget.alias("_budget"), ov.alias("_ov"),
+                       bullet.alias("_bullet"))
+    # the sentences are bound once as an element of an array of one, or each chosen position would cut the text again
+    sent = lambda all_, p: F.get(_pieces(F.get(all_, F.shiftright(p, 24).cast("int"))),
+                                 p.bitwiseAND(F.lit(PIECE_STEP - 1)).cast("int"))
+    lines = F.transform(F.array(_marked("_text")),
+                        lambda all_: F.transform("_pos", lambda p: F.concat(F.col("_bullet"), sent(all_, p))))
+    both = (rows.join(chosen, F.col("_k") == F.struct(F.col("_of").alias("id")), "left")
+            .withColumn("summary", F.when(F.col("_pos").isNull(), "").otherwise(F.array_join(F.get(lines, F.lit(0)), "\n"))))
+    return both.select(F.col("_id").alias(id_col), F.col("_length").alias("length"), "summary",
+                       F.coalesce(F.size("_pos"), F.lit(0)).cast("bigint").alias("n_sentences"),
+                       F.length("summary").cast("bigint").alias("summary_chars"),
+                       *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry or [])])

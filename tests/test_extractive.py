@@ -85,40 +85,27 @@ def test_per_row_length_and_carry(spark):
     assert got[3].summary == "" and got[3].path == "/c" and got[3].length == "standard"
 
 
-def test_plan_has_one_exchange_and_no_join(spark):
+def test_one_plan_spreads_the_words_of_a_document(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    plan = extractive_summary(docs, "short")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1
-    assert "Join" not in plan
+    q = extractive_summary(docs, "short")._jdf.queryExecution()
+    assert "WindowGroupLimit" in q.optimizedPlan().toString()  # a partial top-K runs before sentences meet by document
+    plan = q.executedPlan().toString()
+    assert "hashpartitioning(_id" in plan and "word" in plan.split("hashpartitioning(_id", 1)[1] and "BroadcastHashJoin" not in plan
 
 
-@pytest.mark.parametrize("length", ["short", "standard", "detailed"])
-def test_spread_path_for_long_documents_matches(spark, length):
-    # a tiny threshold sends most documents down the spread path
-    df = spark.createDataFrame(EDGE, "doc_id long, text string").selectExpr("*", "length(text) as n")
-    got = {r.doc_id: (r.summary, r.n_sentences) for r in
-           extractive_summary(df, length, size_col="n", big_doc_chars=20, partitions=3).collect()}
-    assert set(got) == {i for i, _ in EDGE}
-    for i, t in EDGE:
-        want, n = brute(t, length)
-        assert got[i] == (want, n), (i, length)
-
-
-def test_spread_path_on_documents_with_carry(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    a = {r.doc_id: (r.summary, r.source) for r in
-         extractive_summary(docs, "standard", carry=["source"], size_col="n_chars", big_doc_chars=2000).collect()}
-    b = {r.doc_id: (r.summary, r.source) for r in
-         extractive_summary(docs, "standard", carry=["source"]).collect()}
-    assert a == b and len(a) == 200
+@pytest.mark.parametrize("length", ["short", "detailed"])
+def test_one_document_of_all_texts(spark, length):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id")
+    text = " ".join(r.text for r in docs.select("text").collect())
+    got = extractive_summary(spark.createDataFrame([(None, text), (1, "A b. C d."), (2, None)], "doc_id long, text string"), length, partitions=5)
+    got = {r.doc_id: (r.summary, r.n_sentences) for r in got.collect()}
+    assert got == {None: brute(text, length), 1: brute("A b. C d.", length), 2: ("", 0)}
 
 
-def test_spread_path_limits_per_document_rows(spark):
+def test_carry_returns_columns_of_the_document(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    q = extractive_summary(docs, "short", size_col="n_chars", big_doc_chars=1000)._jdf.queryExecution()
-    assert "WindowGroupLimit" in q.optimizedPlan().toString()
-    # the long-document scan filters on the size column inside the Parquet reader
-    assert "PushedFilters: [IsNotNull(n_chars), GreaterThan(n_chars,1000)]" in q.executedPlan().toString()
+    got = {r.doc_id: r.source for r in extractive_summary(docs, "standard", carry=["source"]).collect()}
+    assert got == {r.doc_id: r.source for r in docs.select("doc_id", "source").collect()}
 
 
 def test_null_and_blank_texts_keep_their_row(spark):
