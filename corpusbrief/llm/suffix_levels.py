@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.strategies import materialize
-from .common import keyed, shuffle_partitions, table
+from .common import give_back, keyed, shuffle_partitions, table
 
 GRAM = 32
 BLOCK = 1 << 22  # bytes of text that a task hashes and combines at once
@@ -51,7 +51,7 @@ U = np.uint64
 
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> U(29))
-    x = x * U(0xBF58476D1CE4E5B9)
+    x *= U(0xBF58476D1CE4E5B9)
     x ^= x >> U(32)
     return x
 
@@ -67,13 +67,20 @@ class Rolling:
         self.letter = mix(np.arange(1, 257, dtype=U) * U(base)) | U(1)
 
     def load(self, data: np.ndarray) -> None:
+        self.sums = None  # the ones before go first
+        x = self.letter[data]
+        x *= self.power[:len(data)]
         self.sums = np.zeros(len(data) + 1, U)
-        np.cumsum(self.letter[data] * self.power[:len(data)], out=self.sums[1:])
+        np.cumsum(x, out=self.sums[1:])
 
     def all(self, length: int) -> np.ndarray:
         """The hash of each piece of ``length`` bytes, by start."""
         n = max(0, len(self.sums) - length)
-        return mix((self.sums[length:] - self.sums[:n]) * self.power[self.size - n + 1:][::-1][:n]) if n else np.zeros(0, U)
+        if not n:
+            return np.zeros(0, U)
+        x = self.sums[length:] - self.sums[:n]
+        x *= self.power[self.size - n + 1:][::-1][:n]
+        return mix(x)
 
     def pieces(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.power[self.size - start])
@@ -100,19 +107,24 @@ class Scanner:
         data = np.frombuffer(b"".join(p for _, _, p in parts), np.uint8)
         size = np.array([len(p) for _, _, p in parts])
         ends = np.cumsum(size)
+        self.second.sums = None
         self.first.load(data)
         h = self.first.all(GRAM)
-        v = (h >> U(24) << U(24)) | np.arange(len(h), dtype=U)
+        self.first.sums = None
+        v = h >> U(24)
+        v <<= U(24)
+        v |= np.arange(len(h), dtype=U)
         owner = (sliding_min(v, length - GRAM + 1) & U(0xFFFFFF)).astype(np.int32)
         del v
         of = np.repeat(np.arange(len(parts)), np.maximum(0, size - length + 1))  # part of each inner start
         at = np.arange(len(of)) - np.repeat(np.cumsum(np.maximum(0, size - length + 1)), np.maximum(0, size - length + 1))
-        at += ends[of] - length + 1
+        at += (ends - length + 1)[of]
         owner = owner[at]
         new = np.r_[True, (owner[1:] != owner[:-1]) | (of[1:] != of[:-1])] if len(at) else np.zeros(0, bool)
         i = np.flatnonzero(new)
         n = np.diff(np.r_[i, len(at)])
         place, of, own = at[i], of[i], owner[i]
+        del at, owner, new
         self.second.load(data)
         context = self.second.pieces(place, place + n + length - 1)
         context = mix(context ^ (h[own] * U(3)) ^ (n.astype(U) << U(32)) ^ (own - place).astype(U))
@@ -125,6 +137,15 @@ class Scanner:
         return self.second.all(self.length)
 
 
+def released(run):
+    """``run``, which hands the memory it freed back to the system when its task ends."""
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def neighbours(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For sorted (a, b): whether a row equals the one before."""
     return np.r_[False, (a[1:] == a[:-1]) & (b[1:] == b[:-1])] if len(a) else np.zeros(0, bool)
@@ -174,30 +195,30 @@ def gone_starts(key, start) -> Iterator[pa.RecordBatch]:
     return batch(GONE, zero, zero, key[i], start[i], np.diff(np.r_[i, len(key)]))
 
 
-def scan(docs: DataFrame, length: int, kind: int) -> DataFrame:
-    """The rows of one kind (RUN, STRING or GONE) of all batches of ``docs`` (_key, text)."""
+def scan(docs: DataFrame, length: int) -> DataFrame:
+    """The RUN, STRING and GONE rows of all batches of ``docs`` (_key, text).
+
+    The kinds are only right together, from the same batches: RUN leaves out what GONE reports, and sends one row
+    for a hot anchor whose strings STRING has.  Callers write the rows before they take them apart.
+    """
     def emit(scanner: Scanner, parts: list) -> Iterator[pa.RecordBatch]:
         a, b, key, start, n, place = scanner.runs(parts)
         o = np.lexsort((start, key, b, a))
         a, b, key, start, n, place = (c[o] for c in (a, b, key, start, n, place))
         again = neighbours(a, b)
-        if kind == GONE:
-            yield from batch(GONE, a[again], b[again], key[again], start[again], n[again])
+        yield from batch(GONE, a[again], b[again], key[again], start[again], n[again])
         a, b, key, start, n, place = (c[~again] for c in (a, b, key, start, n, place))
         mixed = group_sizes(a) > BATCH_RUNS
-        if kind == RUN:
-            yield from batch(RUN, *(c[~mixed] for c in (a, b, key, start, n)))
+        yield from batch(RUN, *(c[~mixed] for c in (a, b, key, start, n)))
+        if mixed.any():
             one = np.unique(a[mixed])
             zero = np.zeros(len(one), np.int64)
             yield from batch(RUN, one, zero, zero, zero, zero)
-        elif mixed.any():
             n = n[mixed]
             h = scanner.strings()[expand(place[mixed], n)]
             a, b, key, start, again = combined(np.repeat(a[mixed], n), h, np.repeat(key[mixed], n), expand(start[mixed], n))
-            if kind == STRING:
-                yield from batch(STRING, *(c[~again] for c in (a, b, key, start, start)))
-            else:
-                yield from gone_starts(key[again], start[again])
+            yield from batch(STRING, *(c[~again] for c in (a, b, key, start, start)))
+            yield from gone_starts(key[again], start[again])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner, parts, held = Scanner(length), [], 0
@@ -213,7 +234,7 @@ def scan(docs: DataFrame, length: int, kind: int) -> DataFrame:
         if parts:
             yield from emit(scanner, parts)
 
-    return docs.select("_key", F.col("text").cast("binary").alias("text")).mapInArrow(run, ROWS)
+    return docs.select("_key", F.col("text").cast("binary").alias("text")).mapInArrow(released(run), ROWS)
 
 
 class Levels:
@@ -283,7 +304,7 @@ def family(runs: DataFrame, partitions: int) -> DataFrame:
 
     packed = F.shiftleft("start", 16).bitwiseOR(F.col("n")).alias("packed")  # a run has fewer than 2^16 starts
     return (runs.select("a", "b", "key", packed).repartition(partitions, "a").sortWithinPartitions("key", "packed")
-            .mapInArrow(run, ROWS))
+            .mapInArrow(released(run), ROWS))
 
 
 def packed_texts(rows: DataFrame) -> DataFrame:
@@ -296,7 +317,7 @@ def packed_texts(rows: DataFrame) -> DataFrame:
 
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("_key", T.LongType()),
                            T.StructField("z", T.BinaryType())])
-    return rows.select("id", "_key", F.col("text").cast("binary")).mapInArrow(run, schema)
+    return rows.select("id", "_key", F.col("text").cast("binary")).mapInArrow(released(run), schema)
 
 
 def fetch(docs: DataFrame, mixed: DataFrame, length: int) -> DataFrame:
@@ -336,7 +357,7 @@ def fetch(docs: DataFrame, mixed: DataFrame, length: int) -> DataFrame:
         if hot:
             yield from emit(second, hot)
 
-    return both.mapInArrow(run, ROWS + ", bytes binary")
+    return both.mapInArrow(released(run), ROWS + ", bytes binary")
 
 
 def with_bytes(rb: pa.RecordBatch, texts: tuple | None = None) -> pa.RecordBatch:
@@ -396,7 +417,7 @@ def compare(rows: DataFrame, length: int, partitions: int) -> DataFrame:
             yield from flush()
 
     p = F.when(F.col("kind") == FEW, F.col("a")).otherwise(F.xxhash64("kind", "a", "b", F.when(F.col("kind") == GONE, F.col("start"))))
-    return rows.withColumn("p", p).repartition(partitions, "p").sortWithinPartitions("p").mapInArrow(run, ROWS)
+    return rows.withColumn("p", p).repartition(partitions, "p").sortWithinPartitions("p").mapInArrow(released(run), ROWS)
 
 
 def merged(ranges: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -418,11 +439,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = shuffle_partitions(spark, 2 * size // (length - GRAM + 1), PART_RUNS)
     packed = packed_texts(rows)
-    found = materialize(family(scan(rows, length, RUN), parts), "suffix-levels")
+    scanned = materialize(scan(rows, length), "suffix-scan")
+    found = materialize(family(scanned.where(F.col("kind") == RUN), parts), "suffix-levels")
     cut = fetch(packed, found.where(F.col("kind").isin(FEW, HOT)), length)
-    hot = scan(rows, length, STRING).withColumn("bytes", F.lit(None).cast("binary"))
+    hot = scanned.where(F.col("kind") == STRING).withColumn("bytes", F.lit(None).cast("binary"))
     compared = materialize(compare(cut.unionByName(hot), length, parts), "strings")
-    gone = scan(rows, length, GONE).unionByName(found.where(F.col("kind") == GONE)).unionByName(compared)
+    gone = scanned.unionByName(found).where(F.col("kind") == GONE).unionByName(compared)
     gone = gone.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("gone"))  # of one document
     both = packed.join(gone, F.col("_key") == F.col("key"), "left").select("id", "z", "gone")
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
@@ -447,7 +469,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(spans, pa.list_(kind)),
                                               pa.array(kept, pa.binary())], names=schema.fieldNames())
 
-    return both.mapInArrow(apply, schema)
+    return both.mapInArrow(released(apply), schema)
 
 
 def op3_suffix_levels(spark, sf_dir) -> DataFrame:

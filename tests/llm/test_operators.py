@@ -135,6 +135,33 @@ def test_suffix_dedup_repeated_ids_and_no_rows(spark):
     assert suffix_levels.dedup_substrings(docs(spark, [])).count() == 0
 
 
+def test_suffix_dedup_does_not_depend_on_how_later_passes_split_the_files(spark, scratch, monkeypatch):
+    rng = random.Random(13)
+    common = words(rng, 40)
+    texts = [words(rng, 60)] * 3 + [f"{rng.random()} {common} {rng.random()}" for _ in range(60)]
+    docs(spark, texts).repartition(8, "doc_id").write.parquet(f"{scratch}/docs")
+    write = suffix_levels.materialize
+
+    def split(tasks):
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        spark.conf.set("spark.sql.files.minPartitionNum", tasks)
+
+    def then_split(*args):
+        out = write(*args)
+        split("100")
+        return out
+
+    monkeypatch.setattr(suffix_levels, "materialize", then_split)
+    try:
+        split("1")
+        got = suffix_levels.dedup_substrings(spark.read.parquet(f"{scratch}/docs")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    got = {r.id: (r.n_bytes, sum(s.end - s.start for s in r.removed), len(r.removed), bytes(r.kept)) for r in got}
+    assert [got[i] for i in range(len(texts))] == brute_suffix(texts)
+
+
 # ---------------------------------------------------------------- 4
 
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
