@@ -38,8 +38,9 @@ from .common import blocks, give_back, prep, table
 END = 1
 # Texts of these characters only are cut into words here; others go to the tokenizer whole.  Of these characters
 # LETTER and NUMBER are all that Unicode counts as such, white space is the same for everyone, and no
-# character changes with its neighbours when a text is normalised.
-PLAIN = re.compile("[\t\n\r -~¡-įı-ʯ‐-‧‰-⁞]*")
+# character changes with its neighbours when a text is normalised.  U+023A and U+023E are left out: their lower
+# case is outside LETTER.
+PLAIN = re.compile("[\t\n\r -~¡-įı-ȹȻ-Ƚȿ-ʯ‐-‧‰-⁞]*")
 SPECIAL = "<|"
 LETTER, NUMBER = "a-zªµºß-öø-įı-ʯ", "0-9²³¹¼-¾"
 WORD = re.compile(f"'(?:[stmd]|re|ve|ll)|[{LETTER}]+|[{NUMBER}]|[^\\s{LETTER}{NUMBER}]+")  # the tokenizer's own cut

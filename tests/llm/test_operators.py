@@ -311,6 +311,19 @@ def test_packing_is_gapless_and_the_ids_are_the_tokenizers(spark):
     assert packing_mt.pack_documents(docs(spark, [])).count() == 0
 
 
+def test_every_character_inside_a_word_gets_the_tokenizers_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, own = Tokenizer.from_file(path), packing_mt.WordIds(path)
+    plain = [c for c in map(chr, range(0xD800)) if packing_mt.PLAIN.fullmatch(c)]
+    assert len(plain) > 600
+    for c in {*plain, "\u023a", "\u023e"}:
+        for t in (f"a{c}b", f"{c}b", f"a{c}", f"A{c}{c}B"):
+            assert own.ids([t])[0].tolist() == tok.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
 def best_bins(sizes, capacity):
     """The fewest bins, by search."""
     sizes, best = sorted(sizes, reverse=True), len(sizes)
