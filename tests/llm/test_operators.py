@@ -363,30 +363,93 @@ def test_reduction_never_costs_a_sequence():
 
 # ---------------------------------------------------------------- 10
 
+def brute_passages(texts, marks=".!?,;:", full="。！？，；：、", blanks=" \t\r\f\v", least=100):
+    """(units, removed units, spans, kept) per text, characters walked one by one."""
+    seen, out = set(), []
+    for t in texts:
+        cuts, k = [], 0
+        while k < len(t or ""):
+            e = k
+            while e < len(t) and t[e] in marks:
+                e += 1
+            f = e
+            while e > k and f < len(t) and t[f] in blanks:
+                f += 1
+            if f > e:
+                k = f
+            elif t[k] in full:
+                while k < len(t) and t[k] in full:
+                    k += 1
+            elif t[k] == "\n":
+                k += 1
+            else:
+                k = max(e, k + 1)
+                continue
+            cuts.append(k)
+        units, last = [], 0
+        for e in [*cuts, len(t or "")]:
+            u = " ".join(re.findall(r"[^ \t\n\x0b\f\r]+", (t or "")[last:e].translate({c: c + 32 for c in range(65, 91)})))
+            if u:
+                units.append((last, u))
+            last = e
+        starts, gone = [s for s, _ in units] + [len(t or "")], set()
+        for i in range(len(units)):
+            j = next((j for j in range(i + 1, len(units) + 1) if len(" ".join(u for _, u in units[i:j])) >= least), None)
+            if j is None:
+                break
+            if (p := " ".join(u for _, u in units[i:j])) in seen:
+                gone |= set(range(i, j))
+            seen.add(p)
+        spans = []
+        for i in sorted(gone):
+            if spans and spans[-1][1] == starts[i]:
+                spans[-1] = (spans[-1][0], starts[i + 1])
+            else:
+                spans.append((starts[i], starts[i + 1]))
+        kept = t if t is None else "".join(c for k, c in enumerate(t) if not any(s <= k < e for s, e in spans))
+        out.append((len(units), len(gone), spans, kept))
+    return out
+
+
+def deduped(df):
+    return {r.id: (r.n_units, r.n_removed, [tuple(x) for x in r.removed], r.kept) for r in df.collect()}
+
+
 def test_line_dedup_brute_force(spark):
     rng = random.Random(11)
-    lines = [words(rng, n) for n in (1, 4, 5, 6, 8, 12)] + ["", "  ", "ÉÉ a b c d"]
-    texts = ODD + ["\n".join(rng.choice(lines).upper() if rng.random() < 0.3 else rng.choice(lines) for _ in range(rng.randint(1, 8))) for _ in range(40)]
-    got = {r.id: r for r in line_dedup.dedup_units(docs(spark, texts)).collect()}
-    seen = set()
-    for i, t in enumerate(texts):
-        if t is None:
-            assert got[i][1:] == (0, 0, [], None)
-            continue
-        kept, gone, at = [], [], 0
-        u = t.split("\n")
-        for k, x in enumerate(u):
-            w = re.findall(r"[^ \t\n\x0b\f\r]+", x.translate({c: c + 32 for c in range(65, 91)}))
-            if len(w) >= 5 and tuple(w) in seen:
-                gone.append((at, at + len(x)))
-            else:
-                kept.append(x + "\n" * (k < len(u) - 1))
-            seen.add(tuple(w))
-            at += len(x) + 1
-        assert (got[i].n_units, [tuple(s) for s in got[i].removed], got[i].kept) == (len(u), gone, "".join(kept))
+    lines = [words(rng, n) + end for n in (1, 4, 8, 12, 30) for end in (".", ", ", "?! ", "")] + ["", "  ", "ÉÉ a b c d", "漢字かな。" * 30, "x" * 120]
+    texts = ODD + ["\n".join(rng.choice(lines).upper() if rng.random() < 0.3 else rng.choice(lines) + rng.choice(["", " ", "\r"])
+                             for _ in range(rng.randint(1, 12))) for _ in range(60)]
+    passage = words(rng, 60, "red, blue; green. white black: grey! pink".split())
+    texts += [f"{rng.random()} {words(rng, 30)} {passage} {words(rng, 30)}" for _ in range(4)] + [texts[20]] * 2  # inside one long line
+    got = deduped(line_dedup.dedup_units(docs(spark, texts)))
+    assert [got[i] for i in range(len(texts))] == brute_passages(texts)
+    assert all(got[i][1] > 0 for i in range(len(texts) - 5, len(texts) - 2))
+
+
+def test_line_dedup_of_lines_paragraphs_and_no_rows(spark):
     assert line_dedup.dedup_units(docs(spark, [])).count() == 0
-    para = line_dedup.dedup_units(docs(spark, ["a b c d e\nf\n\ng", "A b  c d e f\n \nh"]), unit="paragraph").collect()
-    assert {r.id: r.kept for r in para} == {0: "a b c d e\nf\n\ng", 1: "h"}
+    texts = ["a b c d e\nf\n\ng", "A b  c d e f\n \nh", "F\nz\n"]
+    para = deduped(line_dedup.dedup_units(docs(spark, texts), unit="paragraph", min_chars=1))
+    assert {i: r[3] for i, r in para.items()} == {0: texts[0], 1: "h", 2: texts[2]}
+    lines = deduped(line_dedup.dedup_units(docs(spark, texts), unit="line", min_chars=1))
+    assert {i: r[3] for i, r in lines.items()} == {0: texts[0], 1: texts[1], 2: "z\n"}
+
+
+def test_line_dedup_null_and_repeated_ids(spark):
+    t = words(random.Random(2), 40)
+    got = line_dedup.dedup_units(docs(spark, [t, t, t + " z", t], [3, 3, None, None])).collect()
+    # NULL ids come first, by text: t itself keeps its passage; nothing equals the longer line
+    assert sorted((r.id or 0, len(r.kept)) for r in got) == [(0, len(t)), (0, len(t) + 2), (3, 0), (3, 0)]
+
+
+def test_line_dedup_cuts_a_very_long_text_whole(spark):
+    long = "".join(f"w{i}, " for i in range(line_dedup.BATCH + 20_000))
+    tail = "".join(f"w{i}, " for i in range(line_dedup.BATCH, line_dedup.BATCH + 200))
+    got = deduped(line_dedup.dedup_units(docs(spark, [long, "new " + tail, long])))
+    assert got[0][1] == 0 and got[0][3] == long
+    assert got[1][3] == "new w500000, " and got[1][1] == 199  # its first unit has another word
+    assert got[2][3] == "" and got[2][1] == got[0][0] == line_dedup.BATCH + 20_000
 
 
 # ---------------------------------------------------------------- components
