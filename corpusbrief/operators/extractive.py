@@ -5,20 +5,24 @@ sentence by the mean in-document frequency of its words, then keep the
 highest-scoring sentences that fit the length's character budget and emit
 them in document order.
 
-Plan shape, the same for documents of every size:
-
-1. The scan explodes sentences and words in place.  Word rows (id, word, position) are hash-partitioned
-   by (id, word) and counted by a window, so the words of one document are spread over all tasks.
-2. Sums per (id, sentence) are partially aggregated, then shuffled by that pair.
-3. Sentences are ranked per document.  The running-sum cut is preceded by a top-K by rank, which
-   Spark plans as a partial limit before the shuffle.  K is the most sentences a budget can hold (each
-   costs at least 1 + overhead characters), so nothing is lost and no task holds all of a document's
-   sentences.
-4. The chosen positions meet their document by id; the texts of these sentences alone are cut out.
-   Neither text nor carried columns are copied to sentences or words.
+A document's words are counted where its text is:
+
+* **In its row** (:func:`_in_row`), texts of up to ``spread_bytes``: one projection over the scan, without any
+  exchange.  The words of a row are sorted as an array, counted by runs, summed by sentence the same way, and the
+  sentences of the best scores are cut out at once.
+* **Spread** (:func:`_spread`), longer texts, whose words are too many for a row's arrays: word rows (id, word,
+  position) are hash-partitioned by (id, word) and counted by a window, so the words of one document lie in all
+  tasks; sums per (id, sentence) are partially aggregated; the running-sum cut is preceded by a top-K by rank
+  (a partial limit before the shuffle; K is the most sentences a budget can hold, so nothing is lost); the chosen positions
+  meet their document by id.  Neither text nor carried columns are copied to sentences or words.
+
+Both give the same rows.  The sizes are those of the texts, or of a column that names them (a file's length is
+known before its content is read).
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +39,8 @@ WORD_SPLIT = r"[^\p{L}\p{N}]+"
 SINGLE_CHAR_WORDS = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}])"
 # Order of pieces within a sentence: pos = sentence * PIECE_STEP + piece (a sentence has fewer pieces than that).
 PIECE_STEP = 1 << 24
+# Texts above this many bytes are spread: a row's arrays take some 60 bytes a byte of text.
+SPREAD_BYTES = 1 << 20
 
 
 def _params(length: str | None, length_col: str | None) -> tuple[Column, Column, Column, Column]:
@@ -128,9 +134,85 @@ def _overhead(length: str) -> int:
     return len(BULLET) + 1 if length == "short" else 1
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once a row (an alias could be put back into a lambda and computed for each element)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _runs(rows: Column, key: str, of_run: Callable[[Column, Column], Column]) -> Column:
+    """``of_run(first element's index, length)`` for each run of equal ``key`` in a sorted array of structs."""
+    n = F.size(rows)
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
+                      lambda k: (k < n) & ((k == 0) | (F.get(rows, k - 1)[key] != F.get(rows, k)[key])))
+    return _let(starts, lambda at: F.transform(at, lambda first, k: of_run(first, F.coalesce(F.get(at, k + 1), n) - first)))
+
+
+def _words(sentence: Column) -> Column:
+    spaced = F.regexp_replace(F.lower(sentence), SINGLE_CHAR_WORDS, " $1 ")
+    return F.filter(F.split(spaced, WORD_SPLIT), lambda w: w != "")
+
+
+def _best(sents: Column, max_kept: int) -> Column:
+    """(summary, number of sentences) of the sentences (text, n: characters, words) of a document."""
+    def counted(occurrences: Column) -> Column:  # (word, sentence) sorted -> (sentence, tf) sorted
+        each = _runs(occurrences, "w", lambda first, tf: F.transform(
+            F.slice(occurrences, first + 1, tf), lambda x: F.struct(x["i"].alias("i"), tf.alias("tf"))))
+        return F.sort_array(F.flatten(each))
+
+    def scored(tfs: Column) -> Column:  # (minus score, sentence, characters) of the sentences with words
+        def one(first: Column, n: Column) -> Column:
+            total = F.aggregate(F.slice(tfs, first + 1, n), F.lit(0).cast("bigint"), lambda a, x: a + x["tf"])
+            i = F.get(tfs, first)["i"]
+            return _let(total, lambda t: F.struct((-((t - t % n) / n).cast("bigint")).alias("s"), i.alias("i"),
+                                                  F.get(sents, i)["n"].alias("n")))
+        return _runs(tfs, "i", one)
+
+    def chosen(ranked: Column) -> Column:
+        start = F.struct(F.lit(0).alias("cost"), F.lit(0).alias("k"))
+        add = lambda a, x: _let(a["cost"] + x["n"] + F.col("_ov"), lambda c: F.struct(
+            c.alias("cost"), (a["k"] + F.coalesce(c <= F.col("_budget") + 1, F.lit(False)).cast("int")).alias("k")))
+        return F.sort_array(F.transform(F.slice(ranked, 1, F.aggregate(ranked, start, add, lambda a: a["k"])), lambda x: x["i"]))
+
+    occurrences = F.sort_array(F.flatten(F.transform(sents, lambda x, i: F.transform(
+        x["words"], lambda w: F.struct(w.alias("w"), i.alias("i"))))))
+    # sentences without a word rank last, by their place
+    silent = F.filter(F.transform(sents, lambda x, i: F.when(F.size(x["words"]) == 0, F.struct(
+        F.lit(0).cast("bigint").alias("s"), i.alias("i"), x["n"].alias("n")))), lambda x: x.isNotNull())
+    ranked = F.slice(F.sort_array(F.concat(_let(_let(occurrences, counted), scored), silent)), 1, max_kept)
+    return _let(_let(ranked, chosen), lambda at: F.struct(
+        F.array_join(F.transform(at, lambda i: F.concat(F.col("_bullet"), F.get(sents, i)["text"])), "\n").alias("summary"),
+        F.size(at).alias("n")))
+
+
+def _in_row(rows: DataFrame, max_kept: int) -> DataFrame:
+    """``rows`` (_text, _budget, _ov, _bullet) with ``_got`` (summary, n): one projection."""
+    cut = lambda all_: F.flatten(F.transform(F.filter(all_, lambda raw: raw != ""), _pieces))
+    sents = lambda pieces: F.transform(pieces, lambda x: F.struct(
+        x.alias("text"), F.length(x).alias("n"), _words(x).alias("words")))
+    text = rows.withColumn("_text", F.coalesce("_text", F.lit("")))
+    return text.withColumn("_got", _let(_let(_let(_marked("_text"), cut), sents), lambda x: _best(x, max_kept)))
+
+
+def _spread(base: DataFrame, length: str | None, length_col: str | None, max_kept: int, parts: int) -> DataFrame:
+    """``base`` (_id, _text, _budget, _ov, _bullet, ...) with ``_got``, the words of a document spread over tasks."""
+    # a struct is never NULL, so a NULL id joins like any other; both uses of this exchange share one scan
+    base = base.withColumn("_k", F.struct(F.col("_id").alias("id"))).repartition(parts, "_k")
+    chosen = _chosen(sentence_scores(base.withColumn("_doc", F.col("_k.id")), length, "_doc", "_text", parts, length_col), max_kept)
+    # the sentences are bound once as an element of an array of one, or each chosen position would cut the text again
+    sent = lambda all_, p: F.get(_pieces(F.get(all_, F.shiftright(p, 24).cast("int"))),
+                                 p.bitwiseAND(F.lit(PIECE_STEP - 1)).cast("int"))
+    lines = F.transform(F.array(_marked("_text")),
+                        lambda all_: F.transform("_pos", lambda p: F.concat(F.col("_bullet"), sent(all_, p))))
+    return (base.join(chosen, F.col("_k") == F.struct(F.col("_of").alias("id")), "left")
+            .withColumn("_got", F.struct(
+                F.when(F.col("_pos").isNull(), "").otherwise(F.array_join(F.get(lines, F.lit(0)), "\n")).alias("summary"),
+                F.coalesce(F.size("_pos"), F.lit(0)).alias("n"))).drop("_k", "_pos", "_of"))
+
+
 def extractive_summary(docs: DataFrame, length: str | None = "short", id_col: str = "doc_id",
                        text_col: str = "text", partitions: int | None = None,
-                       length_col: str | None = None, carry: list[str] | None = None) -> DataFrame:
+                       length_col: str | None = None, carry: list[str] | None = None,
+                       spread_bytes: int = SPREAD_BYTES, size_col: str | None = None) -> DataFrame:
     """One row per document: (id, length, summary, n_sentences, summary_chars, *carry).
 
     ``length`` applies to every document, or ``length_col`` names a per-row
@@ -140,25 +222,23 @@ def extractive_summary(docs: DataFrame, length: str | None = "short", id_col: st
     text is at most ``budget`` characters; the top sentence (or piece of one) always fits.
     Documents without sentences get an empty summary.  ``carry`` names
     document columns to return alongside.  Ids are unique.
+
+    Texts above ``spread_bytes`` have their words spread over tasks (same rows, other plan); their size is
+    ``size_col`` (a known number of bytes, so that the filter needs no text) or that of the text.
     """
     parts = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # a struct is never NULL, so a NULL id joins like any other; both uses of this exchange share one scan
-    base = docs.select(F.struct(F.col(id_col).alias("id")).alias("_k"), F.col(text_col).alias("_text"),
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"),
+                       F.coalesce(F.col(size_col).cast("bigint") if size_col else F.octet_length(text_col), F.lit(0)).alias("_size"),
                        *([F.col(length_col).alias("_ln")] if length_col else []),
-                       *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry or [])]).repartition(parts, "_k")
-    chosen = _chosen(sentence_scores(base.withColumn("_doc", F.col("_k.id")), length, "_doc", "_text", parts, length_col and "_ln"),
-                     _max_kept(length, length_col))
+                       *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry or [])])
     ln, budget, ov, bullet = _params(length, length_col and "_ln")
-    rows = base.select("*", F.col("_k.id").alias("_id"), ln.alias("_length"), budget.alias("_budget"), ov.alias("_ov"),
-                       bullet.alias("_bullet"))
-    # the sentences are bound once as an element of an array of one, or each chosen position would cut the text again
-    sent = lambda all_, p: F.get(_pieces(F.get(all_, F.shiftright(p, 24).cast("int"))),
-                                 p.bitwiseAND(F.lit(PIECE_STEP - 1)).cast("int"))
-    lines = F.transform(F.array(_marked("_text")),
-                        lambda all_: F.transform("_pos", lambda p: F.concat(F.col("_bullet"), sent(all_, p))))
-    both = (rows.join(chosen, F.col("_k") == F.struct(F.col("_of").alias("id")), "left")
-            .withColumn("summary", F.when(F.col("_pos").isNull(), "").otherwise(F.array_join(F.get(lines, F.lit(0)), "\n"))))
-    return both.select(F.col("_id").alias(id_col), F.col("_length").alias("length"), "summary",
-                       F.coalesce(F.size("_pos"), F.lit(0)).cast("bigint").alias("n_sentences"),
-                       F.length("summary").cast("bigint").alias("summary_chars"),
-                       *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry or [])])
+    settled = [ln.alias("_length"), budget.alias("_budget"), ov.alias("_ov"), bullet.alias("_bullet")]
+    kept = _max_kept(length, length_col)
+    small, large = rows.where(F.col("_size") <= spread_bytes), rows.where(F.col("_size") > spread_bytes)
+    both = [_in_row(small.select("*", *settled), kept),
+            _spread(large.select("*", *settled), length, length_col and "_ln", kept, parts)]
+    out = [x.select("_id", "_length", "_got", *[f"_c{i}" for i in range(len(carry or []))]) for x in both]
+    return out[0].unionByName(out[1]).select(
+        F.col("_id").alias(id_col), F.col("_length").alias("length"), F.col("_got.summary").alias("summary"),
+        F.col("_got.n").cast("bigint").alias("n_sentences"), F.length("_got.summary").cast("bigint").alias("summary_chars"),
+        *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry or [])])

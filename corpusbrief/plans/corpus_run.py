@@ -49,9 +49,9 @@ def run_corpus(files: DataFrame, length: str | None = None, length_col: str | No
         id_col = "pdf_path"
     if catalog is not None:
         f = ST.skip_seen(f, catalog, list(dict.fromkeys(["pdf_path", id_col])))
-    # the file's byte length (metadata of the file source) routes long files in O28
-    f = f.withColumn("_bytes", F.col("length").cast("bigint") if "length" in files.columns
-                     else F.lit(None).cast("bigint"))
+    # the file's length is known before its content is read: O28 takes the sizes of texts from it
+    sized = "length" in files.columns
+    f = f.withColumn("_bytes", F.col("length").cast("bigint") if sized else F.lit(None).cast("bigint"))
     ln = F.col(length_col) if length_col else F.lit(length or DEFAULT_LENGTH)
     f = f.withColumn("length", ln)
     docs = ST.extract(f, extractor, key=id_col)
@@ -64,6 +64,7 @@ def run_corpus(files: DataFrame, length: str | None = None, length_col: str | No
         known = (ok.where(F.col("length").isin("short", "standard", "detailed"))
                  .withColumn("_chars", F.length("text")))
         dig = extractive_summary(known, None, id_col=id_col, length_col="length",
+                                 size_col="_bytes" if sized else None,
                                  carry=[c for c in ("pdf_path", "pdf_hash", "page_count", "_chars")
                                         if c != id_col])
         dig = dig.select(*keep, "summary",

@@ -54,10 +54,11 @@ EDGE = [
 ]
 
 
+@pytest.mark.parametrize("spread", [0, 100, 1 << 20])  # all texts spread, some, none
 @pytest.mark.parametrize("length", ["short", "standard", "detailed"])
-def test_extractive_matches_brute_force_on_edges(spark, length):
+def test_extractive_matches_brute_force_on_edges(spark, length, spread):
     df = spark.createDataFrame(EDGE, "doc_id long, text string")
-    got = {r.doc_id: (r.summary, r.n_sentences, r.summary_chars) for r in extractive_summary(df, length).collect()}
+    got = {r.doc_id: (r.summary, r.n_sentences, r.summary_chars) for r in extractive_summary(df, length, spread_bytes=spread).collect()}
     assert set(got) == {i for i, _ in EDGE}
     for i, t in EDGE:
         want, n = brute(t, length)
@@ -85,12 +86,28 @@ def test_per_row_length_and_carry(spark):
     assert got[3].summary == "" and got[3].path == "/c" and got[3].length == "standard"
 
 
-def test_one_plan_spreads_the_words_of_a_document(spark):
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_are_counted_in_the_row_and_only_long_texts_are_spread(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    union = plan_of(extractive_summary(docs, "short")).split("Union", 1)[1]
+    in_row, spread = union.split("Scan parquet", 1)
+    assert "Exchange" not in in_row and "Window" not in in_row and "Generate" not in in_row
+    assert "hashpartitioning(_id" in spread and "word" in spread.split("hashpartitioning(_id", 1)[1]
     q = extractive_summary(docs, "short")._jdf.queryExecution()
     assert "WindowGroupLimit" in q.optimizedPlan().toString()  # a partial top-K runs before sentences meet by document
-    plan = q.executedPlan().toString()
-    assert "hashpartitioning(_id" in plan and "word" in plan.split("hashpartitioning(_id", 1)[1] and "BroadcastHashJoin" not in plan
+    # one row's words are computed once, not once for each element of a lambda
+    assert in_row.count("[^\\p{L}\\p{N}]+") == 1
+
+
+def test_the_long_text_is_found_by_a_known_size(spark):
+    rows = [(1, "A b. C d.", 10), (2, "E f. G h.", 5_000_000), (3, "I j.", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, bytes long")
+    got = extractive_summary(df, "short", size_col="bytes")
+    assert {r.doc_id: r.summary for r in got.collect()} == {i: brute(t, "short")[0] for i, t, _ in rows}
+    assert "octet_length" not in plan_of(got)
 
 
 @pytest.mark.parametrize("length", ["short", "detailed"])
