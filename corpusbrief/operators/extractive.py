@@ -212,7 +212,7 @@ def _spread(base: DataFrame, length: str | None, length_col: str | None, max_kep
 def extractive_summary(docs: DataFrame, length: str | None = "short", id_col: str = "doc_id",
                        text_col: str = "text", partitions: int | None = None,
                        length_col: str | None = None, carry: list[str] | None = None,
-                       spread_bytes: int = SPREAD_BYTES, size_col: str | None = None) -> DataFrame:
+                       spread_bytes: int | None = SPREAD_BYTES, size_col: str | None = None) -> DataFrame:
     """One row per document: (id, length, summary, n_sentences, summary_chars, *carry).
 
     ``length`` applies to every document, or ``length_col`` names a per-row
@@ -224,7 +224,8 @@ def extractive_summary(docs: DataFrame, length: str | None = "short", id_col: st
     document columns to return alongside.  Ids are unique.
 
     Texts above ``spread_bytes`` have their words spread over tasks (same rows, other plan); their size is
-    ``size_col`` (a known number of bytes, so that the filter needs no text) or that of the text.
+    ``size_col`` (a known number of bytes, so that the filter needs no text) or that of the text.  With None no
+    text is spread.
     """
     parts = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"),
@@ -234,11 +235,13 @@ def extractive_summary(docs: DataFrame, length: str | None = "short", id_col: st
     ln, budget, ov, bullet = _params(length, length_col and "_ln")
     settled = [ln.alias("_length"), budget.alias("_budget"), ov.alias("_ov"), bullet.alias("_bullet")]
     kept = _max_kept(length, length_col)
-    small, large = rows.where(F.col("_size") <= spread_bytes), rows.where(F.col("_size") > spread_bytes)
-    both = [_in_row(small.select("*", *settled), kept),
-            _spread(large.select("*", *settled), length, length_col and "_ln", kept, parts)]
-    out = [x.select("_id", "_length", "_got", *[f"_c{i}" for i in range(len(carry or []))]) for x in both]
-    return out[0].unionByName(out[1]).select(
+    names = ["_id", "_length", "_got", *[f"_c{i}" for i in range(len(carry or []))]]
+    small = rows if spread_bytes is None else rows.where(F.col("_size") <= spread_bytes)
+    out = _in_row(small.select("*", *settled), kept).select(*names)
+    if spread_bytes is not None:
+        large = rows.where(F.col("_size") > spread_bytes).select("*", *settled)
+        out = out.unionByName(_spread(large, length, length_col and "_ln", kept, parts).select(*names))
+    return out.select(
         F.col("_id").alias(id_col), F.col("_length").alias("length"), F.col("_got.summary").alias("summary"),
         F.col("_got.n").cast("bigint").alias("n_sentences"), F.length("_got.summary").cast("bigint").alias("summary_chars"),
         *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry or [])])

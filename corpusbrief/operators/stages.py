@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
-from ..plans.strategies import broadcast_if_small, spread
+from ..plans.strategies import broadcast_if_small, materialize, spread
 from ..schemas import DEFAULT_LENGTH
+from .sketch import might_contain
 
 ERROR_COLS = ("stage", "error_class", "message")
 # The reference's chunk budget is 80 % of the model's max input tokens,
@@ -347,11 +348,11 @@ def limit_items(files: DataFrame, n: int = 1, order: list[str] | None = None) ->
     # the names are chosen on their own: no file content is sorted or sent to one task
     first = files.select(*order).orderBy(*order).limit(n)
     same = [files[c].eqNullSafe(first[c]) for c in order]
-    return files.join(F.broadcast(first), same, "left_semi")  # n rows of names, n is the caller's
+    return files.join(broadcast_if_small(first), same, "left_semi")  # n rows of names, n is the caller's
 
 
 def skip_seen(files: DataFrame, catalog: DataFrame, order: list[str] | None = None,
-              key_col: str = "pdf_hash") -> DataFrame:
+              key_col: str = "pdf_hash", sketch: DataFrame | None = None) -> DataFrame:
     """Keep one file per ``key_col`` (first by ``order``) whose key is not in the catalog.
 
     The seen set is the live catalog, so a deleted summary is produced again on
@@ -359,11 +360,21 @@ def skip_seen(files: DataFrame, catalog: DataFrame, order: list[str] | None = No
     (``min`` of a struct of names, partially on the map side: many copies of one file cost
     one row per map task); the files kept are then picked by name.  NULL keys are
     never seen and are one group.
+
+    With a ``sketch`` of the catalog's keys (:mod:`.sketch`), names whose key it does not hold are new and are not
+    compared with the catalog; the others are, exactly.
     """
     order = order or ["pdf_path"]
     names = files.select(key_col, *order)
     seen = catalog.select(key_col).where(F.col(key_col).isNotNull()).distinct()
-    first = (names.join(seen, key_col, "left_anti").groupBy(key_col)
+    if sketch is None:
+        new = names.join(seen, key_col, "left_anti")
+    else:
+        # written once: its two parts would each read and hash every file
+        asked = materialize(might_contain(names, key_col, sketch, "_maybe"), "asked-names")
+        new = asked.where("not _maybe").drop("_maybe").unionByName(
+            asked.where("_maybe").drop("_maybe").join(seen, key_col, "left_anti"))
+    first = (new.groupBy(key_col)
              .agg(F.min(F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])).alias("_f"))
              .select("_f.*"))
     same = [files[c].eqNullSafe(first[f"_o{i}"]) for i, c in enumerate(order)]

@@ -284,6 +284,8 @@ SELECT doc_id, pdf_path, pdf_hash FROM (
     row_number() OVER (PARTITION BY sha256(text) ORDER BY path, doc_id) AS rn FROM files)
 WHERE rn = 1 AND pdf_hash NOT IN (SELECT pdf_hash FROM catalog)""")
 
+SQL["skip_seen_sketch"] = SQL["skip_seen"]
+
 _FAIL = """fails AS (
   SELECT doc_id, pdf_path,
     CASE WHEN nbytes % 13 = 0 THEN 'extract' ELSE 'summarize' END AS stage,
@@ -296,7 +298,7 @@ _FAIL = """fails AS (
 SQL["split_failures"] = W(["files"], "SELECT doc_id, pdf_path, stage, error_class, message FROM fails", [_FAIL])
 
 _CLASS = """classified AS (
-  SELECT doc_id, stage, error_class,
+  SELECT doc_id, stage, error_class, message,
     CASE WHEN stage IN ('extract', 'summarize') THEN stage
          WHEN error_class IN ('ConfigError', 'ConfigurationError') THEN 'config'
          WHEN error_class = 'SummarizationError' THEN 'summarize'
@@ -306,7 +308,11 @@ _CLASS = """classified AS (
     (CASE WHEN coalesce(stage NOT IN ('extract', 'summarize'), true) AND error_class IN ('ConfigError', 'ConfigurationError') THEN 2 ELSE 1 END)::BIGINT AS severity
   FROM fails)"""
 
-SQL["classify_failures"] = W(["files"], "SELECT * FROM classified", [_FAIL, _CLASS])
+# both stages of these failures have one category each
+_ADVICE = ("CASE category WHEN 'extract' THEN 'The file could not be turned into text.' "
+           "WHEN 'summarize' THEN 'The summariser did not return a summary.' END || ' (' || message || ')'")
+SQL["classify_failures"] = W(["files"], f"""
+SELECT doc_id, stage, error_class, category, severity, {_ADVICE} AS advice FROM classified""", [_FAIL, _CLASS])
 
 SQL["run_report"] = W(["files"], """
 SELECT stage, category, count(*)::BIGINT AS n_failures, max(severity)::BIGINT AS max_severity
@@ -337,16 +343,15 @@ SQL["summarize_corpus_extractive"] = _corpus_extractive()
 
 SQL["summarize_chunk_level"] = f"""
 WITH d AS (SELECT doc_id, text, {LEN_BY_DOC} AS length FROM documents)
-SELECT doc_id, 0::BIGINT AS next_level, {_hash('text', 'd.length')} AS text, length(text)::BIGINT AS tokens_in
-FROM d WHERE length(text) <= 800
+SELECT doc_id, 0::BIGINT AS next_level, 0::BIGINT AS chunk_no, {_hash('text', 'd.length')} AS text FROM d WHERE length(text) <= 800
 UNION ALL
-SELECT doc_id, 1::BIGINT AS next_level,
-  string_agg({_hash('chunk', 'c.length')}, chr(10) || chr(10) ORDER BY i) AS text,
-  sum(length(chunk))::BIGINT AS tokens_in
-FROM (SELECT doc_id, length, i, substr(text, i * 800 + 1, 800) AS chunk
-      FROM (SELECT doc_id, length, text, unnest(range(0, (length(text) + 799) // 800)) AS i
-            FROM d WHERE length(text) > 800)) c
-GROUP BY doc_id"""
+SELECT doc_id, 1::BIGINT AS next_level, i::BIGINT AS chunk_no, substr(joined, i * 800 + 1, 800) AS text
+FROM (SELECT doc_id, joined, unnest(range(0, (length(joined) + 799) // 800)) AS i FROM (
+  SELECT doc_id, string_agg({_hash('chunk', 'c.length')}, chr(10) || chr(10) ORDER BY i) AS joined, any_value(chars) AS chars
+  FROM (SELECT doc_id, length, i, chars, substr(text, i * 800 + 1, 800) AS chunk
+        FROM (SELECT doc_id, length, text, length(text) AS chars, unnest(range(0, (length(text) + 799) // 800)) AS i
+              FROM d WHERE length(text) > 800)) c
+  GROUP BY doc_id) WHERE length(joined) < chars)"""
 
 
 # full recursion of O25 with the hash summariser (budget 200 tokens x 4 chars), until every text fits
@@ -366,10 +371,13 @@ SELECT doc_id, {_hash('text', 'len')} AS summary, (tin + length(text))::BIGINT A
 FROM st WHERE length(text) <= 800"""
 
 SQL["chunked_accounting"] = """
-SELECT doc_id, 1::BIGINT AS n_rows, (CASE WHEN message IS NULL THEN 1 ELSE 0 END)::BIGINT AS n_digests,
-  CASE WHEN message IS NOT NULL THEN 'summarize' END AS stage, message
-FROM (SELECT doc_id, CASE WHEN doc_id % 31 = 0 THEN 'no text' WHEN doc_id % 37 = 0 THEN 'unknown length long' END
-      AS message FROM documents)"""
+SELECT id, count(*)::BIGINT AS n_rows, count(*) FILTER (message IS NULL)::BIGINT AS n_digests,
+  count(DISTINCT CASE WHEN message IS NULL THEN length || text END)::BIGINT AS n_different,
+  max(CASE WHEN message IS NOT NULL THEN 'summarize' END) AS stage, max(message) AS message
+FROM (SELECT CASE WHEN doc_id % 41 = 0 THEN NULL WHEN doc_id % 43 = 0 THEN doc_id - 1 ELSE doc_id END AS id, text,
+        CASE doc_id % 3 WHEN 0 THEN 'short' WHEN 1 THEN 'standard' ELSE 'detailed' END AS length,
+        CASE WHEN doc_id % 31 = 0 THEN 'no text' WHEN doc_id % 37 = 0 THEN 'unknown length long' END AS message FROM documents)
+GROUP BY id"""
 
 SQL["latest_for_paths"] = W(["files", "catalog"], f"""
 SELECT p.req_path, l.id IS NOT NULL AS found, l.id, l.summary_length,
@@ -390,6 +398,13 @@ SELECT doc_id, length, summary, ceil(length(summary) / 4)::BIGINT AS tokens_out,
 FROM ({extractive("standard")})"""
 
 
+# contents of every fifth document are old, those of every tenth deleted: new unless an old row of the content is left
+SQL["stream_skip_seen"] = """
+SELECT pdf_hash, n_old, (CASE WHEN n_old = 0 THEN 1 ELSE 0 END)::BIGINT AS n_new FROM (
+  SELECT sha256(text || chr(10)) AS pdf_hash, count(*) FILTER (doc_id % 5 = 0 AND doc_id % 10 <> 0)::BIGINT AS n_old
+  FROM documents GROUP BY 1)"""
+
+
 def _resolve_templates_sql() -> str:
     from .fixtures import TEMPLATE_OVERRIDES
     from .operators.stages import DEFAULT_TEMPLATES

@@ -23,16 +23,17 @@ from .strategies import materialize
 
 def summarize_paths(spark: SparkSession, root: str, paths: str | list[str], length: str | None = None,
                     default_length: str = "standard", skip_seen: bool = False, glob: str | None = "*.pdf",
-                    recursive: bool = False, **run_kwargs) -> tuple[DataFrame, DataFrame]:
+                    recursive: bool = False, limit: int | None = None, **run_kwargs) -> tuple[DataFrame, DataFrame]:
     """Summarise files and append them to the store; returns (result view of the new rows, failures).
 
     Missing paths and empty files are failures (``stage='source'`` / ``'extract'``);
     the rest of the batch still runs.  With ``skip_seen`` files whose content
     is already in the catalog are not summarised again.
     """
-    files, missing = ingest_files(spark, paths, glob=glob, recursive=recursive)
+    files, missing = ingest_files(spark, paths, glob=glob, recursive=recursive, limit=limit)
     catalog = store.read_catalog(spark, root) if skip_seen else None
-    rows, failures = run_corpus(files, length=length or default_length, catalog=catalog, **run_kwargs)
+    sketch = store.read_sketch(spark, root) if skip_seen else None
+    rows, failures = run_corpus(files, length=length or default_length, catalog=catalog, sketch=sketch, **run_kwargs)
     rows = materialize(rows, "summarize-rows")  # ids are random: fix them before reuse
     failures = materialize(missing.unionByName(failures), "summarize-failures")
     store.append(root, rows, failures=failures)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import stages as ST
-from ..operators.extractive import extractive_summary
+from ..operators.extractive import SPREAD_BYTES, extractive_summary
 from ..sources.files import build_rows, file_identity
 from .chunked import summarize_chunked
 from .strategies import materialize
@@ -30,14 +30,15 @@ def run_corpus(files: DataFrame, length: str | None = None, length_col: str | No
                budget_tokens: int | None = None, chars_per_token: int = 4,
                templates: DataFrame | None = None, extra_instructions: str = "",
                use_prompts: bool = False, catalog: DataFrame | None = None,
-               limit: int | None = None, run_ts: str | None = None, id_col: str = "doc_id",
+               sketch: DataFrame | None = None, limit: int | None = None, run_ts: str | None = None, id_col: str = "doc_id",
                with_id: bool = True, write_stages: bool = True) -> tuple[DataFrame, DataFrame]:
     """Summarise every file; return (catalog rows, failures).
 
     ``summarizer`` is ``"extractive"`` (O28, Spark SQL, no Python) or a
     zero-argument factory of a callable ``(text, length) -> Digest``.
     ``length`` applies to every file, or ``length_col`` names a per-file column.
-    ``catalog`` turns on the content-hash skip (O34).
+    ``catalog`` turns on the content-hash skip (O34); with its ``sketch`` (``store.read_sketch``) only files
+    that it may hold are compared with it.
     """
     from ..schemas import DEFAULT_LENGTH
 
@@ -48,9 +49,11 @@ def run_corpus(files: DataFrame, length: str | None = None, length_col: str | No
         # a file source names every file once: the path is a stable document key
         id_col = "pdf_path"
     if catalog is not None:
-        f = ST.skip_seen(f, catalog, list(dict.fromkeys(["pdf_path", id_col])))
+        f = ST.skip_seen(f, catalog, list(dict.fromkeys(["pdf_path", id_col])), sketch=sketch)
     # the file's length is known before its content is read: O28 takes the sizes of texts from it
     sized = "length" in files.columns
+    # no file of the listing is long: no branch for long texts, which would read the files a second time
+    largest = files.schema["length"].metadata.get("max") if sized else None
     f = f.withColumn("_bytes", F.col("length").cast("bigint") if sized else F.lit(None).cast("bigint"))
     ln = F.col(length_col) if length_col else F.lit(length or DEFAULT_LENGTH)
     f = f.withColumn("length", ln)
@@ -65,6 +68,7 @@ def run_corpus(files: DataFrame, length: str | None = None, length_col: str | No
                  .withColumn("_chars", F.length("text")))
         dig = extractive_summary(known, None, id_col=id_col, length_col="length",
                                  size_col="_bytes" if sized else None,
+                                 spread_bytes=None if largest is not None and largest <= SPREAD_BYTES else SPREAD_BYTES,
                                  carry=[c for c in ("pdf_path", "pdf_hash", "page_count", "_chars")
                                         if c != id_col])
         dig = dig.select(*keep, "summary",

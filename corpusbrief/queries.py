@@ -77,8 +77,8 @@ def q_normalise_rows(spark, sf):
 
 
 def q_list_summaries(spark, sf):
-    s = with_position(C.normalise(_catalog(_docs(spark, sf))), C.newest_first())
-    return s.select("position", "id", "file_name", "page_count", "summary_length", _ts())
+    s = C.normalise(_catalog(_docs(spark, sf))).select("id", "file_name", "page_count", "summary_length", "created_at")
+    return with_position(s, C.newest_first()).select("position", "id", "file_name", "page_count", "summary_length", _ts())
 
 
 def _list_view(spark, sf, full_id):
@@ -298,6 +298,18 @@ def q_skip_seen(spark, sf):
     return out.select("doc_id", "pdf_path", "pdf_hash")
 
 
+def q_skip_seen_sketch(spark, sf):
+    """The same over a written store: files that its sketch does not hold are not compared with the catalog."""
+    from .operators.stages import skip_seen
+    from .session import scratch_path
+    from .sources import store
+    docs = _docs(spark, sf)
+    root = scratch_path(spark, "sketched-store")
+    store.append(root, _catalog(docs))
+    out = skip_seen(_identified(docs), store.read_catalog(spark, root), ["pdf_path", "doc_id"], sketch=store.read_sketch(spark, root))
+    return out.select("doc_id", "pdf_path", "pdf_hash")
+
+
 def _failing_run(spark, sf):
     from .operators.stages import FailingExtractor, FailingSummarizer, extract, summarize
     from .plans.strategies import materialize
@@ -317,7 +329,7 @@ def q_split_failures(spark, sf):
 def q_classify_failures(spark, sf):
     from .operators.stages import classify_failures, split_failures
     _, bad = split_failures(_failing_run(spark, sf))
-    return classify_failures(bad).select("doc_id", "stage", "error_class", "category", "severity")
+    return classify_failures(bad).select("doc_id", "stage", "error_class", "category", "severity", "advice")
 
 
 def q_run_report(spark, sf):
@@ -344,6 +356,31 @@ def q_ingest_files(spark, sf):
     return file_identity(files).select(_doc_id_from_path(), "pdf_hash", "length")
 
 
+def q_stream_skip_seen(spark, sf):
+    """The stream over files of which some contents are in the store, one of them deleted since: content by content."""
+    from .session import scratch_path
+    from .sources import store
+    from .streaming.ingest import start_ingest
+    docs = _docs(spark, sf)
+    src, root = _documents_as_files(spark, sf), scratch_path(spark, "stream-seen-store")
+    # the files of every fifth document were stored by an earlier run; those of every tenth are deleted again
+    body = F.concat("text", F.lit("\n"))
+    old = docs.where("doc_id % 5 = 0").select(
+        F.concat(F.lit("old-"), F.col("doc_id").cast("string")).alias("id"), F.concat(F.lit("/old/"), F.col("doc_id").cast("string")).alias("pdf_path"),
+        F.sha2(body, 256).alias("pdf_hash"), F.lit(1).cast("bigint").alias("page_count"), F.lit("old").alias("summary"),
+        F.lit("short").alias("length"), F.lit("old").alias("model"), F.lit("2026-01-01 00:00:00").cast("timestamp").alias("created_at"),
+        *[F.lit(None).cast("bigint").alias(c) for c in ("tokens_in", "tokens_out", "latency_ms")])
+    store.append(root, old, run_id="old")
+    store.delete(spark, root, docs.where("doc_id % 10 = 0").select(F.concat(F.lit("old-"), F.col("doc_id").cast("string")).alias("id")))
+    q = start_ingest(spark, src, root, scratch_path(spark, "stream-seen-checkpoint"), glob="*.txt", recursive=True, skip_seen=True,
+                     length="short", summarizer="extractive")
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(f"ingest stream failed: {q.exception()}")
+    return store.read_catalog(spark, root).groupBy("pdf_hash").agg(
+        F.count_if(F.col("model") == "old").alias("n_old"), F.count_if(F.col("model") != "old").alias("n_new"))
+
+
 def q_stream_ingest(spark, sf):
     from .session import scratch_path
     from .sources.store import read_catalog
@@ -378,19 +415,16 @@ def q_summarize_corpus_extractive(spark, sf):
 
 
 def q_summarize_chunk_level(spark, sf):
+    """One level: digests of the texts that fit, and the next level's chunks of those that do not."""
     from .operators.stages import HashSummarizer
-    from .plans.chunked import summarize_level
+    from .plans.chunked import call_level, combine_level, first_chunks
     docs = _docs(spark, sf)
-    state = docs.select("doc_id", "text", _length_by_doc().alias("length"),
-                        F.lit(X.FIXTURE_BUDGET_TOKENS).cast("bigint").alias("budget_tokens"),
-                        F.lit(0).alias("level"),
-                        *[F.lit(0).cast("bigint").alias("acc_" + c) for c in ("tokens_in", "tokens_out", "latency_ms")])
-    final, nxt = summarize_level(state, HashSummarizer, X.CHARS_PER_TOKEN)
-    a = final.select("doc_id", F.lit(0).cast("bigint").alias("next_level"), F.col("summary").alias("text"),
-                     "tokens_in")
-    b = nxt.select("doc_id", F.lit(1).cast("bigint").alias("next_level"), "text",
-                   F.col("acc_tokens_in").alias("tokens_in"))
-    return a.unionByName(b)
+    rows = docs.select(F.col("doc_id").alias("key"), "text", _length_by_doc().alias("length"),
+                       F.lit(X.FIXTURE_BUDGET_TOKENS * X.CHARS_PER_TOKEN).cast("bigint").alias("room"))
+    final, nxt, _ = combine_level(call_level(first_chunks(rows), HashSummarizer))
+    doc = F.col("key").alias("doc_id")
+    return final.select(doc, F.lit(0).cast("bigint").alias("next_level"), "chunk_no", F.col("summary").alias("text")).unionByName(
+        nxt.select(doc, F.lit(1).cast("bigint").alias("next_level"), "chunk_no", "text"))
 
 
 def q_summarize_chunked(spark, sf):
@@ -402,16 +436,18 @@ def q_summarize_chunked(spark, sf):
 
 
 def q_chunked_accounting(spark, sf):
-    """Every document ends once, as a digest or as a failure: some have no text, some an unknown length."""
+    """Every row ends once, as a digest or as a failure: some have no text, an unknown length, no id or another's id."""
     from .operators.stages import HashSummarizer, resolve_templates
     from .plans.chunked import summarize_chunked
     docs = _docs(spark, sf).select(
-        "doc_id", F.when(F.col("doc_id") % 31 != 0, F.col("text")).alias("text"),
+        F.when(F.col("doc_id") % 41 == 0, None).when(F.col("doc_id") % 43 == 0, F.col("doc_id") - 1).otherwise(F.col("doc_id")).alias("id"),
+        F.when(F.col("doc_id") % 31 != 0, F.col("text")).alias("text"),
         F.when(F.col("doc_id") % 37 == 0, "long").otherwise(_length_by_doc()).alias("length"))
-    out = summarize_chunked(docs, HashSummarizer, X.FIXTURE_BUDGET_TOKENS, X.CHARS_PER_TOKEN,
+    out = summarize_chunked(docs, HashSummarizer, X.FIXTURE_BUDGET_TOKENS, X.CHARS_PER_TOKEN, id_col="id",
                             templates=resolve_templates(X.template_overrides(spark)), extra=X.EXTRA_INSTRUCTIONS)
-    return out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count("summary").alias("n_digests"),
-                                     F.max("stage").alias("stage"), F.max("message").alias("message"))
+    return out.groupBy("id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("summary").alias("n_digests"), F.countDistinct("summary").alias("n_different"),
+        F.max("stage").alias("stage"), F.max("message").alias("message"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -452,6 +488,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "render_prompts": q_render_prompts,
     "limit_items": q_limit_items,
     "skip_seen": q_skip_seen,
+    "skip_seen_sketch": q_skip_seen_sketch,
     "split_failures": q_split_failures,
     "classify_failures": q_classify_failures,
     "run_report": q_run_report,
@@ -462,4 +499,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chunked_accounting": q_chunked_accounting,
     "ingest_files": q_ingest_files,
     "stream_ingest": q_stream_ingest,
+    "stream_skip_seen": q_stream_skip_seen,
 }

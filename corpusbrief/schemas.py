@@ -57,8 +57,9 @@ FAILURE_SCHEMA = T.StructType([
     T.StructField("message", T.StringType()),
 ])
 
-# Appended on delete; applied on every read of the store.
+# Appended on delete; applied on every read of the store.  ``pdf_hash``: set where no other live row has this content.
 TOMBSTONE_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("deleted_at", T.TimestampType()),
+    T.StructField("pdf_hash", T.StringType()),
 ])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..schemas import FAILURE_SCHEMA, FILE_SCHEMA, STORE_COLUMNS
+from .listing import list_files, reachable, read_files
 
 
 # What a file without bytes becomes in the failures, beside its path.
@@ -25,6 +26,22 @@ def path_exists(spark: SparkSession, p: str) -> bool:
     return bool(fs.exists(hp))
 
 
+def folder_names(spark: SparkSession, p: str) -> set[str]:
+    """Names of the folders in a folder of the store (one a run); none where it does not exist."""
+    hp, fs = _fs_path(spark, p)
+    return {str(x.getPath().getName()) for x in fs.listStatus(hp) if x.isDirectory()} if fs.exists(hp) else set()
+
+
+def remove_folder(spark: SparkSession, p: str) -> None:
+    hp, fs = _fs_path(spark, p)
+    fs.delete(hp, True)
+
+
+def make_folder(spark: SparkSession, p: str) -> None:
+    hp, fs = _fs_path(spark, p)
+    fs.mkdirs(hp)
+
+
 def _qualified(spark: SparkSession, p: str) -> tuple[str, bool]:
     """(fully qualified path without a ``file:`` scheme, is a directory)."""
     hp, fs = _fs_path(spark, p)
@@ -36,23 +53,7 @@ def _qualified(spark: SparkSession, p: str) -> tuple[str, bool]:
     return q.rstrip("/") or "/", bool(fs.getFileStatus(hp).isDirectory())
 
 
-def ingest_files(spark: SparkSession, paths, glob: str | None = "*.pdf",
-                 recursive: bool = False, max_bytes: int | None = None, report_empty: bool = True,
-                 manifest: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """O1/O2: read files (single paths, directories or globs) with the binary file source.
-
-    Returns ``(files, failures)``.  A requested path that does not exist is not
-    an error for the job: it becomes a failure row with ``stage='source'``
-    (the reference silently yields nothing).  Files above ``max_bytes`` are
-    failures too, and their content is never read: the size filter is applied
-    on ``length`` before ``content`` is selected.  The binary file source
-    yields no row for a 0-byte file; with ``report_empty`` such files are
-    found by anti-joining Spark's own file listing (``inputFiles``, already
-    held by the driver for planning) and become extraction failures.  A corpus
-    of very many files comes with a ``manifest`` (``path``, ``length``, such as an
-    inventory of the store): its empty files are then filtered in Spark, and no
-    name goes through the driver.
-    """
+def _requested(spark: SparkSession, paths) -> list[str]:
     import os
 
     # one path or many; str or path objects.  On a local default file system a relative path
@@ -64,6 +65,68 @@ def ingest_files(spark: SparkSession, paths, glob: str | None = "*.pdf",
     default_fs = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
     if default_fs.startswith("file:"):
         paths = [p if (":" in p.split("/", 1)[0]) else os.path.abspath(p) for p in paths]
+    return paths
+
+
+def ingest_files(spark: SparkSession, paths, glob: str | None = "*.pdf",
+                 recursive: bool = False, max_bytes: int | None = None, report_empty: bool = True,
+                 manifest: DataFrame | None = None, limit: int | None = None,
+                 listing: str = "auto") -> tuple[DataFrame, DataFrame]:
+    """O1/O2: read files (single paths, directories or globs; a list or a DataFrame with column ``path``).
+
+    Returns ``(files, failures)``, files with the columns of the binary file source.  A requested path that does not
+    exist is not an error for the job: it becomes a failure row with ``stage='source'`` (the reference silently yields
+    nothing).  A 0-byte file is an extraction failure.  Files above ``max_bytes`` are failures too, and their content
+    is never read.  ``limit`` takes the first files by path (O33), before any content is read.
+
+    Listing and reading are done by the tasks (:mod:`.listing`): no file name passes the driver.  Where pyarrow
+    cannot reach the store, or with ``listing="spark"`` or a ``manifest``, Spark's binary file source is used, which
+    lists on the driver; empty files then come from the ``manifest`` (``path``, ``length``) or from that listing.
+    """
+    if isinstance(paths, DataFrame):
+        asked = paths.select("path")
+    else:
+        paths = _requested(spark, paths)
+        asked = spark.createDataFrame([(p,) for p in paths], "path string")
+    if listing == "auto":
+        one = asked.first()
+        listing = "tasks" if manifest is None and (one is None or reachable(spark, one["path"])) else "spark"
+    if listing == "spark":
+        if isinstance(paths, DataFrame):
+            paths = [r["path"] for r in paths.collect()]  # Spark's reader takes a list
+        files, failures = _ingest_by_reader(spark, paths, glob, recursive, max_bytes, report_empty, manifest)
+        if limit is not None:
+            from ..operators.stages import limit_items
+
+            files = limit_items(files, limit)
+        return files, failures
+
+    listed, missing = list_files(asked, glob, recursive)
+    failures = missing.select(F.col("path").alias("pdf_path"), F.lit("source").alias("stage"), F.lit("FileNotFoundError").alias("error_class"),
+                              F.concat(F.lit("no such file: "), "path").alias("message"))
+    if report_empty:
+        empty = listed.where("length = 0").select(S.strip_scheme("path").alias("pdf_path"), *[F.expr(e) for e in EMPTY_FILE])
+        failures = failures.unionByName(empty)
+    if max_bytes is not None:
+        failures = failures.unionByName(_too_large(listed, max_bytes))
+        listed = listed.where(F.col("length") <= max_bytes)
+    listed = listed.where("length > 0")
+    if limit is not None:
+        listed = listed.orderBy("path").limit(limit)  # names only
+    largest = listed.agg(F.max("length")).first()[0] or 0
+    # known from the listing, so that nobody has to read the files for it
+    length = F.col("length").alias("length", metadata={"max": largest})
+    return read_files(listed).select("path", "modificationTime", length, "content"), failures
+
+
+def _too_large(files: DataFrame, max_bytes: int) -> DataFrame:
+    return files.where(F.col("length") > max_bytes).select(
+        S.strip_scheme("path").alias("pdf_path"), F.lit("source").alias("stage"), F.lit("FileTooLarge").alias("error_class"),
+        F.concat(F.lit("file larger than "), F.lit(str(max_bytes)), F.lit(" bytes")).alias("message"))
+
+
+def _ingest_by_reader(spark: SparkSession, paths: list[str], glob: str | None, recursive: bool, max_bytes: int | None,
+                      report_empty: bool, manifest: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     has_glob = [p for p in paths if any(ch in p for ch in "*?[")]
     existing = [p for p in paths if p in has_glob or path_exists(spark, p)]
     missing = [p for p in paths if p not in existing]
@@ -101,11 +164,7 @@ def ingest_files(spark: SparkSession, paths, glob: str | None = "*.pdf",
         empty = listed.join(read, "pdf_path", "left_anti").selectExpr("pdf_path", *EMPTY_FILE)
         failures = failures.unionByName(empty)
     if max_bytes is not None:
-        big = files.where(F.col("length") > max_bytes).select(
-            S.strip_scheme("path").alias("pdf_path"), F.lit("source").alias("stage"),
-            F.lit("FileTooLarge").alias("error_class"),
-            F.concat(F.lit("file larger than "), F.lit(str(max_bytes)), F.lit(" bytes")).alias("message"))
-        failures = failures.unionByName(big)
+        failures = failures.unionByName(_too_large(files, max_bytes))
         files = files.where(F.col("length") <= max_bytes)
     return files, failures
 

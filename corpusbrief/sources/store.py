@@ -6,6 +6,7 @@ Layout under ``root``::
                      generations may lack columns)
     tombstones/      ids deleted, with the delete time
     failures/run=<id>/  failure rows of a run
+    sketch/run=<id>/    Bloom sketch of the run's content hashes (operators/sketch.py)
 
 Parquet files are immutable and a job must never overwrite the folder it
 reads, so a delete appends tombstones and every read applies them
@@ -13,13 +14,16 @@ reads, so a delete appends tombstones and every read applies them
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.catalog import apply_tombstones, conform, delete_ids, migrate_rows
+from ..operators.sketch import merged, sketch_of
 from ..plans.strategies import materialize
 from ..schemas import FAILURE_SCHEMA, STORE_COLUMNS, STORE_SCHEMA, TOMBSTONE_SCHEMA
-from .files import path_exists
+from .files import folder_names, path_exists, remove_folder
 
 
 def _data(root: str) -> str:
@@ -61,12 +65,32 @@ def append(root: str, rows: DataFrame, run_id: str | None = None,
     import uuid
 
     run_id = run_id or uuid.uuid4().hex
+    spark = rows.sparkSession
+    # a sketch must never miss a row: none while the rows are replaced (a run without one is read itself)
+    remove_folder(spark, run_dir(root, run_id, "sketch"))
     conform(rows).select(*STORE_COLUMNS).write.mode("overwrite").parquet(run_dir(root, run_id))
+    written = spark.read.schema(STORE_SCHEMA).parquet(run_dir(root, run_id))
+    sketch_of(written, "pdf_hash").coalesce(1).write.mode("overwrite").parquet(run_dir(root, run_id, "sketch"))
     if failures is not None:
         failures.write.mode("overwrite").parquet(run_dir(root, run_id, "failures"))
     return run_id
 
 
+def read_sketch(spark: SparkSession, root: str) -> DataFrame:
+    """The merged sketch of the content hashes of every run (deleted ones too: the catalog decides).
+
+    Runs without a sketch (older stores, a run stopped before it) have theirs made from their rows.
+    """
+    runs, with_sketch = folder_names(spark, _data(root)), folder_names(spark, root.rstrip("/") + "/sketch")
+    parts = [spark.createDataFrame([], "word long, bits long")]
+    if with_sketch:
+        parts.append(spark.read.schema("word long, bits long").parquet(root.rstrip("/") + "/sketch").select("word", "bits"))
+    if bare := sorted(runs - with_sketch):
+        rows = spark.read.schema(STORE_SCHEMA).parquet(*[f"{_data(root)}/{r}" for r in bare])
+        parts.append(sketch_of(rows, "pdf_hash"))
+    return merged(reduce(DataFrame.unionByName, parts))
+
+
 def migrate(spark: SparkSession, old_data: str, root: str) -> str:
     """Take one generation of an older store (a Parquet folder, read by its own schema) into ``root``.
 
@@ -99,7 +123,13 @@ def delete(spark: SparkSession, root: str, ids: DataFrame, id_col: str = "id") -
     catalog = read_catalog(spark, root)
     _, outcome = delete_ids(catalog, ids, id_col)
     outcome = materialize(outcome, "delete-outcome")
-    (outcome.where("deleted").select("id", F.current_timestamp().alias("deleted_at"))
+    gone = outcome.where("deleted").select("id")
+    # hashes of which no live row is left: such content is new again for a stream that skips what it has seen
+    hashed = catalog.select("id", "pdf_hash").join(gone.withColumn("_gone", F.lit(True)), "id", "left")
+    left = hashed.where("_gone is null").select("pdf_hash").distinct()
+    freed = hashed.where("_gone").join(left.withColumn("_left", F.lit(True)), "pdf_hash", "left").select(
+        "id", F.when(F.col("_left").isNull(), F.col("pdf_hash")).alias("pdf_hash"))
+    (gone.join(freed, "id", "left").select("id", F.current_timestamp().alias("deleted_at"), "pdf_hash")
      .write.mode("append").parquet(_tomb(root)))
     return outcome
 

@@ -8,17 +8,23 @@ The binary file source gives no row for a 0-byte file.  The first batch after ea
 lists the folder's empty files and reports those that no other run reported yet (once a start, as the
 listing grows with the folder and not with the batch).  As the file source asks, files are to be
 moved in whole: it takes each path once, so a file that was empty then is not read when it grows.
-The stream is stateless (no watermark): a file is one self-contained unit.
+Without ``skip_seen`` the stream is stateless (no watermark): a file is one self-contained unit.
+
+With ``skip_seen`` the stream keeps the content hashes it has seen as keyed state (:func:`admitted`), so that no batch
+reads the catalog.  Rows that others store and hashes that a delete frees come in as streams of the store's own
+folders.  The state grows with the distinct contents, as the catalog does; it lies in the checkpoint, partitioned by hash.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.corpus_run import run_corpus
 from ..plans.strategies import materialize
-from ..schemas import FILE_SCHEMA
-from ..sources.files import ingest_files
+from ..schemas import FILE_SCHEMA, STORE_SCHEMA, TOMBSTONE_SCHEMA
+from ..sources.files import file_identity, ingest_files, make_folder
+from ..sources.listing import reachable, read_files
 from ..sources.store import append, read_catalog, read_failures
 
 
@@ -34,6 +40,50 @@ def file_stream(spark: SparkSession, input_dir: str, glob: str | None = "*.pdf",
     return reader.load(input_dir)
 
 
+def _admit(key, frames, state):
+    """The first file by path of a new content; what was stored or freed in the meantime counts first, in its order."""
+    import pandas as pd
+
+    first, events = None, []
+    for f in frames:
+        for kind, at, path, modified, length in zip(f["kind"], f["at"], f["path"], f["modificationTime"], f["length"]):
+            if kind != "file":
+                events.append((at, kind))
+            elif first is None or path < first[0]:
+                first = (path, modified, int(length))
+    seen = state.get[0] if state.exists else False
+    for _, kind in sorted(events):
+        seen = kind == "stored"
+    if first is not None and not seen:
+        seen = True
+        yield pd.DataFrame([first], columns=["path", "modificationTime", "length"])
+    state.update((seen,))
+
+
+def admitted(files: DataFrame, store_root: str) -> DataFrame:
+    """(path, modificationTime, length) of the files of a stream whose content is new, one a content.
+
+    Content that the store holds is not new, unless its last row was deleted after it was stored.  Files are hashed where
+    they are scanned; names and hashes alone are shuffled and kept.
+    """
+    spark, root = files.sparkSession, store_root.rstrip("/")
+    for kind in ("data", "tombstones"):
+        make_folder(spark, f"{root}/{kind}")  # a stream's folder has to be there
+
+    def told(folder: str, schema, kind: str, at: str) -> DataFrame:
+        rows = spark.readStream.schema(schema).option("ignoreMissingFiles", "true").parquet(f"{root}/{folder}")
+        return rows.where("pdf_hash is not null").select(
+            "pdf_hash", F.lit(kind).alias("kind"), F.col(at).alias("at"), F.lit(None).cast("string").alias("path"),
+            F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(None).cast("bigint").alias("length"))
+
+    new = file_identity(files).select("pdf_hash", F.lit("file").alias("kind"), F.col("modificationTime").alias("at"),
+                                      "path", "modificationTime", "length")
+    rows = new.unionByName(told("data", STORE_SCHEMA, "stored", "created_at")).unionByName(
+        told("tombstones", TOMBSTONE_SCHEMA, "freed", "deleted_at"))
+    return rows.groupBy("pdf_hash").applyInPandasWithState(
+        _admit, "path string, modificationTime timestamp, length long", "seen boolean", "append", "NoTimeout")
+
+
 def start_ingest(spark: SparkSession, input_dir: str, store_root: str, checkpoint: str,
                  glob: str | None = "*.pdf", skip_seen: bool = False, available_now: bool = True,
                  max_files_per_trigger: int | None = None, recursive: bool = False,
@@ -41,11 +91,16 @@ def start_ingest(spark: SparkSession, input_dir: str, store_root: str, checkpoin
     """Start the ingest stream; ``run_kwargs`` go to :func:`run_corpus` (length, summarizer, ...).
 
     ``skip_seen`` skips files whose content hash is already in the live
-    catalog (the documented cache).  With ``available_now`` the stream
-    processes what is there and stops; otherwise it keeps polling.
+    catalog (the documented cache), by state; such a stream has a checkpoint of its own inside ``checkpoint``.
+    Where the tasks cannot read the files (:mod:`..sources.listing`), each batch is compared with the catalog instead.
+    With ``available_now`` the stream processes what is there and stops; otherwise it keeps polling.
     """
     import hashlib
 
+    by_state = skip_seen and reachable(spark, input_dir)
+    if by_state:
+        checkpoint = checkpoint.rstrip("/") + "/admission"
+
     # one stream (one checkpoint) owns its run folders: a replayed batch replaces its own output,
     # and two streams into one store never share a folder
     tag = hashlib.sha1(checkpoint.rstrip("/").encode()).hexdigest()[:10]
@@ -55,7 +110,9 @@ def start_ingest(spark: SparkSession, input_dir: str, store_root: str, checkpoin
     def batch(df: DataFrame, batch_id: int) -> None:
         run_id = f"stream-{tag}-{batch_id}"
         # a replay sees the same catalog as the first try: everything but its own rows
-        catalog = read_catalog(spark, store_root, without_run=run_id) if skip_seen else None
+        catalog = read_catalog(spark, store_root, without_run=run_id) if skip_seen and not by_state else None
+        if by_state:  # names, written: the state is asked once a batch
+            df = read_files(materialize(df, f"admitted-{batch_id}"))
         rows, failures = run_corpus(df, catalog=catalog, **run_kwargs)
         # both are written before either folder of the run is replaced
         rows = materialize(rows, f"stream-rows-{batch_id}")
@@ -66,7 +123,8 @@ def start_ingest(spark: SparkSession, input_dir: str, store_root: str, checkpoin
         failures = materialize(failures, f"stream-failures-{batch_id}")
         append(store_root, rows, run_id=run_id, failures=failures)
 
-    w = (file_stream(spark, input_dir, glob, max_files_per_trigger, recursive).writeStream
+    files = file_stream(spark, input_dir, glob, max_files_per_trigger, recursive)
+    w = ((admitted(files, store_root) if by_state else files).writeStream
          .foreachBatch(batch).option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
