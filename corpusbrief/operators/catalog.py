@@ -94,9 +94,18 @@ def newest_first() -> list:
     return [F.col("created_at").desc_nulls_last(), F.col("id").desc()]
 
 
-def list_summaries(catalog: DataFrame, limit: int | None = None) -> DataFrame:
-    """All rows newest first (ties broken by id); ``limit`` keeps the newest n."""
-    out = normalise(catalog).orderBy(*newest_first())
+def list_summaries(catalog: DataFrame, limit: int | None = None, after: tuple | None = None) -> DataFrame:
+    """All rows newest first (ties broken by id); ``limit`` keeps the newest n.
+
+    ``after`` is the (created_at, id) of the last row of a page: the rows that follow it, found by a filter that
+    reaches the files' statistics, so that no earlier page is read or sorted.
+    """
+    rows = catalog
+    if after is not None:
+        at, last = after
+        same_time = F.col("created_at").eqNullSafe(F.lit(at).cast("timestamp")) & (F.col("id") < last)
+        rows = rows.where(same_time if at is None else same_time | (F.col("created_at") < F.lit(at)) | F.col("created_at").isNull())
+    out = normalise(rows).orderBy(*newest_first())
     return out.limit(limit) if limit is not None else out
 
 

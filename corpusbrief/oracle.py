@@ -52,6 +52,10 @@ SQL["list_summaries"] = W(["catalog"], f"""
 SELECT row_number() OVER (ORDER BY created_at DESC, id DESC)::BIGINT AS position, id, file_name,
   page_count, summary_length, {TS} AS created_at FROM norm""", [NORM])
 
+SQL["list_page"] = W(["catalog"], f"""
+SELECT id, file_name, page_count, summary_length, {TS} AS created_at FROM (
+  SELECT * FROM norm ORDER BY created_at DESC, id DESC LIMIT 50 OFFSET 50)""", [NORM])
+
 _LV = """
 SELECT row_number() OVER (ORDER BY created_at DESC, id DESC)::BIGINT AS position,
   {disp} AS display_id,

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import stages as ST
+from ..operators.call_log import logged
 from ..operators.extractive import SPREAD_BYTES, extractive_summary
 from ..sources.files import build_rows, file_identity
 from .chunked import summarize_chunked
@@ -31,17 +32,20 @@ def run_corpus(files: DataFrame, length: str | None = None, length_col: str | No
                templates: DataFrame | None = None, extra_instructions: str = "",
                use_prompts: bool = False, catalog: DataFrame | None = None,
                sketch: DataFrame | None = None, limit: int | None = None, run_ts: str | None = None, id_col: str = "doc_id",
-               with_id: bool = True, write_stages: bool = True) -> tuple[DataFrame, DataFrame]:
+               with_id: bool = True, write_stages: bool = True, call_log: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Summarise every file; return (catalog rows, failures).
 
     ``summarizer`` is ``"extractive"`` (O28, Spark SQL, no Python) or a
     zero-argument factory of a callable ``(text, length) -> Digest``.
     ``length`` applies to every file, or ``length_col`` names a per-file column.
     ``catalog`` turns on the content-hash skip (O34); with its ``sketch`` (``store.read_sketch``) only files
-    that it may hold are compared with it.
+    that it may hold are compared with it.  ``call_log`` names a shared folder of the calls already made for
+    ``model`` (:mod:`..operators.call_log`); a run that is started again makes the others only.
     """
     from ..schemas import DEFAULT_LENGTH
 
+    if call_log is not None and summarizer != "extractive":
+        summarizer = logged(summarizer, call_log, model or "model")
     if limit is not None:  # before any content is read for its hash
         files = ST.limit_items(files, limit, ["path"] + [id_col] * (id_col in files.columns))
     f = file_identity(files)

@@ -81,6 +81,14 @@ def q_list_summaries(spark, sf):
     return with_position(s, C.newest_first()).select("position", "id", "file_name", "page_count", "summary_length", _ts())
 
 
+def q_list_page(spark, sf):
+    """The second page of 50: what follows the last row of the first."""
+    cat = _catalog(_docs(spark, sf))
+    last = C.list_summaries(cat, 50).select("created_at", "id").tail(1)
+    page = C.list_summaries(cat, 50, after=tuple(last[0]) if last else None)
+    return page.select("id", "file_name", "page_count", "summary_length", _ts())
+
+
 def _list_view(spark, sf, full_id):
     cat = _catalog(_docs(spark, sf))
     v = with_position(V.list_view(cat, full_id=full_id), C.newest_first())
@@ -456,6 +464,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "migrate_failures": q_migrate_failures,
     "normalise_rows": q_normalise_rows,
     "list_summaries": q_list_summaries,
+    "list_page": q_list_page,
     "list_view": q_list_view,
     "list_view_full_id": q_list_view_full_id,
     "detail_view": q_detail_view,

@@ -75,6 +75,11 @@ def _file_system(path: str):
     return fs.LocalFileSystem(), path, "file:"
 
 
+def _time(info):
+    """The modification time in milliseconds, as Spark's sources have it."""
+    return info.mtime and info.mtime.replace(microsecond=info.mtime.microsecond // 1000 * 1000)
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.string(), pa.timestamp("us", "UTC"), pa.int64(), pa.string(), pa.string(), pa.int32()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
@@ -110,7 +115,7 @@ def _expand(name_filter: str | None):
                     out.append((path, None, None, "missing", rest, down))
                 elif info.type == fs.FileType.File:
                     if not rest and match(info.base_name):
-                        out.append((top + info.path, info.mtime, info.size, "file", None, 0))
+                        out.append((top + info.path, _time(info), info.size, "file", None, 0))
                 else:
                     segment, _, more = rest.partition("/")
                     wanted = re.compile(glob_regex(segment)).fullmatch if segment else None
@@ -122,7 +127,7 @@ def _expand(name_filter: str | None):
                             if wanted or down:
                                 out.append((top + x.path, None, None, "folder", more, -1 if wanted and not more else down if wanted else down - (down > 0)))
                         elif not more and match(name):
-                            out.append((top + x.path, x.mtime, x.size, "file", None, 0))
+                            out.append((top + x.path, _time(x), x.size, "file", None, 0))
                         if len(out) >= ROWS:
                             yield _batch(out)
                             out = []

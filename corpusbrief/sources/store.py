@@ -6,6 +6,7 @@ Layout under ``root``::
                      generations may lack columns)
     tombstones/      ids deleted, with the delete time
     failures/run=<id>/  failure rows of a run
+    pending/run=<id>/   there while a run is written: readers pass over its rows and failures
     sketch/run=<id>/    Bloom sketch of the run's content hashes (operators/sketch.py)
 
 Parquet files are immutable and a job must never overwrite the folder it
@@ -23,7 +24,7 @@ from ..operators.catalog import apply_tombstones, conform, delete_ids, migrate_r
 from ..operators.sketch import merged, sketch_of
 from ..plans.strategies import materialize
 from ..schemas import FAILURE_SCHEMA, STORE_COLUMNS, STORE_SCHEMA, TOMBSTONE_SCHEMA
-from .files import folder_names, path_exists, remove_folder
+from .files import folder_names, make_folder, path_exists, remove_folder
 
 
 def _data(root: str) -> str:
@@ -34,6 +35,14 @@ def _tomb(root: str) -> str:
     return root.rstrip("/") + "/tombstones"
 
 
+def _settled(spark: SparkSession, root: str, rows: DataFrame, without_run: str | None = None) -> DataFrame:
+    """``rows`` of the store without those of runs that are being written (or were stopped) and of ``without_run``."""
+    out = folder_names(spark, root.rstrip("/") + "/pending") | ({f"run={without_run}"} if without_run is not None else set())
+    for run in sorted(out):
+        rows = rows.where(~F.col("_metadata.file_path").contains(f"/{run}/"))
+    return rows
+
+
 def read_catalog(spark: SparkSession, root: str, without_run: str | None = None) -> DataFrame:
     """Live catalog rows; a store that does not exist yet reads as empty.
 
@@ -42,9 +51,7 @@ def read_catalog(spark: SparkSession, root: str, without_run: str | None = None)
     if not path_exists(spark, _data(root)):
         return spark.createDataFrame([], STORE_SCHEMA)
     # explicit schema: files written before the usage columns existed read them as NULL
-    rows = spark.read.schema(STORE_SCHEMA).parquet(_data(root))
-    if without_run is not None:
-        rows = rows.where(~F.col("_metadata.file_path").contains(f"/run={without_run}/"))
+    rows = _settled(spark, root, spark.read.schema(STORE_SCHEMA).parquet(_data(root)), without_run)
     rows = conform(rows).select(*STORE_COLUMNS)
     if path_exists(spark, _tomb(root)):
         rows = apply_tombstones(rows, spark.read.schema(TOMBSTONE_SCHEMA).parquet(_tomb(root)))
@@ -60,12 +67,15 @@ def append(root: str, rows: DataFrame, run_id: str | None = None,
     """O5 sink: write one run's rows (and failures) as a new ``run=`` folder; returns the run id.
 
     Re-writing the same ``run_id`` replaces that run only, so a replayed
-    stream batch is idempotent.  The job commit makes each run all-or-nothing.
+    stream batch is idempotent.  Rows and failures become visible together: until both are written the run is
+    pending, and a run that was stopped stays so until it is written again.
     """
     import uuid
 
     run_id = run_id or uuid.uuid4().hex
     spark = rows.sparkSession
+    pending = run_dir(root, run_id, "pending")
+    make_folder(spark, pending)
     # a sketch must never miss a row: none while the rows are replaced (a run without one is read itself)
     remove_folder(spark, run_dir(root, run_id, "sketch"))
     conform(rows).select(*STORE_COLUMNS).write.mode("overwrite").parquet(run_dir(root, run_id))
@@ -73,6 +83,7 @@ def append(root: str, rows: DataFrame, run_id: str | None = None,
     sketch_of(written, "pdf_hash").coalesce(1).write.mode("overwrite").parquet(run_dir(root, run_id, "sketch"))
     if failures is not None:
         failures.write.mode("overwrite").parquet(run_dir(root, run_id, "failures"))
+    remove_folder(spark, pending)
     return run_id
 
 
@@ -108,9 +119,7 @@ def read_failures(spark: SparkSession, root: str, without_run: str | None = None
     path = root.rstrip("/") + "/failures"
     if not path_exists(spark, path):
         return spark.createDataFrame([], FAILURE_SCHEMA)
-    rows = spark.read.schema(FAILURE_SCHEMA).parquet(path)
-    if without_run is not None:
-        rows = rows.where(~F.col("_metadata.file_path").contains(f"/run={without_run}/"))
+    rows = _settled(spark, root, spark.read.schema(FAILURE_SCHEMA).parquet(path), without_run)
     return rows.select(*FAILURE_SCHEMA.fieldNames())
 
 

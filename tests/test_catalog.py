@@ -266,3 +266,18 @@ def test_lookup_of_null_and_invalid_ids(spark):
     assert got == {1: "invalid", 2: "invalid", 3: "ok", 4: "not_found", 5: "ok"}
     _, out = C.delete_requests(cat, req)
     assert {r.n: (r.status, r.gone) for r in out.collect()}[3] == ("ok", True)
+
+
+def test_pages_by_cursor_are_the_list(spark):
+    import datetime as dt
+
+    from corpusbrief.schemas import STORE_SCHEMA
+
+    rows = [(f"id{i:02d}", f"/{i}.pdf", "h", 1, "s", "short", "m", None if i % 9 == 0 else dt.datetime(2026, 1, 1 + i % 5), None, None, None)
+            for i in range(40)]
+    cat = spark.createDataFrame(rows, STORE_SCHEMA)
+    pages, after = [], None
+    while page := C.list_summaries(cat, 7, after=after).collect():
+        pages += [r.id for r in page]
+        after = (page[-1].created_at, page[-1].id)
+    assert pages == [r.id for r in C.list_summaries(cat).collect()] and len(pages) == 40

@@ -198,3 +198,54 @@ def test_pdf_extractor_is_gated_on_an_installed_library():
 
         with pytest.raises(ImportError, match="no PDF library"):
             ST.pdf_extractor()
+
+
+class Tail:
+    """Keeps the first characters of each text, so that combined texts are known."""
+
+    def __call__(self, text, length=None):
+        if "!" in text:
+            raise ValueError("refused " + text[:2])
+        return ST.Digest(text[:3], len(text), 1, 1, "tail")
+
+
+def plain_chunked(text, room, level=0):
+    if len(text) <= room:
+        return text[:3], level
+    joined = "\n\n".join(text[i:i + room][:3] for i in range(0, len(text), room))
+    return plain_chunked(joined, room, level + 1) if len(joined) < len(text) else (None, level + 1)
+
+
+def test_chunks_are_combined_as_the_joined_text_would_be(spark):
+    texts = ["", "a", "abcdefgh" * 2, "abcdefgh" * 33, "x" * 999, "é漢\U0001F600z" * 200]
+    docs = spark.createDataFrame([(i, t, "short") for i, t in enumerate(texts)], "doc_id long, text string, length string")
+    for room in (8, 16, 40):
+        out = {r.doc_id: (r.summary, r.levels) for r in summarize_chunked(docs, Tail, room // 4, 4).collect()}
+        assert out == {i: plain_chunked(t, room) for i, t in enumerate(texts)}
+
+
+def test_null_and_repeated_ids_are_documents_of_their_own(spark):
+    rows = [(1, "a" * 50), (2, "b" * 50), (2, "c" * 50), (None, "d" * 50), (None, "e" * 50), (None, None), (2, "f")]
+    docs = spark.createDataFrame([(*r, "short") for r in rows], "doc_id long, text string, length string")
+    got = sorted((str(r.doc_id), r.summary or "", r.message or "") for r in summarize_chunked(docs, Tail, 4, 4).collect())
+    assert got == sorted((str(i), plain_chunked(t, 16)[0] if t else "", "" if t else "no text") for i, t in rows)
+
+
+def test_the_first_chunks_error_is_kept(spark):
+    docs = spark.createDataFrame([(1, "ok" * 20 + "B!" + "x" * 60 + "C!" * 9 + "y" * 30, "short")], "doc_id long, text string, length string")
+    r = summarize_chunked(docs, Tail, 5, 4).first()
+    assert (r.stage, r.error_class, r.message) == ("summarize", "ValueError", "refused B!")
+
+
+def test_one_document_of_very_many_chunks(spark):
+    # 60,000 chunks of 8 characters; sums of lengths go over blocks of 10,000 chunks
+    text = "".join(f"{i:07d} " for i in range(60_000))
+    r = summarize_chunked(spark.createDataFrame([(None, text, "short")], "doc_id long, text string, length string"), Tail, 2, 4).first()
+    assert (r.summary, r.levels) == plain_chunked(text, 8) and r.stage is None
+
+
+def test_advice_names_the_category_and_the_message(spark):
+    f = spark.createDataFrame([("/a", "source", "FileNotFoundError", "no such file: /a"), ("/b", "extract", "E", None)],
+                              "pdf_path string, stage string, error_class string, message string")
+    got = {r.pdf_path: r.advice for r in ST.classify_failures(f).collect()}
+    assert got == {"/a": "The file could not be read. (no such file: /a)", "/b": "The file could not be turned into text."}

@@ -243,3 +243,228 @@ def test_ingest_accepts_path_objects_and_relative_paths(spark, scratch, monkeypa
     rel, fails = ingest_files(spark, "p.pdf")
     got = file_identity(rel).collect()
     assert [r.pdf_path for r in got] == [os.path.join(scratch, "p.pdf")] and fails.count() == 0
+
+
+def test_listing_finds_empty_files_in_nested_folders_on_the_tasks(spark, scratch, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from corpusbrief.sources import files as files_module
+
+    def refuse(*_):
+        raise AssertionError("file names on the driver")
+
+    for folder in ("a", "a/b c", "a/b c/k=1", "a/_hidden", "a/.dot"):
+        os.makedirs(os.path.join(scratch, folder))
+        _write(os.path.join(scratch, folder), "empty.pdf", b"")
+        _write(os.path.join(scratch, folder), "full%20.pdf", folder.encode())
+        _write(os.path.join(scratch, folder), "other.txt", b"x")
+    monkeypatch.setattr(DataFrame, "inputFiles", refuse)
+    monkeypatch.setattr(files_module, "_ingest_by_reader", refuse)
+    asked = spark.createDataFrame([(os.path.join(scratch, "a"),), (os.path.join(scratch, "a"),), (os.path.join(scratch, "a", "b c", "full%20.pdf"),),
+                                   (os.path.join(scratch, "nothing"),)], "path string")
+    files, failures = ingest_files(spark, asked, recursive=True)
+    got = sorted((r.path, bytes(r.content), r.length) for r in files.collect())
+    seen = ("a", "a/b c", "a/b c/k=1")
+    assert got == sorted(("file:" + os.path.join(scratch, f, "full%20.pdf"), f.encode(), len(f)) for f in seen)
+    assert sorted((r.pdf_path, r.message) for r in failures.collect()) == sorted(
+        [(os.path.join(scratch, f, "empty.pdf"), "empty file") for f in seen]
+        + [(os.path.join(scratch, "nothing"), f"no such file: {scratch}/nothing")])
+    assert files.schema["length"].metadata == {"max": len("a/b c/k=1")}
+
+
+def test_listing_agrees_with_sparks_reader(spark, scratch):
+    for folder in ("x1", "x2/deep", "y", "x1/_tmp"):
+        os.makedirs(os.path.join(scratch, folder))
+        for name in ("a.pdf", "b.txt", "[c].pdf", "d{1}.pdf", ".h.pdf", "_h.pdf", "_k=1.pdf"):
+            _write(os.path.join(scratch, folder), name, (folder + name).encode())
+    rows = lambda df: sorted((r.path, r.length, bytes(r.content), r.modificationTime) for r in df.collect())
+    for path, glob, recursive in [("", "*.pdf", True), ("", "*.{txt,pdf}", True), ("x*", "[ab].*", False), ("x1", None, False), ("x2", "*", True),
+                                  ("x1/a.pdf", "*.pdf", False), ("x1/b.txt", "*.pdf", False), ("x?/deep", "*.pdf", False), ("*/a.pdf", None, False), ("{x1,y}", "a*", False)]:
+        at = os.path.join(scratch, path)
+        ours, theirs = (rows(ingest_files(spark, at, glob, recursive, listing=kind)[0]) for kind in ("tasks", "spark"))
+        assert ours == theirs, (path, glob)
+
+
+def test_limit_is_taken_before_any_content_is_read(spark, scratch):
+    for n in "cab":
+        _write(scratch, f"{n}.pdf", n.encode())
+    files, _ = ingest_files(spark, scratch, limit=2)
+    assert [os.path.basename(r.path) for r in files.orderBy("path").collect()] == ["a.pdf", "b.pdf"]
+
+
+def _store_rows(spark, hashes, prefix="i"):
+    from corpusbrief.schemas import STORE_SCHEMA
+
+    rows = [(f"{prefix}{k}", f"/{prefix}{k}.pdf", h, 1, "s", "short", "m", None, None, None, None) for k, h in enumerate(hashes)]
+    return spark.createDataFrame(rows, STORE_SCHEMA)
+
+
+def test_sketch_of_every_run_and_of_runs_without_one(spark, scratch):
+    from corpusbrief.operators.sketch import might_contain
+
+    root = os.path.join(scratch, "store")
+    assert store.read_sketch(spark, root).count() == 0
+    store.append(root, _store_rows(spark, ["h1", "h2", None]), run_id="one")
+    store.append(root, _store_rows(spark, ["h3"], "j"), run_id="two")
+    _store_rows(spark, ["h4"], "k").write.parquet(store.run_dir(root, "bare"))  # an older store's run
+    keys = spark.createDataFrame([(f"h{i}",) for i in range(400)] + [(None,)], "k string")
+    got = {r.k: r.m for r in might_contain(keys, "k", store.read_sketch(spark, root), "m").collect()}
+    assert all(got[f"h{i}"] for i in (1, 2, 3, 4)) and not got[None] and sum(got.values()) < 10
+    store.append(root, _store_rows(spark, ["h5"]), run_id="one")  # a run written again has its own hashes
+    got = {r.k: r.m for r in might_contain(keys, "k", store.read_sketch(spark, root), "m").collect()}
+    assert got["h5"] and not got["h1"]
+
+
+def test_skip_seen_is_exact_where_the_sketch_is_wrong(spark, scratch):
+    from corpusbrief.operators import sketch as sketch_module
+    from corpusbrief.operators.stages import skip_seen
+
+    full = spark.range(sketch_module.WORDS).selectExpr("id as word", "-1L as bits")  # says yes to every key
+    files = spark.createDataFrame([("/a", "h1"), ("/b", "h2"), ("/c", "h2"), ("/d", None)], "pdf_path string, pdf_hash string")
+    catalog = _store_rows(spark, ["h1", "h9"])
+    for sketch in (full, sketch_module.sketch_of(catalog, "pdf_hash"), None):
+        assert {r.pdf_path for r in skip_seen(files, catalog, sketch=sketch).collect()} == {"/b", "/d"}
+
+
+def test_new_files_are_not_compared_with_the_catalog(spark, scratch, monkeypatch):
+    from corpusbrief.operators import sketch as sketch_module
+    from corpusbrief.operators import stages
+
+    files = spark.range(500).selectExpr("concat('/f', id) as pdf_path", "concat('h', id) as pdf_hash")
+    catalog = _store_rows(spark, [f"h{i}" for i in range(5)])
+    asked, write = [], stages.materialize
+    monkeypatch.setattr(stages, "materialize", lambda df, name: asked.append(write(df, name)) or asked[-1])
+    out = stages.skip_seen(files, catalog, sketch=sketch_module.sketch_of(catalog, "pdf_hash"))
+    assert out.count() == 495
+    assert 5 <= asked[0].where("_maybe").count() < 20  # these alone meet the catalog
+
+
+def test_stream_skips_by_state_and_forgets_what_is_deleted(spark, scratch, monkeypatch):
+    from corpusbrief.streaming import ingest
+
+    src, root, ck = (os.path.join(scratch, x) for x in ("in", "store", "ck"))
+    os.makedirs(src)
+
+    def refuse(*_, **__):
+        raise AssertionError("a batch read the catalog")
+
+    def run():
+        with monkeypatch.context() as m:
+            m.setattr(ingest, "read_catalog", refuse)
+            q = ingest.start_ingest(spark, src, root, ck, length="short", summarizer="extractive", skip_seen=True)
+            q.awaitTermination(120)
+            assert q.exception() is None
+        return sorted(os.path.basename(r.pdf_path) for r in store.read_catalog(spark, root).collect())
+
+    store.append(root, _store_rows(spark, [hashlib.sha256(b"Stored before.").hexdigest()], "old"))
+    for name, text in (("a", b"One."), ("b", b"One."), ("c", b"Stored before."), ("d", b"Two.")):
+        _write(src, f"{name}.pdf", text)
+    assert run() == ["a.pdf", "d.pdf", "old0.pdf"]  # the first path of a content
+    _write(src, "e.pdf", b"Two.")
+    _write(src, "f.pdf", b"Three.")
+    assert run() == ["a.pdf", "d.pdf", "f.pdf", "old0.pdf"]  # restarted: the state is the checkpoint's
+    victims = store.read_catalog(spark, root).where("pdf_path like '%d.pdf' or pdf_path like '%old0.pdf'").select("id")
+    assert store.delete(spark, root, victims).where("deleted").count() == 2
+    _write(src, "g.pdf", b"Two.")
+    _write(src, "h.pdf", b"Stored before.")
+    _write(src, "i.pdf", b"One.")
+    assert run() == ["a.pdf", "f.pdf", "g.pdf", "h.pdf"]
+    assert run() == ["a.pdf", "f.pdf", "g.pdf", "h.pdf"]
+
+
+def test_a_replayed_batch_of_the_stream_replaces_its_rows(spark, scratch, monkeypatch):
+    from corpusbrief.streaming import ingest
+
+    src, root, ck = (os.path.join(scratch, x) for x in ("in", "store", "ck"))
+    os.makedirs(src)
+    _write(src, "a.pdf", b"One.")
+    _write(src, "b.pdf", b"One.")
+
+    def start():
+        q = ingest.start_ingest(spark, src, root, ck, length="short", summarizer="extractive", skip_seen=True)
+        try:
+            q.awaitTermination(120)
+        except Exception:  # noqa: BLE001 - the stopped batch
+            pass
+        return q
+
+    append = ingest.append
+
+    def stop_after(*a, **k):
+        append(*a, **k)
+        raise RuntimeError("stopped after its rows were written")
+
+    monkeypatch.setattr(ingest, "append", stop_after)
+    assert start().exception() is not None
+    monkeypatch.setattr(ingest, "append", append)
+    assert start().exception() is None
+    assert [os.path.basename(r.pdf_path) for r in store.read_catalog(spark, root).collect()] == ["a.pdf"]
+
+
+def test_a_run_stopped_between_its_writes_is_not_seen(spark, scratch, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    root = os.path.join(scratch, "store")
+    fails = spark.createDataFrame([("/x", "extract", "E", "m")], store.FAILURE_SCHEMA)
+    write = DataFrameWriter.parquet
+
+    def stop(self, path, *a, **k):
+        if "/failures/" in path:
+            raise RuntimeError("stopped")
+        return write(self, path, *a, **k)
+
+    store.append(root, _store_rows(spark, ["h0"], "first"))
+    with monkeypatch.context() as m:
+        m.setattr(DataFrameWriter, "parquet", stop)
+        try:
+            store.append(root, _store_rows(spark, ["h1"]), run_id="r", failures=fails)
+        except RuntimeError:
+            pass
+    assert [r.id for r in store.read_catalog(spark, root).collect()] == ["first0"]
+    store.append(root, _store_rows(spark, ["h1"]), run_id="r", failures=fails)
+    assert sorted(r.id for r in store.read_catalog(spark, root).collect()) == ["first0", "i0"]
+    assert store.read_failures(spark, root).count() == 1
+
+
+class Counting:
+    """Writes a file per call and stops the run at a text of the folder's ``stop`` file."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def __call__(self, text, length=None):
+        import uuid
+
+        from corpusbrief.operators.stages import Digest
+
+        if os.path.exists(os.path.join(self.folder, "stop")) and text.endswith("7"):
+            raise SystemExit("worker lost")
+        open(os.path.join(self.folder, f"call-{uuid.uuid4().hex}"), "w").close()
+        return Digest("sum of " + text, 1, 2, 3, "m")
+
+
+def test_a_run_started_again_repeats_no_logged_call(spark, scratch):
+    from functools import partial
+
+    from corpusbrief.operators.call_log import logged
+    from corpusbrief.operators.stages import summarize
+
+    calls, log = os.path.join(scratch, "calls"), os.path.join(scratch, "log")
+    os.makedirs(calls)
+    _write(calls, "stop", b"")
+    made = lambda: len([x for x in os.listdir(calls) if x.startswith("call-")])
+    docs = spark.createDataFrame([(i, f"text {i % 20}", "short") for i in range(40)], "doc_id long, text string, length string").coalesce(1)
+    factory = logged(partial(Counting, calls), log, "m")
+    try:
+        summarize(docs, factory).collect()
+        raise AssertionError("the worker was to be lost")
+    except Exception as e:  # noqa: BLE001
+        assert "worker" in str(e)
+    before = made()
+    assert before == 7  # texts 0 to 6
+    os.rename(os.path.join(calls, "stop"), os.path.join(calls, "gone"))
+    got = summarize(docs, factory).collect()
+    assert {r.summary for r in got} == {f"sum of text {i}" for i in range(20)} and {r.tokens_out for r in got} == {2}
+    assert made() == 20  # each text once, over both runs
+    other = logged(partial(Counting, calls), log, "other model")
+    assert summarize(docs.limit(1), other).count() == 1 and made() == 21
