@@ -26,6 +26,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.strategies import widened
+
 # Character budgets are the upper ends of the ranges the
 # reference's prompts ask for (300-500 / 1000-2000 / 3000-5000 characters).
 BUDGETS = {"short": 500, "standard": 2000, "detailed": 5000}
@@ -232,6 +234,7 @@ def extractive_summary(docs: DataFrame, length: str | None = "short", id_col: st
                        F.coalesce(F.col(size_col).cast("bigint") if size_col else F.octet_length(text_col), F.lit(0)).alias("_size"),
                        *([F.col(length_col).alias("_ln")] if length_col else []),
                        *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry or [])])
+    rows = widened(rows, "_id")
     ln, budget, ov, bullet = _params(length, length_col and "_ln")
     settled = [ln.alias("_length"), budget.alias("_budget"), ov.alias("_ov"), bullet.alias("_bullet")]
     kept = _max_kept(length, length_col)

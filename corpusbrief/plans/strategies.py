@@ -5,6 +5,7 @@
   still convert it at run time from the measured shuffle size).
 * ``with_position``: 1-based position in a total order without a global
   window (which would put every row in one task).
+* ``widened``: deal out a scan of fewer tasks than cores.
 * ``materialize``: write an intermediate to the shared scratch folder and
   read it back, cutting lineage so a lost executor or a second action does not
   re-run Python stages.
@@ -62,6 +63,18 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def widened(df: DataFrame, key: str) -> DataFrame:
+    """``df``, dealt out by ``key`` if it is a plain scan of fewer tasks than there are cores (one small file, say).
+
+    A large table's scan has tasks enough and is left as it is: no shuffle.
+    """
+    query = df._jdf.queryExecution()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in query.executedPlan().toString() or query.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(2 * cores, key)
+
+
 def spread(df: DataFrame, key: str | Column | list, min_partitions: int | None = None) -> DataFrame:
     """Hash-partition by ``key`` (one or more columns) before a Python stage.
 

@@ -90,8 +90,21 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_words_are_counted_in_the_row_and_only_long_texts_are_spread(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+def test_words_are_counted_in_the_row_and_only_long_texts_are_spread(spark, scratch):
+    spark.read.parquet(f"{SF}/documents.parquet").repartition(8).write.parquet(f"{scratch}/docs")
+    docs = spark.read.parquet(f"{scratch}/docs")
+    one_task = spark.read.parquet(f"{SF}/documents.parquet")  # dealt out first: a scan of fewer tasks than cores
+    assert "Exchange" in plan_of(extractive_summary(one_task, "short", spread_bytes=None))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        check_plans(docs)
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def check_plans(docs):
     union = plan_of(extractive_summary(docs, "short")).split("Union", 1)[1]
     in_row, spread = union.split("Scan parquet", 1)
     assert "Exchange" not in in_row and "Window" not in in_row and "Generate" not in in_row
