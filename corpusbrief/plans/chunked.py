@@ -85,8 +85,8 @@ def next_chunks(digests: DataFrame, totals: DataFrame) -> DataFrame:
             .select("key", "chunk_no", "text", "length", "room", "chars"))
 
 
-def combine_level(digests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(final digests, next level's chunks, failures: key and error columns) of one level's calls."""
+def combine_level(digests: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """(final digests, next level's chunks or None, failures: key and error columns) of one level's calls."""
     final = digests.where("chars <= room")
     more = digests.where("chars > room").withColumn("summary", F.coalesce("summary", F.lit("")))
     sums = materialize(more.groupBy("key").agg(
@@ -98,7 +98,7 @@ def combine_level(digests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         "key", F.lit("summarize").alias("stage"), F.lit("SummarizationError").alias("error_class"),
         F.lit("combined summary did not shrink").alias("message"))
     on = sums.where("_bad = 0 and joined < chars").select("key", "joined")
-    return final, next_chunks(more, on), wrong.unionByName(grown)
+    return final, None if on.isEmpty() else next_chunks(more, on), wrong.unionByName(grown)
 
 
 def keyed_documents(docs: DataFrame, budget_tokens: int | str, chars_per_token: int, id_col: str, key_cols: list[str],
@@ -129,16 +129,16 @@ def summarize_chunked(docs: DataFrame, factory: Callable, budget_tokens: int | s
     """
     key_cols = key_cols or []
     rows = keyed_documents(docs, budget_tokens, chars_per_token, id_col, key_cols, templates)
-    chunks = first_chunks(rows.where(F.col("stage").isNull()))
+    fine = rows.where(F.col("stage").isNull())
+    chunks = None if fine.isEmpty() else first_chunks(fine)
     finals, failed, calls, level = [], [rows.where(F.col("stage").isNotNull()).select("key", F.lit(0).alias("level"), *ERROR_COLS)], [], 0
-    while not chunks.isEmpty():
+    while chunks is not None:
         digests = call_level(chunks, factory, templates, extra)
         calls.append(digests.select("key", *USAGE))
         final, chunks, wrong = combine_level(digests)
         finals.append(final.select("key", "summary", "model", *ERROR_COLS, F.lit(level).alias("level")))
         level += 1
         failed.append(wrong.select("key", F.lit(level).alias("level"), *ERROR_COLS))
-        chunks = materialize(chunks, "chunk-level")
     heads = rows.select("key", id_col, *key_cols, "length")
     ended = reduce(DataFrame.unionByName, [f.withColumn("_called", F.lit(False)) for f in failed])
     if finals:

@@ -431,7 +431,8 @@ def q_summarize_chunk_level(spark, sf):
                        F.lit(X.FIXTURE_BUDGET_TOKENS * X.CHARS_PER_TOKEN).cast("bigint").alias("room"))
     final, nxt, _ = combine_level(call_level(first_chunks(rows), HashSummarizer))
     doc = F.col("key").alias("doc_id")
-    return final.select(doc, F.lit(0).cast("bigint").alias("next_level"), "chunk_no", F.col("summary").alias("text")).unionByName(
+    out = final.select(doc, F.lit(0).cast("bigint").alias("next_level"), "chunk_no", F.col("summary").alias("text"))
+    return out if nxt is None else out.unionByName(
         nxt.select(doc, F.lit(1).cast("bigint").alias("next_level"), "chunk_no", "text"))
 
 
