@@ -6,12 +6,19 @@ the catalog is the DataFrame returned by :func:`corpusbrief.sources.store.read_c
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..plans.strategies import BROADCAST_MAX_BYTES, broadcast_if_small, bytes_at_most
+from ..plans.strategies import BROADCAST_MAX_BYTES, bytes_at_most
 from ..schemas import ADDED_COLUMNS, STORE_COLUMNS, STORE_SCHEMA
+from .sketch import might_contain, sketch_of
+
+# Prefix groups that are pushed to the scan as one filter, and the lengths tried for them, longest first.
+PREFIX_GROUPS = 64
+PREFIX_CUTS = (36, 24, 16, 12, 8, 6, 4, 3, 2, 1)
 
 # ------------------------------------------------------------------ schema
 
@@ -51,28 +58,37 @@ def migrate_rows(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good.where(F.col("created_at").isNotNull()), failures
 
 
-def apply_tombstones(rows: DataFrame, tombstones: DataFrame) -> DataFrame:
-    """The live catalog = rows whose id has no tombstone (anti-join).
+def without_ids(rows: DataFrame, ids: DataFrame, max_broadcast: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """``rows`` whose ``id`` is not among ``ids`` (column ``id``); rows with a NULL id stay.
 
-    Tombstones are few next to the catalog until a compaction: while their bytes
-    are within the measured bound they are broadcast, so the catalog is not
-    shuffled; beyond that the anti-join shuffles both sides.
+    Ids within the measured byte bound are broadcast.  Beyond it, their Bloom sketch (of bounded size, whatever
+    their number) is: rows that it does not hold pass by without a shuffle, and only the others are compared with
+    the ids.  That is a second scan of the rows instead of a shuffle of them.
     """
-    return rows.join(broadcast_if_small(tombstones.select("id").distinct()), "id", "left_anti")
+    keys = ids.select("id").where("id is not null").distinct()
+    if bytes_at_most(keys, max_broadcast):
+        return rows.join(F.broadcast(keys), "id", "left_anti")
+    told = might_contain(rows, "id", sketch_of(ids, "id"), "_maybe")
+    kept = told.where(~F.col("_maybe")).drop("_maybe")
+    return kept.unionByName(told.where("_maybe").drop("_maybe").join(keys, "id", "left_anti"))
+
 
+def apply_tombstones(rows: DataFrame, tombstones: DataFrame, max_broadcast: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """The live catalog = rows whose id has no tombstone."""
+    return without_ids(rows, tombstones, max_broadcast)
 
-def _restrict(catalog: DataFrame, col: str, keys: DataFrame, max_broadcast: int = BROADCAST_MAX_BYTES) -> DataFrame:
-    """Catalog rows whose ``col`` is among ``keys`` (one column), filtered map-side when bounded.
 
-    A batch of requests is usually small next to the catalog: when the distinct
-    keys are within the measured byte bound they are broadcast and the
-    catalog is semi-joined without a shuffle.  Beyond that the catalog is
-    returned whole and the caller's join shuffles as usual.
+def restrict(catalog: DataFrame, col: str, keys: DataFrame, max_broadcast: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Catalog rows whose ``col`` may be among ``keys`` (one column), filtered map-side.
+
+    When the distinct keys are within the measured byte bound they are broadcast and the catalog is
+    semi-joined without a shuffle.  Beyond that their Bloom sketch filters it, so that the caller's join
+    shuffles the rows asked for (and a few more) instead of the catalog.
     """
     k = keys.where(F.col(keys.columns[0]).isNotNull()).distinct().withColumnRenamed(keys.columns[0], "_k")
     if bytes_at_most(k, max_broadcast):
         return catalog.join(F.broadcast(k), catalog[col] == F.col("_k"), "left_semi")
-    return catalog
+    return might_contain(catalog, col, sketch_of(keys, keys.columns[0]), "_maybe").where("_maybe").drop("_maybe")
 
 
 # ------------------------------------------------------------------ read model
@@ -116,7 +132,7 @@ def get_many(catalog: DataFrame, ids: DataFrame, id_col: str = "id_text") -> Dat
 
     A shuffle (or, when AQE measures one side as small, broadcast) equi-join.
     """
-    cat = normalise(_restrict(catalog, "id", ids.select(id_col))).withColumnRenamed("id", "_cid")
+    cat = normalise(restrict(catalog, "id", ids.select(id_col))).withColumnRenamed("id", "_cid")
     return (ids.join(cat, ids[id_col] == cat["_cid"], "left")
             .withColumn("found", F.col("_cid").isNotNull())
             .drop("_cid"))
@@ -151,11 +167,35 @@ def _prefix_lengths(catalog: DataFrame, prefixes: DataFrame, col: str) -> list[i
     return sorted(r["n"] for r in rows)
 
 
+def near_prefixes(catalog: DataFrame, prefixes: DataFrame, col: str = "prefix") -> DataFrame:
+    """Catalog rows whose id may begin with one of ``prefixes``, by a filter that reaches the files' statistics.
+
+    The prefixes are cut to the longest length that leaves at most ``PREFIX_GROUPS`` of them; an id that begins with
+    a prefix begins with its cut.  In a store clustered by id (``store.compact``) what is read then grows with
+    the answer.  Where every cut leaves too many, or the empty prefix is asked for, all rows are near.
+    """
+    p = prefixes.select(F.col(col).alias("_p")).where("_p is not null")
+    cut = lambda n: F.substring("_p", 1, n)
+    sizes = p.agg(*[F.approx_count_distinct(cut(n)).alias(f"n{n}") for n in PREFIX_CUTS], F.min("_p").alias("least")).first()
+    if sizes["least"] is None:
+        return catalog.where(F.lit(False))
+    if sizes["least"] == "":
+        return catalog
+    for n in PREFIX_CUTS:
+        if sizes[f"n{n}"] > 2 * PREFIX_GROUPS:  # far too many, by the estimate
+            continue
+        groups = [r["g"] for r in p.select(cut(n).alias("g")).distinct().limit(PREFIX_GROUPS + 1).collect()]
+        if len(groups) <= PREFIX_GROUPS:
+            return catalog.where(reduce(lambda a, b: a | b, [F.col("id").startswith(g) for g in sorted(groups)]))
+    return catalog
+
+
 def resolve_prefixes(catalog: DataFrame, prefixes: DataFrame, col: str = "prefix",
                      max_broadcast: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """Prefix → (match count, the id when exactly one, status none/one/many).
 
-    Literal, case-sensitive prefix match.  Each catalog id is expanded into its
+    Literal, case-sensitive prefix match.  Ids that no prefix can name are passed over in the scan
+    (:func:`near_prefixes`).  Each other id is expanded into its
     prefixes of the requested lengths only, which turns the
     ``LIKE 'p%'`` into an equi-join.  When the distinct requested prefixes are
     within the measured byte bound they are broadcast and
@@ -164,6 +204,7 @@ def resolve_prefixes(catalog: DataFrame, prefixes: DataFrame, col: str = "prefix
     matches most of the catalog (``''``) is only a map-side count, never a
     hot join key.
     """
+    catalog = near_prefixes(catalog.select("id"), prefixes, col)
     lengths = _prefix_lengths(catalog, prefixes, col)
     wanted = prefixes.select(F.col(col).alias("_p")).distinct()
     if lengths:
@@ -214,7 +255,7 @@ def lookup(catalog: DataFrame, requests: DataFrame, id_col: str = "id_text") ->
     # every row a request can name shares its first 8 characters with the request: filter the
     # catalog by those prefixes (keys from the requests alone, so counting them is cheap)
     p8 = req.select(S.short_id(id_col))
-    cat = _restrict(catalog.withColumn("_p8", S.short_id("id")), "_p8", p8)
+    cat = restrict(catalog.withColumn("_p8", S.short_id("id")), "_p8", p8)
     short = cat.groupBy("_p8").agg(F.count(F.lit(1)).alias("_n8"), F.min("id").alias("_id8"))
     j = req.join(short, (F.col("id_kind") == "short") & (req[id_col] == short["_p8"]), "left")
     cand = (F.when(F.col("id_kind") == "full", F.col(id_col))
@@ -239,12 +280,8 @@ def lookup(catalog: DataFrame, requests: DataFrame, id_col: str = "id_text") ->
 def delete_ids(catalog: DataFrame, ids: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
     """(remaining catalog, outcome per requested id with ``deleted``)."""
     targets = ids.select(F.col(id_col).alias("id")).where("id is not null").distinct()
-    if bytes_at_most(targets):  # measured once, used by both joins
-        remaining = catalog.join(F.broadcast(targets), "id", "left_anti")
-        present = catalog.join(F.broadcast(targets), "id", "left_semi").select(F.col("id").alias("_hit"))
-    else:
-        remaining = catalog.join(targets, "id", "left_anti")
-        present = catalog.select(F.col("id").alias("_hit"))
+    remaining = without_ids(catalog, targets)
+    present = restrict(catalog, "id", targets).select(F.col("id").alias("_hit"))
     outcome = (targets.join(present, targets["id"] == present["_hit"], "left")
                .select("id", F.col("_hit").isNotNull().alias("deleted")))
     return remaining, outcome
@@ -278,7 +315,7 @@ def delete_requests(catalog: DataFrame, requests: DataFrame, id_col: str = "id_t
     remaining, _ = delete_ids(catalog, ids)
     outcome = looked.select(*requests.columns, "id_kind", "status",
                             F.when(F.col("status") == "ok", F.col("resolved_id")).alias("deleted_id"))
-    still = _restrict(remaining, "id", ids).select(F.col("id").alias("_still")).distinct()
+    still = restrict(remaining, "id", ids).select(F.col("id").alias("_still")).distinct()
     ok = (outcome.where("status = 'ok'").join(still, F.col("deleted_id") == F.col("_still"), "left")
           .withColumn("gone", F.col("_still").isNull()).drop("_still"))
     other = outcome.where("status <> 'ok'").withColumn("gone", F.lit(None).cast("boolean"))
@@ -297,7 +334,7 @@ def latest_per_path(catalog: DataFrame, paths: DataFrame | None = None,
     cols = [c for c in STORE_COLUMNS if c != "pdf_path"]
     if paths is not None:
         paths = paths.withColumn("_rp", S.resolved_path(path_col))
-        catalog = _restrict(catalog, "pdf_path", paths.select("_rp"))
+        catalog = restrict(catalog, "pdf_path", paths.select("_rp"))
     latest = (catalog.groupBy("pdf_path")
               .agg(F.max_by(F.struct(*cols), F.struct("created_at", "id")).alias("_r"))
               .select("pdf_path", "_r.*"))

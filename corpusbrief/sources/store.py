@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.catalog import apply_tombstones, conform, delete_ids, migrate_rows
+from ..operators.catalog import apply_tombstones, conform, delete_ids, migrate_rows, restrict, without_ids
 from ..operators.sketch import merged, sketch_of
 from ..plans.strategies import materialize
 from ..schemas import FAILURE_SCHEMA, STORE_COLUMNS, STORE_SCHEMA, TOMBSTONE_SCHEMA
@@ -134,18 +134,25 @@ def delete(spark: SparkSession, root: str, ids: DataFrame, id_col: str = "id") -
     outcome = materialize(outcome, "delete-outcome")
     gone = outcome.where("deleted").select("id")
     # hashes of which no live row is left: such content is new again for a stream that skips what it has seen
-    hashed = catalog.select("id", "pdf_hash").join(gone.withColumn("_gone", F.lit(True)), "id", "left")
-    left = hashed.where("_gone is null").select("pdf_hash").distinct()
-    freed = hashed.where("_gone").join(left.withColumn("_left", F.lit(True)), "pdf_hash", "left").select(
+    hashed = catalog.select("id", "pdf_hash")
+    removed = materialize(restrict(hashed, "id", gone).join(gone, "id", "left_semi"), "removed-hashes")
+    left = (without_ids(restrict(hashed, "pdf_hash", removed.select("pdf_hash")), gone).select("pdf_hash").distinct()
+            .withColumn("_left", F.lit(True)))
+    freed = removed.join(left, "pdf_hash", "left").select(
         "id", F.when(F.col("_left").isNull(), F.col("pdf_hash")).alias("pdf_hash"))
     (gone.join(freed, "id", "left").select("id", F.current_timestamp().alias("deleted_at"), "pdf_hash")
      .write.mode("append").parquet(_tomb(root)))
     return outcome
 
 
-def compact(spark: SparkSession, root: str, new_root: str) -> None:
-    """Write the live rows of ``root`` to ``new_root`` (never in place), clustered by hash."""
+def compact(spark: SparkSession, root: str, new_root: str, files: int | None = None) -> None:
+    """Write the live rows of ``root`` to ``new_root`` (never in place), clustered by id.
+
+    Each file then holds a range of ids, so that lookups by id or prefix skip the others by their statistics.
+    ``files`` sets their number; by default it follows from the size of the rows.
+    """
     if new_root.rstrip("/") == root.rstrip("/"):
         raise ValueError("compact must write to a new root")
-    (read_catalog(spark, root).orderBy("pdf_hash", "id")
-     .write.mode("errorifexists").parquet(run_dir(new_root, "compacted")))
+    rows = read_catalog(spark, root)
+    rows = rows.repartitionByRange(files, "id").sortWithinPartitions("id") if files else rows.orderBy("id")
+    rows.write.mode("errorifexists").parquet(run_dir(new_root, "compacted"))

@@ -108,6 +108,66 @@ def test_resolve_prefixes(spark, cat):
     assert sorted(got2, key=str) == sorted(got, key=str)
 
 
+def test_prefixes_reach_the_scan_as_cuts_that_lose_no_id(spark, cat):
+    ask = lambda values: spark.createDataFrame([(v,) for v in values], "prefix string")
+    near = lambda values: {r.id[:8] for r in C.near_prefixes(cat, ask(values)).collect()}
+    assert near(["0123abcd-1", "ffff"]) == {"0123abcd", "ffff0000"}
+    assert near([]) == near([None]) == set()
+    assert near([None, "", "zz"]) == {"0123abcd", "ffff0000", "eeee0000"}
+    # more prefixes than groups: cut shorter, down to none
+    assert near([f"eeee{i:05d}" for i in range(1000)]) == {"eeee0000"}
+    assert near([chr(0x4E00 + i) for i in range(1000)]) == {"0123abcd", "ffff0000", "eeee0000"}
+
+
+def test_prefix_lookup_reads_few_rows_of_a_clustered_store(spark, tmp_path):
+    import hashlib
+
+    from corpusbrief.sources import store
+
+    ids = [hashlib.sha256(str(i).encode()).hexdigest()[:36] for i in range(4000)]
+    root, new_root = str(tmp_path / "a"), str(tmp_path / "b")
+    store.append(root, spark.createDataFrame([row(i) for i in ids], STORE_SCHEMA))
+    store.compact(spark, root, new_root, files=20)
+    p = spark.createDataFrame([(ids[7][:6],), (ids[7][:3],), (ids[9][:5],), ("zz",)], "prefix string")
+    near = C.near_prefixes(store.read_catalog(spark, new_root).select("id"), p)
+    got = {r.id for r in near.collect()}
+    assert got >= {i for i in ids if i.startswith((ids[7][:3], ids[9][:5]))}
+    leaves = near._jdf.queryExecution().executedPlan().collectLeaves()
+    read = sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+    assert 0 < read <= 3 * 4000 // 20 + 10
+    want = {q: sum(i.startswith(q) for i in ids) for q in (ids[7][:6], ids[7][:3], ids[9][:5], "zz")}
+    assert {r.prefix: r.match_count for r in C.resolve_prefixes(store.read_catalog(spark, new_root), p).collect()} == want
+
+
+def test_many_tombstones_pass_the_rows_by_without_a_shuffle(spark, monkeypatch):
+    from corpusbrief.operators import sketch
+
+    # one column clashes with nothing; a NULL id is never deleted; a repeated id goes whole
+    rows = spark.createDataFrame([(f"id{i % 900}" if i % 50 else None, i) for i in range(1000)], "id string, v long")
+    gone = spark.createDataFrame([(f"id{i}",) for i in range(0, 900, 3)] * 2 + [(None,), ("other",)], "id string")
+    want = {i for i in range(1000) if i % 50 == 0 or i % 900 % 3}
+    for words in (sketch.WORDS, 1):  # one word of 64 bits says yes to every id: the exact comparison decides
+        monkeypatch.setattr(sketch, "WORDS", words)
+        out = C.apply_tombstones(rows, gone, max_broadcast=0)
+        assert {r.v for r in out.collect()} == want == {r.v for r in C.apply_tombstones(rows, gone).collect()}
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    lines = plan.split("Union", 1)[1].splitlines()[1:]
+    second = lines[0].index(":") * " " + "+-"  # where the union's second branch begins
+    passed = lines[:next(i for i, x in enumerate(lines) if x.startswith(second))]
+    assert passed and not any("Exchange hashpartitioning(id" in x for x in passed)
+    # requests beyond the broadcast bound: whatever is asked for is there
+    near = C.restrict(rows, "id", gone, max_broadcast=0)
+    assert {r.v for r in near.collect()} >= {i for i in range(1000) if i not in want}
+
+
+def test_deletes_beyond_the_broadcast_bound(spark, cat, monkeypatch):
+    monkeypatch.setattr(C, "bytes_at_most", lambda *a: False)
+    test_delete_ids_idempotent(spark, cat)
+    test_delete_requests_and_resolve_and_delete(spark, cat)
+    test_lookup_dispatch(spark, cat)
+    test_resolve_prefixes(spark, cat)
+
+
 def test_lookup_dispatch(spark, cat):
     req = spark.createDataFrame(
         [(1, FULL), (2, "0123abcd"), (3, "ffff0000"), (4, "00000000-0000-4000-a000-000000000000"),

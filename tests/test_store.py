@@ -109,6 +109,25 @@ def test_store_append_delete_compact(spark, scratch):
         sorted(r.id for r in store.read_catalog(spark, root).collect())
 
 
+def test_delete_in_batches_of_any_size_frees_the_same_hashes(spark, scratch, monkeypatch):
+    from corpusbrief.operators import catalog
+    from corpusbrief.schemas import STORE_SCHEMA
+
+    rows = spark.createDataFrame([(f"i{k}", f"/{k}", h, 1, "s", "short", "m", None, 1, 1, 1) for k, h in
+                                  enumerate(["h0", "h0", "h1", "h2", "h2", None])], STORE_SCHEMA)
+    ids = spark.createDataFrame([("i0",), ("i2",), ("i3",), ("i4",), ("i5",), (None,), ("nope",)], "id string")
+    for name, bound in (("small", None), ("large", lambda *a: False)):
+        if bound:
+            monkeypatch.setattr(catalog, "bytes_at_most", bound)
+        root = os.path.join(scratch, name)
+        store.append(root, rows)
+        assert sum(r.deleted for r in store.delete(spark, root, ids).collect()) == 5
+        freed = spark.read.parquet(os.path.join(root, "tombstones"))
+        assert {(r.id, r.pdf_hash) for r in freed.collect()} == {
+            ("i0", None), ("i2", "h1"), ("i3", "h2"), ("i4", "h2"), ("i5", None)}  # h0 still has a row
+        assert [r.id for r in store.read_catalog(spark, root).collect()] == ["i1"]
+
+
 def test_skip_seen_rerun_and_delete_regression(spark, scratch):
     root = os.path.join(scratch, "store")
     src = os.path.join(scratch, "in")
