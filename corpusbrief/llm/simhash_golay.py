@@ -15,6 +15,11 @@ within the distance of a pivot is linked with it, and two pivots' clusters are c
 the triangle inequality lets them touch and they are not connected yet.  Each task emits a spanning
 forest of its links, never all pairs, and ``connected_components`` joins the forests.
 
+Buckets come sorted and are read as a stream.  One of more than ``bucket`` fingerprints is not held: the bits
+not yet known to be equal are cut into five parts, one of which is equal for every pair to be linked, and each
+fingerprint goes on to the next level under its key, part and the part's bits.  Every level fixes more bits,
+so buckets shrink until they fit, with the same links as if they had been compared whole.
+
 Rows: a NULL, empty or blank text has fingerprint zero and links like any other; repeated rows get
 equal fingerprints; NULL ids get a component but are never its name (the component is NULL if it has
 no other id); an empty table gives an empty table.  Only the id and the text column are read.
@@ -22,6 +27,7 @@ no other id); an empty table gives an empty table.  Only the id and the text col
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +45,7 @@ GOLAY = 0xC75  # generator polynomial x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SMALL = 64  # up to here a bucket is compared in full
+BUCKET = 1 << 14  # fingerprints of one key that a task holds; more are keyed further
 
 
 def fingerprint(text: bytes | None, words: int = 4, chunk: int = 1 << 16) -> int:
@@ -187,7 +194,68 @@ def partition_links(key: np.ndarray, fp: np.ndarray, d: int) -> tuple[np.ndarray
     return local_components(a[a != b], b[a != b])
 
 
-def link_forest(fps: DataFrame, max_bits: int = 4) -> DataFrame:
+def segment_mask(key: np.ndarray) -> np.ndarray:
+    """The bits that all fingerprints of a first-level key have in common: a raw segment's, else none."""
+    known = np.array([((1 << n) - 1) << a for a, n in SEGMENTS] + [0, 0, 0], np.uint64)
+    return known[key >> 40]
+
+
+def finer(key: np.ndarray, mask: np.ndarray, fp: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, mask, fp) rows of the next level: of ``d`` + 1 parts of the bits outside ``mask``, each pair shares one.
+
+    Two keys that clash only make a bucket larger, as every link is verified by its bits.
+    """
+    out = []
+    for m in np.unique(mask):
+        at = mask == m
+        k, f = key[at].view(np.uint64), fp[at]
+        free = [i for i in range(64) if not int(m) >> i & 1]
+        for part, bits in enumerate(np.array_split(free, d + 1)):
+            pm = np.uint64(sum(1 << int(i) for i in bits))
+            x = (k * np.uint64(0x9E3779B97F4A7C15) + np.uint64(part)) ^ (f & pm) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+            out.append(((x ^ (x >> np.uint64(29))).view(np.int64), np.full(len(f), m | pm), f))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def stream_links(batches, d: int, bucket: int, rows: int = 1 << 19) -> Iterator[tuple]:
+    """Of batches (key, mask, fp) sorted by key: ("link", node, root) and ("finer", key, mask, fp) arrays.
+
+    At most some ``rows`` of whole buckets and ``bucket`` of the last one are held.
+    """
+    done, n = [], 0
+    held = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    over = None  # the key of a bucket that is passed on
+    for batch in batches:
+        if over is not None:
+            end = int(np.argmax(np.r_[batch[0] != over, True]))
+            if end:
+                yield "finer", *finer(*(c[:end] for c in batch), d)
+            batch = tuple(c[end:] for c in batch)
+            if not len(batch[0]):
+                continue
+            over = None
+        held = tuple(np.concatenate(c) for c in zip(held, batch))
+        if not len(held[0]):
+            continue
+        last = int(np.argmax(held[0] == held[0][-1]))
+        if last:
+            done.append((held[0][:last], held[2][:last]))
+            n += last
+            held = tuple(c[last:] for c in held)
+        if n >= rows:
+            yield "link", *partition_links(*(np.concatenate(c) for c in zip(*done)), d)
+            done, n = [], 0
+        # fewer free bits than parts: no more than 2 ** d fingerprints are left in it
+        if len(held[0]) > bucket and 64 - int(held[1][0]).bit_count() > d:
+            over = held[0][0]
+            yield "finer", *finer(*held, d)
+            held = tuple(c[:0] for c in held)
+    done.append((held[0], held[2]))
+    yield "link", *partition_links(*(np.concatenate(c) for c in zip(*done)), d)
+
+
+def link_forest(fps: DataFrame, max_bits: int = 4, bucket: int = BUCKET) -> DataFrame:
     """(a, b) links between distinct fingerprints (column fp); their components are those of all links."""
     if max_bits > 4:
         raise ValueError("the keys find every pair of up to 4 differing bits")
@@ -201,17 +269,31 @@ def link_forest(fps: DataFrame, max_bits: int = 4) -> DataFrame:
                                                   pa.array(f[i:i + (1 << 16)].view(np.int64))], names=["key", "fp"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ks, fs = [], []
-        for b in batches:
-            ks.append(b.column(0).to_numpy(zero_copy_only=False).copy())
-            fs.append(b.column(1).to_numpy(zero_copy_only=False).copy())
-        if ks:
-            x, y = partition_links(np.concatenate(ks), np.concatenate(fs).view(np.uint64), max_bits)
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["a", "b"])
-
-    n = shuffle_partitions(fps.sparkSession, fps.count() * 90)
-    return (fps.select("fp").mapInArrow(make, "key long, fp long").repartition(n, "key")
-            .mapInArrow(link, "a long, b long").where("a <> b"))
+        def arrays():
+            for b in batches:
+                c = [x.to_numpy(zero_copy_only=False).copy() for x in b.columns]
+                yield c[0], c[2].view(np.uint64) if len(c) > 2 else segment_mask(c[0]), c[1].view(np.uint64)
+
+        for kind, *out in stream_links(arrays(), max_bits, bucket):
+            if kind == "link":
+                a, b, none = out[0].view(np.int64), out[1].view(np.int64), np.ones(len(out[0]), bool)
+                cols = [pa.array(a), pa.array(b), pa.array(a, mask=none), pa.array(b, mask=none)]
+            else:
+                key, mask, f = out[0], out[1].view(np.int64), out[2].view(np.int64)
+                cols = [pa.array(f), pa.array(f, mask=np.ones(len(f), bool)), pa.array(key), pa.array(mask)]
+            for i in range(0, len(cols[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([c.slice(i, 1 << 16) for c in cols], names=["a", "b", "key", "mask"])
+
+    keyed_rows, count, links = fps.select("fp").mapInArrow(make, "key long, fp long"), fps.count() * 90, []
+    while True:
+        n = shuffle_partitions(fps.sparkSession, count)
+        found = materialize(keyed_rows.repartition(n, "key").sortWithinPartitions("key")
+                            .mapInArrow(link, "a long, b long, key long, mask long"), "bucket-links")
+        links.append(found.where("key is null and a <> b").select("a", "b"))
+        keyed_rows = found.where("key is not null").select("key", F.col("a").alias("fp"), "mask")
+        count = keyed_rows.count()
+        if not count:
+            return reduce(DataFrame.unionByName, links)
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4,

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -255,6 +256,78 @@ def test_golay_keys_find_every_pair_within_four_bits():
     assert len(set(simhash_golay.local_components(a, b)[1].tolist())) == 2
 
 
+def brute_components(fp):
+    pairs = [(i + a, b) for i in range(0, len(fp), 512)
+             for a, b in np.argwhere(np.bitwise_count(fp[i:i + 512, None] ^ fp[None, :]) <= 4).tolist()]
+    a, b = np.array(pairs).T
+    return simhash_golay.local_components(fp[a], fp[b])
+
+
+def test_a_hot_key_is_passed_on_in_finer_keys_with_the_same_links(monkeypatch):
+    rng = np.random.default_rng(17)
+    ball = [sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 6)), replace=False)) for _ in range(1500)]
+    far = (rng.integers(0, 2**63, 1500, dtype=np.uint64) & ~np.uint64((1 << 22) - 1)).tolist()  # one raw segment
+    fp = np.unique(np.array(ball + far + [f ^ (1 << 30) ^ (1 << 50) for f in far[:400]], np.uint64))
+    want = dict(zip(*(x.tolist() for x in brute_components(fp))))
+    whole, most = simhash_golay.partition_links, []
+
+    def watched(key, f, d):
+        if len(key):
+            most.append(int(np.unique(key, return_counts=True)[1].max()))
+        return whole(key, f, d)
+
+    monkeypatch.setattr(simhash_golay, "partition_links", watched)
+    key, f = simhash_golay.keys_of(fp, simhash_golay.Golay())
+    mask, a, b, levels = simhash_golay.segment_mask(key), [], [], 0
+    assert np.unique(key, return_counts=True)[1].max() > 1500
+    while len(key):
+        order = np.argsort(key, kind="stable")
+        rows, parts = (key[order], mask[order], f[order]), []
+        for kind, *out in simhash_golay.stream_links((tuple(c[i:i + 50] for c in rows) for i in range(0, len(key), 50)), 4, 100, 5000):
+            if kind == "link":
+                a.append(out[0])
+                b.append(out[1])
+            else:
+                parts.append(out)
+        key, mask, f = (np.concatenate(c) for c in zip(*parts)) if parts else (rows[0][:0],) * 3
+        levels += 1
+    assert levels > 2 and max(most) <= 150  # the bucket and one batch
+    got = dict(zip(*(x.tolist() for x in simhash_golay.local_components(np.concatenate(a), np.concatenate(b)))))
+    assert {n: got.get(n, n) for n in want} == want
+    assert [list(map(len, x[1:])) for x in simhash_golay.stream_links([], 4, 100)] == [[0, 0]]
+
+
+def test_fifty_thousand_fingerprints_on_one_key(spark):
+    rng = np.random.default_rng(18)
+    far = (rng.integers(0, 2**63, 40_000, dtype=np.uint64) & ~np.uint64((1 << 22) - 1)).tolist()
+    near = [f ^ sum(1 << int(b) for b in rng.choice(42, 4, replace=False) + 22) for f in far[:5000]]
+    chain = [f ^ (1 << 62) ^ (1 << 23) for f in near]
+    fp = np.unique(np.array(far + near + chain, np.uint64))
+    want = dict(zip(*(x.tolist() for x in brute_components(fp))))
+    prep(spark)
+    rows = spark.createDataFrame(pd.DataFrame({"fp": fp.view(np.int64)}))
+    links = simhash_golay.link_forest(rows, bucket=4096).toPandas().to_numpy().view(np.uint64)
+    got = dict(zip(*(x.tolist() for x in simhash_golay.local_components(links[:, 0], links[:, 1]))))
+    assert {n: got.get(n, n) for n in want} == want
+
+
+def test_simhash_component_ids_against_all_pairs(spark):
+    rng = random.Random(19)
+    base = [words(rng, 120) for _ in range(30)]
+    texts = [t for b in base for t in (b, b.replace("a", "A"), b + " x", b[:-30], " ".join(b.split()[::-1]))] + ["", None, " "]
+    ids = list(range(7, 7 + len(texts)))
+    rng.shuffle(ids)
+    fp = [brute_fp(t) for t in texts]
+    root = dict(zip(ids, ids))
+    for _ in ids:  # the smallest id spreads along the links until nothing changes
+        new = {i: min(root[j] for j, g in zip(ids, fp) if (f ^ g).bit_count() <= 4) for i, f in zip(ids, fp)}
+        if new == root:
+            break
+        root = new
+    got = {r.id: r.component_id for r in simhash_golay.simhash_components(docs(spark, texts, ids)).collect()}
+    assert got == root and 1 < len(set(root.values())) < len(ids)
+
+
 # ---------------------------------------------------------------- 7
 
 def test_url_filter(spark):
