@@ -8,21 +8,25 @@ neighbours in some item too, found with numpy; a match cannot leave such a stret
 
 The items are read in blocks of about ``block_bytes`` of text (the proven bound of what is broadcast).  An
 automaton takes some 180 bytes a byte of items, so a block of 2 MB is one of some 360 MB; a worker keeps the last
-one it built for its later tasks.  Each block is one ``mapInArrow`` pass that adds to the row's spans, without any
-shuffle; its rows are written before the next pass, so that no task holds two automatons.
+one it built for its later tasks.  Each block is one ``mapInArrow`` pass.  One block needs no shuffle.  With more the
+rows are written once and further passes write only the spans they find, so that no task holds two automatons and the
+texts are not written again; an item longer than ``piece_words`` is cut into pieces that hold each of its windows
+whole, and equal (id, words) are merged, so no block is much larger than ``block_bytes`` (but for single words that are).
 
 A normalised word is a maximal run of [0-9a-z] and non-ASCII characters after lower-casing A-Z.  An
 item of fewer than ``window`` words, but not none, is one window.
 
 Rows: a NULL or empty text has no words and is clean; NULL or wordless items match nothing; an item
 without an id marks words but is not listed; item ids given twice count once; repeated documents are
-judged each; empty tables give no rows or clean rows.  Only id and text are read.
+judged each; empty tables give no rows or clean rows.  Very long texts are scanned whole, as lists of words in the
+task that holds the row.  Only id and text are read.
 """
 from __future__ import annotations
 
 import re
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -195,47 +199,88 @@ FOUND = [T.StructField("_words", T.LongType()), T.StructField("_spans", SPANS),
          T.StructField("_items", T.ArrayType(T.StringType()))]
 
 
-def _item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list]:
-    """The items in blocks of about ``block_bytes`` of text, one block on the driver at a time."""
+def _item_pieces(items: DataFrame, id_col: str, text_col: str, window: int, piece_words: int) -> DataFrame:
+    """The distinct (id, text) of the items' lower-case words; long items in pieces that hold each window whole."""
+    step = max(1, piece_words - window + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, t in zip(b.column(0).to_pylist(), utf8(b.column(1))):
+                w = words_of(t)
+                cut = [b" ".join(w[i:i + step + window - 1]) for i in range(0, max(1, len(w) - window + 1), step) if w]
+                if cut:
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(cut), pa.string()), pa.array(cut, pa.binary())],
+                                                     names=["id", "text"])
+
     rows = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    total = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    return materialize(rows.mapInArrow(run, "id string, text binary").distinct(), "items")
+
+
+def _item_blocks(pieces: DataFrame, block_bytes: int) -> Iterator[list]:
+    """The items in blocks of about ``block_bytes`` of text, one block on the driver at a time."""
+    total = pieces.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     for k in range(n):
-        block = rows if n == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
-        yield [(r.id, words_of(r.text.encode())) for r in block.collect()]
+        block = pieces if n == 1 else pieces.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
+        yield [(r.id, bytes(r.text).split()) for r in block.collect()]
+
+
+SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def _spans_array(spans: list[list[tuple[int, int]]]) -> pa.Array:
+    return pa.array([[{"start": x, "end": y} for x, y in s] for s in spans], SPAN)
+
+
+def _scan(docs: DataFrame, text_col: str, block: list, window: int, hits_only: bool = False) -> DataFrame:
+    """``docs`` with what one block of items finds in them; with ``hits_only`` the rows with an occurring window."""
+    schema, at = T.StructType([*docs.schema.fields, *FOUND]), docs.columns.index(text_col)
+    shared, name = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto = _automaton(name, shared.value, window)
+        for b in batches:
+            rows = [(len(w), *auto.scan(w)) for w in map(words_of, utf8(b.column(at)))]
+            if hits_only:
+                b = b.filter(pa.array([bool(s) for _, s, _ in rows], pa.bool_()))
+                rows = [r for r in rows if r[1]]
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array([n for n, _, _ in rows], pa.int64()), _spans_array([s for _, s, _ in rows]),
+                 pa.array([sorted(f) for _, _, f in rows], pa.list_(pa.string()))], names=[f.name for f in schema])
+
+    return docs.mapInArrow(run, schema)
 
 
 def find_items(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text", item_id: str = "item_id",
-               item_text: str = "text", block_bytes: int = 2 << 20) -> DataFrame:
-    """``docs`` with _words, _spans (word ranges that lie in some item) and _items (item ids as text)."""
+               item_text: str = "text", block_bytes: int = 2 << 20, piece_words: int = 20_000) -> DataFrame:
+    """``docs`` with _words, _spans (word ranges that lie in some item) and _items (item ids as text).
+
+    With more than one block of items the rows are written once, with a key; each further block reads their texts
+    alone and writes the rows that it hits, which are joined to them by that key at the end.
+    """
+    blocks = _item_blocks(_item_pieces(items, item_id, item_text, window, piece_words), block_bytes)
+    out, hits = _scan(docs, text_col, next(blocks), window), []
+    for block in blocks:
+        if not hits:
+            out = materialize(out.withColumn("_row", F.monotonically_increasing_id()), "item-block")
+        found = _scan(out.select("_row", F.col(text_col).alias("text")), "text", block, window, hits_only=True)
+        hits.append(materialize(found.select("_row", "_spans", "_items"), "item-hits"))
+    if not hits:
+        return out
+    more = reduce(DataFrame.unionByName, hits).groupBy("_row").agg(
+        F.flatten(F.collect_list("_spans")).alias("_more_spans"), F.flatten(F.collect_list("_items")).alias("_more_items"))
     schema = T.StructType([*docs.schema.fields, *FOUND])
-    out, at, width = docs, docs.columns.index(text_col), len(docs.columns)
-    for k, block in enumerate(_item_blocks(items, item_id, item_text, block_bytes)):
-        shared, name = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
-        if k:
-            out = materialize(out, "item-block")
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name, k=k) -> Iterator[pa.RecordBatch]:
-            auto = _automaton(name, shared.value, window)
-            for b in batches:
-                n_words, spans, found = [], [], []
-                old = [b.column(width + x).to_pylist() for x in (1, 2)] if k else None
-                for i, t in enumerate(utf8(b.column(at))):
-                    w = words_of(t)
-                    s, f = auto.scan(w)
-                    if old:
-                        s = _merged(s + [(x["start"], x["end"]) for x in old[0][i]])
-                        f = f | set(old[1][i])
-                    n_words.append(len(w))
-                    spans.append([{"start": x, "end": y} for x, y in s])
-                    found.append(sorted(f))
-                kind = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-                yield pa.RecordBatch.from_arrays(
-                    [*b.columns[:width], pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(kind)),
-                     pa.array(found, pa.list_(pa.string()))], names=[f.name for f in schema])
-
-        out = out.mapInArrow(run, schema)
-    return out
+    width = len(docs.columns)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            first, then, own, new = (b.column(width + k).to_pylist() for k in (1, 3, 2, 4))
+            spans = [_merged([(x["start"], x["end"]) for x in [*s, *(t or [])]]) for s, t in zip(first, then)]
+            ids = [sorted({*s, *(t or [])}) for s, t in zip(own, new)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:width + 1], _spans_array(spans), pa.array(ids, pa.list_(pa.string()))],
+                                             names=[f.name for f in schema])
+
+    return out.join(more, "_row", "left").drop("_row").mapInArrow(merge, schema)
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
