@@ -9,8 +9,9 @@ Prediction: look up every n-gram of the whole text, count each language's bits,
 for the filter's measured false-positive rate ((hits - n * fp) / (1 - fp), at least 0), take the
 largest.  The score is its share of all languages' corrected counts.
 
-Bounds (documented parameters): learning uses about ``train_docs`` documents per language, chosen by a
-hash of the id; ``capacity`` n-grams and 2**``log_slots`` slots bound the model, which is broadcast.
+Bounds (documented parameters): the ``max_langs`` languages with most documents are learned, each from about
+``train_docs`` documents chosen by a hash of the id; ``capacity`` n-grams a language and 2**``log_slots`` slots
+bound the model, which is broadcast.
 Prediction reads every row and whole texts.
 
 Rows: a NULL text, or one without a letter, is ``und`` with score 0; so is everything if nothing can
@@ -118,11 +119,13 @@ def _rest(id_col: str) -> F.Column:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          train_docs: int = 3000, capacity: int = 20_000, min_share: float = 0.004, log_slots: int = 19) -> Model:
+          train_docs: int = 3000, capacity: int = 20_000, min_share: float = 0.004, log_slots: int = 19,
+          max_langs: int = 256) -> Model:
     """Fit the filters on documents whose crc32(id) mod 3 is not 1, with a language and a text."""
     usable = (docs.where((_rest(id_col) != 1) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
               .select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")))
-    n_docs = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    by_size = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang")
+    n_docs = {r.lang: r.n for r in by_size.limit(max_langs).collect()}
     langs = sorted(n_docs)
     empty = [np.zeros(1 << log_slots, np.uint64) for _ in range(max(1, -(-len(langs) // 64)))]
     if not langs:
@@ -196,11 +199,17 @@ def op5_langid_bloom(spark, sf_dir) -> DataFrame:
     return predict(docs, learn(docs)).withColumnRenamed("id", "doc_id")
 
 
-def stage(spark, docs, sf_dir, min_score: float = 0.3, sure: int = 200) -> DataFrame:
-    """Documents go if they are ``und``, or if no language reaches ``min_score`` in a text of ``sure`` normalised bytes.
+def accepts(lang: str, score: float, n: int, min_score: float = 0.3, z: float = 2.0) -> bool:
+    """Whether a text of ``n`` n-grams may be in a language: the upper confidence bound of its score reaches ``min_score``.
 
-    Shorter texts are too little evidence against a document and stay.
+    The score is a share of ``n`` observations, with a standard error of at most 1 / (2 sqrt(n)); ``z`` errors are
+    granted.  One rule at every length: the fewer n-grams, the lower the score that is still no evidence against a text.
     """
+    return lang != "und" and (n == 0 or score + z / (2 * math.sqrt(n)) >= min_score)
+
+
+def stage(spark, docs, sf_dir, min_score: float = 0.3) -> DataFrame:
+    """Documents go if they are ``und``, or if their score is below ``min_score`` beyond its error (``accepts``)."""
     prep(spark)
     shared = spark.sparkContext.broadcast(learn(docs))
     names, at = docs.columns, docs.columns.index("text")
@@ -209,7 +218,7 @@ def stage(spark, docs, sf_dir, min_score: float = 0.3, sure: int = 200) -> DataF
         for b in batches:
             texts = b.column(at).to_pylist()
             lang, score = shared.value.predict(texts)
-            keep = [x != "und" and (s >= min_score or len(normalise(t)) < sure) for x, s, t in zip(lang, score, texts)]
+            keep = [accepts(x, s, max(0, len(normalise(t)) - N + 1), min_score) for x, s, t in zip(lang, score, texts)]
             yield b.filter(pa.array(keep, pa.bool_())).rename_columns(names)
 
     return by_place(docs).mapInArrow(run, docs.schema)
