@@ -1,8 +1,10 @@
 """Operator 8, embedding near-duplicates by an exact metric range join.
 
 Only vectors of one label (and one dimension) are compared.  Vectors are scaled to length one, where cosine >= c
-is distance <= eps with eps^2 = 2 - 2c.  Per group, pivots are drawn by a hash of the vector (``cell_rows``
-vectors a pivot, at most ``max_pivots`` in all: the proven bound of what is broadcast).  A vector belongs to the
+is distance <= eps with eps^2 = 2 - 2c.  A group of up to twice ``cell_rows`` vectors is one cell.  In a larger one
+pivots are drawn by a hash of the vector, one for ``cell_rows`` vectors and one at least.  Where that would be
+too many, cells grow so that half of ``max_pivots`` are expected from the hash, and a quarter at most from groups
+that need their one: what is collected and broadcast is bounded however many labels there are.  A vector belongs to the
 cell of its nearest pivot, and is replicated to every cell whose pivot is at most 2 eps further away (by the
 triangle inequality no other cell can hold a partner of it) and whose half space comes within eps of it.  Cells join independently; each counts all
 links of its own vectors in blocks and emits, beside the counts, a spanning forest of its links.  A dense
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.strategies import materialize
@@ -87,13 +89,14 @@ def near_vectors(vectors: DataFrame, min_cosine: float = 0.98, id_col: str = "ve
         F.min("id").alias("least"), F.count("*").alias("copies"), F.first("v").alias("v"), F.first("label").alias("label")),
         "vectors").withColumn("dim", F.size("v"))
 
-    sizes = merged.groupBy("label", "dim").agg(F.count("*").alias("n"))
-    top = Window.partitionBy("label", "dim").orderBy(F.xxhash64("node"), "node")
-    scale = max(cell_rows, -(-merged.count() // max_pivots))
-    drawn = (merged.select("label", "dim", "node", "v").withColumn("r", F.row_number().over(top))
-             .join(sizes, ["label", "dim"]).where(F.col("r") <= F.ceil(F.col("n") / scale)))
+    total = merged.count()
+    scale = max(cell_rows, -(-2 * total // max_pivots))
+    large = (merged.groupBy("label", "dim").agg(F.count("*").alias("n"), F.min("node").alias("least_node"))
+             .where(F.col("n") > 2 * scale))  # fewer than total / (2 * scale), so at most max_pivots / 4 groups
+    drawn = merged.join(F.broadcast(large), ["label", "dim"]).where(
+        (F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < (1 << 30) // scale) | (F.col("node") == F.col("least_node")))
     pivots: dict[tuple, list] = {}
-    for r in drawn.select(F.col("label").cast("string").alias("label"), "dim", "node", "v").collect():  # bounded by max_pivots
+    for r in drawn.select(F.col("label").cast("string").alias("label"), "dim", "node", "v").collect():  # see the module text
         pivots.setdefault((r.label, r.dim), []).append((r.node, r.v))
     first, packed = 0, {}
     for k in sorted(pivots):
@@ -104,10 +107,21 @@ def near_vectors(vectors: DataFrame, min_cosine: float = 0.98, id_col: str = "ve
     shared = spark.sparkContext.broadcast(packed)
     eps = float(np.sqrt(max(0.0, 2 - 2 * min_cosine)))
 
+    def placed(piece: pa.RecordBatch, x: np.ndarray, cell: list, own: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(cell, pa.string()), pa.array(own), piece.column(0), piece.column(1),
+                                           pa.array(list(x), pa.list_(pa.float64()))], names=["cell", "own", "node", "copies", "v"])
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A cell's name is ``dimension/pivot/label``, without a pivot where the group is one cell."""
         for b in batches:
             label, dim = np.array(b.column(3).to_pylist(), object), b.column(4).to_numpy()
-            for k in sorted(set(zip(label.tolist(), dim.tolist()))):
+            group = list(zip(label.tolist(), dim.tolist()))
+            whole = np.array([k not in shared.value for k in group], bool)
+            for d in np.unique(dim[whole]).tolist():
+                part = b.filter(pa.array(whole & (dim == d)))
+                cell = [f"{d}//{x}" for x in label[whole & (dim == d)]]
+                yield placed(part, unit_rows(part.column(2)), cell, np.ones(len(part), bool))
+            for k in sorted({k for k in group if k in shared.value}):
                 part = b.filter(pa.array((label == k[0]) & (dim == k[1])))
                 start, p = shared.value[k]
                 for at in range(0, len(part), 512):
@@ -119,10 +133,8 @@ def near_vectors(vectors: DataFrame, min_cosine: float = 0.98, id_col: str = "ve
                     # a partner in cell j lies beyond the plane halfway between both pivots, so x is within eps of it
                     near &= (x * p[home]).sum(1)[:, None] - x @ p.T <= eps * distances(p[home], p) + MARGIN
                     i, cell = np.nonzero(near)
-                    kind = pa.list_(pa.float64())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(cell + start, pa.int64()), pa.array(cell == home[i]), piece.column(0).take(pa.array(i)),
-                         piece.column(1).take(pa.array(i)), pa.array(list(x[i]), kind)], names=["cell", "own", "node", "copies", "v"])
+                    names = [f"{k[1]}/{start + c}/{k[0]}" for c in cell.tolist()]
+                    yield placed(piece.take(pa.array(i)), x[i], names, cell == home[i])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["node", "links", "a", "b"]
@@ -139,7 +151,7 @@ def near_vectors(vectors: DataFrame, min_cosine: float = 0.98, id_col: str = "ve
 
         held: list[pa.RecordBatch] = []
         for b in batches:  # sorted by cell
-            cell = b.column(0).to_numpy()
+            cell = np.array(b.column(0).to_pylist(), object)
             cuts = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
             for s, e in zip(cuts, cuts[1:]):
                 if held and e > s and held[-1].column(0)[0].as_py() != cell[s]:
@@ -150,9 +162,9 @@ def near_vectors(vectors: DataFrame, min_cosine: float = 0.98, id_col: str = "ve
         if held:
             yield from close(held)
 
-    n = shuffle_partitions(spark, first, 8)
+    n = shuffle_partitions(spark, max(first, total // scale), 8)
     cells = (merged.select("node", "copies", "v", F.col("label").cast("string").alias("label"), "dim")
-             .mapInArrow(deal, "cell long, own boolean, node long, copies long, v array<double>"))
+             .mapInArrow(deal, "cell string, own boolean, node long, copies long, v array<double>"))
     joined = materialize(cells.repartition(n, "cell").sortWithinPartitions("cell")
                          .mapInArrow(join, "node long, links long, a long, b long"), "cells")
     links = joined.where("node is not null").select("node", "links")
