@@ -53,13 +53,14 @@ def brute_hits(text, items, window=10):
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block", [16 << 20, 300])
-def test_decontamination_brute_force(spark, block):
+@pytest.mark.parametrize("block, piece", [(16 << 20, 20_000), (300, 20_000), (300, 12), (16 << 20, 3)])
+def test_decontamination_brute_force(spark, block, piece):
     rng = random.Random(1)
     items = [(str(i), words(rng, rng.choice([1, 3, 9, 10, 11, 25]), "alpha beta gamma 漢字 É9".split()) + "!") for i in range(12)]
     items += [(None, "Zeta eta THETA"), ("n", None), ("e", "..."), ("0", items[0][1])]
     texts = ODD + [words(rng, 60, "alpha beta gamma 漢字 É9 other".split()) for _ in range(30)] + ["zeta, eta; theta."] * 2
-    got = decontam_automaton.find_items(docs(spark, texts), spark.createDataFrame(items, "item_id string, text string"), block_bytes=block)
+    got = decontam_automaton.find_items(docs(spark, texts), spark.createDataFrame(items, "item_id string, text string"),
+                                        block_bytes=block, piece_words=piece)
     got = {r.doc_id: (r._words, sum(s.end - s.start for s in r._spans), r._items) for r in got.collect()}
     assert got == {i: brute_hits(t, items) for i, t in enumerate(texts)}
 
@@ -75,6 +76,18 @@ def test_decontamination_cuts_spans_and_keeps_clean_documents(spark):
     assert decontam_automaton.decontaminate(docs(spark, texts), items.limit(0)).count() == 4
 
 
+def test_repeated_and_long_items_do_not_widen_a_block(spark):
+    rng = random.Random(11)
+    long = words(rng, 400)
+    items = spark.createDataFrame([("same", long)] * 50 + [("long", long + " omega")], "item_id string, text string")
+    pieces = decontam_automaton._item_pieces(items, "item_id", "text", 10, 40)
+    blocks = list(decontam_automaton._item_blocks(pieces, 600))
+    assert len(blocks) > 5 and max(sum(len(w) + 1 for _, t in b for w in t) for b in blocks) < 4000
+    held = Counter((i, tuple(t[k:k + 10])) for b in blocks for i, t in b for k in range(len(t) - 9))
+    w = (long + " omega").encode().split()
+    assert set(held) == {("same", tuple(w[k:k + 10])) for k in range(391)} | {("long", tuple(w[k:k + 10])) for k in range(392)}
+
+
 def test_decontamination_keeps_a_workers_automaton_only_for_its_block():
     a = decontam_automaton._automaton("a", [("1", [b"x", b"y"])], 10)
     assert decontam_automaton._automaton("a", [], 10) is a
@@ -212,10 +225,63 @@ def test_language_id_held_out_accuracy_and_odd_rows(spark):
     assert odd[0] == odd[1] == odd[2] == ("und", 0.0) and all(0 <= s <= 1 and x in {*model.langs, "und"} for x, s in odd.values())
     for r in langid_bloom.predict(docs(spark, ["a"] * 20), model).collect():
         assert r.held_out == (zlib.crc32(str(r.id).encode()) % 3 == 1)
+    many = spark.createDataFrame([(i, f"wort{i} text", f"l{i % 70:02d}") for i in range(210)], "doc_id long, text string, lang string")
+    assert langid_bloom.learn(many, max_langs=66).langs == sorted(r.lang for r in many.where(langid_bloom._rest("doc_id") != 1).groupBy(
+        "lang").count().orderBy(langid_bloom.F.desc("count"), "lang").limit(66).collect())
     empty = langid_bloom.learn(docs(spark, ["a"]))
     assert langid_bloom.predict(docs(spark, ["abc"], [None]), empty).collect()[0][1:] == (False, "und", 0.0)
 
 
+def brute_sets(rows, least=2, share=0.004):
+    """Per language the byte 5-grams of enough of its documents, as plain sets; (id, text, lang) that may be learned from."""
+    used = [(t, la) for i, t, la in rows if i is not None and t is not None and la is not None and zlib.crc32(str(i).encode()) % 3 != 1]
+    size = Counter(la for _, la in used)
+    n = {la: Counter() for la in size}
+    for t, la in used:
+        n[la].update(brute_grams(t, set))
+    return {la: {g for g, k in n[la].items() if k >= max(least, -(-share * size[la] // 1))} for la in sorted(size)}
+
+
+def brute_grams(t, kind=list):
+    w = re.findall(r"[a-z\x80-\U0010ffff]+", (t or "").lower()) if re.search(r"[^\W\d_]", t or "") else []
+    b = f" {' '.join(w)} ".encode() if w else b""
+    return kind(b[i:i + 5] for i in range(len(b) - 4))
+
+
+def brute_score(t, sets):
+    g = brute_grams(t)
+    hits = {la: sum(x in s for x in g) for la, s in sets.items()}
+    return (max(hits, key=lambda la: hits[la]), max(hits.values()) / max(1, sum(hits.values())), len(g)) if g else ("und", 0.0, 0)
+
+
+def test_language_scores_against_plain_sets(spark):
+    from tests.conftest import SF
+
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    rows = [tuple(r) for r in d.collect()]
+    sets = brute_sets(rows)
+    model = langid_bloom.learn(d)
+    # a filter says yes to all n-grams of its language and to few others
+    g = np.unique(langid_bloom.grams(b" ".join(langid_bloom.normalise(t) for _, t, _ in rows)))
+    mask = model.masks(g)[0]
+    for k, la in enumerate(model.langs):
+        yes = {int(x).to_bytes(8, "little")[:5] for x, m in zip(g, mask) if m >> np.uint64(k) & np.uint64(1)}
+        assert len(sets[la]) <= 20_000 and sets[la] <= yes and len(yes - sets[la]) <= 0.01 * len(g), la
+    got = {r.id: r for r in langid_bloom.predict(d, model).collect()}
+    for i, t, _ in rows:
+        la, s, _ = brute_score(t, sets)
+        assert abs(got[i].score - s) < 0.03 and (got[i].lang_pred == la or s < 0.55), (i, t[:50])
+    long = "\n".join(t for _, t, la in rows if la == "fr" and t) * 45
+    assert len(langid_bloom.normalise(long)) > 2 << 20  # read in pieces
+    assert abs(model.predict([long])[1][0] - brute_score(long, sets)[1]) < 0.03 and model.predict([long])[0] == ["fr"]
+
+
+def test_language_is_rejected_by_one_rule_at_every_length():
+    assert not langid_bloom.accepts("und", 1.0, 500) and langid_bloom.accepts("de", 0.0, 0) and langid_bloom.accepts("de", 0.0, 11)
+    least = [min(s for s in range(101) if langid_bloom.accepts("de", s / 100, n)) for n in range(1, 5000)]
+    assert least == sorted(least) and least[10] == 0 and least[198] == 23 and least[-1] == 29
+
+
 # ---------------------------------------------------------------- 6
 
 def brute_fp(t):
@@ -343,14 +409,15 @@ def test_url_filter(spark):
 
 # ---------------------------------------------------------------- 8
 
-def test_vector_range_brute_force(spark):
+@pytest.mark.parametrize("cell, pivots", [(10, 20_000), (1, 20_000), (1, 40), (1000, 20_000)])
+def test_vector_range_brute_force(spark, cell, pivots):
     rng = np.random.default_rng(8)
     centre = rng.normal(size=(6, 8))
     x = [(c + rng.normal(scale=0.05, size=8)).tolist() for c in centre for _ in range(25)] + rng.normal(size=(60, 8)).tolist()
     rows = [(i, v, i % 2) for i, v in enumerate(x)] + [(900, x[0], 0), (901, x[0], 0), (902, [2 * c for c in x[0]], 0), (903, x[0], None)]
     rows += [(904, None, 0), (905, [0.0] * 8, 0), (906, [float("nan")] + x[0][1:], 0), (907, [None] + x[0][1:], 0), (908, [], 0), (909, x[0][:4], 0), (910, [float("inf")] * 8, 0)]
     table = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<float>, label int, node long, n_links long").repartition(3)
-    got = {r.vec_id: r for r in vector_range.near_vectors(table, cell_rows=10).collect()}
+    got = {r.vec_id: r for r in vector_range.near_vectors(table, cell_rows=cell, max_pivots=pivots).collect()}
     ok = [(i, np.float32(v).astype(float), la) for i, v, la in rows if la is not None and v and None not in v and np.isfinite(v).all() and any(v)]
     links = {i: {j for j, w, b in ok if j != i and la == b and len(v) == len(w) and v @ w / np.sqrt((v @ v) * (w @ w)) >= 0.98} for i, v, la in ok}
     for i, v, la in rows:
@@ -364,6 +431,14 @@ def test_vector_range_brute_force(spark):
     assert vector_range.near_vectors(table.limit(0)).count() == 0
 
 
+def test_vectors_of_a_label_each_draw_no_pivot_and_do_not_mix(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(40, 4))
+    rows = [(100 * c + i, x[i].tolist(), f"{i}/a//b") for c in range(2) for i in range(40)] + [(900 + i, x[0].tolist(), f"{i}") for i in range(40)]
+    got = vector_range.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"), cell_rows=1).collect()
+    assert all(r.n_links == (r.vec_id < 900) and r.component_id == (r.vec_id % 100 if r.vec_id < 900 else r.vec_id) for r in got) and len(got) == 120
+
+
 # ---------------------------------------------------------------- 9
 
 def test_packing_is_gapless_and_the_ids_are_the_tokenizers(spark):
