@@ -251,7 +251,9 @@ def brute_grams(t, kind=list):
 def brute_score(t, sets):
     g = brute_grams(t)
     hits = {la: sum(x in s for x in g) for la, s in sets.items()}
-    return (max(hits, key=lambda la: hits[la]), max(hits.values()) / max(1, sum(hits.values())), len(g)) if g else ("und", 0.0, 0)
+    if not re.search(r"[^\W\d_]", t or ""):
+        return "und", 0.0, 0
+    return max(hits, key=lambda la: hits[la]), max(hits.values()) / max(1, sum(hits.values())), len(g)
 
 
 def test_language_scores_against_plain_sets(spark):
