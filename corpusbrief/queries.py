@@ -347,10 +347,15 @@ def q_run_report(spark, sf):
 
 
 def _documents_as_files(spark, sf):
-    """Spark writes every document as one text file (``doc_id=<n>/part-*.txt``) in the scratch folder."""
+    """The tasks write every document as one text file (``doc_id=<n>/part-*.txt``) in the scratch folder."""
     from .session import scratch_path
+    from .sources.listing import reachable, write_files
+    docs = _docs(spark, sf).select("doc_id", "text")
     root = scratch_path(spark, "documents-as-files")
-    _docs(spark, sf).select("doc_id", "text").write.partitionBy("doc_id").text(root)
+    if reachable(spark, root):
+        write_files(docs, root, "doc_id", "text")
+    else:
+        docs.write.partitionBy("doc_id").text(root)
     return root
 
 

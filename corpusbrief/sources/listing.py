@@ -1,4 +1,4 @@
-"""Listing and reading files on the executors.
+"""Listing, reading and writing files on the executors.
 
 Spark's file sources list on the driver: every file name of a corpus passes it.  Here the names stay in
 DataFrames.  Folders are expanded level by level: the rows of a level (requested paths first, then folders) are spread over
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.strategies import materialize, spread
+from ..plans.strategies import materialize, spread, widened
 
 # rest: what is left of a pattern below the folder; down: how many more levels are asked for (-1: all)
 LEVEL = "path string, rest string, down int"
@@ -177,3 +177,42 @@ def read_files(files: DataFrame) -> DataFrame:
 
     return (spread(files.select("path", "modificationTime", "length"), "path")
             .mapInArrow(run, "path string, modificationTime timestamp, length long, content binary"))
+
+
+def write_files(rows: DataFrame, root: str, key: str, text: str) -> None:
+    """One file of lines a ``key`` and task, ``<root>/<key>=<value>/part-*.txt``, written by the tasks: the layout and bytes
+    of ``rows.write.partitionBy(key).text(root)`` (a NULL text is an empty line).
+
+    Spark's committer moves every file on the driver, one after the other, which does not scale to a file a row. Here a
+    file gets its name when it is whole, so a task that is run again replaces its files.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        name = f"part-{task.partitionId():05d}.txt"
+        part, attempt = None, f".{name}-{task.taskAttemptId()}"
+        system, base, _ = _file_system(root)
+        folder = out = None
+
+        def close():
+            out.close()
+            system.move(f"{folder}/{attempt}", f"{folder}/{name}")
+
+        for b in batches:
+            for value, line in zip(b.column(0).to_pylist(), b.column(1)):
+                if out is None or value != part:
+                    if out is not None:
+                        close()
+                    part, folder = value, f"{base.rstrip('/')}/{key}={'__HIVE_DEFAULT_PARTITION__' if value is None else value}"
+                    system.create_dir(folder)
+                    out = system.open_output_stream(f"{folder}/{attempt}")
+                if line.is_valid:
+                    out.write(line.as_buffer())
+                out.write(b"\n")
+        if out is not None:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())], names=["n"])
+
+    dealt = widened(rows.select(F.col(key), F.col(text)), key).sortWithinPartitions(key)
+    dealt.mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()

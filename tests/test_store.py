@@ -489,3 +489,19 @@ def test_a_run_started_again_repeats_no_logged_call(spark, scratch):
     assert made() == 20  # each text once, over both runs
     other = logged(partial(Counting, calls), log, "other model")
     assert summarize(docs.limit(1), other).count() == 1 and made() == 21
+
+
+def test_files_are_written_by_the_tasks_as_the_text_writer_does(spark, scratch):
+    from corpusbrief.sources.listing import write_files
+
+    rows = [(3, "c"), (1, "two\nlines"), (None, "no id"), (3, "c again"), (2, None), (-4, ""), (5, "\u00e9\u3002")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    write_files(df, f"file://{scratch}/ours", "doc_id", "text")
+    df.write.partitionBy("doc_id").text(f"{scratch}/theirs")
+
+    def files(root):
+        found = [(os.path.basename(d), n, os.path.join(d, n)) for d, _, names in os.walk(root) for n in names if d != root and not n.endswith(".crc")]
+        assert all(n.startswith("part-") and n.endswith(".txt") for _, n, _ in found)
+        return sorted((folder, open(path, "rb").read()) for folder, _, path in found)
+
+    assert len(files(f"{scratch}/ours")) == 6 and files(f"{scratch}/ours") == files(f"{scratch}/theirs")
