@@ -113,10 +113,15 @@ def ingest_files(spark: SparkSession, paths, glob: str | None = "*.pdf",
     listed = listed.where("length > 0")
     if limit is not None:
         listed = listed.orderBy("path").limit(limit)  # names only
+    return read_sized(listed), failures
+
+
+def read_sized(listed: DataFrame) -> DataFrame:
+    """The listed files with their content; the largest length, known from the listing, is noted in the schema."""
     largest = listed.agg(F.max("length")).first()[0] or 0
     # known from the listing, so that nobody has to read the files for it
     length = F.col("length").alias("length", metadata={"max": largest})
-    return read_files(listed).select("path", "modificationTime", length, "content"), failures
+    return read_files(listed).select("path", "modificationTime", length, "content")
 
 
 def _too_large(files: DataFrame, max_bytes: int) -> DataFrame:

@@ -8,6 +8,8 @@ The binary file source gives no row for a 0-byte file.  The first batch after ea
 lists the folder's empty files and reports those that no other run reported yet (once a start, as the
 listing grows with the folder and not with the batch).  As the file source asks, files are to be
 moved in whole: it takes each path once, so a file that was empty then is not read when it grows.
+A batch takes the names from the source and has the tasks read the files (:mod:`..sources.listing`), where they can:
+the source plans a task for every few files, and would do so for each use of a batch.
 Without ``skip_seen`` the stream is stateless (no watermark): a file is one self-contained unit.
 
 With ``skip_seen`` the stream keeps the content hashes it has seen as keyed state (:func:`admitted`), so that no batch
@@ -23,8 +25,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..plans.corpus_run import run_corpus
 from ..plans.strategies import materialize
 from ..schemas import FILE_SCHEMA, STORE_SCHEMA, TOMBSTONE_SCHEMA
-from ..sources.files import file_identity, ingest_files, make_folder
-from ..sources.listing import reachable, read_files
+from ..sources.files import file_identity, ingest_files, make_folder, read_sized
+from ..sources.listing import reachable
 from ..sources.store import append, read_catalog, read_failures
 
 
@@ -97,7 +99,8 @@ def start_ingest(spark: SparkSession, input_dir: str, store_root: str, checkpoin
     """
     import hashlib
 
-    by_state = skip_seen and reachable(spark, input_dir)
+    by_tasks = reachable(spark, input_dir)
+    by_state = skip_seen and by_tasks
     if by_state:
         checkpoint = checkpoint.rstrip("/") + "/admission"
 
@@ -111,8 +114,9 @@ def start_ingest(spark: SparkSession, input_dir: str, store_root: str, checkpoin
         run_id = f"stream-{tag}-{batch_id}"
         # a replay sees the same catalog as the first try: everything but its own rows
         catalog = read_catalog(spark, store_root, without_run=run_id) if skip_seen and not by_state else None
-        if by_state:  # names, written: the state is asked once a batch
-            df = read_files(materialize(df, f"admitted-{batch_id}"))
+        # names, written: the state is asked and the source planned (one split for a few files) once a batch, the tasks read
+        if by_tasks:
+            df = read_sized(materialize(df.select("path", "modificationTime", "length"), f"admitted-{batch_id}"))
         rows, failures = run_corpus(df, catalog=catalog, **run_kwargs)
         # both are written before either folder of the run is replaced
         rows = materialize(rows, f"stream-rows-{batch_id}")

@@ -505,3 +505,17 @@ def test_files_are_written_by_the_tasks_as_the_text_writer_does(spark, scratch):
         return sorted((folder, open(path, "rb").read()) for folder, _, path in found)
 
     assert len(files(f"{scratch}/ours")) == 6 and files(f"{scratch}/ours") == files(f"{scratch}/theirs")
+
+
+def test_a_stream_batch_reads_its_source_once(spark, scratch):
+    from corpusbrief.streaming.ingest import start_ingest
+
+    src = os.path.join(scratch, "in")
+    os.makedirs(src)
+    for i in range(6):
+        _write(src, f"{i}.pdf", f"Document {i}. It has two sentences.".encode())
+    root = os.path.join(scratch, "store")
+    q = start_ingest(spark, src, root, os.path.join(scratch, "ck"), length="short", summarizer="extractive")
+    q.awaitTermination(120)
+    assert q.exception() is None and store.read_catalog(spark, root).count() == 6
+    assert sum(p["numInputRows"] for p in q.recentProgress) == 6  # not once for each use of the batch
