@@ -19,6 +19,8 @@ DEFAULT_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # a listing of many folders or files takes so many tasks at most (Spark: 10,000, for each look at a folder of as many files)
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "200",
     # Python stages receive file contents: bound each Arrow batch by bytes as well as rows
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
     # checkpoints written by with_position are removed once unreferenced
@@ -80,6 +82,7 @@ JOIN_CONF = {k: DEFAULT_CONF[k] for k in ("spark.sql.autoBroadcastJoinThreshold"
                                           "spark.sql.adaptive.autoBroadcastJoinThreshold",
                                           "spark.sql.adaptive.enabled",
                                           "spark.sql.adaptive.skewJoin.enabled",
+                                          "spark.sql.sources.parallelPartitionDiscovery.parallelism",
                                           "spark.sql.execution.arrow.maxBytesPerBatch")}
 
 

@@ -519,3 +519,16 @@ def test_a_stream_batch_reads_its_source_once(spark, scratch):
     q.awaitTermination(120)
     assert q.exception() is None and store.read_catalog(spark, root).count() == 6
     assert sum(p["numInputRows"] for p in q.recentProgress) == 6  # not once for each use of the batch
+
+
+def test_the_queries_bound_the_tasks_of_a_listing(spark, scratch):
+    from corpusbrief import queries
+
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.unset(key)
+    try:
+        queries._prep(spark)
+        assert int(spark.conf.get(key)) <= 200
+    finally:
+        spark.conf.set(key, before)
