@@ -7,9 +7,9 @@ them in document order.
 
 A document's words are counted where its text is:
 
-* **In its row** (:func:`_in_row`), texts of up to ``spread_bytes``: one projection over the scan, without any
-  exchange.  The words of a row are sorted as an array, counted by runs, summed by sentence the same way, and the
-  sentences of the best scores are cut out at once.
+* **In its row** (:func:`_in_row`), texts of up to ``spread_bytes``: projections over the scan, without any
+  exchange.  Sentences and words are cut by SQL, the words of the rows of an Arrow batch are counted and summed by
+  sentence as numbers in arrays (:func:`_scores`), and the sentences of the best scores are joined by SQL.
 * **Spread** (:func:`_spread`), longer texts, whose words are too many for a row's arrays: word rows (id, word,
   position) are hash-partitioned by (id, word) and counted by a window, so the words of one document lie in all
   tasks; sums per (id, sentence) are partially aggregated; the running-sum cut is preceded by a top-K by rank
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +40,10 @@ FULL_WIDTH_END = r"([。！？]+)[ \t\n\r\f]*"
 WORD_SPLIT = r"[^\p{L}\p{N}]+"
 # Scripts written without blanks: every character counts as a word.
 SINGLE_CHAR_WORDS = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}])"
+# Texts without these characters have none of the scripts above; looking for a range is cheaper.
+WIDE_CHARS = r"[\x{2E80}-\x{10FFFF}]"
+# What WORD_SPLIT is in lower-case ASCII text.
+ASCII_WORD_SPLIT = "[^a-z0-9]+"
 # Order of pieces within a sentence: pos = sentence * PIECE_STEP + piece (a sentence has fewer pieces than that).
 PIECE_STEP = 1 << 24
 # Texts above this many bytes are spread: a row's arrays take some 60 bytes a byte of text.
@@ -63,8 +68,9 @@ def _params(length: str | None, length_col: str | None) -> tuple[Column, Column,
 
 def _marked(text: str) -> Column:
     """The sentences (some empty) of a text, as an array."""
-    ends = F.regexp_replace(F.regexp_replace(F.col(text), SENTENCE_END, "$1\n"), FULL_WIDTH_END, "$1\n")
-    return F.split(ends, "\n+")
+    wide = F.contains(F.col(text), F.lit("。")) | F.contains(F.col(text), F.lit("！")) | F.contains(F.col(text), F.lit("？"))
+    ends = F.regexp_replace(F.col(text), SENTENCE_END, "$1\n")
+    return F.split(F.when(wide, F.regexp_replace(ends, FULL_WIDTH_END, "$1\n")).otherwise(ends), "\n")
 
 
 def _word_rows(docs: DataFrame, length: str | None, length_col: str | None, id_col: str, text_col: str) -> DataFrame:
@@ -141,58 +147,57 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _runs(rows: Column, key: str, of_run: Callable[[Column, Column], Column]) -> Column:
-    """``of_run(first element's index, length)`` for each run of equal ``key`` in a sorted array of structs."""
-    n = F.size(rows)
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
-                      lambda k: (k < n) & ((k == 0) | (F.get(rows, k - 1)[key] != F.get(rows, k)[key])))
-    return _let(starts, lambda at: F.transform(at, lambda first, k: of_run(first, F.coalesce(F.get(at, k + 1), n) - first)))
-
-
 def _words(sentence: Column) -> Column:
-    spaced = F.regexp_replace(F.lower(sentence), SINGLE_CHAR_WORDS, " $1 ")
-    return F.filter(F.split(spaced, WORD_SPLIT), lambda w: w != "")
+    plain = F.bit_length(sentence) == F.length(sentence) * 8  # ASCII alone: the class of letters and digits is a small one
+    spaced = F.when(sentence.rlike(WIDE_CHARS), F.regexp_replace(F.lower(sentence), SINGLE_CHAR_WORDS, " $1 ")).otherwise(F.lower(sentence))
+    return F.array_remove(F.when(plain, F.split(F.lower(sentence), ASCII_WORD_SPLIT)).otherwise(F.split(spaced, WORD_SPLIT)), "")
 
 
-def _best(sents: Column, max_kept: int) -> Column:
-    """(summary, number of sentences) of the sentences (text, n: characters, words) of a document."""
-    def counted(occurrences: Column) -> Column:  # (word, sentence) sorted -> (sentence, tf) sorted
-        each = _runs(occurrences, "w", lambda first, tf: F.transform(
-            F.slice(occurrences, first + 1, tf), lambda x: F.struct(x["i"].alias("i"), tf.alias("tf"))))
-        return F.sort_array(F.flatten(each))
-
-    def scored(tfs: Column) -> Column:  # (minus score, sentence, characters) of the sentences with words
-        def one(first: Column, n: Column) -> Column:
-            total = F.aggregate(F.slice(tfs, first + 1, n), F.lit(0).cast("bigint"), lambda a, x: a + x["tf"])
-            i = F.get(tfs, first)["i"]
-            return _let(total, lambda t: F.struct((-((t - t % n) / n).cast("bigint")).alias("s"), i.alias("i"),
-                                                  F.get(sents, i)["n"].alias("n")))
-        return _runs(tfs, "i", one)
+def _scores(words: Column) -> Column:
+    """The scores of the sentences of a row, given as arrays of words; 0 for a sentence without words.
 
+    The rows of an Arrow batch are counted together: a word of a row is a number, and numbers are counted as arrays.
+    """
+    def scored(words: pa.Array) -> pa.Array:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        sentences, n_sentences = words.flatten(), pc.list_value_length(words).to_numpy()
+        coded, n_words = sentences.flatten().dictionary_encode(), pc.list_value_length(sentences).to_numpy().astype("int64")
+        row = np.repeat(np.repeat(np.arange(len(words)), n_sentences), n_words)
+        mine = pa.array(row * len(coded.dictionary) + coded.indices.to_numpy()).dictionary_encode().indices.to_numpy()
+        total = np.concatenate([[0], np.cumsum(np.bincount(mine)[mine])]).astype("int64")
+        last = np.cumsum(n_words)
+        score = (total[last] - total[last - n_words]) // np.maximum(n_words, 1)
+        starts = np.concatenate([[0], np.cumsum(n_sentences)]).astype("int32")
+        return pa.ListArray.from_arrays(pa.array(starts), pa.array(score))
+
+    return F.arrow_udf(scored, "array<bigint>")(words)
+
+
+def _best(max_kept: int) -> Column:
+    """(summary, number of sentences) of the sentences of a row (_sents) by their scores (_scores)."""
     def chosen(ranked: Column) -> Column:
         start = F.struct(F.lit(0).alias("cost"), F.lit(0).alias("k"))
         add = lambda a, x: _let(a["cost"] + x["n"] + F.col("_ov"), lambda c: F.struct(
             c.alias("cost"), (a["k"] + F.coalesce(c <= F.col("_budget") + 1, F.lit(False)).cast("int")).alias("k")))
         return F.sort_array(F.transform(F.slice(ranked, 1, F.aggregate(ranked, start, add, lambda a: a["k"])), lambda x: x["i"]))
 
-    occurrences = F.sort_array(F.flatten(F.transform(sents, lambda x, i: F.transform(
-        x["words"], lambda w: F.struct(w.alias("w"), i.alias("i"))))))
     # sentences without a word rank last, by their place
-    silent = F.filter(F.transform(sents, lambda x, i: F.when(F.size(x["words"]) == 0, F.struct(
-        F.lit(0).cast("bigint").alias("s"), i.alias("i"), x["n"].alias("n")))), lambda x: x.isNotNull())
-    ranked = F.slice(F.sort_array(F.concat(_let(_let(occurrences, counted), scored), silent)), 1, max_kept)
+    ranked = F.slice(F.sort_array(F.transform("_scores", lambda s, i: F.struct(
+        (-s).alias("s"), i.alias("i"), F.length(F.get(F.col("_sents"), i)).alias("n")))), 1, max_kept)
     return _let(_let(ranked, chosen), lambda at: F.struct(
-        F.array_join(F.transform(at, lambda i: F.concat(F.col("_bullet"), F.get(sents, i)["text"])), "\n").alias("summary"),
+        F.array_join(F.transform(at, lambda i: F.concat(F.col("_bullet"), F.get(F.col("_sents"), i))), "\n").alias("summary"),
         F.size(at).alias("n")))
 
 
 def _in_row(rows: DataFrame, max_kept: int) -> DataFrame:
-    """``rows`` (_text, _budget, _ov, _bullet) with ``_got`` (summary, n): one projection."""
+    """``rows`` (_text, _budget, _ov, _bullet) with ``_got`` (summary, n): projections, the counts as Arrow arrays between them."""
     cut = lambda all_: F.flatten(F.transform(F.filter(all_, lambda raw: raw != ""), _pieces))
-    sents = lambda pieces: F.transform(pieces, lambda x: F.struct(
-        x.alias("text"), F.length(x).alias("n"), _words(x).alias("words")))
     text = rows.withColumn("_text", F.coalesce("_text", F.lit("")))
-    return text.withColumn("_got", _let(_let(_let(_marked("_text"), cut), sents), lambda x: _best(x, max_kept)))
+    sents = text.withColumn("_sents", _let(_marked("_text"), cut)).drop("_text")
+    return sents.withColumn("_scores", _scores(F.transform("_sents", _words))).withColumn("_got", _best(max_kept))
 
 
 def _spread(base: DataFrame, length: str | None, length_col: str | None, max_kept: int, parts: int) -> DataFrame:

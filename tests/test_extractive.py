@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 import regex
+from pyspark.sql import functions as F
 
 from corpusbrief.operators.extractive import BUDGETS, extractive_summary
 
@@ -150,3 +151,32 @@ def test_pieces_of_a_long_sentence_compete(spark):
     text = " ".join(f"u{i}" for i in range(2000)) + " " + "common " * 400
     got = extractive_summary(spark.createDataFrame([(1, text)], "doc_id long, text string"), "short").first()
     assert "common common" in got.summary and got.summary == brute(text, "short")[0]
+
+
+def test_words_are_counted_as_arrays_of_numbers_and_not_by_lambdas(spark):
+    # letters beyond ASCII, beyond the basic plane, of the scripts without blanks, and a sentence without words
+    texts = ["Caf\u00e9 caf\u00c9 na\u00efve. Plain words, plain words! ... Na\u00efve x1 x\u0661.", "\u6771\u4eac tokyo \u6771. \u30ab\u306a kana\u3002End a\u6771b. a b",
+             "\U00020000\U00020000 a. \U0001d400\U0001d400 b. \U0001f600 c c.", "\u0130I i\u0307. I\u0131 i.", "A\n\n\nB.\n A b\uff01c? d"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    q = extractive_summary(df, "detailed", spread_bytes=None)
+    plan = plan_of(q)
+    assert "ArrowEvalPython" in plan and "sequence(" not in plan
+    in_row = {r.doc_id: (r.summary, r.n_sentences) for r in q.collect()}
+    spread = {r.doc_id: (r.summary, r.n_sentences) for r in extractive_summary(df, "detailed", spread_bytes=0).collect()}
+    assert in_row == spread
+    short = {r.doc_id: r.summary for r in extractive_summary(df, "short", spread_bytes=None).collect()}
+    assert short == {r.doc_id: r.summary for r in extractive_summary(df, "short", spread_bytes=0).collect()}
+
+
+def test_an_arrow_batch_of_word_arrays_is_bounded_by_bytes(spark):
+    # 40 texts of 200 kB: counted in several batches, each row with its own words
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 20))
+    try:
+        df = spark.range(0, 40, 1, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("Top "), F.repeat(F.concat(
+            F.lit("w"), F.col("id"), F.lit(" ")), 40000), F.lit(". Other. "), F.lit("w"), F.col("id"), F.lit(".")).alias("text"))
+        got = {r.doc_id: r.n_sentences for r in extractive_summary(df, "detailed", spread_bytes=None).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
+    texts = {i: f"Top {f'w{i} ' * 40000}. Other. w{i}." for i in range(40)}
+    assert got == {i: brute(t, "detailed")[1] for i, t in texts.items()}
