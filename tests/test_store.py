@@ -532,3 +532,12 @@ def test_the_queries_bound_the_tasks_of_a_listing(spark, scratch):
         assert int(spark.conf.get(key)) <= 200
     finally:
         spark.conf.set(key, before)
+
+
+def test_the_extractive_run_counts_words_as_arrays(spark):
+    from corpusbrief import queries
+
+    from .conftest import SF
+
+    plan = queries.q_summarize_corpus_extractive(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "sequence(" not in plan  # no runs of a sorted array found by lambdas
