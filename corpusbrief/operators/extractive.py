@@ -8,8 +8,8 @@ them in document order.
 A document's words are counted where its text is:
 
 * **In its row** (:func:`_in_row`), texts of up to ``spread_bytes``: projections over the scan, without any
-  exchange.  Sentences and words are cut by SQL, the words of the rows of an Arrow batch are counted and summed by
-  sentence as numbers in arrays (:func:`_scores`), and the sentences of the best scores are joined by SQL.
+  exchange.  Sentences are cut by SQL, the words of the rows of an Arrow batch are cut, counted and summed by sentence
+  as numbers in arrays (:func:`_scores`), and the sentences of the best scores are joined by SQL.
 * **Spread** (:func:`_spread`), longer texts, whose words are too many for a row's arrays: word rows (id, word,
   position) are hash-partitioned by (id, word) and counted by a window, so the words of one document lie in all
   tasks; sums per (id, sentence) are partially aggregated; the running-sum cut is preceded by a top-K by rank
@@ -42,8 +42,10 @@ WORD_SPLIT = r"[^\p{L}\p{N}]+"
 SINGLE_CHAR_WORDS = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}])"
 # Texts without these characters have none of the scripts above; looking for a range is cheaper.
 WIDE_CHARS = r"[\x{2E80}-\x{10FFFF}]"
-# What WORD_SPLIT is in lower-case ASCII text.
-ASCII_WORD_SPLIT = "[^a-z0-9]+"
+# The bytes of words in lower-case ASCII text, and in other text with blanks between its words.
+WORD_BYTES = b"abcdefghijklmnopqrstuvwxyz0123456789" + bytes(range(0x80, 0x100))
+# Rows of an Arrow batch that are counted together.
+ROWS_COUNTED = 128
 # Order of pieces within a sentence: pos = sentence * PIECE_STEP + piece (a sentence has fewer pieces than that).
 PIECE_STEP = 1 << 24
 # Texts above this many bytes are spread: a row's arrays take some 60 bytes a byte of text.
@@ -148,32 +150,49 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _words(sentence: Column) -> Column:
-    plain = F.bit_length(sentence) == F.length(sentence) * 8  # ASCII alone: the class of letters and digits is a small one
+    """The sentence in lower case with a blank behind it; of one that is not ASCII alone, the words with blanks between."""
+    plain = F.bit_length(sentence) == F.length(sentence) * 8  # what is no word character is found by its byte
     spaced = F.when(sentence.rlike(WIDE_CHARS), F.regexp_replace(F.lower(sentence), SINGLE_CHAR_WORDS, " $1 ")).otherwise(F.lower(sentence))
-    return F.array_remove(F.when(plain, F.split(F.lower(sentence), ASCII_WORD_SPLIT)).otherwise(F.split(spaced, WORD_SPLIT)), "")
+    return F.concat(F.when(plain, F.lower(sentence)).otherwise(F.regexp_replace(spaced, WORD_SPLIT, " ")), F.lit(" "))
 
 
-def _scores(words: Column) -> Column:
-    """The scores of the sentences of a row, given as arrays of words; 0 for a sentence without words.
+def _scores(sentences: Column) -> Column:
+    """The scores of the sentences of a row, given as :func:`_words`; 0 for a sentence without words.
 
-    The rows of an Arrow batch are counted together: a word of a row is a number, and numbers are counted as arrays.
+    Words are cut as runs of bytes of the Arrow buffer and counted as numbers in arrays, so many rows at a time that
+    the tables of their words stay in a core's cache.
     """
-    def scored(words: pa.Array) -> pa.Array:
+    def scored(sentences: pa.Array) -> pa.Array:
+        import pyarrow as pa
+
+        return pa.concat_arrays([counted(sentences[i:i + ROWS_COUNTED]) for i in range(0, max(len(sentences), 1), ROWS_COUNTED)])
+
+    def counted(sentences: pa.Array) -> pa.Array:
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        sentences, n_sentences = words.flatten(), pc.list_value_length(words).to_numpy()
-        coded, n_words = sentences.flatten().dictionary_encode(), pc.list_value_length(sentences).to_numpy().astype("int64")
-        row = np.repeat(np.repeat(np.arange(len(words)), n_sentences), n_words)
+        texts, n_sentences = sentences.flatten().cast(pa.large_string()), pc.list_value_length(sentences).to_numpy()
+        if not len(texts):
+            return pa.array([[]] * len(sentences), pa.list_(pa.int64()))
+        ends = np.frombuffer(texts.buffers()[1], "int64")[texts.offset:][:len(texts) + 1]
+        is_word = np.zeros(256, bool)
+        is_word[list(WORD_BYTES)] = True
+        # places where words begin and end, by turns: the blank behind each sentence ends its last word
+        edges = np.flatnonzero(np.diff(is_word[np.frombuffer(texts.buffers()[2], "uint8")[ends[0]:ends[-1]]], prepend=False)) + ends[0]
+        runs = pa.Array.from_buffers(pa.large_binary(), max(len(edges) - 1, 0), [None, pa.py_buffer(edges), texts.buffers()[2]])
+        coded = runs.take(pa.array(np.arange(0, len(runs), 2))).dictionary_encode()
+        last = np.searchsorted(edges[::2], ends[1:])
+        n_words = np.diff(last, prepend=0)
+        # a row's word as a number: the same word of another row is another one
+        row = np.repeat(np.repeat(np.arange(len(sentences)), n_sentences), n_words)
         mine = pa.array(row * len(coded.dictionary) + coded.indices.to_numpy()).dictionary_encode().indices.to_numpy()
         total = np.concatenate([[0], np.cumsum(np.bincount(mine)[mine])]).astype("int64")
-        last = np.cumsum(n_words)
         score = (total[last] - total[last - n_words]) // np.maximum(n_words, 1)
         starts = np.concatenate([[0], np.cumsum(n_sentences)]).astype("int32")
         return pa.ListArray.from_arrays(pa.array(starts), pa.array(score))
 
-    return F.arrow_udf(scored, "array<bigint>")(words)
+    return F.arrow_udf(scored, "array<bigint>")(sentences)
 
 
 def _best(max_kept: int) -> Column:

@@ -180,3 +180,15 @@ def test_an_arrow_batch_of_word_arrays_is_bounded_by_bytes(spark):
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
     texts = {i: f"Top {f'w{i} ' * 40000}. Other. w{i}." for i in range(40)}
     assert got == {i: brute(t, "detailed")[1] for i, t in texts.items()}
+
+
+def test_words_are_cut_and_counted_by_blocks_of_rows(spark):
+    # more rows in a task than are counted together, a block and more without a sentence, sentences without words at both ends
+    odd = [None, "", "...", "\n\n", "... a a. !", "a。b a！？", "End", "É é. É", "x1 1x. 1 x", "!? " + "Zz zz. " * 90 + "zz"]
+    texts = [None if i % 2 else "\n" for i in range(300)] + [odd[i % 10] if i % 3 else f"W{i} w{i}. A w{i} b. W{i + 1}? C." for i in range(900)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(4)
+    q = extractive_summary(df, "short", spread_bytes=None)
+    plan = plan_of(q)
+    assert "ArrowEvalPython" in plan and "array_remove(" not in plan  # words are runs of bytes, not rows' arrays of strings
+    got = {r.doc_id: (r.summary, r.n_sentences) for r in q.collect()}
+    assert got == {i: brute(t or "", "short") for i, t in enumerate(texts)}
