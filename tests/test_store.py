@@ -541,3 +541,12 @@ def test_the_extractive_run_counts_words_as_arrays(spark):
 
     plan = queries.q_summarize_corpus_extractive(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "sequence(" not in plan  # no runs of a sorted array found by lambdas
+
+
+def test_the_extractive_run_cuts_words_as_runs_of_bytes(spark):
+    from corpusbrief import queries
+
+    from .conftest import SF
+
+    q = queries.q_summarize_corpus_extractive(spark, SF)
+    assert "array_remove(" not in q._jdf.queryExecution().executedPlan().toString()  # no arrays of words in a row
