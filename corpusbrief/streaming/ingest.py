@@ -12,8 +12,8 @@ A batch takes the names from the source and has the tasks read the files (:mod:`
 the source plans a task for every few files, and would do so for each use of a batch.
 Without ``skip_seen`` the stream is stateless (no watermark): a file is one self-contained unit.
 
-With ``skip_seen`` the stream keeps the content hashes it has seen as keyed state (:func:`admitted`), so that no batch
-reads the catalog.  Rows that others store and hashes that a delete frees come in as streams of the store's own
+With ``skip_seen`` the stream keeps the content hashes it has seen as the keyed state of an aggregation (:func:`admitted`),
+so that no batch reads the catalog and no group is passed to Python.  Rows that others store and hashes that a delete frees come in as streams of the store's own
 folders.  The state grows with the distinct contents, as the catalog does; it lies in the checkpoint, partitioned by hash.
 """
 from __future__ import annotations
@@ -42,31 +42,13 @@ def file_stream(spark: SparkSession, input_dir: str, glob: str | None = "*.pdf",
     return reader.load(input_dir)
 
 
-def _admit(key, frames, state):
-    """The first file by path of a new content; what was stored or freed in the meantime counts first, in its order."""
-    import pandas as pd
-
-    first, events = None, []
-    for f in frames:
-        for kind, at, path, modified, length in zip(f["kind"], f["at"], f["path"], f["modificationTime"], f["length"]):
-            if kind != "file":
-                events.append((at, kind))
-            elif first is None or path < first[0]:
-                first = (path, modified, int(length))
-    seen = state.get[0] if state.exists else False
-    for _, kind in sorted(events):
-        seen = kind == "stored"
-    if first is not None and not seen:
-        seen = True
-        yield pd.DataFrame([first], columns=["path", "modificationTime", "length"])
-    state.update((seen,))
-
-
 def admitted(files: DataFrame, store_root: str) -> DataFrame:
-    """(path, modificationTime, length) of the files of a stream whose content is new, one a content.
+    """(path, modificationTime, length) of the files of a stream whose content is new, one a content: the first by path.
 
-    Content that the store holds is not new, unless its last row was deleted after it was stored.  Files are hashed where
-    they are scanned; names and hashes alone are shuffled and kept.
+    Content that the store holds is not new, unless its last row was deleted after it was stored.  What was stored or freed
+    up to a batch counts before its files, in its order.  Files are hashed where they are scanned; names and hashes alone are
+    shuffled.  The state is that of a streaming aggregation (of its output mode ``update``): for each hash its
+    last event, the first file of its last batch, and the times of the batches that had files of it.
     """
     spark, root = files.sparkSession, store_root.rstrip("/")
     for kind in ("data", "tombstones"):
@@ -82,8 +64,17 @@ def admitted(files: DataFrame, store_root: str) -> DataFrame:
                                       "path", "modificationTime", "length")
     rows = new.unionByName(told("data", STORE_SCHEMA, "stored", "created_at")).unionByName(
         told("tombstones", TOMBSTONE_SCHEMA, "freed", "deleted_at"))
-    return rows.groupBy("pdf_hash").applyInPandasWithState(
-        _admit, "path string, modificationTime timestamp, length long", "seen boolean", "append", "NoTimeout")
+    now = F.unix_micros(F.current_timestamp()).alias("now")  # in a stream the time of the batch, also where it is replayed
+    is_file = F.col("kind") == "file"
+    known = rows.select("*", now).groupBy("pdf_hash").agg(
+        F.min(F.when(is_file, F.struct((-F.col("now")).alias("before"), "path", "modificationTime", "length"))).alias("file"),
+        F.max(F.when(~is_file, F.struct(F.col("now").alias("told"), "at", "kind"))).alias("event"),
+        F.collect_set(F.when(is_file, F.col("now"))).alias("batches")).select("*", now)
+    # taken: a file of an earlier batch, and not freed since
+    taken = F.exists("batches", lambda t: (t < F.col("now")) & (t >= F.coalesce(F.col("event.told"), F.lit(0))))
+    stored = F.coalesce(F.col("event.kind") == "stored", F.lit(False))
+    new = known.where((F.col("file.before") == -F.col("now")) & ~stored & ~taken)
+    return new.select("file.path", "file.modificationTime", "file.length")
 
 
 def start_ingest(spark: SparkSession, input_dir: str, store_root: str, checkpoint: str,
@@ -128,7 +119,7 @@ def start_ingest(spark: SparkSession, input_dir: str, store_root: str, checkpoin
         append(store_root, rows, run_id=run_id, failures=failures)
 
     files = file_stream(spark, input_dir, glob, max_files_per_trigger, recursive)
-    w = ((admitted(files, store_root) if by_state else files).writeStream
+    w = ((admitted(files, store_root) if by_state else files).writeStream.outputMode("update" if by_state else "append")
          .foreachBatch(batch).option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()

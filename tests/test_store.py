@@ -550,3 +550,22 @@ def test_the_extractive_run_cuts_words_as_runs_of_bytes(spark):
 
     q = queries.q_summarize_corpus_extractive(spark, SF)
     assert "array_remove(" not in q._jdf.queryExecution().executedPlan().toString()  # no arrays of words in a row
+
+
+def test_the_state_of_a_stream_passes_no_group_to_python(spark, scratch):
+    from corpusbrief.streaming import ingest
+
+    src, root, ck = (os.path.join(scratch, x) for x in ("in", "store", "ck"))
+    os.makedirs(src)
+    plan = ingest.admitted(ingest.file_stream(spark, src), root)._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" in plan and "Pandas" not in plan
+    texts = (("a", b"One."), ("b", b"One."), ("c", b"Two."), ("d", b""), ("e", b"One."))
+    for name, text in texts:
+        _write(src, f"{name}.pdf", text)
+    q = ingest.start_ingest(spark, src, root, ck, length="short", summarizer="extractive", skip_seen=True, max_files_per_trigger=2)
+    q.awaitTermination(120)
+    # over several batches of one start, in which no batch's rows come back from the store
+    assert q.exception() is None and len(q.recentProgress) > 1
+    rows = store.read_catalog(spark, root).collect()
+    assert len(rows) == 2 and {r.pdf_hash for r in rows} == {hashlib.sha256(t).hexdigest() for t in (b"One.", b"Two.")}
+    assert [os.path.basename(r.pdf_path) for r in store.read_failures(spark, root).collect()] == ["d.pdf"]
