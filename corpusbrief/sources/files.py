@@ -68,6 +68,11 @@ def _requested(spark: SparkSession, paths) -> list[str]:
     return paths
 
 
+def asked_paths(spark: SparkSession, paths) -> DataFrame:
+    """One path or many as rows (``path``), for :func:`.listing.list_files`."""
+    return spark.createDataFrame([(p,) for p in _requested(spark, paths)], "path string")
+
+
 def ingest_files(spark: SparkSession, paths, glob: str | None = "*.pdf",
                  recursive: bool = False, max_bytes: int | None = None, report_empty: bool = True,
                  manifest: DataFrame | None = None, limit: int | None = None,
@@ -87,7 +92,7 @@ def ingest_files(spark: SparkSession, paths, glob: str | None = "*.pdf",
         asked = paths.select("path")
     else:
         paths = _requested(spark, paths)
-        asked = spark.createDataFrame([(p,) for p in paths], "path string")
+        asked = asked_paths(spark, paths)
     if listing == "auto":
         one = asked.first()
         listing = "tasks" if manifest is None and (one is None or reachable(spark, one["path"])) else "spark"
@@ -105,8 +110,7 @@ def ingest_files(spark: SparkSession, paths, glob: str | None = "*.pdf",
     failures = missing.select(F.col("path").alias("pdf_path"), F.lit("source").alias("stage"), F.lit("FileNotFoundError").alias("error_class"),
                               F.concat(F.lit("no such file: "), "path").alias("message"))
     if report_empty:
-        empty = listed.where("length = 0").select(S.strip_scheme("path").alias("pdf_path"), *[F.expr(e) for e in EMPTY_FILE])
-        failures = failures.unionByName(empty)
+        failures = failures.unionByName(empty_files(listed))
     if max_bytes is not None:
         failures = failures.unionByName(_too_large(listed, max_bytes))
         listed = listed.where(F.col("length") <= max_bytes)
@@ -116,6 +120,11 @@ def ingest_files(spark: SparkSession, paths, glob: str | None = "*.pdf",
     return read_sized(listed), failures
 
 
+def empty_files(listed: DataFrame) -> DataFrame:
+    """The failures of the listed files without bytes."""
+    return listed.where("length = 0").select(S.strip_scheme("path").alias("pdf_path"), *[F.expr(e) for e in EMPTY_FILE])
+
+
 def read_sized(listed: DataFrame) -> DataFrame:
     """The listed files with their content; the largest length, known from the listing, is noted in the schema."""
     largest = listed.agg(F.max("length")).first()[0] or 0

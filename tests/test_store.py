@@ -2,6 +2,7 @@
 import hashlib
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusbrief.operators.stages import PrefixSummarizer
@@ -569,3 +570,49 @@ def test_the_state_of_a_stream_passes_no_group_to_python(spark, scratch):
     rows = store.read_catalog(spark, root).collect()
     assert len(rows) == 2 and {r.pdf_hash for r in rows} == {hashlib.sha256(t).hexdigest() for t in (b"One.", b"Two.")}
     assert [os.path.basename(r.pdf_path) for r in store.read_failures(spark, root).collect()] == ["d.pdf"]
+
+
+def test_a_stream_takes_its_names_from_a_log_that_the_tasks_write(spark, scratch, monkeypatch):
+    import time
+
+    from corpusbrief.streaming import ingest
+
+    def refuse(*_, **__):
+        raise AssertionError("the driver listed the folder")
+
+    monkeypatch.setattr(ingest, "file_stream", refuse)
+    monkeypatch.setattr(ingest, "POLL_SECONDS", 1)
+    src, root, ck, log = (os.path.join(scratch, x) for x in ("in", "store", "ck", "log"))
+    for folder in (src, log, os.path.join(src, "deep")):
+        os.makedirs(folder)
+    for i in range(5):
+        _write(src, f"{i}.pdf", f"Document {i}.".encode())
+    _write(src, "no.txt", b"another name")
+    _write(os.path.join(src, "deep"), "9.pdf", b"in a folder below")
+
+    def noted():
+        return [sorted(os.path.basename(r.path) for r in spark.read.parquet(os.path.join(log, f)).collect()) for f in os.listdir(log) if f.endswith(".parquet")]
+
+    ingest.note_names(spark, src, log, at_most=2)
+    first = noted()
+    assert sorted(sum(first, [])) == [f"{i}.pdf" for i in range(5)] and max(map(len, first)) <= 2
+    ingest.note_names(spark, src, log)
+    assert len(noted()) == len(first)  # nothing new: no file
+    ingest.note_names(spark, src, log, recursive=True)
+    assert sorted(sum(noted(), [])) == [f"{i}.pdf" for i in range(5)] + ["9.pdf"]
+
+    run = dict(length="short", summarizer="extractive")
+    ingest.start_ingest(spark, src, root, ck, **run).awaitTermination(120)
+    assert store.read_catalog(spark, root).count() == 5
+    q = ingest.start_ingest(spark, src, root, ck, available_now=False, **run)  # goes on with the same log
+    try:
+        _write(src, "later.pdf", b"Came while the stream ran.")
+        until = time.time() + 120
+        while q.isActive and store.read_catalog(spark, root).count() < 6 and time.time() < until:
+            time.sleep(1)
+    finally:
+        q.stop()
+    assert q.exception() is None
+    assert sorted(os.path.basename(r.pdf_path) for r in store.read_catalog(spark, root).collect()) == [f"{i}.pdf" for i in range(5)] + ["later.pdf"]
+    with pytest.raises(FileNotFoundError):
+        ingest.start_ingest(spark, os.path.join(scratch, "nowhere"), root, os.path.join(scratch, "ck2"), **run)
